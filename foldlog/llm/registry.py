@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlog.llm import byte_bpe, pii, quality_rules, sharding
+from foldlog.llm import byte_bpe, ngram_join, pii, quality_rules, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": ngram_join.query,
         "op2_quality_rules": quality_rules.query,
         "op4_byte_bpe": byte_bpe.query,
         "op5_sharding": sharding.query,
