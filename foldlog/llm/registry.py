@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlog.llm import byte_bpe, ngram_join, pii, quality_rules, sharding
+from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, pii, quality_rules, run_length_index, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_join": ngram_join.query,
         "op2_quality_rules": quality_rules.query,
+        "op3_decontaminate": decontaminate.query,
         "op4_byte_bpe": byte_bpe.query,
         "op5_sharding": sharding.query,
         "op6_pii": pii.query,
+        "op7_line_dedup": line_dedup.query,
+        "op8_run_length_index": run_length_index.query,
     }
 
 
