@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, pii, quality_rules, run_length_index, sharding
+from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, pii, pu_quality, quality_rules, run_length_index, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pii": pii.query,
         "op7_line_dedup": line_dedup.query,
         "op8_run_length_index": run_length_index.query,
+        "op9_pu_quality": pu_quality.query,
     }
 
 
