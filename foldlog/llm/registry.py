@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, pii, pu_quality, quality_rules, run_length_index, sharding
+from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, ngram_trie, pii, pu_quality, quality_rules, run_length_index, sharding
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": line_dedup.query,
         "op8_run_length_index": run_length_index.query,
         "op9_pu_quality": pu_quality.query,
+        "op10_ngram_trie": ngram_trie.query,
+        "pipeline": pipeline,
     }
 
 
