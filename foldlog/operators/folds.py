@@ -78,11 +78,11 @@ def fold(steps: DataFrame, current: DataFrame, table: model.Table) -> DataFrame:
     return joined.select("id", F.aggregate("steps", start, apply).alias("state")).select("id", "state.*")
 
 
-def typed(folded: DataFrame, table: model.Table) -> DataFrame:
-    """Rows of the table, with ``__deleted`` for those that are gone."""
+def typed(folded: DataFrame, table: model.Table, *extra: str) -> DataFrame:
+    """Rows of the table, with ``__deleted`` for those that are gone, and what else is asked for."""
     key_at = {k: i for i, k in enumerate(table.key)}
     columns = []
     for f in table.schema:
         text = F.coalesce(F.try_element_at("row", F.lit(f.name)), F.get("id", F.lit(key_at[f.name]))) if f.name in key_at else F.try_element_at("row", F.lit(f.name))
         columns.append((text if isinstance(f.dataType, T.StringType) else text.cast(f.dataType)).alias(f.name))
-    return folded.select(*columns, (~F.col("there")).alias("__deleted"))
+    return folded.select(*columns, (~F.col("there")).alias("__deleted"), *extra)

@@ -269,6 +269,40 @@ def conservation(spark, sf_dir):
     return inspection.conservation(handled(spark, sf_dir))
 
 
+def _run(spark: SparkSession, sf_dir: str):
+    """The account rules through the whole engine: one bounded batch into atomic epochs."""
+    import tempfile
+    import uuid
+
+    from foldlog import config
+    from foldlog.sources.logs import MemoryLog
+    from foldlog.streaming.runtime import run_bounded
+    from foldlog.targets.epoch import EpochTarget
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldlog-")
+    target = EpochTarget(f"{root.rstrip('/')}/projection-{uuid.uuid4().hex}", [ACCOUNTS])
+    projection = config.declare(name=NAME, source=MemoryLog([]), target=target, handler=account_rules(), parallelism=8)
+    run_bounded(spark, projection, log(spark, sf_dir))
+    return target
+
+
+@query("projection_run", """SELECT b.stream_id AS user, CAST(coalesce(sum(cents) FILTER (type = 'purchase'), 0) AS BIGINT) AS balance, max(position) FILTER (type = 'click' AND position > born) AS last_seen
+  FROM log l JOIN (SELECT stream_id, min(position) AS born FROM log WHERE type IN ('signup', 'purchase') GROUP BY stream_id) b ON l.stream_id = b.stream_id GROUP BY b.stream_id""")
+def projection_run(spark, sf_dir):
+    return _run(spark, sf_dir).table(spark, "accounts")
+
+
+@query("projection_dead_letters", """SELECT CASE WHEN type = 'error' THEN 'error' ELSE 'commit:23505 (unique_violation)' END AS error_kind, count(*) AS n, max(position) AS last_position
+  FROM log LEFT JOIN (SELECT stream_id, min(position) AS born FROM log WHERE type IN ('signup', 'purchase') GROUP BY stream_id) b USING (stream_id) WHERE type = 'error' OR (type = 'signup' AND position > born) GROUP BY 1""")
+def projection_dead_letters(spark, sf_dir):
+    return _run(spark, sf_dir).table(spark, "dead_letters").groupBy("error_kind").agg(F.count("*").alias("n"), F.max("position").alias("last_position"))
+
+
+@query("projection_cursors", "SELECT stream_id, max(position) AS position FROM log WHERE type <> 'view' GROUP BY stream_id")
+def projection_cursors(spark, sf_dir):
+    return _run(spark, sf_dir).table(spark, "positions").select("stream_id", "position")
+
+
 # ---------------------------------------------------------------- dead letters, progress, inspection
 
 @query("dead_letter_rows", "SELECT position, stream_id, type AS event_type, 'error' AS error_kind, 'refused ' || id AS error_message, json_extract_string(props, '$.k') AS k FROM log WHERE outcome = 'failed'")

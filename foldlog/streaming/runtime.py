@@ -18,7 +18,7 @@ from foldlog.operators import events as ops
 from foldlog.operators import handlers, inspection
 from foldlog.streaming.coordinator import HALTED, INITIALIZING, STOPPED, Budget, Circuit, Coordinator
 from foldlog.streaming.lease import Lease
-from foldlog.targets.base import Batch, Report, Target, Wipeout
+from foldlog.targets.base import OUTCOMES, Batch, Report, Target, Wipeout, batch_stats
 from foldlog.telemetry import bus
 
 
@@ -59,9 +59,13 @@ class Processor:
             return None
         began = time.time()
         outcomes = self._evaluated(events, batch_id)
+        known = batch_stats(outcomes)
+        if known["most_multi"]:
+            outcomes = self._collided(outcomes, known["most_multi"])
+            known = batch_stats(outcomes)
         now = F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
         try:
-            report = target.commit(self.spark, Batch(self.projection.identity, batch_id, outcomes, now), self._guard)
+            report = target.commit(self.spark, Batch(self.projection.identity, batch_id, outcomes, now, known), self._guard)
         except Wipeout as e:
             raise Halted(f"wipeout: {e}") from e
         except Exception as e:
@@ -72,7 +76,7 @@ class Processor:
             raise Halted(failure.label(e)) from e
         if report.applied:
             self.circuit.applied()
-        self._tell(outcomes, began)
+        self._tell(known, began)
         self._drop(batch_id)
         return report
 
@@ -84,14 +88,10 @@ class Processor:
         both = fresh.unionByName(old).withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))
         path = f"{self.scratch}/{batch_id}"
         both.write.mode("overwrite").parquet(path)
-        found = self.spark.read.schema(both.schema).parquet(path)
-        return self._collided(found)
+        return self.spark.read.schema(both.schema).parquet(path)
 
-    def _collided(self, outcomes: DataFrame) -> DataFrame:
+    def _collided(self, outcomes: DataFrame, most: int) -> DataFrame:
         multi = outcomes.where("outcome = 'applied' and result.kind = 'multi'")
-        most = multi.agg(F.max(F.size("result.steps"))).first()[0] or 0
-        if most == 0:
-            return outcomes
         if most == 1:
             keyed = multi.select(F.lit(0).alias("batch"), "position", F.col("result.steps")[0]["name"].alias("key"))
             lost = ops.collisions(keyed).where("collides").select("position")
@@ -105,12 +105,11 @@ class Processor:
         if report.attempted and not report.applied and len(report.broken) == report.attempted and self.circuit.wiped(report.attempted):
             raise Wipeout(f"all {report.attempted} events failed on integrity, the first with {report.broken[0][1]}")
 
-    def _tell(self, outcomes: DataFrame, began: float) -> None:
-        counts = {r[0]: r[1] for r in outcomes.groupBy("outcome").count().collect()}
+    def _tell(self, counts: dict, began: float) -> None:
         for outcome, reason in (("deduped", "dedup"), ("skipped", "handler")):
             if counts.get(outcome):
                 bus.emit("event.skipped", {"count": counts[outcome]}, projection=self.projection.identity, reason=reason)
-        bus.emit("batch.stop", {"duration": time.time() - began, "batch_size": sum(counts.values())}, projection=self.projection.identity)
+        bus.emit("batch.stop", {"duration": time.time() - began, "batch_size": sum(counts[o] for o in OUTCOMES)}, projection=self.projection.identity)
 
     def _drop(self, batch_id: int) -> None:
         jvm = self.spark.sparkContext._jvm

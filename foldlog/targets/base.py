@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -26,6 +27,34 @@ class Batch:
     batch_id: int
     outcomes: DataFrame
     recorded_at: Any
+    known: dict[str, Any] | None = None
+
+    def stats(self) -> dict[str, Any]:
+        """Counts by outcome, how far the batch reaches, and the tables and columns its steps name: one pass."""
+        if self.known is None:
+            self.known = batch_stats(self.outcomes)
+        return self.known
+
+
+OUTCOMES = ("applied", "skipped", "deduped", "failed", "invalid", "collision")
+
+
+def batch_stats(outcomes: DataFrame) -> dict[str, Any]:
+    named = lambda s: F.transform(F.array_union(F.array_union(F.map_keys(s["key"]), F.map_keys(s["set"])), F.map_keys(s["inc"])), lambda c: F.struct(s["table"].alias("t"), c.alias("c")))
+    own = outcomes.select(
+        "outcome", "position", "occurred_at", F.coalesce(F.size("result.steps"), F.lit(0)).alias("n"), (F.col("result.kind") == "multi").alias("multi"),
+        F.when(F.col("outcome").isin("applied", "collision"), F.col("result.steps")).alias("steps"),
+    )
+    # which tables and columns: a handful of names, merged on the executors
+    row = own.agg(
+        *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES), F.max("position").alias("top"), F.max_by("occurred_at", "position").alias("at"),
+        F.max(F.when(F.col("outcome") == "applied", F.col("n"))).alias("most"), F.max(F.when((F.col("outcome") == "applied") & F.col("multi"), F.col("n"))).alias("most_multi"),
+        F.collect_set(F.transform("steps", lambda s: s["table"])).alias("tables"), F.collect_set(F.flatten(F.transform("steps", named))).alias("columns"),
+    ).first()
+    found = row.asDict(recursive=True)
+    found["tables"] = {t for ts in found["tables"] for t in ts}
+    found["columns"] = {(c["t"], c["c"]) for cs in found["columns"] for c in cs}
+    return found
 
 
 class Wipeout(Exception):

@@ -11,12 +11,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog import model
-from foldlog.functions.failure import CommitFailure
+from foldlog.functions.failure import CommitFailure, label_of_state
 from foldlog.operators import events as ops
 from foldlog.operators import folds, handlers, inspection
 from foldlog.targets.base import Batch, Report, Target
@@ -41,7 +43,7 @@ class EpochTarget(Target):
         names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
         done = sorted(n for n in names if n.endswith(".json"))
         if not done:
-            return {"number": 0, "live": {}, "applied": {}, "letters": 0, "resets": {}}
+            return {"number": 0, "live": {}, "applied": {}, "letters": 0, "progress": {}}
         stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/{done[-1]}"))
         try:
             return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
@@ -75,11 +77,15 @@ class EpochTarget(Target):
 
     def table(self, spark, name, found=None):
         found = found or self.manifest(spark)
+        if name == "progress":
+            rows = [(k.rpartition("/")[0], int(k.rpartition("/")[2]), *v) for k, v in found["progress"].items()]
+            read = spark.createDataFrame(rows, "projection_name string, projection_version int, position bigint, at bigint, written bigint")
+            return read.select("projection_name", "projection_version", "position", F.timestamp_micros("at").alias("occurred_at"), F.timestamp_micros("written").alias("updated_at"))
         rows = self._raw(spark, name, found)
         if name == "dead_letters":
             return rows.drop("__epoch")
-        if name in model.SCHEMAS:
-            keys = ["projection_name", "projection_version", *(["stream_id"] if name == "positions" else [])]
+        if name == "positions":
+            keys = ["projection_name", "projection_version", "stream_id"]
             rest = [c for c in rows.columns if c not in (*keys, "__epoch")]
             return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("position", "__epoch")).alias("r")).select(*keys, "r.*")
         table = self.tables[name]
@@ -103,54 +109,64 @@ class EpochTarget(Target):
     def commit(self, spark, batch: Batch, guard) -> Report:
         found = self.manifest(spark)
         number, (name, version) = found["number"] + 1, batch.identity
-        outcomes = batch.outcomes
-        broken, folded, attempted = self._settled(spark, found, outcomes)
-        report = Report(attempted, attempted - len(broken), sorted(broken.items()))
+        outcomes, stats = batch.outcomes, batch.stats()
+        self._known(stats)
+        broken, staged = self._settled(spark, found, outcomes, stats, number)
+        report = Report(stats["applied"], stats["applied"] - len(broken), sorted(broken.items()))
         guard(report)
-        states = spark.createDataFrame([(p, f"commit:{_label(s)}") for p, s in broken.items()], "position bigint, failure string")
-        failed = outcomes.join(states, "position", "left").where("outcome in ('failed', 'invalid', 'collision') or failure is not null")
-        failed = failed.withColumn("failure", F.coalesce("failure", F.when(F.col("outcome") == "collision", "multi_key_collision")))
-        letters = inspection.numbered(handlers.dead_letter_rows(failed, name, version, batch.recorded_at), found["letters"] + 1)
-        moved = ops.advances(outcomes).select(F.lit(name).alias("projection_name"), F.lit(version).alias("projection_version"), "stream_id", "position", batch.recorded_at.alias("updated_at"))
-        reached = outcomes.agg(F.max("position").alias("position"), F.max_by("occurred_at", "position").alias("occurred_at")).where("position is not null")
-        reached = reached.select(F.lit(name).alias("projection_name"), F.lit(version).alias("projection_version"), "position", "occurred_at", batch.recorded_at.alias("updated_at"))
         columns = lambda t: [x.split()[0] for x in model.SCHEMAS[t].split(", ")]
+        moved = ops.advances(outcomes).select(F.lit(name).alias("projection_name"), F.lit(version).alias("projection_version"), "stream_id", "position", batch.recorded_at.alias("updated_at"))
+        frames = {"positions": moved.select(*columns("positions"))}
+        n_letters = stats["failed"] + stats["invalid"] + stats["collision"] + len(broken)
+        if n_letters:
+            frames["dead_letters"] = self._letters(spark, batch, broken, found["letters"] + 1).select(*columns("dead_letters"))
+        with ThreadPoolExecutor(len(frames)) as pool:
+            staged |= dict(zip(frames, pool.map(lambda x: self._write(x[1], x[0], number), frames.items()), strict=True))
         live = {k: list(v) for k, v in found["live"].items()}
-        frames = {"positions": moved, "progress": reached, "dead_letters": letters} | {t: folds.typed(f, self.tables[t]) for t, f in folded.items()}
-        for t, frame in frames.items():
-            live.setdefault(t, []).append(self._write(frame.select(*columns(t)) if t in model.SCHEMAS else frame, t, number))
-        n = spark.read.parquet(f"{self.root}/{live['dead_letters'][-1]}").count()
-        self.publish(spark, found | {"live": live, "letters": found["letters"] + n, "applied": found["applied"] | {f"{name}/{version}": batch.batch_id}})
-        self.compact(spark)
+        for t, path in staged.items():
+            live.setdefault(t, []).append(path)
+        key = f"{name}/{version}"
+        reached = found["progress"] | ({key: self._reached(found["progress"].get(key), stats)} if stats["top"] is not None else {})
+        self.publish(spark, found | {"live": live, "letters": found["letters"] + n_letters, "progress": reached, "applied": found["applied"] | {key: batch.batch_id}})
+        if any(len(v) > self.compact_at for v in live.values()):
+            self.compact(spark)
         return report
 
-    def _settled(self, spark: SparkSession, found: dict, outcomes: DataFrame) -> tuple[dict[int, str], dict[str, DataFrame], int]:
-        """Fold the applied events of a batch, leaving out those that break a constraint; an event goes whole."""
-        applied = outcomes.where("outcome = 'applied'")
-        shape = applied.agg(F.count("*").alias("n"), F.max(F.size("result.steps")).alias("most"), F.collect_set(F.when(F.size("result.steps") > 0, F.col("result.steps")[0]["table"])).alias("one")).first()
-        steps = folds.steps_of(applied)
-        names = {r[0] for r in steps.select("table").distinct().limit(len(self.tables) + 1).collect()}
-        unknown = names - set(self.tables)
-        if unknown:
-            raise CommitFailure("42P01", f"no table {', '.join(sorted(map(str, unknown)))}")
-        self._columns_known(steps)
+    @staticmethod
+    def _reached(old: list | None, stats: dict) -> list:
+        """[position, event time, time of writing] in microseconds; never back, the newer row on a tie."""
+        micros = lambda t: None if t is None else round(t.replace(tzinfo=timezone.utc).timestamp() * 1e6)
+        return old if old and old[0] > stats["top"] else [stats["top"], micros(stats["at"]), micros(datetime.now(timezone.utc))]
+
+    def _letters(self, spark: SparkSession, batch: Batch, broken: dict[int, str], first: int) -> DataFrame:
+        states = spark.createDataFrame([(p, f"commit:{label_of_state(s)}") for p, s in broken.items()], "position bigint, failure string")
+        failed = batch.outcomes.join(states, "position", "left").where("outcome in ('failed', 'invalid', 'collision') or (outcome = 'applied' and failure is not null)")
+        failed = failed.withColumn("failure", F.coalesce("failure", F.when(F.col("outcome") == "collision", "multi_key_collision")))
+        return inspection.numbered(handlers.dead_letter_rows(failed, *batch.identity, batch.recorded_at), first)
+
+    def _known(self, stats: dict) -> None:
+        for t in sorted(map(str, stats["tables"] - set(self.tables))):
+            raise CommitFailure("42P01", f"no table {t}")
+        for t, c in sorted(stats["columns"]):
+            if c not in self.tables[t].schema.fieldNames():
+                raise CommitFailure("42703", f"no column {c} in {t}")
+
+    def _settled(self, spark: SparkSession, found: dict, outcomes: DataFrame, stats: dict, number: int) -> tuple[dict[int, str], dict[str, str]]:
+        """Fold the applied events of a batch into staged rows, without those that break a constraint; an event goes whole."""
+        steps = folds.steps_of(outcomes.where("outcome = 'applied'"))
         broken: dict[int, str] = {}
         while True:
             left = steps if not broken else steps.join(spark.createDataFrame([(p,) for p in broken], "position bigint"), "position", "left_anti")
-            folded = {t: folds.fold(left, self.table(spark, t, found), self.tables[t]) for t in sorted(names)}
-            fresh: dict[int, str] = {}
-            for f in folded.values():
-                fresh |= {r[0]: r[1] for r in f.select(F.explode("broken").alias("b")).select("b.position", "b.state").collect()}  # a batch's events at most
-            new = {p: s for p, s in fresh.items() if p not in broken}
-            broken |= new
-            if not new or (shape["most"] or 0) <= 1:
-                return broken, folded, shape["n"]
-
-    def _columns_known(self, steps: DataFrame) -> None:
-        keys = F.array_union(F.array_union(F.map_keys("key"), F.map_keys("set")), F.map_keys("inc"))
-        for r in steps.select("table", F.explode(keys).alias("c")).distinct().limit(10_000).collect():
-            if r["c"] not in self.tables[r["table"]].schema.fieldNames():
-                raise CommitFailure("42703", f"no column {r['c']} in {r['table']}")
+            staged, fresh = {}, {}
+            for t in sorted(stats["tables"]):
+                folded = folds.fold(left, self.table(spark, t, found), self.tables[t])
+                staged[t] = self._write(folds.typed(folded, self.tables[t], "broken"), t, number)
+                rows = spark.read.parquet(f"{self.root}/{staged[t]}").where(F.size("broken") > 0).select(F.explode("broken").alias("b")).select("b.position", "b.state")
+                fresh |= {r[0]: r[1] for r in rows.collect()}  # a batch's events at most
+            new = set(fresh) - set(broken)
+            broken |= fresh
+            if not new or (stats["most"] or 0) <= 1:
+                return broken, staged
 
     def compact(self, spark: SparkSession) -> None:
         found = self.manifest(spark)
@@ -164,19 +180,13 @@ class EpochTarget(Target):
 
     def reset(self, spark, identity, dead_letters=False):
         found = self.manifest(spark)
-        names = ["positions", "progress", *(["dead_letters"] if dead_letters else [])]
-        live, counts = dict(found["live"]), {}
-        for name in names:
+        key = f"{identity[0]}/{identity[1]}"
+        live, counts = dict(found["live"]), {"progress": int(key in found["progress"])}
+        for name in ["positions", *(["dead_letters"] if dead_letters else [])]:
             rows = self.table(spark, name, found)
             counts[name] = inspection.of(rows, *identity).count()
             kept = rows.where(~((F.col("projection_name") == identity[0]) & (F.col("projection_version") == identity[1])))
             live[name] = [self._write(kept, name, found["number"] + 1)]
-        applied = {k: v for k, v in found["applied"].items() if k != f"{identity[0]}/{identity[1]}"}
-        self.publish(spark, found | {"live": live, "applied": applied})
+        without = lambda d: {k: v for k, v in d.items() if k != key}
+        self.publish(spark, found | {"live": live, "applied": without(found["applied"]), "progress": without(found["progress"])})
         return counts
-
-
-def _label(state: str) -> str:
-    from foldlog.functions.failure import label_of_state
-
-    return label_of_state(state)

@@ -13,6 +13,7 @@ from foldlog import config, model
 from foldlog.functions.failure import BatchCommitError
 from foldlog.sources.logs import MemoryLog
 from foldlog.streaming.runtime import Processor
+from foldlog.targets.base import Batch, batch_stats
 
 STREAM = "stream-under-test"
 
@@ -49,10 +50,11 @@ def project(spark: SparkSession, projection: config.Projection, items: list[Any]
     rows = [envelope_of(*(x if isinstance(x, tuple) else (x, {}))[:1], position=start_position + i, **({"stream_id": stream_id} | (x[1] if isinstance(x, tuple) else {}))) for i, x in enumerate(items)]
     process = Processor(spark, config.declare(**(projection.__dict__ | {"retry": False})))
     outcomes = process._evaluated(MemoryLog._frame(spark, rows), 0)
+    most = batch_stats(outcomes)["most_multi"]
+    if most:
+        outcomes = process._collided(outcomes, most)
     counts = Counter({r[0]: r[1] for r in outcomes.groupBy("outcome").count().collect()})
     good = outcomes.where(F.col("outcome").isin("applied", "skipped"))
-    from foldlog.targets.base import Batch
-
     def strict(report) -> None:
         if report.broken:
             raise BatchCommitError(len(report.broken), f"{report.broken[0][1]} at position {report.broken[0][0]}")
