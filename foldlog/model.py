@@ -27,6 +27,15 @@ SCHEMAS = {"positions": POSITIONS, "dead_letters": DEAD_LETTERS, "progress": PRO
 #: Versions of the installed schema: 1 adds positions and dead letters, 2 adds progress.
 SCHEMA_TABLES = {1: ("positions", "dead_letters"), 2: ("progress",)}
 
+
+def schema_steps(from_: int, to: int) -> list[str]:
+    """The engine's tables that schema versions beyond from_ up to to add."""
+    top = max(SCHEMA_TABLES)
+    if not 0 <= from_ <= to <= top:
+        raise ValueError(f"schema versions go from 0 to {top}, upwards; not from {from_} to {to}")
+    return [t for v in range(from_ + 1, to + 1) for t in SCHEMA_TABLES[v]]
+
+
 SUCCESS = ("insert", "update", "delete", "multi", "skip")
 FAILURE = ("error", "exception")
 RESERVED_KEYS = ("event", "position", "dead_letter")

@@ -77,6 +77,8 @@ class Processor:
         if report.applied:
             self.circuit.applied()
         self._tell(known, began)
+        for x in report.letters:
+            bus.emit("dead_letter", projection=self.projection.identity, **x)
         self._drop(batch_id)
         return report
 
@@ -185,6 +187,9 @@ class Engine:
         own = Running(projection, Processor(self.spark, projection), Coordinator(), checkpoint, lease=Lease(self.spark, checkpoint))
         self.running[projection.identity] = own
         own.lease.wait(checkpoint)
+        if bus.listens("cursors.loaded"):
+            n = projection.target.cursors(self.spark, projection.identity).count()
+            bus.emit("cursors.loaded", {"count": n}, projection=projection.identity, source="target" if n else "empty")
         self._launch(own)
         own.timer = threading.Thread(target=self._watch, args=(own,), daemon=True)
         own.timer.start()

@@ -17,6 +17,8 @@ class Report:
     attempted: int = 0
     applied: int = 0
     broken: list[tuple[int, str]] = field(default_factory=list)
+    #: position, stream_id, event_type and error_kind of the batch's dead letters; filled where someone listens
+    letters: list[dict[str, Any]] = field(default_factory=list)
 
 
 @dataclass

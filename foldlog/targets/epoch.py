@@ -22,6 +22,7 @@ from foldlog.functions.failure import CommitFailure, label_of_state
 from foldlog.operators import events as ops
 from foldlog.operators import folds, handlers, inspection
 from foldlog.targets.base import Batch, Report, Target
+from foldlog.telemetry import bus
 
 COMPACT_AT = 24
 
@@ -128,6 +129,9 @@ class EpochTarget(Target):
         key = f"{name}/{version}"
         reached = found["progress"] | ({key: self._reached(found["progress"].get(key), stats)} if stats["top"] is not None else {})
         self.publish(spark, found | {"live": live, "letters": found["letters"] + n_letters, "progress": reached, "applied": found["applied"] | {key: batch.batch_id}})
+        if n_letters and bus.listens("dead_letter"):
+            rows = spark.read.parquet(f"{self.root}/{staged['dead_letters']}").select("position", "stream_id", "event_type", "error_kind").orderBy("position").collect()  # a batch's letters
+            report.letters = [r.asDict() for r in rows]
         if any(len(v) > self.compact_at for v in live.values()):
             self.compact(spark)
         return report

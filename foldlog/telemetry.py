@@ -34,6 +34,9 @@ class Bus:
         self._handlers.append(entry)
         return lambda: self._handlers.remove(entry)
 
+    def listens(self, name: str) -> bool:
+        return any(name.startswith(prefix) for prefix, _ in self._handlers)
+
     def emit(self, name: str, measured: dict | None = None, **said) -> None:
         if name not in CATALOG:
             raise ValueError(f"unknown event {name}")

@@ -381,3 +381,28 @@ def test_envelopes(spark):
     found = ops.envelope(rows, id=F.col("n"), stream_id=F.col("s"), type=F.lit("k"), position=F.col("n"), occurred_at=F.col("t"), data=F.lit("{}"), metadata=F.col("m")).first()
     assert found["metadata"] == {} and found["occurred_at"] == datetime.datetime(2026, 5, 14, 12) and found["id"] == "7"
     assert handlers.to_result(model.Update("t", {"a": 1}))["kind"] == "invalid"
+
+
+def test_schema_versions(spark):
+    assert model.schema_steps(0, 2) == ["positions", "dead_letters", "progress"] and model.schema_steps(1, 2) == ["progress"]
+    for wrong in ((0, 3), (-1, 1), (2, 1)):
+        with pytest.raises(ValueError):
+            model.schema_steps(*wrong)
+    target = JdbcTarget(spark, "jdbc:derby:memory:versions;create=true", [ROWS])
+    target.create_tables(0, 1)
+    target.create_tables()  # what is there stays
+    target.drop_tables()
+    assert not target._there("positions") and target._there("entries")
+
+
+def test_dead_letters_are_told_after_the_commit(spark, tmp_path):
+    from foldlog.telemetry import bus
+
+    heard = []
+    detach = bus.attach("dead_letter", lambda name, measured, said: heard.append((said["position"], said["error_kind"])))
+    try:
+        for target in (MemoryTarget([ROWS]), epoch(tmp_path)):
+            Processor(spark, declared(target))(frame(spark, [event(1), event(2, type="bad")]), 0)
+    finally:
+        detach()
+    assert heard == [(2, "error")] * 2
