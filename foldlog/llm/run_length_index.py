@@ -76,43 +76,48 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- the index
 
-def suffix_order(letters: np.ndarray, ends: np.ndarray, longest: int) -> np.ndarray:
-    """Starts of all suffixes in order, each up to its string's end; equal suffixes by position.
+def suffix_order(letters: np.ndarray, ends: np.ndarray, longest: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Starts of all suffixes in order, each up to its string's end, equal ones by position; and the ranks on the way.
 
-    letters: the strings one after another; ends: for each letter, where its string ends.
+    letters: the strings one after another; ends: for each letter, where its string ends. Ranks come by lengths 7, 14,
+    28, ...: two suffixes have one rank if they agree over so many letters, or to both their ends.
     """
     n = len(letters)
     at = np.arange(n)
+    room = ends - at
     key = np.zeros(n, dtype=kit.U64)
     wide = np.append(letters.astype(kit.U64) + kit.U64(1), np.zeros(7, dtype=kit.U64))
     for j in range(7):
-        key = key << kit.U64(9) | np.where(at + j < ends, wide[j : j + n], kit.U64(0))
-    h = 7
+        key <<= kit.U64(9)
+        key |= np.where(j < room, wide[j : j + n], kit.U64(0))
+    h, levels = 7, []
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
-        rank = np.empty(n, dtype=np.int64)
-        steps = np.concatenate([[1], ranked[1:] != ranked[:-1]])
-        rank[order] = np.cumsum(steps)
+        steps = np.ones(n, dtype=bool)
+        np.not_equal(ranked[1:], ranked[:-1], out=steps[1:])
+        rank = np.empty(n, dtype=np.int32)
+        rank[order] = np.cumsum(steps, dtype=np.int32)
+        levels.append((h, rank))
         if h >= longest or steps.all():
-            return order
-        later = np.minimum(at + h, n - 1)
-        key = rank.astype(kit.U64) * kit.U64(n + 1) + np.where(at + h < ends, rank[later], 0).astype(kit.U64)
+            return np.argsort(rank.astype(np.int64) * n + at), levels
+        key = rank.astype(kit.U64) * kit.U64(n + 1)
+        key[: n - h] += np.where(room[: n - h] > h, rank[h:], 0).astype(kit.U64)
         h *= 2
 
 
-def common(letters: np.ndarray, ends: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 64) -> np.ndarray:
+def common(letters: np.ndarray, ends: np.ndarray, levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How far the suffixes at a and b are equal, inside their strings."""
     room = np.minimum(ends[a] - a, ends[b] - b)
     out = np.zeros(len(a), dtype=np.int64)
-    going = np.flatnonzero(room > 0)
     top = len(letters) - 1
-    while len(going):
-        i, j = (x[going, None] + out[going, None] + np.arange(step) for x in (a, b))
-        same = (letters[np.minimum(i, top)] == letters[np.minimum(j, top)]) & (out[going, None] + np.arange(step) < room[going, None])
-        run = np.where(same.all(axis=1), step, np.argmin(same, axis=1))
-        out[going] += run
-        going = going[run == step]
+    for h, rank in reversed(levels):
+        same = (rank[np.minimum(a + out, top)] == rank[np.minimum(b + out, top)]) & (out < room)
+        out = np.minimum(out + h * same, room)
+    going = out < room
+    for _ in range(levels[0][0] - 1):
+        going &= (out < room) & (letters[np.minimum(a + out, top)] == letters[np.minimum(b + out, top)])
+        out += going
     return out
 
 
@@ -124,7 +129,7 @@ class RunLengthIndex:
         self.letters = np.frombuffer(b"".join(strings), dtype=np.uint8)
         self.begins = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
         self.ends = np.repeat(self.begins + self.sizes, self.sizes)
-        order = suffix_order(self.letters, self.ends, int(self.sizes.max()))
+        order, levels = suffix_order(self.letters, self.ends, int(self.sizes.max()))
         before = np.where(order == np.repeat(self.begins, self.sizes)[order], -1, self.letters[order - 1].astype(np.int64))
         head = np.ones(len(order), dtype=bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0)
@@ -137,7 +142,7 @@ class RunLengthIndex:
         for inside, outside in ((heads, heads - 1), (tails, tails + 1)):
             there = (outside >= 0) & (outside < len(order))
             length = np.zeros(len(inside), dtype=np.int64)
-            length[there] = common(self.letters, self.ends, order[inside[there]], order[outside[there]])
+            length[there] = common(self.letters, self.ends, levels, order[inside[there]], order[outside[there]])
             self.samples.append((order[inside], length))
 
     def matches(self) -> np.ndarray:
