@@ -7,8 +7,8 @@ import os
 import numpy as np
 
 U64 = np.uint64
-_BLOCK = 64  # bytes of the upper bits that a directory entry covers
-_ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.int64)
+_BLOCK = 16  # bytes of the upper bits that a directory entry covers
+_ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.int16)
 #: [byte, k]: where the k-th zero (one) of the byte stands, lowest bit first
 _AT = {bit: np.array([([i for i in range(8) if (b >> i & 1) == bit] + [8] * 8)[:8] for b in range(256)], dtype=np.int64) for bit in (0, 1)}
 
@@ -31,13 +31,11 @@ def _unpack(packed: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
         return np.zeros(len(at), dtype=U64)
     where = at * bits
     first, shift = where >> 3, (where & 7).astype(U64)
-    eight = packed[first[:, None] + np.arange(9)].astype(U64)
-    low = np.zeros(len(at), dtype=U64)
-    for j in range(8):
-        low |= eight[:, j] << U64(8 * j)
-    value = low >> shift
-    spill = shift > 0
-    value[spill] |= eight[spill, 8] << (U64(64) - shift[spill])
+    words = np.ndarray(len(packed) - 7, dtype="<u8", buffer=packed, strides=(1,))  # a word from every byte on
+    value = words[first] >> shift
+    if bits > 57:  # a ninth byte may hold the top
+        spill = np.flatnonzero(shift)
+        value[spill] |= packed[first[spill] + 8].astype(U64) << (U64(64) - shift[spill])
     return value & U64((1 << bits) - 1) if bits < 64 else value
 
 
@@ -57,7 +55,7 @@ class EliasFano:
         flags = np.zeros(blocks * 8 * _BLOCK, dtype=np.uint8)
         flags[upper] = 1
         high = np.packbits(flags, bitorder="little")
-        ones = np.concatenate([[0], np.cumsum(flags.reshape(blocks, -1).sum(axis=1, dtype=np.int64))])
+        ones = np.concatenate([[0], np.cumsum(flags.reshape(blocks, -1).sum(axis=1, dtype=np.int64))]).astype(np.uint32)
         low = _pack(values & U64((1 << bits) - 1) if bits else values, bits)
         return cls(n, bits, low, high, ones)
 
@@ -73,11 +71,13 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Where the k-th set (bit 1) or clear (bit 0) upper bit stands, k from 0."""
-        before = self.ones if bit else np.arange(len(self.ones)) * (8 * _BLOCK) - self.ones
+        before = self.ones.astype(np.int64)
+        if not bit:
+            before = np.arange(len(before)) * (8 * _BLOCK) - before
         block = np.searchsorted(before, k, side="right") - 1
         inside = self.high[(block * _BLOCK)[:, None] + np.arange(_BLOCK)]
         counts = _ONES[inside] if bit else 8 - _ONES[inside]
-        sums = np.cumsum(counts, axis=1)
+        sums = np.cumsum(counts, axis=1, dtype=np.int16)
         rest = k - before[block]
         byte = (sums <= rest[:, None]).sum(axis=1)
         row = np.arange(len(k))
@@ -87,12 +87,22 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         return (self._select(i, 1) - i).astype(U64) << U64(self.bits) | _unpack(self.low, self.bits, i)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """The index of the first element that is not less than each value; n if there is none."""
+    def bucket(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The range of elements that have the upper bits of each value."""
         top = (values >> U64(self.bits)).astype(np.int64)
-        low = values & U64((1 << self.bits) - 1)
         first = np.where(top > 0, self._select(np.maximum(top - 1, 0), 0) - np.maximum(top - 1, 0), 0)
-        last = self._select(top, 0) - top
+        return first, self._select(top, 0) - top
+
+    def successor(self, values: np.ndarray, within: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The index of the first element that is not less than each value (n if none), and whether it is equal.
+
+        within: only elements of these ranges, which have to be in order among themselves.
+        """
+        low = values & U64((1 << self.bits) - 1)
+        first, stop = self.bucket(values)
+        if within is not None:
+            first, stop = np.clip(within[0], first, stop), np.clip(within[1], first, stop)
+        last = stop.copy()
         going = np.flatnonzero(first < last)
         while len(going):  # halve the bucket of equal upper bits
             middle = (first[going] + last[going]) >> 1
@@ -100,7 +110,10 @@ class EliasFano:
             first[going[less]] = middle[less] + 1
             last[going[~less]] = middle[~less]
             going = going[first[going] < last[going]]
-        return first
+        equal = first < stop
+        there = np.flatnonzero(equal)
+        equal[there] = _unpack(self.low, self.bits, first[there]) == low[there]
+        return first, equal
 
 
 class Codebook:
@@ -139,23 +152,24 @@ class Trie:
         for name, data in (("codes", book.code(value)), ("centres", book.centres), ("totals", total_of)):
             np.save(os.path.join(folder, f"{name}.npy"), data)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each pair is there, its value (0 if not), and its context's total (0 if unknown)."""
-        n = self.contexts.n
-        if not n:
-            return np.zeros(len(context), dtype=bool), np.zeros(len(context)), np.zeros(len(context))
-        i = self.contexts.successor(context)
-        known = np.flatnonzero(i < n)
-        known = known[self.contexts.get(i[known]) == context[known]]
-        at = i[known]
-        key = at.astype(U64) << U64(32) | word[known].astype(U64)
+    def find(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each pair is there, its value (0 if not), and its context's total (0 if unknown).
+
+        context: distinct contexts; sizes: how many of the words belong to each, one after another.
+        """
+        n = len(word)
+        hit, value, total = np.zeros(n, dtype=bool), np.zeros(n), np.zeros(n)
+        if not self.contexts.n or not n:
+            return hit, value, total
+        at, known = self.contexts.successor(context)
+        at = np.where(known, at, 0)
         begin, end = (self.pointers.get(x).astype(np.int64) for x in (at, at + 1))
-        j = np.clip(self.words.successor(key), begin, end)
-        inside = np.flatnonzero(j < end)
-        inside = inside[self.words.get(j[inside]) == key[inside]]
-        hit = np.zeros(len(context), dtype=bool)
-        hit[known[inside]] = True
-        value, total = np.zeros(len(context)), np.zeros(len(context))
-        value[known[inside]] = self.centres[self.codes[j[inside]]]
-        total[known] = self.totals[at]
+        of = np.repeat(np.arange(len(context)), sizes)
+        asked = np.flatnonzero(known[of])
+        of = of[asked]
+        key = at[of].astype(U64) << U64(32) | word[asked].astype(U64)
+        j, equal = self.words.successor(key, (begin[of], end[of]))
+        hit[asked] = equal
+        value[asked[equal]] = self.centres[self.codes[j[equal]]]
+        total[asked] = self.totals[at[of]]
         return hit, value, total

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,11 +64,10 @@ class Scratch:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of what a frame reads; no job is run for it."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return 1 << 30
+    """The optimizer's size of the tables that a frame reads; 0 where it knows none. No job is run for it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)  # beyond: what is not in files has no size
 
 
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
@@ -75,6 +76,37 @@ def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // bytes_each))
 
 
+#: Bytes of a batch that goes to a Python worker, where the session says nothing else.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch function that gives its memory back when its task ends: workers are reused by tasks of other kinds."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return tidied
+
+
+def through(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches bounded in bytes, where the session has Spark's default, and workers left tidy."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_SETTING) == "67108864b":
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run), schema)
+
+
 # ---------------------------------------------------------------- hashing
 
 def mix(x: np.ndarray) -> np.ndarray:

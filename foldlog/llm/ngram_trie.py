@@ -35,8 +35,8 @@ from foldlog.llm.elias_fano import Trie
 VOCABULARY = 300_000
 MU = 50.0
 FOLDS, FOLD = 7, 2
-SHARD_BYTES = 12 << 20
-STEP = 8_000_000
+SHARD_BYTES = 8 << 20
+STEP = 2_500_000
 BEGIN, END, FIRST = 0, 1, 2
 _RARE = kit.U64(1 << 63)
 
@@ -102,13 +102,14 @@ class Unigrams:
         """The code of a frequent word, the hash (with the top bit) of any other."""
         if not len(self.word):
             return hashes
-        at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
-        return np.where(self.word[at] == hashes, (at + FIRST).astype(kit.U64), hashes)
+        own, back = np.unique(hashes, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.word, own), len(self.word) - 1)
+        return np.where(self.word[at] == own, (at + FIRST).astype(kit.U64), own)[back]
 
 
 def unigrams(texts: DataFrame, shards: int, n_texts: int, vocabulary: int = VOCABULARY) -> Unigrams:
     scratch = kit.Scratch(texts.sparkSession, "unigrams")
-    counted = texts.mapInArrow(_word_blocks(shards), "shard int, words binary, counts binary").repartition(shards, "shard").mapInArrow(_word_counts, "word long, c long")
+    counted = texts.transform(kit.through, _word_blocks(shards), "shard int, words binary, counts binary").repartition(shards, "shard").transform(kit.through, _word_counts, "word long, c long")
     counted = scratch.cut(counted, "counts")
     sizes = counted.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("n"), F.sum("c").alias("tokens"), F.min("c").alias("least")).orderBy(F.desc("size")).collect()
     least, room = 1 << 62, vocabulary
@@ -162,7 +163,9 @@ def _pair_blocks(shards: int, shared):
                 train = (~out[lo:hi])[doc]
                 frequent = a & _RARE == 0
                 to = _shard(np.where(frequent, a * kit.U64(0x9E3779B97F4A7C15) + b, a), shards)
-                order = np.lexsort((doc, b, a, to))
+                _, rank = np.unique(a, return_inverse=True)
+                order = np.argsort(rank.astype(kit.U64) << kit.U64(32) | b)
+                order = order[np.argsort(to[order].astype(np.uint16 if shards < 1 << 16 else np.uint32), kind="stable")]
                 a, b, doc, train, to = a[order], b[order], doc[order], train[order], to[order]
                 cuts = np.searchsorted(to, np.arange(shards + 1)).tolist()
                 sent = []
@@ -187,7 +190,7 @@ def _score_shard(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Unigrams = shared.value
-        blocks, contexts, words, docs, sizes = [], [], [], [], []
+        blocks, contexts, runs, words, docs, sizes = [], [], [], [], [], []
         for batch in batches:
             passed = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -195,7 +198,8 @@ def _score_shard(shared):
                     passed.append(row)
                     continue
                 head = np.frombuffer(row[4], dtype=kit.U64).reshape(2, -1)
-                contexts.append(np.repeat(head[0], head[1].astype(np.int64)))
+                contexts.append(head[0])
+                runs.append(head[1].astype(np.int64))
                 words.append(np.frombuffer(row[5], dtype=np.uint32))
                 docs.append(np.frombuffer(row[6], dtype=np.uint32))
                 blocks.append(row[0])
@@ -204,23 +208,27 @@ def _score_shard(shared):
                 yield _rows(passed)
         if not blocks:
             return
-        context, word, doc = np.concatenate(contexts), np.concatenate(words), np.concatenate(docs)
-        del contexts, words, docs
-        order = np.lexsort((word, context))
-        ctx, wrd = context[order], word[order]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (ctx[1:] != ctx[:-1]) | (wrd[1:] != wrd[:-1])
-        pair = np.empty(len(order), dtype=np.int64)
-        pair[order] = np.cumsum(new) - 1
-        ctx, wrd = ctx[new], wrd[new]
-        del order, new, context, word
+        distinct, rank = np.unique(np.concatenate(contexts), return_inverse=True)
+        key = np.repeat(rank.astype(kit.U64) << kit.U64(32), np.concatenate(runs))
+        key |= np.concatenate(words)
+        doc = np.concatenate(docs)
+        del contexts, runs, words, docs, rank
+        order = np.argsort(key).astype(np.uint32)
+        key = key[order]
+        new = np.ones(len(key), dtype=bool)
+        np.not_equal(key[1:], key[:-1], out=new[1:])
+        pair = np.empty(len(key), dtype=np.uint32)
+        pair[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
+        key = key[new]
+        del order, new
+        which = (key >> kit.U64(32)).astype(np.int64)
+        ctx, wrd = distinct[which], (key & kit.U64(0xFFFFFFFF)).astype(np.uint32)
+        del key
         count = np.bincount(pair, weights=doc & 1, minlength=len(ctx))
         # predecessors: a frequent one's count is known, a rare one's pairs are all here
-        edge = np.concatenate([[True], ctx[1:] != ctx[:-1]])
-        which = np.cumsum(edge) - 1
-        total = np.bincount(which, weights=count)
-        frequent = ctx[edge] & _RARE == 0
-        total[frequent] = known.as_context[ctx[edge][frequent].astype(np.int64)]
+        total = np.bincount(which, weights=count, minlength=len(distinct))
+        frequent = distinct & _RARE == 0
+        total[frequent] = known.as_context[distinct[frequent].astype(np.int64)]
         chance = known.chance[np.where(wrd >> 31 > 0, len(known.chance) - 1, wrd).astype(np.int64)]
         trained = count > 0
         exact = np.log10((count[trained] + MU * chance[trained]) / (total[which[trained]] + MU))
@@ -230,12 +238,17 @@ def _score_shard(shared):
             Trie.write(folder, ctx[trained], wrd[trained], exact, total[kept])
             trie = Trie(folder)
             value = np.empty(len(ctx))
-            for lo in range(0, len(ctx), 200_000):
-                part = slice(lo, lo + 200_000)
-                hit, found, seen = trie.find(ctx[part], wrd[part])
+            per = np.bincount(which, minlength=len(distinct))
+            ends = np.cumsum(per)
+            lo = 0
+            while lo < len(distinct):  # some contexts at a time, about 50,000 pairs
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 50_000, side="right")))
+                part = slice(int(ends[lo - 1]) if lo else 0, int(ends[hi - 1]))
+                hit, found, seen = trie.find(distinct[lo:hi], per[lo:hi], wrd[part])
                 # a predecessor that is frequent elsewhere has its count although no pair of it may be here
                 of = np.where(seen > 0, seen, total[which[part]])
                 value[part] = np.where(hit, found, np.log10(MU * chance[part] / (of + MU)))
+                lo = hi
             del trie
         finally:
             shutil.rmtree(folder, ignore_errors=True)
@@ -289,9 +302,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     n_texts = rows.where("not held_out").count()
     known = unigrams(rows.where("not held_out").select("text"), shards, n_texts, vocabulary)
     shared = spark.sparkContext.broadcast(known)
-    pairs = rows.mapInArrow(_pair_blocks(shards, shared), _BLOCK).repartition(shards, "shard").mapInArrow(_score_shard(shared), _BLOCK)
+    pairs = rows.transform(kit.through, _pair_blocks(shards, shared), _BLOCK).repartition(shards, "shard").transform(kit.through, _score_shard(shared), _BLOCK)
     share = float(np.log10(known.tokens + known.types + 1))
-    gathered = pairs.repartition(shards, "block").sortWithinPartitions("block").mapInArrow(_gathered(share), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    gathered = pairs.repartition(shards, "block").sortWithinPartitions("block").transform(kit.through, _gathered(share), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return gathered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
