@@ -7,14 +7,15 @@ list gives the same links, so its bound costs time at worst.)
 
 1. Equal texts are one node: the least doc_id of those that hold it.
 2. Nodes with equal size and prefix form a group; groups, not nodes, are listed under the shingles of their prefix.
-3. First pass: each group is paired with the group that leads most of its lists, and each member with its group's
-   first; pairs are verified on whole sets and give components. A large group of near copies mostly ends here.
+3. First pass: a list is led by its most central group, the one whose shingles are in the most lists' places; each
+   group is paired with the leader of most of its lists, and each member with its group's first. Pairs are verified
+   on whole sets and give components. A large group of near copies mostly ends here.
 4. Second pass, for whatever the first did not join: all pairs of nodes of different components under a common
    shingle are counted; the count of shared prefix shingles bounds the overlap, and pairs within reach are verified.
    No list, bucket or partner count is capped. Pairs inside a component need no look: they change no component.
 
 Posting lists travel as binary blocks, one per step and shard, with 32-bit shingle keys within a shard; a clash adds
-a candidate and is refuted by the verification, which compares 48-bit hashes of whole sets.
+a candidate and is refuted by the verification, for which the texts travel compressed and sets are made anew.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of one to
 four words has one shingle, itself; rows with one doc_id are one document with the links of all of them; a row without
@@ -27,14 +28,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlog.llm import kit
 
+#: Bytes of texts that a verification task takes apart at a time.
+VERIFY_BYTES = 2_000_000
 WORDS = 5
 #: Shingles in at least so many nodes are candidates for the list of frequent ones, which has at most HOT_MAX entries.
-HOT_LEAST, HOT_MAX = 24, 250_000
+HOT_LEAST, HOT_MAX = 12, 1_000_000
 #: Bytes of text that one shard of posting lists answers for.
 SHARD_BYTES = 16 << 20
 #: Messages that one verification task gets for a pivot.
@@ -99,6 +103,18 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(counts[often])], names=["token", "n"])
 
 
+def _most_frequent(counted: DataFrame) -> np.ndarray:
+    """The shingles of all counts down to the least that keeps the list within HOT_MAX."""
+    sizes = counted.groupBy(F.floor(F.log2("n") * 4).alias("size")).agg(F.count("*").alias("shingles"), F.min("n").alias("least")).orderBy(F.desc("size")).collect()
+    room, least = HOT_MAX, 1 << 62
+    for s in sizes:
+        room -= s.shingles
+        if room < 0:
+            break
+        least = s.least
+    return np.sort(counted.where(F.col("n") >= least).select("token").toArrow()["token"].to_numpy().view(kit.U64))
+
+
 def _prefixes(data, offsets, ids: np.ndarray, shards: int, hot: np.ndarray):
     """For each row with shingles: id, size, group and prefix."""
     for doc, s in zip(ids.tolist(), sets_of(data, offsets), strict=True):
@@ -145,7 +161,7 @@ def _listed(shards: int, shared):
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, group) of the shingles that more than one group has in its prefix."""
+    """(token, group, groups) of the shingles that more than one group has in its prefix, and how many have it."""
     tokens, groups = [], []
     for batch in batches:
         for k, t, g in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -165,21 +181,26 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more[1:] |= same
     more[:-1] |= same
     token, group = token[more], group[more]
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
+    sizes = np.diff(np.append(edges, len(token)))
+    held = np.repeat(sizes, sizes)
     for lo in range(0, len(token), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(token[lo : lo + 100_000].view(np.int64)), pa.array(group[lo : lo + 100_000])], names=["token", "g"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (token.view(np.int64), group, held)], names=["token", "g", "df"])
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (token, doc, n, component), sorted by token: counts of all pairs of different components and fitting sizes."""
     held: list[list[np.ndarray]] = []
 
-    def out(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        order = np.lexsort((high, low))
-        low, high = low[order], high[order]
-        first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-        return pa.RecordBatch.from_arrays([pa.array(low[first]), pa.array(high[first]), pa.array(np.diff(np.append(first, len(low))))], names=["a", "b", "shared"])
+    def out(pairs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        """Each pair once, with its sizes and how often it was met; the smaller id first."""
+        a, b, na, nb = (np.concatenate([p[i] for p in pairs]) for i in range(4))
+        turn = a > b
+        a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+        order = np.lexsort((b, a))
+        a, b, na, nb = a[order], b[order], na[order], nb[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (a, b, na, nb)), pa.array(np.diff(np.append(first, len(a))))], names=["a", "b", "na", "nb", "shared"])
 
     def whole() -> Iterator[list[np.ndarray]]:
         """Column blocks that never cut a token's run."""
@@ -209,7 +230,7 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fits = (c[i + 1 :] != c[i]) & (4 * np.minimum(m[i + 1 :], m[i]) >= 3 * np.maximum(m[i + 1 :], m[i]))
                 if fits.any():
                     others = d[i + 1 :][fits]
-                    pairs.append((np.full(len(others), d[i]), others))
+                    pairs.append((np.full(len(others), d[i]), others, np.full(len(others), m[i]), m[i + 1 :][fits]))
                     size += len(others)
                     if size >= 1_000_000:
                         yield out(pairs)
@@ -219,16 +240,16 @@ def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, doc, keys) to a row (key, salt, doc, n, set) for each key; the set as 48-bit hashes."""
+    """(text, doc, keys) to a row (key, salt, role, doc, packed text) for each key."""
+    pack = zstandard.ZstdCompressor(level=3).compress
     for batch in batches:
-        keys = batch.column(2).to_pylist()
-        docs = batch.column(1).to_pylist()
+        docs, keys = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for lo, hi, data, offsets in kit.text_steps(batch, 0):
             rows, size = [], 0
-            for r, s in enumerate(sets_of(data, offsets), lo):
-                blob = (s >> kit.U64(32)).astype(np.uint32).tobytes() + (s >> kit.U64(16)).astype(np.uint16).tobytes()
+            for r, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), lo):
+                blob = pack(data[x:y].tobytes())
                 for k in keys[r]:
-                    rows.append((k["key"], k["salt"], k["role"], docs[r], len(s), blob))
+                    rows.append((k["key"], k["salt"], k["role"], docs[r], blob))
                     size += len(blob)
                     if size > 4 * kit.STEP_BYTES:
                         yield _message_batch(rows)
@@ -238,35 +259,46 @@ def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _message_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["key", "salt", "role", "doc", "n", "blob"])
-
-
-def _unpacked(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(blob, dtype=np.uint32, count=n).astype(kit.U64) << kit.U64(16) | np.frombuffer(blob, dtype=np.uint16, offset=4 * n)
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=t) for i, t in enumerate(kinds)], names=["key", "salt", "role", "doc", "blob"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Messages sorted by key, salt, role: a pivot's set comes first, then the sets that are held against it."""
-    pivots: list[tuple[int, np.ndarray]] = []
+    """Messages sorted by key, salt, role: a pivot's text comes first, then the texts that are held against it."""
+    pivots: list[np.ndarray] = []
     at = None
-    for batch in batches:
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def judge(rows: list[tuple], texts: list[bytes]) -> pa.RecordBatch:
+        nonlocal at, pivots
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         a, b = [], []
-        for key, salt, role, doc, n, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = _unpacked(blob, n)
+        for (key, salt, role, doc), own in zip(rows, sets_of(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets), strict=True):
             if (key, salt) != at:
                 at, pivots = (key, salt), []
             if role == 0:
-                pivots.append((n, own))
+                pivots.append(own)
                 continue
-            for m, other in pivots:
+            for other in pivots:
                 both = np.concatenate([own, other])
                 both.sort()
-                if 7 * int((both[1:] == both[:-1]).sum()) >= 3 * (n + m):
+                if 7 * int((both[1:] == both[:-1]).sum()) >= 3 * (len(own) + len(other)):
                     a.append(key)
                     b.append(doc)
                     break
-        yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        rows, texts, size = [], [], 0
+        for *row, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows.append(tuple(row))
+            texts.append(unpack(blob))
+            size += len(texts[-1])
+            if size >= VERIFY_BYTES:
+                yield judge(rows, texts)
+                rows, texts, size = [], [], 0
+        if rows:
+            yield judge(rows, texts)
 
 
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -275,9 +307,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     first = fans.select(F.col("a").alias("doc"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"))
     rest = pairs.join(fans, "a").select(F.col("b").alias("doc"), F.col("a").alias("key"), F.pmod(F.hash("b"), F.col("fan")).alias("salt"), F.lit(1).alias("role"))
     asked = first.union(rest).groupBy("doc").agg(F.collect_list(F.struct("key", "salt", "role")).alias("keys"))
-    sets = texts.join(asked, "doc").select("text", "doc", "keys").mapInArrow(_messages, "key long, salt int, role int, doc long, n long, blob binary")
+    sets = texts.join(asked, "doc").select("text", "doc", "keys").transform(kit.through, _messages, "key long, salt int, role int, doc long, blob binary")
     n = kit.parts_for(texts, 32 << 20)
-    return sets.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role").mapInArrow(_verified, "a long, b long")
+    return sets.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role").transform(kit.through, _verified, "a long, b long")
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,18 +322,20 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     texts = scratch.cut(rows.join(copies.select("node").distinct(), F.col("doc") == F.col("node"), "left_semi"), "texts")
 
     shards = kit.parts_for(df, SHARD_BYTES)
-    counted = texts.mapInArrow(_counted(shards), "shard int, tokens binary").repartition(shards, "shard").mapInArrow(_frequent, "token long, n long")
-    hot = np.sort(np.array([r.token for r in counted.orderBy(F.desc("n"), "token").limit(HOT_MAX).collect()], dtype=np.int64).view(kit.U64))
+    counted = texts.transform(kit.through, _counted(shards), "shard int, tokens binary").repartition(shards, "shard").transform(kit.through, _frequent, "token long, n long")
+    hot = _most_frequent(scratch.cut(counted, "counted"))
     shared = spark.sparkContext.broadcast(hot)
 
-    nodes = scratch.cut(texts.mapInArrow(_signed(shards, shared), "doc long, n long, g long"), "nodes")
-    lists = texts.mapInArrow(_listed(shards, shared), "shard int, tokens binary, groups binary").repartition(shards, "shard")
-    live = scratch.cut(lists.mapInArrow(_live, "token long, g long"), "live")
+    nodes = scratch.cut(texts.transform(kit.through, _signed(shards, shared), "doc long, n long, g long"), "nodes")
+    lists = texts.transform(kit.through, _listed(shards, shared), "shard int, tokens binary, groups binary").repartition(shards, "shard")
+    live = scratch.cut(lists.transform(kit.through, _live, "token long, g long, df long"), "live")
 
     # first pass: one leader for each group, the group's first member for each member
     members = nodes.where("n > 0")
     firsts = members.groupBy("g").agg(F.min("doc").alias("first"))
-    led = live.join(live.groupBy("token").agg(F.min("g").alias("lead")), "token").where("g <> lead").groupBy("g", "lead").count()
+    central = live.groupBy("g").agg(F.sum("df").alias("score"))
+    scored = live.select("token", "g").join(central, "g")
+    led = scored.join(scored.groupBy("token").agg(F.max(F.struct("score", "g")).alias("top")), "token").select("g", F.col("top.g").alias("lead")).where("g <> lead").groupBy("g", "lead").count()
     led = led.groupBy("g").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     outer = led.join(firsts, "g").select("lead", F.col("first").alias("b")).join(firsts.withColumnRenamed("g", "lead"), "lead").select(F.col("first").alias("a"), "b")
     inner = members.join(firsts, "g").where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
@@ -312,18 +346,17 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     placed = members.join(joined, members.doc == joined.id, "left").select("g", "doc", "n", F.coalesce("component", "doc").alias("component"))
     rows2 = scratch.cut(live.join(placed, "g").select("token", "doc", "n", "component"), "placed")
     torn = rows2.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    crossing = rows2.join(torn, "token").repartition(shards, "token").sortWithinPartitions("token").mapInArrow(_crossing, "a long, b long, shared long")
-    sizes = members.select("doc", "n").distinct()
-    pairs = crossing.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    pairs = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    within = F.expr("7 * (shared + greatest(ceil(0.75D * na), ceil(0.75D * nb)) - 1) >= 3 * (na + nb)")
+    crossing = rows2.join(torn, "token").repartition(shards, "token").sortWithinPartitions("token").transform(kit.through, _crossing, "a long, b long, na long, nb long, shared long")
+    pairs = crossing.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    # at most shared + ceil(0.75 n) - 1 can be common; two more for shingles of a prefix that share a 32-bit key
+    within = F.expr("7 * (shared + greatest(ceil(0.75D * na), ceil(0.75D * nb)) + 1) >= 3 * (na + nb)")
     late = scratch.cut(verify(scratch.cut(pairs.where(within).select("a", "b").distinct(), "pairs2"), texts), "late")
     found = kit.components(edges.union(late), scratch, "cc2")
     scratch.drop("texts", "live", "placed")
 
     whole = nodes.groupBy("doc").agg(F.max("n").alias("n")).join(found, F.col("doc") == F.col("id"), "left").select(F.col("doc").alias("node"), "n", F.coalesce("component", "doc").alias("component"))
     named = keyed.join(copies, ["h1", "h2"], "left").join(whole, "node", "left")
-    return named.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+    return named.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))).alias("component"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
