@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from foldlog.llm import kit
 
-CACHE = 200_000
+CACHE = 50_000
 #: A longer pre-token is encoded anew each time, so that the table's memory is bounded.
 CACHED_BYTES = 64
 
@@ -130,15 +130,9 @@ class _Cache(dict):
         return ids
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def _codec(shared) -> Codec:
-    tokens, model, pattern = shared.value
-    key = hash((len(model), pattern))
-    if key not in _CODECS:
-        _CODECS[key] = Codec(tokens, model, pattern)
-    return _CODECS[key]
+    """A codec for one task; kept no longer, so that a reused worker is small again."""
+    return Codec(*shared.value)
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -167,7 +161,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> Da
                 ids = [codec.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], kit.binaries(ids), pa.array([len(x) // 4 for x in ids], type=pa.int64())], names=[*part.schema.names[:-1], "ids", "n_tokens"])
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
+    return given.transform(kit.through, run, T.StructType([*given.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -184,19 +178,34 @@ def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> Data
                 texts = [codec.decode(x) if x else b"" for x in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], kit.binaries(texts)], names=[*part.schema.names[:-1], "decoded"])
 
-    return given.mapInArrow(run, T.StructType([*given.schema.fields[:-1], T.StructField("decoded", T.BinaryType())]))
+    return given.transform(kit.through, run, T.StructType([*given.schema.fields[:-1], T.StructField("decoded", T.BinaryType())]))
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """What decode gives of what encode gives, in one pass and with one codec a task: ids, n_tokens, decoded."""
+    shared = _shared(df.sparkSession, path, pattern)
+    rest = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
+    given = df.select(*rest, F.col(text_col).alias("__text"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(shared)
+        for batch in batches:
+            for lo, hi, _, _ in kit.text_steps(batch, batch.num_columns - 1):
+                part = batch.slice(lo, hi - lo)
+                ids = [codec.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
+                made = [kit.binaries(ids), pa.array([len(x) // 4 for x in ids], type=pa.int64()), kit.binaries([codec.decode(x) if x else b"" for x in ids])]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "ids", "n_tokens", "decoded"])
 
-def round_trip(df: DataFrame) -> DataFrame:
-    return decode(encode(df, *public_vocabulary()), *public_vocabulary())
+    more = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())]
+    return given.transform(kit.through, run, T.StructType([*given.schema.fields[:-1], *more]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text")
+    both = round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), *public_vocabulary())
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and whether they decode to the text again; the last stage."""
-    both = round_trip(docs)
+    both = round_trip(docs, *public_vocabulary())
     return both.select(*docs.columns, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("exact"))

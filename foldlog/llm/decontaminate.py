@@ -164,7 +164,7 @@ def contaminations(df: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for block in _item_blocks(items):
         given = out.select("*", F.col(text_col).alias("__text"))
         shared = df.sparkSession.sparkContext.broadcast(block)
-        found = given.mapInArrow(_scan(shared), T.StructType([*given.schema.fields[:-1], T.StructField("__hits", HIT)]))
+        found = given.transform(kit.through, _scan(shared), T.StructType([*given.schema.fields[:-1], T.StructField("__hits", HIT)]))
         out = found.select(*rest, F.concat("hits", "__hits").alias("hits"))
     return out
 

@@ -111,14 +111,14 @@ OUT = T.StructType([T.StructField("deduped", T.StringType())] + [T.StructField(n
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with ``deduped`` (the text that stays), ``n_lines``, ``n_removed_lines`` and ``n_partners``."""
     doc, mark, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(text_col), F.col(text_col)
-    lines = df.where(text.isNotNull()).select(doc.alias("doc"), mark.alias("mark"), text.alias("text")).mapInArrow(_seed_rows, "doc long, mark long, k long, h1 long, h2 long, gap long")
+    lines = df.where(text.isNotNull()).select(doc.alias("doc"), mark.alias("mark"), text.alias("text")).transform(kit.through, _seed_rows, "doc long, mark long, k long, h1 long, h2 long, gap long")
     holder = lines.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").alias("edoc"), F.col("mark").alias("emark"), F.col("k").alias("ek"), F.col("gap").alias("egap"))).alias("e"), F.count("*").alias("c"))
     links = lines.join(holder.where("c > 1").select("h1", "h2", "e.*"), ["h1", "h2"]).where("doc <> edoc or mark <> emark")
     by_doc = links.distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("k", "gap", "edoc", "emark", "ek", "egap")).alias("links"))
     rest = [c for c in df.columns if c not in OUT.fieldNames()]
     given = df.select(*rest, doc.alias("__doc"), mark.alias("__mark"), text.alias("__text"))
     both = given.join(by_doc, (F.col("__doc") == by_doc["doc"]) & (F.col("__mark") == by_doc["mark"]), "left").select(*[given[c] for c in rest], "__text", "links")
-    return both.mapInArrow(_apply, T.StructType([*both.schema.fields[:-2], *OUT.fields]))
+    return both.transform(kit.through, _apply, T.StructType([*both.schema.fields[:-2], *OUT.fields]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     trusted = known.where("quality = 1").orderBy(digest, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("kind"))
     others = docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id"))).orderBy(digest, "doc_id").limit(sample).select("doc_id", F.lit(0).alias("kind"))
     chosen = trusted.union(others)  # 2 * sample rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("kind", "text").mapInArrow(_featured, "kind int, x array<double>").toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("kind", "text").transform(kit.through, _featured, "kind int, x array<double>").toArrow()
     x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
     kind = rows["kind"].to_numpy()
     order = np.lexsort((*x.T, kind))
@@ -141,7 +141,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(model.score(features(data, offsets)))], names=["doc_id", "score"])
 
     given = docs.select("doc_id", "text")
-    return given.mapInArrow(run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, score double")
+    return given.transform(kit.through, run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -130,7 +130,7 @@ def clean(df: DataFrame, text_col: str = "text") -> DataFrame:
     rest = [c for c in df.columns if c not in {*OUT.fieldNames(), "base_failed", "kept"}]
     given = df.select(*rest, F.col(text_col).alias("__text"))
     schema = T.StructType([*given.schema.fields[:-1], *OUT.fields])
-    found = given.mapInArrow(_measure, schema)
+    found = given.transform(kit.through, _measure, schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
 

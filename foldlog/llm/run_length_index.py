@@ -273,7 +273,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     once = rows.select(*keys("text"), "text").groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("m"))
     texts = scratch.cut(once.withColumn("id", F.monotonically_increasing_id()), "texts")
-    found = scratch.cut(texts.where(F.octet_length("text") >= WINDOW).select("id", "text").mapInArrow(_anchors, "anchor long, digest long, id long, first long, last long"), "anchors")
+    found = scratch.cut(texts.where(F.octet_length("text") >= WINDOW).select("id", "text").transform(kit.through, _anchors, "anchor long, digest long, id long, first long, last long"), "anchors")
 
     kinds = found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min("id").alias("id"))
     open_ = kinds.groupBy("anchor").agg(F.count("*").alias("v"), F.min("c").alias("least")).where("v > 1 and least = 1").select("anchor", "v")
@@ -288,13 +288,13 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     def wanted(condition: str) -> DataFrame:
         return texts.select("id", "text").join(variants.where(condition).groupBy("id").agg(F.collect_list("w").alias("wanted")), "id").select("id", "text", "wanted")
 
-    contexts = wanted(f"v <= {VARIANTS}").mapInArrow(_cut_contexts, "anchor long, id long, first long, c long, context binary")
-    marked = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_marked, "id long, start long, end long")
+    contexts = wanted(f"v <= {VARIANTS}").transform(kit.through, _cut_contexts, "anchor long, id long, first long, c long, context binary")
+    marked = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").transform(kit.through, _marked, "id long, start long, end long")
     spans = settled.union(marked).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    windows = wanted(f"v > {VARIANTS}").mapInArrow(_cut_windows(n), "shard int, digests binary, ids binary, starts binary")
-    recounted = windows.repartition(n, "shard").mapInArrow(_recounted, "id long, starts binary").groupBy("id").agg(F.collect_list("starts").alias("blocks"))
+    windows = wanted(f"v > {VARIANTS}").transform(kit.through, _cut_windows(n), "shard int, digests binary, ids binary, starts binary")
+    recounted = windows.repartition(n, "shard").transform(kit.through, _recounted, "id long, starts binary").groupBy("id").agg(F.collect_list("starts").alias("blocks"))
     whole = texts.join(spans, "id", "left").join(recounted, "id", "left").select("h1", "h2", "m", "text", "spans", "blocks")
-    return whole.mapInArrow(_removed, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return whole.transform(kit.through, _removed, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def keys(text_col: str) -> list:
