@@ -12,7 +12,8 @@ list gives the same links, so its bound costs time at worst.)
    on whole sets and give components. A large group of near copies mostly ends here.
 4. Second pass, for whatever the first did not join: all pairs of nodes of different components under a common
    shingle are counted; the count of shared prefix shingles bounds the overlap, and pairs within reach are verified.
-   No list, bucket or partner count is capped. Pairs inside a component need no look: they change no component.
+   Those of one group, which share the whole prefix, are all verified. No list, bucket or partner count is capped.
+   Pairs inside a component need no look: they change no component.
 
 Posting lists travel as binary blocks, one per step and shard, with 32-bit shingle keys within a shard; a clash adds
 a candidate and is refuted by the verification, for which the texts travel compressed and sets are made anew.
@@ -350,7 +351,10 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     pairs = crossing.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
     # at most shared + ceil(0.75 n) - 1 can be common; two more for shingles of a prefix that share a 32-bit key
     within = F.expr("7 * (shared + greatest(ceil(0.75D * na), ceil(0.75D * nb)) + 1) >= 3 * (na + nb)")
-    late = scratch.cut(verify(scratch.cut(pairs.where(within).select("a", "b").distinct(), "pairs2"), texts), "late")
+    # members of one group share their whole prefix, which need not be in any other group's: always within reach
+    split = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
+    apart = placed.join(split, "g").select(F.col("g").alias("token"), "doc", "n", "component").repartition(shards, "token").sortWithinPartitions("token").transform(kit.through, _crossing, "a long, b long, na long, nb long, shared long")
+    late = scratch.cut(verify(scratch.cut(pairs.where(within).select("a", "b").union(apart.select("a", "b")).distinct(), "pairs2"), texts), "late")
     found = kit.components(edges.union(late), scratch, "cc2")
     scratch.drop("texts", "live", "placed")
 

@@ -81,6 +81,15 @@ def test_jaccard_components(docs, monkeypatch):
     assert {r["doc"]: (r["n"], r["component"]) for r in ngram_join.link(docs).collect()} == wanted
 
 
+def test_members_of_a_group_link_without_its_first(spark):
+    rows = []
+    for k in range(12):
+        a, b, c, d, e = (f"{x}{k}" for x in "abcde")
+        rows += [(3 * k + 1, f"{a} {b} {c} {d} {e} f"), (3 * k + 2, f"{a} {b} {c} {d} {e} g"), (3 * k + 3, f"{a.upper()} {b} {c} {d} {e} g")]
+    found = {r["doc"]: (r["n"], r["component"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == links(rows)
+
+
 def test_jaccard_of_nothing_and_of_null_ids(spark, none):
     assert ngram_join.link(none).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
