@@ -2,11 +2,13 @@
 
 A seed line has MIN_WORDS words at least and stands once in its document. Documents that hold the same seed overlap;
 each is held against the earliest holder of that seed. The common seeds of two documents are aligned as patience diff
-does: the longest subsequence that is in order in both. Aligned seeds go from the later document, and with them the
+does: the longest subsequence that is in order in both. Seeds that stay are held, in a next turn, against their next
+earlier holders, until none is left or has another earlier holder; what has gone is in no later turn. Aligned seeds go from the later document, and with them the
 lines between two neighbouring ones, if no other seed is between them in either document and those lines are equal.
 
 Every seed is looked up however common it is: the search for the earliest holder is a grouped minimum, and what is
-gathered is gathered by the later document, one entry at most for each of its own lines. There are no caps.
+gathered is gathered by the later document, one entry at most for each of its own lines and turn. Each turn takes a
+seed at least from every document that is in it, so turns are bounded by a document's own seeds. There are no caps.
 
 Defined cases: earlier means a smaller doc_id (null last), then a smaller text digest; rows equal in both are one
 document, so exact repetitions of a row stay as they are. A null text has no lines and stays null. Lines end at
@@ -18,11 +20,12 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,19 +77,38 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
+def aligned(links: list[dict]) -> dict[tuple[int, int], list[dict]]:
+    """Those of a document's links that are in order in both, by partner; each turn is aligned by itself."""
+    groups: dict[tuple[int, int, int], list[dict]] = {}
+    for x in sorted(links, key=lambda x: x["k"]):
+        groups.setdefault((x.get("turn", 0), x["edoc"], x["emark"]), []).append(x)
+    out: dict[tuple[int, int], list[dict]] = {}
+    for (_, doc, mark), own in groups.items():
+        out.setdefault((doc, mark), []).extend(own[i] for i in increasing([x["ek"] for x in own]))
+    return {partner: sorted(own, key=lambda x: x["k"]) for partner, own in out.items()}
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The links (doc, mark, links) that do not align, one a row."""
+    names = ["doc", "mark", "k", "gap", "h1", "h2", "edoc", "emark"]
+    for batch in batches:
+        rows = []
+        for doc, mark, links in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            taken = {x["k"] for own in aligned(links).values() for x in own}
+            rows += [(doc, mark, *(x[n] for n in names[2:])) for x in links if x["k"] not in taken]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(len(names))], names=names)
+
+
 def shorten(text: str, links: list[dict]) -> tuple[str, int, int, int]:
     """The text without its aligned blocks; its lines, those that went, and the partners that had them.
 
-    links: k (which seed of the text), gap, and of the earliest holder: doc, mark, k, gap.
+    links: k (which seed of the text), gap, and of the holder: doc, mark, k, gap; and the turn, 0 if not given.
     """
     lines, at = seeds(text)
-    by_partner: dict[tuple[int, int], list[dict]] = {}
-    for x in sorted(links, key=lambda x: x["k"]):
-        by_partner.setdefault((x["edoc"], x["emark"]), []).append(x)
+    by_partner = aligned(links)
     gone: set[int] = set()
     for own in by_partner.values():
-        aligned = [own[i] for i in increasing([x["ek"] for x in own])]
-        for last, x in zip([None, *aligned], aligned, strict=False):
+        for last, x in zip([None, *own], own, strict=False):
             gone.add(at[x["k"]])
             if last and x["k"] == last["k"] + 1 and x["ek"] == last["ek"] + 1 and x["gap"] == x["egap"]:
                 gone.update(range(at[last["k"]] + 1, at[x["k"]]))
@@ -108,16 +130,50 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 OUT = T.StructType([T.StructField("deduped", T.StringType())] + [T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed_lines", "n_partners")])
 
 
+def _gathered(links: DataFrame, turn: int) -> DataFrame:
+    return links.groupBy("doc", "mark").agg(F.collect_list(F.struct("k", "gap", "edoc", "emark", "ek", "egap", "h1", "h2", F.lit(turn).cast("long").alias("turn"))).alias("links"))
+
+
+def _slim(links: str):
+    return F.transform(links, lambda x: x.dropFields("h1", "h2"))
+
+
+def _next_turns(lines: DataFrame, by_doc: DataFrame, scratch: kit.Scratch) -> DataFrame | None:
+    """(__doc, __mark, more): the links of all turns after the first, None if there are none."""
+    names = "doc long, mark long, k long, gap long, h1 long, h2 long, edoc long, emark long"
+    left = scratch.cut(by_doc.transform(kit.through, _left, names), "left0")
+    following, turns = None, []
+    while not left.isEmpty():
+        if following is None:
+            held = lines.join(left.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").distinct()
+            after = F.lead(F.struct("doc", "mark", "k", "gap")).over(Window.partitionBy("h1", "h2").orderBy("doc", "mark"))
+            held = held.select("h1", "h2", F.col("doc").alias("edoc"), F.col("mark").alias("emark"), after.alias("e")).where("e is not null")
+            following = scratch.cut(held, "following")
+        found = left.join(following, ["h1", "h2", "edoc", "emark"]).where("e.doc < doc or e.doc = doc and e.mark < mark")
+        found = found.select("doc", "mark", "k", "gap", "h1", "h2", F.col("e.doc").alias("edoc"), F.col("e.mark").alias("emark"), F.col("e.k").alias("ek"), F.col("e.gap").alias("egap"))
+        turns.append(scratch.cut(_gathered(found, len(turns) + 1), f"turn{len(turns) + 1}"))
+        left = scratch.cut(turns[-1].transform(kit.through, _left, names), f"left{len(turns)}")
+    if not turns:
+        return None
+    return reduce(DataFrame.union, turns).groupBy("doc", "mark").agg(F.flatten(F.collect_list(_slim("links"))).alias("more")).withColumnsRenamed({"doc": "__doc", "mark": "__mark"})
+
+
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with ``deduped`` (the text that stays), ``n_lines``, ``n_removed_lines`` and ``n_partners``."""
     doc, mark, text = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), F.xxhash64(text_col), F.col(text_col)
     lines = df.where(text.isNotNull()).select(doc.alias("doc"), mark.alias("mark"), text.alias("text")).transform(kit.through, _seed_rows, "doc long, mark long, k long, h1 long, h2 long, gap long")
     holder = lines.groupBy("h1", "h2").agg(F.min(F.struct(F.col("doc").alias("edoc"), F.col("mark").alias("emark"), F.col("k").alias("ek"), F.col("gap").alias("egap"))).alias("e"), F.count("*").alias("c"))
     links = lines.join(holder.where("c > 1").select("h1", "h2", "e.*"), ["h1", "h2"]).where("doc <> edoc or mark <> emark")
-    by_doc = links.distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("k", "gap", "edoc", "emark", "ek", "egap")).alias("links"))
+    scratch = kit.Scratch(df.sparkSession, "line-dedup")
+    by_doc = scratch.cut(_gathered(links.distinct(), 0), "turn0")
+    more = _next_turns(lines, by_doc, scratch)
     rest = [c for c in df.columns if c not in OUT.fieldNames()]
     given = df.select(*rest, doc.alias("__doc"), mark.alias("__mark"), text.alias("__text"))
-    both = given.join(by_doc, (F.col("__doc") == by_doc["doc"]) & (F.col("__mark") == by_doc["mark"]), "left").select(*[given[c] for c in rest], "__text", "links")
+    first = by_doc.select(F.col("doc").alias("__doc"), F.col("mark").alias("__mark"), _slim("links").alias("links"))
+    both = given.join(first, ["__doc", "__mark"], "left")
+    if more is not None:
+        both = both.join(more, ["__doc", "__mark"], "left").withColumn("links", F.when(F.col("more").isNull(), F.col("links")).otherwise(F.concat("links", "more")))
+    both = both.select(*rest, "__text", "links")
     return both.transform(kit.through, _apply, T.StructType([*both.schema.fields[:-2], *OUT.fields]))
 
 

@@ -223,6 +223,42 @@ def test_later_documents_lose_shared_blocks(spark, docs, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def in_turns(rows):
+    """Each seed that stays is held against its next earlier holder, until none is left."""
+    held = {}
+    for i, t in sorted(rows):
+        for k, a in enumerate(line_dedup.seeds(t)[1]):
+            held.setdefault(t.split("\n")[a], []).append((i, k))
+    out = {}
+    for i, t in rows:
+        lines, at = line_dedup.seeds(t)
+        own = {k: [h for h in held[lines[a]] if h[0] < i] for k, a in enumerate(at)}
+        turn = 0
+        while any(own.values()):
+            by = {}
+            for k in sorted(own):
+                if turn < len(own[k]):
+                    by.setdefault(own[k][turn][0], []).append((k, own[k][turn][1]))
+            if not by:
+                break
+            for pairs in by.values():
+                for j in line_dedup.increasing([e for _, e in pairs]):
+                    del own[pairs[j][0]]
+            turn += 1
+        out[i] = "\n".join(lines[at[k]] for k in sorted(own))
+    return out
+
+
+def test_lines_meet_every_earlier_holder(spark):
+    line = lambda k: f"this is a seed line number {k} of many"
+    rows = [(1, "\n".join(map(line, [3, 4, 1, 2]))), (2, "\n".join(map(line, [1, 2]))), (3, "\n".join(map(line, [1, 2, 3, 4])))]
+    assert {r["doc_id"]: r["deduped"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[3] == ""
+    rng = random.Random(8)
+    rows = [(i, "\n".join(line(k) for k in rng.sample(range(14), rng.randrange(3, 10)))) for i in range(30)]
+    found = {r["doc_id"]: r["deduped"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == in_turns(rows)
+
+
 # ---------------------------------------------------------------- 8
 
 def repeats(rows, w=400):
