@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -63,6 +63,19 @@ class Scratch:
         _delete(self.spark, self.root)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until no column of the frames has it, whatever the case."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def digests(text: Column) -> list[Column]:
+    """h1 and h2: two hashes of a text from different seeds, so that texts clash in both about once in 2^128."""
+    return [F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")]
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of the tables that a frame reads; 0 where it knows none. No job is run for it."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
@@ -237,9 +250,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         small = small.union(low.select("u", F.col("m").alias("v"))).distinct()
         k += 1
         then = scratch.cut(small, f"{name}-{k}")
-        same = then.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)).first() == now.agg(
-            F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1000003)
-        ).first()
+        same = then.count() == now.count() and then.join(now, ["u", "v"], "left_anti").isEmpty()
         scratch.drop(f"{name}-{k - 1}")
         now = then
         if same:

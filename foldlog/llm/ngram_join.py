@@ -7,16 +7,21 @@ list gives the same links, so its bound costs time at worst.)
 
 1. Equal texts are one node: the least doc_id of those that hold it.
 2. Nodes with equal size and prefix form a group; groups, not nodes, are listed under the shingles of their prefix.
+   Shingles that have the same groups make one list.
 3. First pass: a list is led by its most central group, the one whose shingles are in the most lists' places; each
    group is paired with the leader of most of its lists, and each member with its group's first. Pairs are verified
    on whole sets and give components. A large group of near copies mostly ends here.
-4. Second pass, for whatever the first did not join: all pairs of nodes of different components under a common
-   shingle are counted; the count of shared prefix shingles bounds the overlap, and pairs within reach are verified.
-   Those of one group, which share the whole prefix, are all verified. No list, bucket or partner count is capped.
-   Pairs inside a component need no look: they change no component.
+4. Rounds, for whatever is apart: a list whose groups lie in several components (and a group whose members do) is
+   dealt out to cells. In a cell, pairs of groups are filtered by size; those that fit are expanded to their members,
+   and members of different components by a bound on the overlap (the parity bitmaps of both sets differ in no more
+   places than the sets). Of what passes, only pairs that would join two components are verified, so a cell names
+   fewer pairs than it has components; a pair that fails is remembered and the next round names more of its rest. The
+   rounds end when no pair is left that could link: every pair with a shared prefix shingle is then linked, in one
+   component by other links, or refuted. No list, bucket or partner count is capped.
 
 Posting lists travel as binary blocks, one per step and shard, with 32-bit shingle keys within a shard; a clash adds
-a candidate and is refuted by the verification, for which the texts travel compressed and sets are made anew.
+a candidate and is refuted by the verification, for which the texts travel compressed and sets are made anew. A list's
+cells hold about CELL_SHINGLES of shingles each, whatever the list's length.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; a text of one to
 four words has one shingle, itself; rows with one doc_id are one document with the links of all of them; a row without
@@ -44,6 +49,10 @@ HOT_LEAST, HOT_MAX = 12, 1_000_000
 SHARD_BYTES = 16 << 20
 #: Messages that one verification task gets for a pivot.
 FAN = 2_000
+#: Shingles of the sets on either side of a cell.
+CELL_SHINGLES = 4_000_000
+#: Each round may name so many times as many partners of a node as the last.
+MORE = 8
 
 
 def need(n):
@@ -68,6 +77,13 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def parity(own: np.ndarray) -> bytes:
+    """A bitmap of two bits a shingle or more (a power of two): which places an odd number of shingles falls in."""
+    size = 1 << max(6, int(2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & kit.U64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
 def _shard(tokens: np.ndarray, shards: int) -> np.ndarray:
     return ((tokens >> kit.U64(32)) * kit.U64(shards) >> kit.U64(32)).astype(np.int64)
 
@@ -117,11 +133,11 @@ def _most_frequent(counted: DataFrame) -> np.ndarray:
 
 
 def _prefixes(data, offsets, ids: np.ndarray, shards: int, hot: np.ndarray):
-    """For each row with shingles: id, size, group and prefix."""
+    """For each row: id, size, group, prefix and parity bitmap."""
     for doc, s in zip(ids.tolist(), sets_of(data, offsets), strict=True):
         n = len(s)
         if not n:
-            yield doc, 0, 0, s
+            yield doc, 0, 0, s, b""
             continue
         k = n - need(n) + 1
         if len(hot):
@@ -132,7 +148,7 @@ def _prefixes(data, offsets, ids: np.ndarray, shards: int, hot: np.ndarray):
         else:
             first = s[:k]
         group = kit.mix(np.array([(kit.mix(first + kit.U64(n))).sum(dtype=kit.U64)], dtype=kit.U64)).view(np.int64)[0]
-        yield doc, n, int(group), first
+        yield doc, n, int(group), first, parity(s)
 
 
 def _signed(shards: int, shared):
@@ -140,8 +156,8 @@ def _signed(shards: int, shared):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in kit.text_steps(batch, 1):
-                rows = [x[:3] for x in _prefixes(data, offsets, ids[lo:hi], shards, shared.value)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=pa.int64()) for i in range(3)], names=["doc", "n", "g"])
+                rows = list(_prefixes(data, offsets, ids[lo:hi], shards, shared.value))
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(3)), kit.binaries([r[4] for r in rows])], names=["doc", "n", "g", "bits"])
 
     return run
 
@@ -151,7 +167,7 @@ def _listed(shards: int, shared):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in kit.text_steps(batch, 1):
-                seen = {g: first for _, n, g, first in _prefixes(data, offsets, ids[lo:hi], shards, shared.value) if n}
+                seen = {g: first for _, n, g, first, _ in _prefixes(data, offsets, ids[lo:hi], shards, shared.value) if n}
                 if seen:
                     tokens = np.concatenate(list(seen.values()))
                     groups = np.repeat(np.fromiter(seen, dtype=np.int64, count=len(seen)), [len(x) for x in seen.values()])
@@ -162,7 +178,11 @@ def _listed(shards: int, shared):
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, group, groups) of the shingles that more than one group has in its prefix, and how many have it."""
+    """(list, g, df, times) of the shingles that more than one group has in its prefix.
+
+    A list is named by a hash of its groups, so shingles with the same groups are one list, met ``times`` times. Two
+    lists that share a name become one with the groups of both, which names more candidates and loses none.
+    """
     tokens, groups = [], []
     for batch in batches:
         for k, t, g in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -182,62 +202,98 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     more[1:] |= same
     more[:-1] |= same
     token, group = token[more], group[more]
-    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
+    if not len(token):
+        return
+    edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
     sizes = np.diff(np.append(edges, len(token)))
-    held = np.repeat(sizes, sizes)
-    for lo in range(0, len(token), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in (token.view(np.int64), group, held)], names=["token", "g", "df"])
-
-
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, doc, n, component), sorted by token: counts of all pairs of different components and fitting sizes."""
-    held: list[list[np.ndarray]] = []
-
-    def out(pairs: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        """Each pair once, with its sizes and how often it was met; the smaller id first."""
-        a, b, na, nb = (np.concatenate([p[i] for p in pairs]) for i in range(4))
-        turn = a > b
-        a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
-        order = np.lexsort((b, a))
-        a, b, na, nb = a[order], b[order], na[order], nb[order]
-        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-        return pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (a, b, na, nb)), pa.array(np.diff(np.append(first, len(a))))], names=["a", "b", "na", "nb", "shared"])
-
-    def whole() -> Iterator[list[np.ndarray]]:
-        """Column blocks that never cut a token's run."""
-        nonlocal held
-        for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if not len(columns[0]):
+    name = kit.mix(np.add.reduceat(kit.mix(group.view(kit.U64)), edges) + sizes.astype(kit.U64))
+    _, first, times = np.unique(name, return_index=True, return_counts=True)
+    pick = np.repeat(edges[first] - np.concatenate([[0], np.cumsum(sizes[first])[:-1]]), sizes[first]) + np.arange(sizes[first].sum())
+    columns = (np.repeat(name[first].view(np.int64), sizes[first]), group[pick], np.repeat(sizes[first], sizes[first]), np.repeat(times, sizes[first]))
+    for lo in range(0, len(pick), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in columns], names=["list", "g", "df", "times"])
+
+
+class Cell:
+    """Some nodes of a list: those that ask (role 1 and 2) are held against those that are held (role 0 and 2)."""
+
+    def __init__(self, rows: list[tuple]):
+        self.role, self.g, self.doc, self.n, self.comp = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3, 4, 5))
+        self.bits = [np.frombuffer(r[6], dtype=np.uint8) for r in rows]
+        self.refuted = [r[7] or () for r in rows]
+        self.any_refuted = any(len(x) for x in self.refuted)
+        self.place: dict[int, list[int]] = {}
+        for i, d in enumerate(self.doc.tolist()):
+            self.place.setdefault(d, []).append(i)
+        held = np.flatnonzero(self.role != 1)
+        size = np.array([len(b) for b in self.bits])
+        #: held nodes by the size of their bitmaps
+        self.held = {int(s): held[size[held] == s] for s in np.unique(size[held])}
+        self.matrix = {s: np.stack([self.bits[i] for i in at.tolist()]) for s, at in self.held.items()}
+
+    def partners(self, i: int, root: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Held nodes that node i may link with and is not joined to, and how far apart they are at least."""
+        own, at, far = self.bits[i], [], []
+        for size in (len(own) // 2, len(own), 2 * len(own)):
+            held = self.held.get(size)
+            if held is None:
                 continue
-            cut = int(np.searchsorted(columns[0], columns[0][-1]))
-            if cut:
-                held.append([c[:cut] for c in columns])
-                yield [np.concatenate(x) for x in zip(*held, strict=True)]
-                held = []
-            held.append([c[cut:] for c in columns])
-        if held:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-    pairs, size = [], 0
-    for token, doc, n, comp in whole():
-        edges = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            own = slice(lo, hi)
-            if hi - lo < 2 or (comp[own] == comp[lo]).all():
+            # groups first: all members of a group have its size
+            groups, back = np.unique(self.n[held], return_inverse=True)
+            fits = 4 * np.minimum(groups, self.n[i]) >= 3 * np.maximum(groups, self.n[i])
+            pick = np.flatnonzero(fits[back] & (root[self.comp[held]] != root[self.comp[i]]))
+            if not len(pick):
                 continue
-            d, m, c = doc[own], n[own], comp[own]
-            for i in range(hi - lo - 1):
-                fits = (c[i + 1 :] != c[i]) & (4 * np.minimum(m[i + 1 :], m[i]) >= 3 * np.maximum(m[i + 1 :], m[i]))
-                if fits.any():
-                    others = d[i + 1 :][fits]
-                    pairs.append((np.full(len(others), d[i]), others, np.full(len(others), m[i]), m[i + 1 :][fits]))
-                    size += len(others)
-                    if size >= 1_000_000:
-                        yield out(pairs)
-                        pairs, size = [], 0
-    if pairs:
-        yield out(pairs)
+            theirs = self.matrix[size][pick]
+            mine = own.reshape(-1, min(size, len(own)))
+            theirs = theirs.reshape(len(pick), -1, min(size, len(own)))
+            apart = np.bitwise_count(np.bitwise_xor.reduce(theirs, axis=1) ^ np.bitwise_xor.reduce(mine, axis=0)).sum(axis=1, dtype=np.int64)
+            near = 7 * apart <= self.n[held[pick]] + self.n[i]
+            at.append(held[pick[near]])
+            far.append(apart[near] / (self.n[held[pick[near]]] + self.n[i]))
+        if not at:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
+        found, far = np.concatenate(at), np.concatenate(far)
+        if not self.any_refuted:
+            return found, far
+        known = {p for d in self.refuted[i] for p in self.place.get(d, ())}
+        ok = np.array([j not in known for j in found.tolist()], dtype=bool)
+        return found[ok], far[ok]
+
+    def pairs(self, quota: int) -> list[tuple[int, int]]:
+        """Pairs to verify: for each asking node its nearest partners in other components, joined as if they linked."""
+        names, self.comp = np.unique(self.comp, return_inverse=True)
+        root = np.arange(len(names))
+        out = []
+        for i in np.flatnonzero(self.role != 0).tolist():
+            found, far = self.partners(i, root)
+            for j in found[np.lexsort((self.doc[found], far))][:quota].tolist():
+                a, b = root[self.comp[i]], root[self.comp[j]]
+                if a != b or quota > 1:
+                    out.append((int(self.doc[i]), int(self.doc[j])))
+                root[root == b] = a
+        return out
+
+
+def _celled(quota: int):
+    """Rows (cell, role, g, doc, n, component, bits, refuted), sorted by cell, to the pairs that a round verifies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(rows: list[tuple]) -> pa.RecordBatch:
+            found = Cell(rows).pairs(quota)
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield judged(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield judged(held)
+
+    return run
 
 
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,50 +369,84 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role").transform(kit.through, _verified, "a long, b long")
 
 
+def _cells(lists: DataFrame, placed: DataFrame, refuted: DataFrame | None) -> DataFrame:
+    """The rows of all cells of lists that hold several components. lists: list, g; placed: g, doc, n, bits, component."""
+    spans = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("nodes"))
+    own = spans.where("nodes > 1 and x < y").select(F.col("g").alias("list"), "g")
+    torn = lists.join(spans, "g").groupBy("list").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("list")
+    wanted = lists.join(torn, "list").select("list", "g").union(own)
+    mass = wanted.join(placed.groupBy("g", "component").agg(F.sum("n").alias("m")), "g").groupBy("list", "component").agg(F.sum("m").alias("m"))
+    # the component that most of a list is in asks nothing
+    whole = mass.groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
+    cells = lambda m: F.ceil(m / CELL_SHINGLES).cast("int")
+    whole = whole.select("list", F.col("top.component").alias("main"), cells(F.col("all")).alias("k"), F.greatest(cells(F.col("all") - F.col("top.m")), F.lit(1)).alias("b"))
+    given = placed if refuted is None else placed.join(refuted, "doc", "left")
+    given = given.select("g", "doc", "n", "bits", "component", F.lit(None).cast("array<long>").alias("refuted") if refuted is None else "refuted")
+    rows = wanted.join(whole, "list").join(given, "g")
+    block, chunk = F.pmod(F.xxhash64(F.lit(1), "doc"), F.col("b")).cast("int"), F.pmod(F.xxhash64(F.lit(2), "doc"), F.col("k")).cast("int")
+    at = lambda b, k, role: F.struct(b.alias("b"), k.alias("k"), F.lit(role).alias("role"))
+    held = F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda b: at(b, chunk, 0))
+    asks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda k: at(block, k, 1))
+    both = F.when(F.col("component") == F.col("main"), held).when((F.col("b") == 1) & (F.col("k") == 1), F.array(at(F.lit(0), F.lit(0), 2))).otherwise(F.concat(held, asks))
+    rows = rows.select("list", "g", "doc", "n", "component", "bits", "refuted", F.explode(both).alias("at"))
+    return rows.select(F.xxhash64("list", "at.b", "at.k").alias("cell"), F.col("at.role").alias("role"), "g", "doc", "n", "component", "bits", "refuted")
+
+
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, n, component) for each row of df."""
     spark = df.sparkSession
     scratch = kit.Scratch(spark, "ngram-join")
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.select("doc", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    keyed = rows.select("doc", *kit.digests(F.col("text")))
     copies = scratch.cut(keyed.where("doc is not null").groupBy("h1", "h2").agg(F.min("doc").alias("node")), "copies")
     texts = scratch.cut(rows.join(copies.select("node").distinct(), F.col("doc") == F.col("node"), "left_semi"), "texts")
 
     shards = kit.parts_for(df, SHARD_BYTES)
     counted = texts.transform(kit.through, _counted(shards), "shard int, tokens binary").repartition(shards, "shard").transform(kit.through, _frequent, "token long, n long")
     hot = _most_frequent(scratch.cut(counted, "counted"))
+    scratch.drop("counted")
     shared = spark.sparkContext.broadcast(hot)
 
-    nodes = scratch.cut(texts.transform(kit.through, _signed(shards, shared), "doc long, n long, g long"), "nodes")
+    nodes = scratch.cut(texts.transform(kit.through, _signed(shards, shared), "doc long, n long, g long, bits binary"), "nodes")
     lists = texts.transform(kit.through, _listed(shards, shared), "shard int, tokens binary, groups binary").repartition(shards, "shard")
-    live = scratch.cut(lists.transform(kit.through, _live, "token long, g long, df long"), "live")
+    live = lists.transform(kit.through, _live, "list long, g long, df long, times long").groupBy("list", "g").agg(F.max("df").alias("df"), F.sum("times").alias("times"))
+    live = scratch.cut(live, "live")
 
     # first pass: one leader for each group, the group's first member for each member
     members = nodes.where("n > 0")
     firsts = members.groupBy("g").agg(F.min("doc").alias("first"))
-    central = live.groupBy("g").agg(F.sum("df").alias("score"))
-    scored = live.select("token", "g").join(central, "g")
-    led = scored.join(scored.groupBy("token").agg(F.max(F.struct("score", "g")).alias("top")), "token").select("g", F.col("top.g").alias("lead")).where("g <> lead").groupBy("g", "lead").count()
+    central = live.groupBy("g").agg(F.sum(F.col("df") * F.col("times")).alias("score"))
+    scored = live.select("list", "g", "times").join(central, "g")
+    led = scored.join(scored.groupBy("list").agg(F.max(F.struct("score", "g")).alias("top")), "list").select("g", "times", F.col("top.g").alias("lead")).where("g <> lead").groupBy("g", "lead").agg(F.sum("times").alias("count"))
     led = led.groupBy("g").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     outer = led.join(firsts, "g").select("lead", F.col("first").alias("b")).join(firsts.withColumnRenamed("g", "lead"), "lead").select(F.col("first").alias("a"), "b")
     inner = members.join(firsts, "g").where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    edges = scratch.cut(verify(scratch.cut(outer.union(inner), "pairs"), texts), "edges")
-    joined = kit.components(edges, scratch, "cc1")
-
-    # second pass: whatever shares a shingle across components
-    placed = members.join(joined, members.doc == joined.id, "left").select("g", "doc", "n", F.coalesce("component", "doc").alias("component"))
-    rows2 = scratch.cut(live.join(placed, "g").select("token", "doc", "n", "component"), "placed")
-    torn = rows2.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("token")
-    crossing = rows2.join(torn, "token").repartition(shards, "token").sortWithinPartitions("token").transform(kit.through, _crossing, "a long, b long, na long, nb long, shared long")
-    pairs = crossing.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    # at most shared + ceil(0.75 n) - 1 can be common; two more for shingles of a prefix that share a 32-bit key
-    within = F.expr("7 * (shared + greatest(ceil(0.75D * na), ceil(0.75D * nb)) + 1) >= 3 * (na + nb)")
-    # members of one group share their whole prefix, which need not be in any other group's: always within reach
-    split = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("g")
-    apart = placed.join(split, "g").select(F.col("g").alias("token"), "doc", "n", "component").repartition(shards, "token").sortWithinPartitions("token").transform(kit.through, _crossing, "a long, b long, na long, nb long, shared long")
-    late = scratch.cut(verify(scratch.cut(pairs.where(within).select("a", "b").union(apart.select("a", "b")).distinct(), "pairs2"), texts), "late")
-    found = kit.components(edges.union(late), scratch, "cc2")
-    scratch.drop("texts", "live", "placed")
+    edges = verify(scratch.cut(outer.union(inner), "pairs"), texts)
+    found = scratch.cut(kit.components(edges, scratch, "cc0"), "found0")
+    scratch.drop("pairs")
+
+    k, seen, refuted = 0, None, None
+    while True:
+        placed = members.join(found, members.doc == found.id, "left").select("g", "doc", "n", "bits", F.coalesce("component", "doc").alias("component"))
+        placed = scratch.cut(placed, f"placed{k}")
+        cells = _cells(live.select("list", "g"), placed, refuted)
+        named = cells.repartition(kit.parts_for(df, 4 * SHARD_BYTES), "cell").sortWithinPartitions("cell").transform(kit.through, _celled(MORE**k), "a long, b long")
+        pairs = scratch.cut(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs{k}")
+        if pairs.isEmpty():
+            break
+        late = scratch.cut(verify(pairs, texts), f"late{k}")
+        failed = pairs.join(late, ["a", "b"], "left_anti")
+        failed = failed.union(failed.select("b", "a"))
+        seen = scratch.cut(failed if seen is None else seen.union(failed), f"refuted{k}")
+        refuted = seen.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("refuted"))
+        # links between components join their names
+        name = placed.select("doc", "component")
+        between = late.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        joined = kit.components(between, scratch, f"cc{k + 1}").select(F.col("id").alias("component"), F.col("component").alias("to"))
+        found = scratch.cut(name.join(joined, "component", "left").select(F.col("doc").alias("id"), F.coalesce("to", "component").alias("component")), f"found{k + 1}")
+        scratch.drop(f"placed{k}", f"pairs{k}", f"late{k}")
+        k += 1
+    scratch.drop("texts", "live", f"placed{k}", f"pairs{k}")
 
     whole = nodes.groupBy("doc").agg(F.max("n").alias("n")).join(found, F.col("doc") == F.col("id"), "left").select(F.col("doc").alias("node"), "n", F.coalesce("component", "doc").alias("component"))
     named = keyed.join(copies, ["h1", "h2"], "left").join(whole, "node", "left")
@@ -369,6 +459,19 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: the one whose doc_id names it."""
-    found = link(docs).where("doc <> component").select(F.col("doc").alias("doc_id")).distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each component stays, the one with the least doc_id (null last); rows without shingles all stay.
+
+    Where doc_ids repeat or are null, rows are told apart by a number of their own, so that of repeated rows one stays.
+    """
+    counts = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    if counts.n == counts.ids:
+        found = link(docs).where("doc <> component").select(F.col("doc").alias("doc_id"))
+        return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    scratch = kit.Scratch(spark, "ngram-join-rows")
+    mark = kit.unused("row", docs)
+    rows = scratch.cut(docs.withColumn(mark, F.monotonically_increasing_id()), "rows")
+    linked = link(rows.select(F.col(mark).alias("doc_id"), "text")).where("n > 0")
+    named = rows.select(F.col(mark).alias("row"), F.col("doc_id").alias("id")).join(linked, F.col("row") == F.col("doc"))
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), F.col("id"), F.col("row"))).alias("best")).select(F.col("best.row").alias("row"))
+    gone = named.select("row").join(best, "row", "left_anti").withColumnRenamed("row", mark)
+    return rows.join(gone, mark, "left_anti").select(*docs.columns)

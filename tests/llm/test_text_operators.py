@@ -78,6 +78,7 @@ def test_jaccard_components(docs, monkeypatch):
     assert {r["doc"]: (r["n"], r["component"]) for r in ngram_join.link(docs).collect()} == wanted
     # with every shingle that stands twice put last
     monkeypatch.setattr(ngram_join, "HOT_LEAST", 2)
+    monkeypatch.setattr(ngram_join, "CELL_SHINGLES", 40)
     assert {r["doc"]: (r["n"], r["component"]) for r in ngram_join.link(docs).collect()} == wanted
 
 
@@ -90,6 +91,39 @@ def test_members_of_a_group_link_without_its_first(spark):
     assert found == links(rows)
 
 
+def test_members_link_although_their_group_s_first_is_apart(spark):
+    p = [f"p373x{k}" for k in range(7)]
+    a, b, c = [f"a373x{k}" for k in range(5)], [f"b373x{k}" for k in range(5)], "c373"
+    rows = [(1, " ".join(p + a)), (2, " ".join(p + b)), (3, " ".join([*p, *b[:4], c]))]
+    found = {r["doc"]: (r["n"], r["component"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == links(rows) and found[2][1] == found[3][1] == 2
+
+
+@pytest.mark.parametrize("cell", [25, 4_000_000])
+def test_near_copies_of_short_texts(spark, monkeypatch, cell):
+    monkeypatch.setattr(ngram_join, "CELL_SHINGLES", cell)
+    rng = random.Random(21)
+    rows = []
+    for family in range(12):
+        base = [f"f{family}w{k}" for k in range(rng.choice([8, 13, 30, 45]))]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice([f"f{family}z{k}" for k in range(3)])
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(3)])))
+    found = {r["doc"]: (r["n"], r["component"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == links(rows)
+
+
+def test_one_row_of_each_component_stays(spark, none):
+    base = "a b c d e f g h i j k l m n o p"
+    rows = [(None, base), (None, base), (7, base + " q"), (7, base + " q"), (3, "other words stand here alone today"), (None, "words that nobody else has at all"), (4, None), (5, "")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("component", F.lit("x"))
+    kept = sorted(((r["doc_id"], r["text"]) for r in ngram_join.stage(spark, given, "").collect()), key=repr)
+    assert kept == sorted([(7, base + " q"), (3, rows[4][1]), (None, rows[5][1]), (4, None), (5, "")], key=repr)
+    assert ngram_join.stage(spark, given, "").columns == given.columns and ngram_join.stage(spark, none, "").count() == 0
+
+
 def test_jaccard_of_nothing_and_of_null_ids(spark, none):
     assert ngram_join.link(none).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
