@@ -112,6 +112,17 @@ def claims(keyed: list[tuple[int, list[str]]]) -> set[int]:
     return lost
 
 
+def lost_claims(keyed: DataFrame) -> DataFrame:
+    """position of the losers where events claim several keys each. keyed: batch, position, keys; a batch at a time."""
+
+    def losers(rows):
+        import pandas as pd
+
+        return pd.DataFrame({"position": sorted(claims([(int(p), list(k)) for p, k in zip(rows["position"], rows["keys"], strict=True)]))}, dtype="int64")
+
+    return keyed.groupBy("batch").applyInPandas(losers, "position bigint")
+
+
 def wipeouts(batch_outcomes: DataFrame, *by: str, order: str = "batch") -> DataFrame:
     """Per batch whether all of it failed on integrity, how many such batches end there in a row, and whether that halts.
 

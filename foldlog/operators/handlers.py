@@ -113,16 +113,17 @@ def to_result(value: Any) -> dict:
 def attempt(handle: Callable, event: model.Event, meta: dict, attempts: int, backoff: list[int], note: Callable[[str, dict], None] | None = None) -> dict:
     """Call a handler until it succeeds or attempts run out. Exceptions become results; exits are not caught."""
     found: dict = {}
+    watch = dict(meta)
     for k in range(attempts):
         try:
             if note:
-                note("event.start", meta)
+                note("event.start", watch)
             found = to_result(handle(event, meta))
             if note:
-                note("event.stop", meta)
+                note("event.stop", watch)
         except Exception as e:
             if note:
-                note("event.exception", meta | {"reason": e})
+                note("event.exception", watch)
             found = {"kind": "exception", "steps": [], "reason": str(e), "error": f"{type(e).__module__}.{type(e).__qualname__}", "stacktrace": traceback.format_exc()}
         if found["kind"] not in model.FAILURE or k == attempts - 1:
             break
@@ -135,12 +136,36 @@ class Function:
 
     def __init__(self, handle: Callable[[model.Event, dict], Any], parallelism: int | None = None):
         self.handle, self.parallelism = handle, parallelism
+        self._notes: dict[str, list] = {}
+
+    def noted(self) -> dict[str, tuple[int, float]]:
+        """Since the last call: how often an event was begun, ended or raised on the executors, and seconds spent.
+
+        Sums of accumulators, so a task that ran twice counts twice.
+        """
+        found = {}
+        for name, (count, seconds, seen) in self._notes.items():
+            now = (count.value, seconds.value)
+            found[name] = (now[0] - seen[0], now[1] - seen[1])
+            seen[:] = now
+        return {name: x for name, x in found.items() if x[0]}
 
     def apply(self, events: DataFrame, retry: tuple[int, list[int]] = (1, [])) -> DataFrame:
         from pyspark.sql import types as T
 
         handle, (attempts, backoff) = self.handle, retry
         names = events.columns
+        if not self._notes:
+            sc = events.sparkSession.sparkContext
+            self._notes = {name: (sc.accumulator(0), sc.accumulator(0.0), [0, 0.0]) for name in ("event.start", "event.stop", "event.exception")}
+        tallies = {name: (x[0], x[1]) for name, x in self._notes.items()}
+
+        def note(name: str, meta: dict) -> None:
+            tallies[name][0].add(1)
+            if name == "event.start":
+                meta["__began"] = time.time()
+            else:
+                tallies[name][1].add(time.time() - meta.pop("__began", time.time()))
 
         def run(frames: Iterator) -> Iterator:
             import pyarrow as pa
@@ -151,7 +176,7 @@ class Function:
                 for r in rows:
                     meta = {k: r[k] for k in ("id", "stream_id", "position", "type", "occurred_at")} | {"metadata": dict(r["metadata"] or {})}
                     data = json.loads(r["data"]) if r["data"] else None
-                    out.append(attempt(handle, model.Event(r["id"], r["stream_id"], r["type"], data, r["position"], r["occurred_at"], dict(r["metadata"] or {})), meta, attempts, backoff))
+                    out.append(attempt(handle, model.Event(r["id"], r["stream_id"], r["type"], data, r["position"], r["occurred_at"], dict(r["metadata"] or {})), meta, attempts, backoff, note))
                 for o in out:
                     for s in o["steps"]:
                         for k in ("key", "set", "inc"):

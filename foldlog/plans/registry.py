@@ -11,7 +11,7 @@ from foldlog import model
 from foldlog.functions import scalars
 from foldlog.operators import events as ops
 from foldlog.operators import folds, handlers, inspection
-from foldlog.sources.logs import event_table
+from foldlog.sources.logs import event_table, mapped
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -24,8 +24,8 @@ LOG = """log AS (SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR
 NAME = "accounts"
 ACCOUNTS = model.Table("accounts", "user string, balance bigint, last_seen bigint", ("user",), ("balance",))
 NOW = "2030-01-01 00:00:00"
-#: Positions at which replays and redeliveries in the queries begin and end.
-EARLY, MIDDLE, LATE = 3000, 5000, 6000
+#: Where replays and redeliveries in the queries begin and end: shares of the whole log, which grow with it.
+EARLY, MIDDLE, LATE = (f"(SELECT max(position) * {tenths} // 10 FROM log)" for tenths in (3, 5, 6))
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -52,6 +52,11 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_table(spark, sf_dir)
 
 
+def reached(events: DataFrame, tenths: int) -> int:
+    """The position that so many tenths of the log end at."""
+    return (events.agg(F.max("position")).first()[0] or 0) * tenths // 10
+
+
 def cents() -> F.Column:
     return F.round(F.get_json_object("data", "$.value").cast("double") * 100).cast("bigint")
 
@@ -95,7 +100,8 @@ def event_envelope(spark, sf_dir):
 
 @query("start_from_filter", f"SELECT id, position FROM log WHERE position > {MIDDLE}")
 def start_from_filter(spark, sf_dir):
-    return ops.start_from(log(spark, sf_dir), MIDDLE).select("id", "position")
+    all_ = log(spark, sf_dir)
+    return ops.start_from(all_, reached(all_, 5)).select("id", "position")
 
 
 @query("start_from_current", "SELECT id, position FROM log WHERE position > (SELECT max(position) FROM log)")
@@ -150,14 +156,15 @@ def partition_assignment(spark, sf_dir):
   (SELECT stream_id, max(position) AS c FROM log WHERE position <= {LATE} GROUP BY stream_id) USING (stream_id) WHERE position > {EARLY}""")
 def dedup_redelivery(spark, sf_dir):
     all_ = log(spark, sf_dir)
-    return ops.dedup(all_.where(F.col("position") > EARLY), cursors(all_.where(F.col("position") <= LATE))).select("id", "stream_id", "position", "repeated")
+    early, late = reached(all_, 3), reached(all_, 6)
+    return ops.dedup(all_.where(F.col("position") > early), cursors(all_.where(F.col("position") <= late))).select("id", "stream_id", "position", "repeated")
 
 
 @query("skip_accounting", f"""SELECT CASE WHEN position <= {LATE} AND position <= c THEN 'dedup' ELSE 'handler' END AS reason, count(*) AS n FROM log LEFT JOIN
   (SELECT stream_id, max(position) AS c FROM log WHERE position <= {LATE} GROUP BY stream_id) USING (stream_id) WHERE (position <= coalesce(c, 0)) OR type = 'view' GROUP BY 1""")
 def skip_accounting(spark, sf_dir):
     all_ = log(spark, sf_dir)
-    found = account_rules().apply(ops.dedup(all_, cursors(all_.where(F.col("position") <= LATE)))).withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))
+    found = account_rules().apply(ops.dedup(all_, cursors(all_.where(F.col("position") <= reached(all_, 6))))).withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))
     reason = F.when(F.col("outcome") == "deduped", "dedup").when(F.col("outcome") == "skipped", "handler")
     return found.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
 
@@ -167,11 +174,11 @@ def stream_advances_by_batch(spark, sf_dir):
     return ops.advances(handled(spark, sf_dir), "batch")
 
 
-@query("cursor_greatest_merge", f"SELECT stream_id, max(position) AS position FROM log WHERE position <= {LATE} GROUP BY stream_id")
+@query("cursor_greatest_merge", "SELECT stream_id, max(position) AS position FROM log GROUP BY stream_id")
 def cursor_greatest_merge(spark, sf_dir):
-    """Old cursors meet a replay that ends before them: none moves back."""
+    """The cursors of the whole log meet a replay of a part that ends before them: none moves back."""
     all_ = log(spark, sf_dir)
-    return ops.merge_cursors(cursors(all_.where(F.col("position") <= LATE)), cursors(all_.where(F.col("position").between(EARLY, MIDDLE))))
+    return ops.merge_cursors(cursors(all_), cursors(all_.where(F.col("position").between(reached(all_, 3), reached(all_, 5)))))
 
 
 @query("stream_order_violations", """SELECT stream_id, count(*) AS n FROM (SELECT stream_id, position, max(position) OVER (PARTITION BY stream_id ORDER BY md5(id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM log)
@@ -269,19 +276,25 @@ def conservation(spark, sf_dir):
     return inspection.conservation(handled(spark, sf_dir))
 
 
-def _run(spark: SparkSession, sf_dir: str):
-    """The account rules through the whole engine: one bounded batch into atomic epochs."""
+def _declared(spark: SparkSession, table: model.Table, rules: handlers.Rules, source=None):
+    """A target in a folder of its own, and a projection into it."""
     import tempfile
     import uuid
 
     from foldlog import config
     from foldlog.sources.logs import MemoryLog
-    from foldlog.streaming.runtime import run_bounded
     from foldlog.targets.epoch import EpochTarget
 
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldlog-")
-    target = EpochTarget(f"{root.rstrip('/')}/projection-{uuid.uuid4().hex}", [ACCOUNTS])
-    projection = config.declare(name=NAME, source=MemoryLog([]), target=target, handler=account_rules(), parallelism=8)
+    target = EpochTarget(f"{root.rstrip('/')}/projection-{uuid.uuid4().hex}", [table])
+    return target, config.declare(name=NAME, source=source or MemoryLog([]), target=target, handler=rules, parallelism=8)
+
+
+def _run(spark: SparkSession, sf_dir: str, table: model.Table = ACCOUNTS, rules: handlers.Rules | None = None):
+    """Rules through the whole engine: bounded passes into atomic epochs."""
+    from foldlog.streaming.runtime import run_bounded
+
+    target, projection = _declared(spark, table, rules or account_rules())
     run_bounded(spark, projection, log(spark, sf_dir))
     return target
 
@@ -303,6 +316,58 @@ def projection_cursors(spark, sf_dir):
     return _run(spark, sf_dir).table(spark, "positions").select("stream_id", "position")
 
 
+TICKETS = model.Table("tickets", "id string, user string, state string, paid bigint", ("id",))
+_OPENED = ", opened AS (SELECT id, stream_id AS user, position FROM log WHERE type = 'signup')"
+
+
+def _tickets(spark: SparkSession, sf_dir: str, rules: handlers.Rules):
+    """A ticket for each signup; other events reach a user's tickets by a filter on the user."""
+    rules = rules.insert("signup", "tickets", {"id": F.col("id"), "user": F.col("stream_id"), "state": F.lit("open")})
+    for kind in ("view", "click", "error", "purchase"):
+        rules = rules.skip(kind)
+    return _run(spark, sf_dir, TICKETS, rules).table(spark, "tickets")
+
+
+@query("rm_update_by_filter", f"""{_OPENED}
+  SELECT o.id, o.user, CASE WHEN max(l.position) IS NULL THEN 'open' ELSE 'paid' END AS state, max(l.position) AS paid FROM opened o LEFT JOIN log l ON l.stream_id = o.user AND l.type = 'purchase' AND l.position > o.position
+  GROUP BY o.id, o.user""")
+def rm_update_by_filter(spark, sf_dir):
+    """A purchase marks all tickets that its user has open by then or has paid before."""
+    return _tickets(spark, sf_dir, handlers.Rules().update("purchase", "tickets", {"user": F.col("stream_id")}, {"state": F.lit("paid"), "paid": F.col("position")}))
+
+
+@query("rm_delete_by_filter", f"""{_OPENED}
+  SELECT id, "user", 'open' AS state, NULL::BIGINT AS paid FROM opened o WHERE NOT EXISTS (SELECT 1 FROM log l WHERE l.stream_id = o.user AND l.type = 'error' AND l.position > o.position)""")
+def rm_delete_by_filter(spark, sf_dir):
+    """An error deletes all tickets that its user has by then."""
+    return _tickets(spark, sf_dir, handlers.Rules().delete("error", "tickets", {"user": F.col("stream_id")}))
+
+
+@query("projection_bounded_then_stream", "SELECT stream_id AS user, CAST(sum(cents) FILTER (type = 'purchase') AS BIGINT) AS balance, CAST(NULL AS BIGINT) AS last_seen FROM log GROUP BY stream_id HAVING count(*) FILTER (type = 'purchase') > 0")
+def projection_bounded_then_stream(spark, sf_dir):
+    """Three tenths of the log in a bounded run, then all of it as a stream on the same target."""
+    from foldlog.sources.logs import Source
+    from foldlog.streaming.runtime import Engine, run_bounded
+
+    class Log(Source):
+        def batch(self, spark, after="origin"):
+            return ops.start_from(log(spark, sf_dir), after)
+
+        def stream(self, spark, after="origin"):
+            rows = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", "true").parquet(sf_dir)
+            return ops.start_from(mapped(rows), after)
+
+    rules = handlers.Rules().inc("purchase", "accounts", {"user": F.col("stream_id")}, {"balance": cents()}, name=F.col("id")).otherwise(handlers.result("skip"))
+    target, projection = _declared(spark, ACCOUNTS, rules, Log())
+    all_ = log(spark, sf_dir)
+    run_bounded(spark, projection, all_.where(F.col("position") <= reached(all_, 3)))
+    engine = Engine(spark, f"{target.root}-checkpoints", {"availableNow": True})
+    running = engine.start(projection)
+    running.query.awaitTermination()
+    engine.stop(projection)
+    return target.table(spark, "accounts")
+
+
 # ---------------------------------------------------------------- dead letters, progress, inspection
 
 @query("dead_letter_rows", "SELECT position, stream_id, type AS event_type, 'error' AS error_kind, 'refused ' || id AS error_message, json_extract_string(props, '$.k') AS k FROM log WHERE outcome = 'failed'")
@@ -338,17 +403,17 @@ def safe_position(spark, sf_dir):
     return inspection.safe_position(cursors(log(spark, sf_dir)))
 
 
-@query("cursor_preload", "SELECT stream_id, max(position) AS position FROM log GROUP BY stream_id ORDER BY stream_id LIMIT 100")
+@query("cursor_preload", "SELECT stream_id, max(position) AS position FROM log GROUP BY stream_id ORDER BY stream_id LIMIT 10000")
 def cursor_preload(spark, sf_dir):
-    return inspection.preload(cursors(log(spark, sf_dir)), 100)
+    return inspection.preload(cursors(log(spark, sf_dir)))
 
 
-@query("watermark_merge", f"""SELECT type, max(position) AS position, max_by(epoch_us(occurred_at), position) AS occurred_us FROM log WHERE position <= {LATE} GROUP BY type""")
+@query("watermark_merge", "SELECT type, max(position) AS position, max_by(epoch_us(occurred_at), position) AS occurred_us FROM log GROUP BY type")
 def watermark_merge(spark, sf_dir):
-    """Progress by event type: what is stored stands at LATE, what comes in at MIDDLE."""
+    """Progress by event type: what is stored stands at the log's end, what comes in halfway."""
     all_ = log(spark, sf_dir)
-    at = lambda top: all_.where(F.col("position") <= top).groupBy("type").agg(F.max("position").alias("position"), F.max_by("occurred_at", "position").alias("occurred_at"))
-    return ops.merge_progress(at(LATE), at(MIDDLE), "type").select("type", "position", F.unix_micros("occurred_at").alias("occurred_us"))
+    at = lambda events: events.groupBy("type").agg(F.max("position").alias("position"), F.max_by("occurred_at", "position").alias("occurred_at"))
+    return ops.merge_progress(at(all_), at(all_.where(F.col("position") <= reached(all_, 5))), "type").select("type", "position", F.unix_micros("occurred_at").alias("occurred_us"))
 
 
 @query("lag_ms", f"SELECT stream_id, CAST(greatest(0, floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(max(occurred_at))) / 1000)) AS BIGINT) AS lag_ms FROM log GROUP BY stream_id")
@@ -357,10 +422,10 @@ def lag_ms(spark, sf_dir):
     return newest.select("stream_id", scalars.lag_ms(F.col("at"), F.lit(NOW).cast("timestamp")).alias("lag_ms"))
 
 
-@query("version_isolation", f"SELECT 2::INTEGER AS version, stream_id, max(position) AS position FROM log WHERE position <= {EARLY} GROUP BY stream_id")
+@query("version_isolation", "SELECT 2::INTEGER AS version, stream_id, max(position) AS position FROM log GROUP BY stream_id")
 def version_isolation(spark, sf_dir):
     all_ = log(spark, sf_dir)
-    both = named(cursors(all_)).unionByName(named(cursors(all_.where(F.col("position") <= EARLY)), 2))
+    both = named(cursors(all_.where(F.col("position") <= reached(all_, 3)))).unionByName(named(cursors(all_), 2))
     return inspection.of(both, NAME, 2).select(F.col("projection_version").alias("version"), "stream_id", "position")
 
 

@@ -20,25 +20,31 @@ class Source(ABC):
     @abstractmethod
     def stream(self, spark: SparkSession, after: int | str = "origin") -> DataFrame: ...
 
+    def first(self, spark: SparkSession) -> int | str:
+        """Where a projection starts that was never started before: ``origin`` or a position; decided once."""
+        start = getattr(self, "start", "origin")
+        return (self.batch(spark, "origin").agg(F.max("position")).first()[0] or 0) if start == "current" else start
+
 
 class ParquetLog(Source):
     """A log in Parquet files, mapped to envelopes by columns.
 
-    start_from holds for the first start only; afterwards a stream's checkpoint decides. The filter on position is
-    pushed into the scan. max_files bounds what one micro-batch takes up.
+    start_from holds for the first start only: the engine notes beside the checkpoint what it came to, and neither a
+    resume nor a changed option moves it. The filter on position is pushed into the scan. max_files bounds what one
+    micro-batch takes up; buffer_size how many of its events are in flight, that is, handled and committed at once.
     """
 
-    def __init__(self, path: str, schema: str | None = None, *, start_from: int | str = "origin", max_files: int | None = None, **columns: Column):
-        self.path, self.schema, self.start, self.max_files, self.columns = path, schema, start_from, max_files, columns
+    def __init__(self, path: str, schema: str | None = None, *, start_from: int | str = "origin", max_files: int | None = None, buffer_size: int | None = None, **columns: Column):
+        if buffer_size is not None and (not isinstance(buffer_size, int) or isinstance(buffer_size, bool) or buffer_size < 1):
+            raise ValueError("buffer_size has to be a positive integer")
+        self.path, self.schema, self.start, self.max_files, self.buffer_size, self.columns = path, schema, start_from, max_files, buffer_size, columns
 
     def batch(self, spark, after=None):
         rows = spark.read.parquet(self.path) if self.schema is None else spark.read.schema(self.schema).parquet(self.path)
         return events.start_from(self._mapped(rows), self.start if after is None else after)
 
     def stream(self, spark, after=None):
-        after = self.start if after is None else after
-        if after == "current":
-            after = self.batch(spark, "origin").agg(F.max("position")).first()[0] or 0
+        after = self.first(spark) if after is None else after
         reader = spark.readStream.schema(self.schema or spark.read.parquet(self.path).schema)
         if self.max_files:
             reader = reader.option("maxFilesPerTrigger", self.max_files)
@@ -81,7 +87,10 @@ class MemoryLog(Source):
 
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The driver's events as envelopes. Their ids start at 0, and position 0 stands for nothing applied: so plus one."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return mapped(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def mapped(rows: DataFrame) -> DataFrame:
     return events.envelope(
         rows, id=F.col("event_id"), stream_id=F.col("user_id"), type=F.col("event_type"), position=F.col("event_id") + 1, occurred_at=F.col("ts"),
         data=F.to_json(F.struct("value", "props")), metadata=F.from_json("props", "map<string,string>"),

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import threading
 import time
 import uuid
+from collections import Counter
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog import config
 from foldlog.functions import failure
 from foldlog.operators import events as ops
 from foldlog.operators import handlers, inspection
+from foldlog.streaming import files
 from foldlog.streaming.coordinator import HALTED, INITIALIZING, STOPPED, Budget, Circuit, Coordinator
 from foldlog.streaming.lease import Lease
 from foldlog.targets.base import OUTCOMES, Batch, Report, Target, Wipeout, batch_stats
@@ -41,11 +44,18 @@ def handler_of(projection: config.Projection):
 
 
 class Processor:
-    """What happens to one batch of envelopes; the body of a foreachBatch."""
+    """What happens to one batch of envelopes; the body of a foreachBatch.
 
-    def __init__(self, spark: SparkSession, projection: config.Projection, circuit: Circuit | None = None, scratch: str | None = None):
+    What arrives at once is handled and committed in passes of at most the source's ``buffer_size`` positions (all
+    of it if that is not set). Inside a pass, runs of ``batch_size`` positions are the batches in which keys collide
+    and that the wipeout guard judges; so small batches cost no jobs of their own. batch_size None: a pass is a batch.
+    """
+
+    def __init__(self, spark: SparkSession, projection: config.Projection, circuit: Circuit | None = None, scratch: str | None = None, *, batch_size: int | None = None, run: str | None = None, held=None):
         self.spark, self.projection, self.circuit = spark, projection, circuit or Circuit()
         self.handler, self.retry = handler_of(projection), config.retry_plan(projection.retry)
+        #: run: whose batch ids are counted; held: whether this writer still holds the lease
+        self.batch_size, self.run, self.held = batch_size, run, held
         base = scratch or spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             import tempfile
@@ -53,21 +63,42 @@ class Processor:
             base = "file://" + tempfile.mkdtemp(prefix="foldlog-")
         self.scratch = f"{base.rstrip('/')}/evaluated-{projection.name}-{projection.version}-{uuid.uuid4().hex}"
 
-    def __call__(self, events: DataFrame, batch_id: int) -> Report | None:
-        target: Target = self.projection.target
-        if target.already(self.projection.identity, batch_id):
+    def __call__(self, events: DataFrame, batch_id: int | None) -> Report | None:
+        """batch_id None: the batch belongs to no numbered run; cursors alone keep it from being applied twice."""
+        if batch_id is not None and self.projection.target.already(self.projection.identity, batch_id, self.spark, self.run):
             return None
+        size = getattr(self.projection.source, "buffer_size", None)
+        if size is None:
+            return self._pass(events, batch_id)
+        low, high = events.agg(F.min("position"), F.max("position")).first()
+        whole = Report()
+        starts = list(range(low, high + 1, size)) if low is not None else [0]
+        for first in starts:
+            part = events.where(F.col("position").between(first, first + size - 1))
+            # the number is noted with the last pass; what was committed before a crash is known by its cursors
+            report = self._pass(part, batch_id if first == starts[-1] else None)
+            whole.attempted += report.attempted
+            whole.applied += report.applied
+            whole.broken += report.broken
+            whole.letters += report.letters
+        return whole
+
+    def _pass(self, events: DataFrame, batch_id: int | None) -> Report:
+        target: Target = self.projection.target
         began = time.time()
-        outcomes = self._evaluated(events, batch_id)
+        path = f"{self.scratch}/{uuid.uuid4().hex}"
+        outcomes = self._evaluated(events, path)
         known = batch_stats(outcomes)
         if known["most_multi"]:
             outcomes = self._collided(outcomes, known["most_multi"])
             known = batch_stats(outcomes)
         now = F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
         try:
-            report = target.commit(self.spark, Batch(self.projection.identity, batch_id, outcomes, now, known), self._guard)
+            report = target.commit(self.spark, Batch(self.projection.identity, batch_id, outcomes, now, known, self.run), lambda r: self._guard(r, outcomes))
         except Wipeout as e:
             raise Halted(f"wipeout: {e}") from e
+        except Halted:
+            raise
         except Exception as e:
             kind = failure.classify(e)
             if kind == failure.TRANSIENT:
@@ -79,58 +110,74 @@ class Processor:
         self._tell(known, began)
         for x in report.letters:
             bus.emit("dead_letter", projection=self.projection.identity, **x)
-        self._drop(batch_id)
+        files.remove(self.spark, path)
         return report
 
-    def _evaluated(self, events: DataFrame, batch_id: int) -> DataFrame:
+    def _evaluated(self, events: DataFrame, path: str | int) -> DataFrame:
         """Handle each event once: the outcomes are written before anything reads them twice."""
+        path = path if isinstance(path, str) else f"{self.scratch}/{path}"
         marked = ops.dedup(events, self.projection.target.cursors(self.spark, self.projection.identity))
         fresh = self.handler.apply(marked.where("not repeated"), self.retry)
         old = marked.where("repeated").withColumn("result", F.lit(None).cast(fresh.schema["result"].dataType))
         both = fresh.unionByName(old).withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))
-        path = f"{self.scratch}/{batch_id}"
         both.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(both.schema).parquet(path)
 
+    def _batch_of(self, position: str = "position") -> Column:
+        return F.floor((F.col(position) - 1) / self.batch_size).cast("bigint") if self.batch_size else F.lit(0).cast("bigint")
+
     def _collided(self, outcomes: DataFrame, most: int) -> DataFrame:
         multi = outcomes.where("outcome = 'applied' and result.kind = 'multi'")
         if most == 1:
-            keyed = multi.select(F.lit(0).alias("batch"), "position", F.col("result.steps")[0]["name"].alias("key"))
+            keyed = multi.select(self._batch_of().alias("batch"), "position", F.col("result.steps")[0]["name"].alias("key"))
             lost = ops.collisions(keyed).where("collides").select("position")
-        else:  # a loser's other keys stay free, which takes the batch's order; a batch is bounded
-            rows = multi.select("position", F.transform("result.steps", lambda s: s["name"]).alias("keys")).collect()
-            lost = self.spark.createDataFrame([(p,) for p in sorted(ops.claims([(r[0], r[1]) for r in rows]))], "position bigint")
+        else:  # a loser's other keys stay free, which takes a batch's order
+            lost = ops.lost_claims(multi.select(self._batch_of().alias("batch"), "position", F.transform("result.steps", lambda s: s["name"]).alias("keys")))
         marked = outcomes.join(lost.withColumn("__lost", F.lit(True)), "position", "left")
         return marked.withColumn("outcome", F.when(F.col("__lost"), "collision").otherwise(F.col("outcome"))).select(*outcomes.columns)
 
-    def _guard(self, report: Report) -> None:
-        if report.attempted and not report.applied and len(report.broken) == report.attempted and self.circuit.wiped(report.attempted):
-            raise Wipeout(f"all {report.attempted} events failed on integrity, the first with {report.broken[0][1]}")
+    def _guard(self, report: Report, outcomes: DataFrame) -> None:
+        """The last word before anything is published."""
+        if self.held is not None and not self.held():
+            raise Halted("the lease was lost")
+        if not report.broken:
+            return
+        tried = [(0, report.attempted)] if self.batch_size is None else [tuple(r) for r in outcomes.where("outcome = 'applied'").groupBy(self._batch_of().alias("batch")).count().orderBy("batch").collect()]
+        of = Counter((p - 1) // self.batch_size if self.batch_size else 0 for p, _ in report.broken)
+        for batch, attempted in tried:
+            if of[batch] < attempted:
+                self.circuit.applied()
+            elif self.circuit.wiped(attempted):
+                raise Wipeout(f"all {attempted} events failed on integrity, the first with {report.broken[0][1]}")
 
     def _tell(self, counts: dict, began: float) -> None:
         for outcome, reason in (("deduped", "dedup"), ("skipped", "handler")):
             if counts.get(outcome):
                 bus.emit("event.skipped", {"count": counts[outcome]}, projection=self.projection.identity, reason=reason)
+        for name, (count, seconds) in self.handler.noted().items() if hasattr(self.handler, "noted") else ():
+            bus.emit(name, {"count": count, "duration": seconds}, projection=self.projection.identity)
         bus.emit("batch.stop", {"duration": time.time() - began, "batch_size": sum(counts[o] for o in OUTCOMES)}, projection=self.projection.identity)
 
-    def _drop(self, batch_id: int) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.scratch}/{batch_id}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+#: Positions that a bounded run handles and commits at once.
+IN_FLIGHT = 1_000_000
+
+
+def run_bounded(spark: SparkSession, projection: config.Projection, events: DataFrame | None = None, events_per_batch: int | None = None, in_flight: int = IN_FLIGHT) -> list[Report]:
+    """Catch up with what the log holds now, in passes of about ``in_flight`` positions; a report for each.
 
-def run_bounded(spark: SparkSession, projection: config.Projection, events: DataFrame | None = None, events_per_batch: int | None = None) -> list[Report]:
-    """Catch up with what the log holds now, in one batch or in runs of so many positions."""
+    events_per_batch: positions to a batch, for colliding keys and the wipeout guard; a pass is one batch without it.
+    """
     frame = projection.source.batch(spark) if events is None else events
-    process = Processor(spark, projection)
-    if events_per_batch is None:
-        return [r for r in [process(frame, int(time.time() * 1e6))] if r]
+    process = Processor(spark, projection, batch_size=events_per_batch)
+    size = in_flight if events_per_batch is None else max(1, in_flight // events_per_batch) * events_per_batch
     low, high = frame.agg(F.min("position"), F.max("position")).first()
-    out = []
-    for k, first in enumerate(range(low, high + 1, events_per_batch) if low is not None else ()):
-        part = frame.where(F.col("position").between(first, first + events_per_batch - 1))
-        out.append(process(part, int(time.time() * 1e6) + k))
-    return [r for r in out if r]
+    if low is None:
+        return []
+    starts = range((low - 1) // size * size + 1, high + 1, size)  # where batches begin, too
+    if len(starts) == 1:
+        return [process(frame, None)]
+    return [process(frame.where(F.col("position").between(s, s + size - 1)), None) for s in starts]
 
 
 @dataclass(frozen=True)
@@ -155,6 +202,7 @@ class Running:
     processor: Processor
     coordinator: Coordinator
     checkpoint: str
+    after: int | str = "origin"
     query: Any = None
     lease: Lease | None = None
     timer: threading.Thread | None = None
@@ -166,12 +214,14 @@ class Engine:
     """Starts, pauses, resumes and stops projections of a session, and answers questions about them.
 
     Each (name, version) has a checkpoint of its own below ``root``; the checkpoint's offsets, not start_from, decide
-    where a projection goes on. A lease keeps a second writer off.
+    where a projection goes on; what start_from came to is noted there at the first start. A lease keeps a second
+    writer off; a projection that loses it halts. trigger: when a micro-batch begins, every ``batch_timeout_ms`` of
+    the projection if not given.
     """
 
-    def __init__(self, spark: SparkSession, root: str, trigger: dict | None = None):
+    def __init__(self, spark: SparkSession, root: str, trigger: dict | None = None, lease_seconds: float = 30.0):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.spark, self.root, self.trigger = spark, root.rstrip("/"), trigger or {"processingTime": "100 milliseconds"}
+        self.spark, self.root, self.trigger, self.lease_seconds = spark, root.rstrip("/"), trigger, lease_seconds
         self.running: dict[tuple[str, int], Running] = {}
 
     def start(self, projection: config.Projection, **overrides: Any) -> Running:
@@ -184,9 +234,11 @@ class Engine:
         if known and known.coordinator.state != STOPPED:
             raise ValueError(f"{projection.name} version {projection.version} is started already")
         checkpoint = f"{self.root}/{projection.name}/{projection.version}"
-        own = Running(projection, Processor(self.spark, projection), Coordinator(), checkpoint, lease=Lease(self.spark, checkpoint))
+        lease = Lease(self.spark, checkpoint, self.lease_seconds)
+        lease.wait(checkpoint)
+        started = self._started(projection, checkpoint)
+        own = Running(projection, Processor(self.spark, projection, batch_size=projection.batch_size, run=started["run"], held=lease.held), Coordinator(), checkpoint, started["after"], lease=lease)
         self.running[projection.identity] = own
-        own.lease.wait(checkpoint)
         if bus.listens("cursors.loaded"):
             n = projection.target.cursors(self.spark, projection.identity).count()
             bus.emit("cursors.loaded", {"count": n}, projection=projection.identity, source="target" if n else "empty")
@@ -195,9 +247,19 @@ class Engine:
         own.timer.start()
         return own
 
+    def _started(self, projection: config.Projection, checkpoint: str) -> dict:
+        """The checkpoint's own name and its first position, noted once: its offsets and batch ids belong to it."""
+        path = f"{checkpoint}/start"
+        found = files.read(self.spark, path)
+        if found is None:
+            files.create(self.spark, path, json.dumps({"run": uuid.uuid4().hex, "after": projection.source.first(self.spark)}))
+            found = files.read(self.spark, path)
+        return json.loads(found)
+
     def _launch(self, own: Running) -> None:
-        stream = own.projection.source.stream(self.spark)
-        writer = stream.writeStream.foreachBatch(lambda df, n: self._batch(own, df, n)).option("checkpointLocation", own.checkpoint).trigger(**self.trigger)
+        stream = own.projection.source.stream(self.spark, own.after)
+        trigger = self.trigger or {"processingTime": f"{own.projection.batch_timeout_ms} milliseconds"}
+        writer = stream.writeStream.foreachBatch(lambda df, n: self._batch(own, df, n)).option("checkpointLocation", own.checkpoint).trigger(**trigger)
         own.query = writer.start()
         if own.coordinator.ready():
             bus.emit("started", projection=own.projection.identity)
@@ -214,8 +276,8 @@ class Engine:
             raise
 
     def _watch(self, own: Running) -> None:
-        """Restart a query that died, within its budget; renew the lease; tell the lag."""
-        told = time.time()
+        """Restart a query that died, within its budget; keep the lease; tell the lag."""
+        told = renewed = time.time()
         while not own.ended.wait(0.05):
             own_query = own.query
             dead = own_query is not None and not own_query.isActive
@@ -227,14 +289,30 @@ class Engine:
                     self._launch(own)
                 else:
                     own.coordinator.halt("too many restarts")
+            if time.time() - renewed >= own.lease.seconds / 4 and own.coordinator.state != HALTED:
+                renewed = time.time()
+                try:
+                    lost = not own.lease.renew()
+                except Exception:  # storage did not answer; the lease runs on until its end
+                    lost = not own.lease.held()
+                if lost and not own.ended.is_set():
+                    self._halt(own, "the lease was lost")
             interval = own.projection.lag_interval_ms / 1000
             if interval and time.time() - told >= interval:
                 told = time.time()
-                own.lease.renew()
-                found = self.info(own.projection)
+                try:
+                    found = self.info(own.projection)
+                except Exception:  # what cannot be told now is told the next time
+                    continue
                 if found.lag_ms is not None:
                     bus.emit("lag", {"lag_ms": found.lag_ms, "position": found.position}, projection=own.projection.identity, status=own.coordinator.state)
 
+    def _halt(self, own: Running, reason: str) -> None:
+        if own.coordinator.halt(reason):
+            bus.emit("halted", projection=own.projection.identity, reason=reason, failure=reason)
+        if own.query is not None:
+            own.query.stop()
+
     def _own(self, projection: config.Projection | str, version: int = 1) -> Running:
         key = projection.identity if isinstance(projection, config.Projection) else (projection, version)
         if key not in self.running:
@@ -299,11 +377,29 @@ class Engine:
         lag = None if when is None else max(0, int(((now or datetime.now(timezone.utc).replace(tzinfo=None)) - when).total_seconds() * 1000))
         return Info(identity[0], identity[1], own.coordinator.state, own.projection.parallelism, streams, safe, at and at["position"], when, lag, own.coordinator.halt_reason)
 
-    def dead_letters(self, projection: config.Projection, **options) -> DataFrame:
-        return inspection.dead_letter_page(projection.target.table(self.spark, "dead_letters"), *projection.identity, **options)
+    def _target(self, projection: config.Projection | str, version: int = 1) -> tuple[Target, tuple[str, int]]:
+        own = projection if isinstance(projection, config.Projection) else self._own(projection, version).projection
+        return own.target, own.identity
+
+    def cursor(self, projection, stream_id: str, version: int = 1) -> int | None:
+        """One stream's cursor; None if nothing of it was applied."""
+        target, identity = self._target(projection, version)
+        found = target.cursors(self.spark, identity).where(F.col("stream_id") == str(stream_id)).first()
+        return None if found is None else found["position"]
+
+    def watermark(self, projection, version: int = 1) -> tuple[int, Any] | None:
+        """Position and event time that a projection has come to; None if it has not begun."""
+        target, identity = self._target(projection, version)
+        found = inspection.of(target.table(self.spark, "progress"), *identity).select("position", "occurred_at").first()
+        return None if found is None else tuple(found)
+
+    def dead_letters(self, projection, version: int = 1, **options) -> DataFrame:
+        target, identity = self._target(projection, version)
+        return inspection.dead_letter_page(target.table(self.spark, "dead_letters"), *identity, **options)
 
-    def dead_letter_stats(self, projection: config.Projection) -> DataFrame:
-        return inspection.dead_letter_stats(projection.target.table(self.spark, "dead_letters"), *projection.identity)
+    def dead_letter_stats(self, projection, version: int = 1) -> DataFrame:
+        target, identity = self._target(projection, version)
+        return inspection.dead_letter_stats(target.table(self.spark, "dead_letters"), *identity)
 
     def reset(self, projection: config.Projection, dead_letters: bool = False) -> dict[str, int]:
         """Forget one version's cursors and progress; refused unless it is stopped or was never started."""
@@ -315,14 +411,12 @@ class Engine:
         return projection.target.reset(self.spark, projection.identity, dead_letters)
 
 
-def drain(spark: SparkSession, projection: config.Projection, events_per_batch: int = 50) -> list[Report]:
-    """Run a source in memory to its end: take, process, acknowledge what came before the first failure."""
-    process, out, k = Processor(spark, projection), [], 0
+def drain(spark: SparkSession, projection: config.Projection, events_per_batch: int | None = None) -> list[Report]:
+    """Run a source in memory to its end: take, process, acknowledge what was processed."""
+    process, out = Processor(spark, projection), []
     source = projection.source
-    while (frame := source.take(spark, events_per_batch)) is not None:
+    while (frame := source.take(spark, events_per_batch or projection.batch_size)) is not None:
         top = frame.agg(F.max("position")).first()[0]
-        report = process(frame, k)
+        out.append(process(frame, None))
         source.acknowledge(top)
-        out += [report] if report else []
-        k += 1
     return out

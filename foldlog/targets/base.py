@@ -26,10 +26,12 @@ class Batch:
     """A batch on the way to its target. outcomes: envelopes with result and outcome, evaluated once."""
 
     identity: tuple[str, int]
-    batch_id: int
+    batch_id: int | None
     outcomes: DataFrame
     recorded_at: Any
     known: dict[str, Any] | None = None
+    #: whose batch ids are counted
+    run: str | None = None
 
     def stats(self) -> dict[str, Any]:
         """Counts by outcome, how far the batch reaches, and the tables and columns its steps name: one pass."""
@@ -52,9 +54,12 @@ def batch_stats(outcomes: DataFrame) -> dict[str, Any]:
         *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES), F.max("position").alias("top"), F.max_by("occurred_at", "position").alias("at"),
         F.max(F.when(F.col("outcome") == "applied", F.col("n"))).alias("most"), F.max(F.when((F.col("outcome") == "applied") & F.col("multi"), F.col("n"))).alias("most_multi"),
         F.collect_set(F.transform("steps", lambda s: s["table"])).alias("tables"), F.collect_set(F.flatten(F.transform("steps", named))).alias("columns"),
+        F.collect_set(F.transform(F.filter("steps", lambda s: s["action"].isin("update", "delete")), lambda s: F.struct(s["table"].alias("t"), F.array_sort(F.map_keys(s["key"])).alias("cs"), F.array_sort(F.array_union(F.map_keys(s["set"]), F.map_keys(s["inc"]))).alias("ws")))).alias("filters"),
     ).first()
     found = row.asDict(recursive=True)
     found["tables"] = {t for ts in found["tables"] for t in ts}
+    #: table, columns by which rows are updated or deleted, columns that are written
+    found["filters"] = {(x["t"], tuple(x["cs"]), tuple(x["ws"])) for xs in found["filters"] for x in xs or ()}
     found["columns"] = {(c["t"], c["c"]) for cs in found["columns"] for c in cs}
     return found
 
@@ -80,6 +85,6 @@ class Target(ABC):
     def reset(self, spark: SparkSession, identity: tuple[str, int], dead_letters: bool = False) -> dict[str, int]:
         """Delete cursors and progress (and dead letters) of one version; how many rows of each."""
 
-    def already(self, identity: tuple[str, int], batch_id: int) -> bool:
-        """Whether this batch is published, so that a replay is no work."""
+    def already(self, identity: tuple[str, int], batch_id: int, spark: SparkSession | None = None, run: str | None = None) -> bool:
+        """Whether this batch of a run is published, so that a replay is no work."""
         return False

@@ -2,8 +2,8 @@
 
 A manifest names the live folders of all tables at once, so a reader sees an epoch's rows, cursors and dead letters
 together or none of them. Each epoch adds changed rows only; readers take the newest of each key, and compaction
-rewrites a table when it has many folders. A batch id that the manifest lists is not applied again. Two writers race
-for the same manifest number; the loser's rename fails and it raises.
+rewrites a table when it has many folders. A batch id that the manifest lists for its run is not applied again. Two
+writers race for the same manifest number; the loser cannot create it and raises.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from foldlog import model
 from foldlog.functions.failure import CommitFailure, label_of_state
 from foldlog.operators import events as ops
 from foldlog.operators import folds, handlers, inspection
+from foldlog.streaming import files
 from foldlog.targets.base import Batch, Report, Target
 from foldlog.telemetry import bus
 
@@ -31,38 +32,16 @@ class EpochTarget(Target):
     def __init__(self, root: str, tables: Iterable[model.Table], compact_at: int = COMPACT_AT):
         self.root, self.tables, self.compact_at = root.rstrip("/"), {t.name: t for t in tables}, compact_at
 
-    # files, through Hadoop's interface so that any of its stores will do
-
-    def _fs(self, spark: SparkSession):
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
     def manifest(self, spark: SparkSession) -> dict:
-        jvm, fs = self._fs(spark)
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
-        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-        done = sorted(n for n in names if n.endswith(".json"))
+        done = [n for n in files.names(spark, f"{self.root}/manifests") if n.endswith(".json")]
         if not done:
             return {"number": 0, "live": {}, "applied": {}, "letters": 0, "progress": {}}
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/{done[-1]}"))
-        try:
-            return json.loads(bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
-        finally:
-            stream.close()
+        return json.loads(files.read(spark, f"{self.root}/manifests/{done[-1]}"))
 
     def publish(self, spark: SparkSession, found: dict) -> None:
         """Make a manifest the newest; fails if another writer has taken its number."""
-        jvm, fs = self._fs(spark)
-        path = lambda p: jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests/{p}")
         found = found | {"number": found["number"] + 1}
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests"))
-        draft, final = path(f".{uuid.uuid4().hex}"), path(f"{found['number']:012d}.json")
-        out = fs.create(draft)
-        out.write(bytearray(json.dumps(found).encode()))
-        out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            fs.delete(draft, False)
+        if not files.create(spark, f"{self.root}/manifests/{found['number']:012d}.json", json.dumps(found)):
             raise CommitFailure("40001", "another writer published this epoch")
 
     # reading
@@ -96,9 +75,13 @@ class EpochTarget(Target):
     def cursors(self, spark, identity):
         return inspection.of(self.table(spark, "positions"), *identity).select("stream_id", "position")
 
-    def already(self, identity, batch_id, spark=None):
+    @staticmethod
+    def _run(identity: tuple[str, int], run: str | None) -> str:
+        return f"{identity[0]}/{identity[1]}" + (f"/{run}" if run else "")
+
+    def already(self, identity, batch_id, spark=None, run=None):
         spark = spark or SparkSession.active()
-        return batch_id <= self.manifest(spark)["applied"].get(f"{identity[0]}/{identity[1]}", -1)
+        return batch_id <= self.manifest(spark)["applied"].get(self._run(identity, run), -1)
 
     # writing
 
@@ -128,7 +111,7 @@ class EpochTarget(Target):
             live.setdefault(t, []).append(path)
         key = f"{name}/{version}"
         reached = found["progress"] | ({key: self._reached(found["progress"].get(key), stats)} if stats["top"] is not None else {})
-        self.publish(spark, found | {"live": live, "letters": found["letters"] + n_letters, "progress": reached, "applied": found["applied"] | {key: batch.batch_id}})
+        self.publish(spark, found | {"live": live, "letters": found["letters"] + n_letters, "progress": reached, "applied": found["applied"] | ({} if batch.batch_id is None else {self._run(batch.identity, batch.run): batch.batch_id})})
         if n_letters and bus.listens("dead_letter"):
             rows = spark.read.parquet(f"{self.root}/{staged['dead_letters']}").select("position", "stream_id", "event_type", "error_kind").orderBy("position").collect()  # a batch's letters
             report.letters = [r.asDict() for r in rows]
@@ -159,17 +142,22 @@ class EpochTarget(Target):
         """Fold the applied events of a batch into staged rows, without those that break a constraint; an event goes whole."""
         steps = folds.steps_of(outcomes.where("outcome = 'applied'"))
         broken: dict[int, str] = {}
+        # filters that do not name a whole key reach any row
+        loose: dict[str, list[tuple[tuple[str, ...], tuple[str, ...]]]] = {}
+        for t, columns, written in sorted(stats["filters"]):
+            if not set(self.tables[t].key) <= set(columns):
+                loose.setdefault(t, []).append((columns, written))
         while True:
             left = steps if not broken else steps.join(spark.createDataFrame([(p,) for p in broken], "position bigint"), "position", "left_anti")
             staged, fresh = {}, {}
             for t in sorted(stats["tables"]):
-                folded = folds.fold(left, self.table(spark, t, found), self.tables[t])
+                folded = folds.fold(left, self.table(spark, t, found), self.tables[t], loose.get(t, ()))
                 staged[t] = self._write(folds.typed(folded, self.tables[t], "broken"), t, number)
                 rows = spark.read.parquet(f"{self.root}/{staged[t]}").where(F.size("broken") > 0).select(F.explode("broken").alias("b")).select("b.position", "b.state")
                 fresh |= {r[0]: r[1] for r in rows.collect()}  # a batch's events at most
             new = set(fresh) - set(broken)
             broken |= fresh
-            if not new or (stats["most"] or 0) <= 1:
+            if not new or ((stats["most"] or 0) <= 1 and not loose):
                 return broken, staged
 
     def compact(self, spark: SparkSession) -> None:
@@ -191,6 +179,6 @@ class EpochTarget(Target):
             counts[name] = inspection.of(rows, *identity).count()
             kept = rows.where(~((F.col("projection_name") == identity[0]) & (F.col("projection_version") == identity[1])))
             live[name] = [self._write(kept, name, found["number"] + 1)]
-        without = lambda d: {k: v for k, v in d.items() if k != key}
+        without = lambda d: {k: v for k, v in d.items() if k != key and not k.startswith(f"{key}/")}
         self.publish(spark, found | {"live": live, "applied": without(found["applied"]), "progress": without(found["progress"])})
         return counts

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 #: All events: what is measured with each, and what else it says.
 CATALOG = {
-    "event.start": (("system_time",), ("projection", "type", "stream_id", "position")),
-    "event.stop": (("duration",), ("projection", "type", "stream_id", "position")),
-    "event.exception": (("duration",), ("projection", "type", "stream_id", "position", "reason")),
+    # told once a batch, summed over its events: they are handled on executors
+    "event.start": (("system_time", "count", "duration"), ("projection",)),
+    "event.stop": (("duration", "count"), ("projection",)),
+    "event.exception": (("duration", "count"), ("projection",)),
     "event.skipped": (("system_time", "count"), ("projection", "reason")),
     "batch.stop": (("duration", "batch_size"), ("projection",)),
     "dead_letter": (("system_time",), ("projection", "position", "stream_id", "event_type", "error_kind")),

@@ -1,6 +1,7 @@
 import datetime
 import random
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -406,3 +407,150 @@ def test_dead_letters_are_told_after_the_commit(spark, tmp_path):
     finally:
         detach()
     assert heard == [(2, "error")] * 2
+
+
+# ---------------------------------------------------------------- nothing is lost, nothing comes twice
+
+def positions(spark, target):
+    return sorted(r["position"] for r in target.table(spark, "entries").collect())
+
+
+def test_a_stream_after_a_bounded_run_applies_the_rest(spark, tmp_path):
+    for i in range(4):
+        write_log(spark, tmp_path / "log", [event(j, f"s{j % 3}") for j in range(5 * i + 1, 5 * i + 6)])
+    target = epoch(tmp_path)
+    p = declared(target, ParquetLog(f"file://{tmp_path}/log", LOG, max_files=1, buffer_size=2), name="after", lag_interval_ms=0)
+    run_bounded(spark, p, p.source.batch(spark).where("position <= 10"))
+    assert positions(spark, target) == list(range(1, 11))
+    engine = Engine(spark, f"file://{tmp_path}/checkpoints", {"availableNow": True})
+    engine.start(p).query.awaitTermination()
+    assert positions(spark, target) == list(range(1, 21))
+    assert engine.cursor(p, "s1") == 19 and engine.cursor("after", "none") is None and engine.watermark("after")[0] == 20
+    assert engine.dead_letters("after").count() == 0 and engine.dead_letter_stats(p).count() == 1
+    engine.stop(p)
+
+
+def test_what_comes_while_paused_arrives_after_a_start_from_current(spark, tmp_path):
+    write_log(spark, tmp_path / "log", [event(j) for j in range(1, 6)])
+    target = epoch(tmp_path)
+    p = declared(target, ParquetLog(f"file://{tmp_path}/log", LOG, start_from="current"), name="current", lag_interval_ms=0)
+    engine = Engine(spark, f"file://{tmp_path}/checkpoints")
+    engine.start(p)
+    write_log(spark, tmp_path / "log", [event(j) for j in range(6, 11)])
+    engine.await_idle(p)
+    assert positions(spark, target) == list(range(6, 11))
+    engine.pause(p)
+    write_log(spark, tmp_path / "log", [event(j) for j in range(11, 16)])
+    engine.resume(p)
+    engine.await_idle(p)
+    assert positions(spark, target) == list(range(6, 16))
+    engine.stop(p)
+    write_log(spark, tmp_path / "log", [event(j) for j in range(16, 21)])
+    engine = Engine(spark, f"file://{tmp_path}/checkpoints")  # as after a restart
+    engine.start(p)
+    engine.await_idle(p)
+    engine.stop(p)
+    assert positions(spark, target) == list(range(6, 21))
+
+
+def test_a_second_drain_goes_on(spark, tmp_path):
+    target = epoch(tmp_path)
+    source = MemoryLog([event(j) for j in range(1, 6)])
+    p = declared(target, source)
+    drain(spark, p, 5)
+    source.items += [event(j) for j in range(6, 11)]
+    drain(spark, p, 5)
+    assert positions(spark, target) == list(range(1, 11)) and source.acknowledged == 10
+
+
+def test_small_batches_share_a_pass(spark, tmp_path):
+    target = epoch(tmp_path, ACCOUNTS)
+    p = declared(target, handler=lambda e, m: model.Multi({"same": model.Upsert("accounts", {"id": e.stream_id}, inc={"balance": 1}), f"own-{e.id}": model.Upsert("accounts", {"id": f"x{e.position}"}, inc={"balance": 1})}))
+    reports = run_bounded(spark, p, frame(spark, [event(j) for j in range(1, 8)]), 2)
+    assert len(reports) == 1
+    # of each two events the second collides
+    assert sorted(r["position"] for r in target.table(spark, "dead_letters").collect()) == [2, 4, 6]
+    assert target.table(spark, "accounts").where("id = 'a'").first()["balance"] == 4
+    # the guard judges batches, too: the first of them fails whole
+    rows = epoch(tmp_path / "guard")
+    p = declared(rows, handler=lambda e, m: model.Insert("entries", {"event_id": None if e.position < 3 else e.id, "stream_id": e.stream_id, "position": e.position}))
+    with pytest.raises(Halted):
+        run_bounded(spark, p, frame(spark, [event(j) for j in range(1, 8)]), 2)
+    assert rows.table(spark, "entries").count() == 0 and rows.table(spark, "positions").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["memory", "epoch", "jdbc"])
+def test_updates_and_deletes_by_any_filter(spark, tmp_path, kind):
+    table = model.Table("items", "id bigint, grp string, n bigint", ("id",))
+    target = MemoryTarget([table]) if kind == "memory" else epoch(tmp_path, table) if kind == "epoch" else JdbcTarget(spark, "jdbc:derby:memory:filters;create=true", [table])
+    if kind == "jdbc":
+        target.create_tables()
+    acts = {
+        "new": lambda e: model.Insert("items", {"id": e.position, "grp": e.data["v"], "n": 0}), "mark": lambda e: model.Update("items", {"grp": e.data["v"]}, {"n": e.position}),
+        "move": lambda e: model.Update("items", {"grp": e.data["v"]}, {"grp": e.data["v"] + "x"}), "gone": lambda e: model.Delete("items", {"grp": e.data["v"]}),
+        "both": lambda e: model.Update("items", {"id": e.data["v"], "grp": "g"}, {"n": -1}), "all": lambda e: model.Update("items", {}, {"n": e.position}),
+    }
+    p = declared(target, handler=lambda e, m: acts[e.type](e))
+    todo = [("new", "g"), ("new", "h"), ("mark", "g"), ("new", "g"), ("mark", "g"), ("both", 2), ("both", 1), ("gone", "h"), ("new", "h"), ("mark", "h")]
+    Processor(spark, p)(frame(spark, [event(i, type=k, data={"v": d}) for i, (k, d) in enumerate(todo, 1)]), 0)
+    rows = lambda: {tuple(r) for r in target.table(spark, "items").select("id", "grp", "n").collect()}
+    assert rows() == {(1, "g", -1), (4, "g", 5), (9, "h", 10)}
+    more = [("move", "g"), ("mark", "gx"), ("move", "gx"), ("gone", "gxx"), ("new", "k"), ("all", "")]
+    Processor(spark, p)(frame(spark, [event(i, type=k, data={"v": d}) for i, (k, d) in enumerate(more, 11)]), 1)
+    assert rows() == {(9, "h", 16), (15, "k", 16)}
+
+
+def test_only_one_of_two_writers_gets_a_lease_or_an_epoch(spark, tmp_path):
+    from foldlog.streaming import files
+
+    a, b, c = (Lease(spark, f"file://{tmp_path}/x", seconds=0.3) for _ in range(3))
+    assert a.take() and a.held()
+    time.sleep(0.4)
+    assert not a.held()
+    seen = b._newest()
+    assert c.take() and not b._next(seen[0], b.owner)  # both saw the same lease expire
+    assert not a.renew() and c.renew() and c.holder()[0] == c.owner
+    c.release()
+    assert c.holder() is None and not c.renew() and b.take()
+    assert files.create(spark, f"file://{tmp_path}/f", "one") and not files.create(spark, f"file://{tmp_path}/f", "two") and files.read(spark, f"file://{tmp_path}/f") == "one"
+    target = epoch(tmp_path)
+    found = target.manifest(spark)
+    target.publish(spark, found)
+    with pytest.raises(failure.CommitFailure):
+        target.publish(spark, found)
+
+
+def test_a_lost_lease_halts(spark, tmp_path):
+    write_log(spark, tmp_path / "log", [event(1)])
+    p = declared(epoch(tmp_path), ParquetLog(f"file://{tmp_path}/log", LOG), name="lost", lag_interval_ms=0)
+    engine = Engine(spark, f"file://{tmp_path}/checkpoints", lease_seconds=2.0)
+    own = engine.start(p)
+    engine.await_idle(p)
+    number = own.lease._newest()[0]
+    while not Lease(spark, own.checkpoint)._next(number, "another"):
+        number = own.lease._newest()[0]
+    until = time.time() + 20
+    while own.coordinator.state != "halted" and time.time() < until:
+        time.sleep(0.1)
+    assert engine.info(p).halt_reason == "the lease was lost"
+    engine.stop(p)
+
+
+def test_databases_keep_progress_and_whole_dead_letters(spark):
+    from foldlog.telemetry import bus
+
+    target = JdbcTarget(spark, "jdbc:derby:memory:parity;create=true", [ROWS])
+    target.create_tables()
+    p = declared(target)
+    heard = []
+    detach = bus.attach("event.", lambda name, measured, said: heard.append((name, measured["count"])))
+    try:
+        Processor(spark, p)(frame(spark, [event(1), event(2, type="bad"), event(3, "b", "boom")]), 0)
+    finally:
+        detach()
+    assert ("event.start", 3) in heard and ("event.exception", 1) in heard
+    letters = {r["position"]: r for r in inspection.dead_letter_page(target.table(spark, "dead_letters"), "p").collect()}
+    assert set(letters) == {2, 3} and letters[2]["event_data"] and letters[3]["occurred_at"] is not None
+    assert "ValueError" in target.table(spark, "dead_letters").where("position = 3").first()["error_stacktrace"]
+    assert target.table(spark, "progress").first()["position"] == 3 and target.table(spark, "positions").where("updated_at is not null").count() == 2
+    assert target.reset(spark, p.identity, True) == {"positions": 2, "progress": 1, "dead_letters": 2}
