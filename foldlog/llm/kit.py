@@ -71,6 +71,24 @@ def unused(name: str, *frames: DataFrame) -> str:
     return name
 
 
+def packed(df: DataFrame, columns: list[str]) -> Column:
+    """The columns as one struct ``row``, whose fields cannot clash with an operator's own columns."""
+    own = [F.col(f"`{c}`") for c in columns] or [F.lit(None).cast("int").alias("none")]
+    return F.struct(*own).alias("row")
+
+
+def unpacked(columns: list[str]) -> list[Column]:
+    return [F.col(f"row.`{c}`") for c in columns]
+
+
+def with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of docs out of a struct ``whole``, with another text; n_chars follows it where there is one."""
+    given = {"text": text}
+    if "n_chars" in docs.columns:
+        given["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return found.select(*(given[c].alias(c) if c in given else F.col(f"whole.`{c}`") for c in docs.columns))
+
+
 def digests(text: Column) -> list[Column]:
     """h1 and h2: two hashes of a text from different seeds, so that texts clash in both about once in 2^128."""
     return [F.xxhash64(F.lit(1), text).alias("h1"), F.xxhash64(F.lit(2), text).alias("h2")]

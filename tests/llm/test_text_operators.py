@@ -236,61 +236,119 @@ def test_confirmed_and_scored_kinds(spark):
 
 # ---------------------------------------------------------------- 7
 
-def test_alignment():
-    held = dict(edoc=1, emark=0, gap=5, egap=5)
-    text = "the first line of all here\nshort\nthe second line of all here\nthe third line of all here"
-    both = [dict(k=0, ek=3, **held), dict(k=1, ek=4, **held)]
-    assert line_dedup.shorten(text, both) == ("the third line of all here", 4, 3, 1)
-    crossed = [dict(k=0, ek=4, **held), dict(k=1, ek=3, **held), dict(k=2, ek=9, **held)]
-    assert line_dedup.shorten(text, crossed)[2] == 2
-    assert line_dedup.increasing([5, 1, 2, 9, 3]) == [1, 2, 4]
-
-
-def test_later_documents_lose_shared_blocks(spark, docs, none):
-    line = lambda k: f"this is a seed line number {k} of many"
-    a, b = "\n".join([line(1), "x", line(2), line(3)]), "\n".join(["own words stand in this line", line(1), "x", line(2), "y"])
-    rows = spark.createDataFrame([(1, a), (2, b), (3, a), (3, a), (4, None), (None, line(3)), (5, "")], "doc_id long, text string")
-    found = sorted(((r["doc_id"] or 99, r["deduped"]) for r in line_dedup.dedup(rows).collect()), key=repr)
-    assert found == sorted([(1, a), (2, "own words stand in this line\ny"), (3, ""), (3, ""), (4, None), (99, ""), (5, "")], key=repr)
-    kept = {r["doc_id"]: r["deduped"] for r in line_dedup.dedup(docs).collect()}
-    assert all(kept[i] == t for i, t, *_ in ROWS if t is None or not line_dedup.seeds(t)[1])
-    assert line_dedup.dedup(none).count() == 0
-
-
-def in_turns(rows):
-    """Each seed that stays is held against its next earlier holder, until none is left."""
-    held = {}
-    for i, t in sorted(rows):
-        for k, a in enumerate(line_dedup.seeds(t)[1]):
-            held.setdefault(t.split("\n")[a], []).append((i, k))
+def plain_patience(a, b):
+    """Equal ends, then lines that stand once on either side, then the same between; difflib where none does."""
+    import difflib
+
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(0, 0), *((i + 1, j + 1) for i, j in plain_patience(a[1:], b[1:]))]
+    if a[-1] == b[-1]:
+        return [*plain_patience(a[:-1], b[:-1]), (len(a) - 1, len(b) - 1)]
+    once = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 == b.count(x)]
+    if not once:
+        return [(m.a + t, m.b + t) for m in difflib.SequenceMatcher(None, a, b, False).get_matching_blocks() for t in range(m.size)]
+    best = [once[i] for i in line_dedup.increasing([j for _, j in once])]
+    out, i, j = [], 0, 0
+    for x, y in [*best, (len(a), len(b))]:
+        out += [(i + p, j + q) for p, q in plain_patience(a[i:x], b[j:y])] + [(x, y)]
+        i, j = x + 1, y + 1
+    return out[:-1]
+
+
+def deduplicated(rows, rare):
+    """Brute force: every document against the earlier holders of its seeds, turn by turn. rows: id, text."""
+    told = {}
+    for i, t in rows:
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        runs = []
+        for k in range(len(lines)):
+            n = next((n for n in range(1, 6) if k + n <= len(lines) and sum(len(WORD.findall(x)) for x in lines[k : k + n]) >= 5), None)
+            if n:
+                runs.append((k, tuple(lines[k : k + n])))
+        told[i] = (lines, [(k, r) for k, r in runs if sum(r == q for _, q in runs) == 1])
+    holders = {}
+    for i in sorted(told):
+        for _, r in told[i][1]:
+            holders.setdefault(r, []).append(i)
     out = {}
     for i, t in rows:
-        lines, at = line_dedup.seeds(t)
-        own = {k: [h for h in held[lines[a]] if h[0] < i] for k, a in enumerate(at)}
+        lines, runs = told[i]
+        gone = set()
+        pointer = {k: 0 for k, r in runs}
         turn = 0
-        while any(own.values()):
-            by = {}
-            for k in sorted(own):
-                if turn < len(own[k]):
-                    by.setdefault(own[k][turn][0], []).append((k, own[k][turn][1]))
-            if not by:
+        while True:
+            open_ = [(k, r) for k, r in runs if not set(range(k, k + len(r))) <= gone or turn == 0]
+            if turn == 0:
+                ask = [(k, r) for k, r in open_ if len(holders[r]) <= rare]
+            else:
+                for k, r in open_:
+                    if turn > 1 or len(holders[r]) <= rare:
+                        pointer[k] += 1
+                ask = open_
+            partners = {holders[r][pointer[k]] for k, r in ask if pointer[k] < len(holders[r]) and holders[r][pointer[k]] < i}
+            if turn and not partners:
                 break
-            for pairs in by.values():
-                for j in line_dedup.increasing([e for _, e in pairs]):
-                    del own[pairs[j][0]]
+            for e in partners:
+                match = sorted(plain_patience(lines, told[e][0]))
+                while match:
+                    n = next((n for n in range(1, len(match)) if match[n] != (match[n - 1][0] + 1, match[n - 1][1] + 1)), len(match))
+                    block, match = [x for x, _ in match[:n]], match[n:]
+                    if sum(len(WORD.findall(lines[x])) for x in block) >= 5:
+                        gone |= set(block)
             turn += 1
-        out[i] = "\n".join(lines[at[k]] for k in sorted(own))
+        kept, k, all_lines = [], 0, t.split("\n")
+        for line in all_lines:
+            if WORD.search(line):
+                if k not in gone:
+                    kept.append(line)
+                k += 1
+            elif not ((k == 0 or k - 1 in gone) and (k == len(lines) or k in gone) and lines and (k > 0 or 0 in gone) and gone):
+                kept.append(line)
+        out[i] = "\n".join(kept)
     return out
 
 
-def test_lines_meet_every_earlier_holder(spark):
+def test_alignment():
+    a, b = list("xabcabcz"), list("yabcqabcz")
+    assert line_dedup.align(a, b) == sorted(plain_patience(a, b))
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefghij") for _ in range(rng.randrange(12))] for _ in range(2))
+        found = line_dedup.align(a, b)
+        assert found == sorted(plain_patience(a, b)) and all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in itertools.pairwise(found))
+    assert line_dedup.increasing([5, 1, 2, 9, 3]) == [1, 2, 4]
+    assert line_dedup.blocks([(0, 0), (1, 1), (3, 2), (4, 9)], [2, 2, 9, 6, 1]) == [(3, 4)]
+    assert line_dedup.shorten("\na\n\nb\n\nc\n", [(0, 2)]) == ("\nc\n", 7, 4) and line_dedup.shorten("\na\n", [(0, 1)])[0] == ""
+
+
+def test_later_documents_lose_shared_blocks(spark, docs, none):
     line = lambda k: f"this is a seed line number {k} of many"
-    rows = [(1, "\n".join(map(line, [3, 4, 1, 2]))), (2, "\n".join(map(line, [1, 2]))), (3, "\n".join(map(line, [1, 2, 3, 4])))]
-    assert {r["doc_id"]: r["deduped"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}[3] == ""
+    verse = "\n".join(f"short {k}" for k in range(9))
+    a, b = "\n".join(["head", line(1), "x", line(2), line(3), "tail"]), "\n".join(["own words stand in this line", line(1), "x", line(2), "y"])
+    rows = [(1, a), (2, b), (3, a), (3, a), (4, None), (None, line(3)), (5, ""), (6, verse), (7, "own\n" + verse), (8, "only four words here"), (9, "only four words here")]
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("links", F.lit(1)).withColumn("__doc", F.lit(2)).withColumn("__text", F.lit("t")).withColumn("spans", F.lit("s"))
+    found = line_dedup.dedup(given)
+    assert found.columns == [*given.columns, *line_dedup.OUT.fieldNames()]
+    kept = sorted(((r["doc_id"], r["deduped"]) for r in found.collect()), key=repr)
+    assert kept == sorted([(1, a), (2, "own words stand in this line\ny"), (3, ""), (3, ""), (4, None), (None, ""), (5, ""), (6, verse), (7, "own"), (8, rows[9][1]), (9, rows[9][1])], key=repr)
+    assert line_dedup.dedup(none).count() == 0
+    staged = line_dedup.stage(spark, given, "")
+    assert staged.columns == given.columns and sorted(r["doc_id"] for r in staged.collect()) == [1, 2, 4, 5, 6, 7, 8, 9]
+
+
+@pytest.mark.parametrize("rare", [2, 64])
+def test_lines_meet_every_earlier_holder(spark, docs, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    line = lambda k: f"this is a seed line number {k} of many" if k % 3 else f"short {k}"
+    crossed = [(1, "\n".join(map(line, [2, 4, 1, 5]))), (2, "\n".join(map(line, [1, 5]))), (3, "\n".join(map(line, [1, 5, 2, 4])))]
+    assert {r["doc_id"]: r["deduped"] for r in line_dedup.dedup(spark.createDataFrame(crossed, "doc_id long, text string")).collect()}[3] == ""
     rng = random.Random(8)
-    rows = [(i, "\n".join(line(k) for k in rng.sample(range(14), rng.randrange(3, 10)))) for i in range(30)]
-    found = {r["doc_id"]: r["deduped"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found == in_turns(rows)
+    rows = [(i, "\n".join(line(k) if k else "" for k in (rng.sample(range(16), rng.randrange(3, 12)) + [rng.randrange(16)]))) for i in range(40)]
+    rows += [(100 + i, t) for i, t, *_ in ROWS if t is not None]
+    found = {r["doc_id"]: r["deduped"] for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == deduplicated(rows, rare)
 
 
 # ---------------------------------------------------------------- 8
@@ -407,18 +465,7 @@ def test_the_pipeline_agrees_with_brute_force(spark, tmp_path):
         text, chars = quality_rules.judge(t)[5], quality_rules.judge(t)[4]
         if len(words) >= 20 and 100 * len(covered) <= 30 * len(words) and 2 * chars <= sum(map(len, words)):
             kept[i] = text
-    first, left = {}, {}
-    for i in sorted(kept):
-        lines, at = line_dedup.seeds(kept[i])
-        own = []
-        for k, a in enumerate(at):
-            gap = line_dedup._between(lines, at[k - 1] + 1 if k else 0, a)
-            have = first.setdefault(lines[a], (i, k, gap))
-            if have[0] != i:
-                own.append(dict(k=k, gap=gap, edoc=have[0], emark=0, ek=have[1], egap=have[2]))
-        text = line_dedup.shorten(kept[i], own)[0]
-        if WORD.search(text):
-            left[i] = text
+    left = {i: t for i, t in deduplicated(list(kept.items()), line_dedup.RARE).items() if WORD.search(t)}
     named = links([(i, t) for i, t in left.items()])
     left = {i: t for i, t in left.items() if named[i][1] == i and "leak0" not in t}
     assert {i: hashlib.sha256(t.encode()).hexdigest() for i, t in left.items()} != {} and set(found) == set(left)
