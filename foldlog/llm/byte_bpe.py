@@ -151,53 +151,53 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> Da
     """df with ``ids`` (binary: little-endian unsigned 32-bit integers) and ``n_tokens`` (long)."""
     shared = _shared(df.sparkSession, path, pattern)
     rest = [c for c in df.columns if c not in ("ids", "n_tokens")]
-    given = df.select(*rest, F.col(text_col).alias("__text"))
+    given = df.select(kit.packed(df, rest), F.col(text_col).alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for lo, hi, _, _ in kit.text_steps(batch, batch.num_columns - 1):
+            for lo, hi, _, _ in kit.text_steps(batch, 1):
                 part = batch.slice(lo, hi - lo)
-                ids = [codec.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], kit.binaries(ids), pa.array([len(x) // 4 for x in ids], type=pa.int64())], names=[*part.schema.names[:-1], "ids", "n_tokens"])
+                ids = [codec.encode(t) if t else b"" for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), kit.binaries(ids), pa.array([len(x) // 4 for x in ids], type=pa.int64())], names=["row", "ids", "n_tokens"])
 
-    return given.transform(kit.through, run, T.StructType([*given.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]))
+    return given.transform(kit.through, run, T.StructType([given.schema["row"], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])).select(*kit.unpacked(rest), "ids", "n_tokens")
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
     """df with ``decoded`` (binary): the bytes that the ids stand for. Null ids are decoded to nothing."""
     shared = _shared(df.sparkSession, path, pattern)
     rest = [c for c in df.columns if c != "decoded"]
-    given = df.select(*rest, F.col(ids_col).alias("__ids"))
+    given = df.select(kit.packed(df, rest), F.col(ids_col).alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for lo, hi, _, _ in kit.text_steps(batch, batch.num_columns - 1):
+            for lo, hi, _, _ in kit.text_steps(batch, 1):
                 part = batch.slice(lo, hi - lo)
-                texts = [codec.decode(x) if x else b"" for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], kit.binaries(texts)], names=[*part.schema.names[:-1], "decoded"])
+                texts = [codec.decode(x) if x else b"" for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), kit.binaries(texts)], names=["row", "decoded"])
 
-    return given.transform(kit.through, run, T.StructType([*given.schema.fields[:-1], T.StructField("decoded", T.BinaryType())]))
+    return given.transform(kit.through, run, T.StructType([given.schema["row"], T.StructField("decoded", T.BinaryType())])).select(*kit.unpacked(rest), "decoded")
 
 
 def round_trip(df: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """What decode gives of what encode gives, in one pass and with one codec a task: ids, n_tokens, decoded."""
     shared = _shared(df.sparkSession, path, pattern)
     rest = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
-    given = df.select(*rest, F.col(text_col).alias("__text"))
+    given = df.select(kit.packed(df, rest), F.col(text_col).alias("given"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
         for batch in batches:
-            for lo, hi, _, _ in kit.text_steps(batch, batch.num_columns - 1):
+            for lo, hi, _, _ in kit.text_steps(batch, 1):
                 part = batch.slice(lo, hi - lo)
-                ids = [codec.encode(t) if t else b"" for t in part.column(part.num_columns - 1).to_pylist()]
+                ids = [codec.encode(t) if t else b"" for t in part.column(1).to_pylist()]
                 made = [kit.binaries(ids), pa.array([len(x) // 4 for x in ids], type=pa.int64()), kit.binaries([codec.decode(x) if x else b"" for x in ids])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *made], names=[*part.schema.names[:-1], "ids", "n_tokens", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["row", "ids", "n_tokens", "decoded"])
 
     more = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())]
-    return given.transform(kit.through, run, T.StructType([*given.schema.fields[:-1], *more]))
+    return given.transform(kit.through, run, T.StructType([given.schema["row"], *more])).select(*kit.unpacked(rest), *(f.name for f in more))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -207,5 +207,6 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, and whether they decode to the text again; the last stage."""
-    both = round_trip(docs, *public_vocabulary())
-    return both.select(*docs.columns, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("exact"))
+    own = docs.drop("n_tokens", "ids_sha256", "exact")
+    both = round_trip(own.select(F.struct(*own.columns).alias("whole"), "text"), *public_vocabulary())
+    return both.select(*(F.col(f"whole.`{c}`") for c in own.columns), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), (F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("exact"))

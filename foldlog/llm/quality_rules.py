@@ -110,27 +110,25 @@ def repeat_words(words: kit.Words, size: int = 8) -> np.ndarray:
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = OUT.fieldNames()
     for batch in batches:
-        column = batch.num_columns - 1
-        for lo, hi, data, offsets in kit.text_steps(batch, column):
+        for lo, hi, data, offsets in kit.text_steps(batch, 1):
             words = kit.Words(data, offsets, lower=False)
             repeats = repeat_words(words)
             counts = np.diff(words.bounds)
-            texts = batch.column(column)[lo:hi].to_pylist()
+            texts = batch.column(1)[lo:hi].to_pylist()
             rows = []
             for text, n, again in zip(texts, counts.tolist(), repeats.tolist(), strict=True):
                 text = text or ""
                 word_chars, dup, n_lines, failed, lost, cleaned = judge(text)
                 rows.append((n, word_chars, sum(map(text.count, SYMBOLS)), dup, again, n_lines, failed, lost, cleaned))
             own = [pa.array([r[i] for r in rows], type=pa.string() if name == "cleaned" else pa.int64()) for i, name in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in range(column)), *own], names=[*batch.schema.names[:column], *names])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], *own], names=["row", *names])
 
 
 def clean(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the counts of OUT, ``cleaned``, ``base_failed`` and ``kept``."""
     rest = [c for c in df.columns if c not in {*OUT.fieldNames(), "base_failed", "kept"}]
-    given = df.select(*rest, F.col(text_col).alias("__text"))
-    schema = T.StructType([*given.schema.fields[:-1], *OUT.fields])
-    found = given.transform(kit.through, _measure, schema)
+    given = df.select(kit.packed(df, rest), F.col(text_col).alias("text"))
+    found = given.transform(kit.through, _measure, T.StructType([given.schema["row"], *OUT.fields])).select(*kit.unpacked(rest), *OUT.fieldNames())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return found.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= MAX_LOST_PERCENT * F.col("word_chars")))
 
@@ -141,10 +139,9 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are kept, with their failed lines gone."""
-    names = docs.columns
-    found = clean(docs.select("*", F.col("text").alias("__whole")), "__whole").where("kept")
-    return found.withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("cleaned").cast(docs.schema["n_chars"].dataType)).select(*names)
+    """Documents that are kept, with their failed lines gone. n_chars follows, if there."""
+    found = clean(docs.select(F.struct(*docs.columns).alias("whole"), "text")).where("kept")
+    return kit.with_text(found, docs, F.col("cleaned"))
 
 
 _LINE = "regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')"

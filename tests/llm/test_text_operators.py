@@ -152,19 +152,76 @@ def test_line_rules(line, fails):
 
 # ---------------------------------------------------------------- 3
 
+def plain_words(text):
+    return re.sub(r"[!-/:-@\[-`{-~]", " ", lower(text)).split()
+
+
+def overlap(doc, item):
+    """Brute force over all diagonals: (equal words, first word) of the best, None if the item is not in the text."""
+    best, n = None, len(item)
+    for shift in range(1 - n, len(doc)):
+        same = [0 <= shift + k < len(doc) and doc[shift + k] == item[k] for k in range(n)]
+        if n > 12:
+            runs = [(sum(1 if x else -2 for x in same[i:j]), i - j, -j, i, j) for i in range(n) for j in range(i + 1, n + 1)]
+            _, _, _, i, j = max(runs)
+        else:
+            i, j = 0, n
+        matched = sum(same[i:j])
+        if matched and matched >= (12 if n > 12 else n - 1 if n >= 5 else n):
+            at = shift + i + same[i:j].index(True)
+            if best is None or (matched, -at) > (best[0], -best[1]):
+                best = matched, at
+    return best
+
+
 def test_contaminations(spark, docs):
     rng = random.Random(5)
-    words = [f"w{i}" for i in range(500)]
-    item = [rng.choice(words) for _ in range(30)]
-    changed = item[:9] + ["other"] + item[10:19] + ["again"] + item[20:]
-    rows = [(1, "x y z " + " ".join(item) + " t"), (2, " ".join(changed).upper() + "!"), (3, " ".join(item[:8])), (4, None), (5, "alpha beta gamma delta"), (6, "beta alpha gamma delta")]
-    bench = spark.createDataFrame([(10, " ".join(item)), (11, "Alpha, beta; gamma"), (12, None), (13, ""), (14, " ".join(item))], "item_id long, text string")
-    found = decontaminate.contaminations(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    words = [f"w{i}" for i in range(400)]
+    items = {k: [rng.choice(words) for _ in range(n)] for k, n in enumerate([30, 13, 14, 12, 11, 10, 9, 7, 5, 4, 3, 2, 1, 20])}
+    rows = []
+    for i in range(160):
+        item = list(items[rng.choice(list(items))])
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5])):
+            item[rng.randrange(len(item))] = "changed"
+        cut = item[rng.choice([0, 0, 1, 4]) :] if len(item) > 5 else item
+        text = " ".join([rng.choice(words[:40]) for _ in range(rng.randrange(6))] + cut + [rng.choice(words[:40]) for _ in range(rng.randrange(6))])
+        rows.append((i, text.upper() + "!" if i % 3 else text.replace(" ", ", ")))
+    every = [" ".join("changed" if k % period == phase else w for k, w in enumerate(items[0])) for period in (4, 5, 6) for phase in range(period)]
+    rows += [(1000 + k, t) for k, t in enumerate(every)] + [(2000, None), (2001, ""), (2002, "!?")]
+    bench = [(k, " ".join(x)) for k, x in items.items()] + [(50, None), (51, ""), (52, " ".join(items[0])), (None, "w1 w2 w3")]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("__text", F.lit("t")).withColumn("row", F.lit(1)).withColumn("__hits", F.lit(0)).withColumn("hits", F.lit(0))
+    found = decontaminate.contaminations(given, bench)
+    assert found.columns == ["doc_id", "text", "__text", "row", "__hits", "hits"]
     hits = {(r["doc_id"], h["item_id"]): (h["matched"], h["first_word"]) for r in found.collect() for h in r["hits"]}
-    assert hits == {(1, 10): (30, 3), (1, 14): (30, 3), (2, 10): (28, 0), (2, 14): (28, 0), (5, 11): (3, 0)}
+    wanted = {(i, k): overlap(plain_words(t), x) for i, t in rows for k, x in [*items.items(), (52, items[0])]}
+    assert hits == {k: v for k, v in wanted.items() if v} and len(hits) > 100
     assert decontaminate.contaminations(docs, bench.limit(0)).where(F.size("hits") > 0).count() == 0
 
 
+def test_a_large_benchmark_takes_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 40)
+    bench = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(5)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, "x a0 b0 c0 d0 e0 f0 a4 b4 c4 d4 zz f4"), (2, "a1 b2")], "doc_id long, text string")
+    assert {r["doc_id"]: [(h["item_id"], h["matched"]) for h in r["hits"]] for r in decontaminate.contaminations(rows, bench).collect()} == {1: [(0, 6), (4, 5)], 2: []}
+
+
+def test_masks_leave_no_accepted_overlap_out():
+    ways = {"M" * n for n in (10, 11, 12)} | {"M" * i + "X" + "M" * (n - 1 - i) for n in (10, 11, 12) for i in range(n)}
+
+    def follow(way, equal, worth):
+        if equal == 12:
+            ways.add(way)
+            return
+        follow(way + "M", equal + 1, worth + 1)
+        if worth > 2:
+            follow(way + "X", equal, worth - 2)
+
+    follow("", 0, 0)
+    fits = lambda mask, way: any(all(way[o + k] == "M" for k, x in enumerate(mask) if x == "1") for o in range(len(way) - len(mask) + 1))
+    assert len(ways) == 763 and all(any(fits(mask, way) for mask in decontaminate.MASKS) for way in ways)
+
+
 # ---------------------------------------------------------------- 4
 
 def test_ids_are_those_of_a_public_library(docs, none):
@@ -445,6 +502,20 @@ def test_elias_fano(tmp_path):
         assert (at == np.searchsorted(values, both)).all() and (equal == np.isin(both, values)).all()
 
 
+# ---------------------------------------------------------------- columns of any name
+
+def test_columns_with_clashing_names_are_kept(spark, none):
+    path, pattern = byte_bpe.public_vocabulary()
+    given = spark.createDataFrame([(1, "a plain text"), (None, None)], "doc_id long, text string")
+    for name in ("row", "__text", "__ids", "__whole", "whole", "given", "kept", "n_tokens", "n_words"):
+        given = given.withColumn(name, F.lit(7))
+    for found, own in ((quality_rules.clean(given), {*quality_rules.OUT.fieldNames(), "kept", "base_failed"}), (byte_bpe.round_trip(given, path, pattern), {"n_tokens"})):
+        first = found.where("doc_id = 1").first()
+        assert all(first[c] == 7 for c in given.columns[2:] if c not in own) and found.count() == 2
+    assert quality_rules.stage(spark, given, "").columns == given.columns
+    assert byte_bpe.stage(spark, given, "").where("doc_id = 1").first()["exact"] and byte_bpe.stage(spark, none, "").count() == 0
+
+
 # ---------------------------------------------------------------- all together
 
 def test_the_pipeline_agrees_with_brute_force(spark, tmp_path):
