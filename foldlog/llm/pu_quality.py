@@ -4,14 +4,18 @@ Trusted positives are texts labelled good, the unlabelled ones a sample of all.
     risk = p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)])
 is minimised over a linear score of text features (rates of letter classes, repetition, word and line lengths, and
 their squares). Where the bracket falls below zero, its gradient is reversed, as the paper does. The prior is
-estimated as the share of good labels in a sample of labelled rows; negatives are not used otherwise.
+estimated over all labelled rows that are not held out; negatives are not used otherwise.
 
-The fit sees at most SAMPLE positives, SAMPLE unlabelled texts and SAMPLE labels for the prior, chosen by the least
-digests of their ids: a documented bound, so the driver's part does not grow. All rows are scored, in one scan.
+The labelled sample that is fitted on is bounded: the SAMPLE positives of the least digests of their ids. The
+unlabelled side is all texts that are not held out, in a summary whose size is fixed: for each of CELLS cells of the
+feature space, how many texts fall into it, and their features' sums. A text's cell is a hash of its features rounded
+to steps, so equal texts share a cell, and a cell's mean stands for its texts, weighted by their number. The summary
+is merged on the executors, so the driver's part does not grow with the corpus. All rows are scored, in one scan.
 
 Defined cases: a null or empty text has features of zero and a score like any other; without positives or unlabelled
-texts every score is the prior (a half without labels); labels that are null are left out; a null id is not held out
-and learns nothing. Other columns are ignored.
+texts every score is the prior (a half without labels); labels that are null are left out, repeated ones of a doc_id
+count once, as the greatest; rows that repeat a positive's doc_id count as one of them, by the least text digest; a
+null id is not held out and teaches nothing as a label, its text is unlabelled. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from foldlog.llm import kit
 from foldlog.llm.quality_rules import repeat_words
 
 SAMPLE = 6_000
+#: Cells of the summary of the unlabelled texts, and the rounding of features that share one.
+CELLS, STEP = 20_000, 0.25
 FOLDS, THRESHOLD = 5, 0.3
 #: Letter classes of bytes: 0 lower case, 1 upper case, 2 digits, 3 symbols, 4 bars, 5 exclamation marks, 6 question marks, 7 full stops, 8 commas, 9 line ends, 10 other ASCII, 11 white space, 12 beyond ASCII.
 _CLASS = np.full(256, 10, dtype=np.int64)
@@ -82,23 +88,30 @@ class Model:
         return np.concatenate([z, z * z / 4], axis=1)
 
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative risk over full batches with Adam's steps."""
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, share: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """The non-negative risk at weights w and the direction that a step takes; share: the weights of u, which sum to 1."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    fp, fu = p @ w, u @ w
+    bracket = share @ np.logaddexp(0, fu) - prior * np.logaddexp(0, fp).mean()
+    as_positive = -prior * (p * (1 - sigmoid(fp))[:, None]).mean(axis=0)
+    slope = share @ (u * sigmoid(fu)[:, None]) - prior * (p * sigmoid(fp)[:, None]).mean(axis=0)
+    return prior * np.logaddexp(0, -fp).mean() + max(0.0, bracket), as_positive + slope if bracket >= 0 else -slope
+
+
+def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, counts: np.ndarray | None = None, steps: int = 600, rate: float = 0.03, decay: float = 1e-4) -> Model:
+    """Minimise the non-negative risk over full batches with Adam's steps. counts: how many texts a row of unlabelled is."""
     if not len(positive) or not len(unlabelled):
         return Model(prior, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES), float(np.log(prior / (1 - prior))))
-    every = np.concatenate([positive, unlabelled])
-    start = Model(prior, every.mean(axis=0), np.maximum(every.std(axis=0), 1e-3), np.zeros(2 * FEATURES), 0.0)
+    share = np.ones(len(unlabelled)) if counts is None else counts.astype(np.float64)
+    mean = (positive.sum(axis=0) + share @ unlabelled) / (len(positive) + share.sum())
+    spread = np.sqrt((((positive - mean) ** 2).sum(axis=0) + share @ (unlabelled - mean) ** 2) / (len(positive) + share.sum()))
+    share = share / share.sum()
+    start = Model(prior, mean, np.maximum(spread, 1e-3), np.zeros(2 * FEATURES), 0.0)
     p, u = (np.concatenate([start._wide(x), np.ones((len(x), 1))], axis=1) for x in (positive, unlabelled))
     w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        fp, fu = p @ w, u @ w
-        as_positive = -(p * (1 - sigmoid(fp))[:, None]).mean(axis=0) * prior
-        bracket = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        slope = (u * sigmoid(fu)[:, None]).mean(axis=0) - prior * (p * sigmoid(fp)[:, None]).mean(axis=0)
-        g = as_positive + slope if bracket >= 0 else -slope
-        g = g + decay * np.append(w[:-1], 0)
+        g = risk(w, p, u, share, prior)[1] + decay * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(prior, start.mean, start.scale, w[:-1], float(w[-1]))
@@ -111,25 +124,44 @@ def held_out(doc_id: Column) -> Column:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in kit.text_steps(batch, 1):
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(list(features(data, offsets)), type=pa.list_(pa.float64()))], names=["doc_id", "x"])
+
+
+def cells_of(x: np.ndarray) -> np.ndarray:
+    """The summary's cell of each row of features."""
+    steps = np.rint(x / STEP).astype(np.int64).astype(kit.U64)
+    return (kit.mix((kit.mix(steps) * kit.odd_constants(41, FEATURES)).sum(axis=1, dtype=kit.U64)) % kit.U64(CELLS)).astype(np.int64)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to (cell, texts, sums of their features): a task's own summary."""
+    counts, sums = np.zeros(CELLS), np.zeros((CELLS, FEATURES))
+    for batch in batches:
+        for _, _, data, offsets in kit.text_steps(batch, 0):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(list(x), type=pa.list_(pa.float64()))], names=["kind", "x"])
+            cell = cells_of(x)
+            np.add.at(counts, cell, 1)
+            np.add.at(sums, cell, x)
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some].astype(np.int64)), pa.array(list(sums[some]), type=pa.list_(pa.float64()))], names=["cell", "n", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Both as given; rows that are held out are left out here."""
-    digest = F.xxhash64("doc_id")
-    known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    share = known.orderBy(digest, "doc_id").limit(sample).agg(F.avg(F.col("quality").cast("double"))).first()[0]
+    known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     prior = 0.5 if share is None else float(np.clip(share, 0.02, 0.98))
-    trusted = known.where("quality = 1").orderBy(digest, "doc_id").limit(sample).select("doc_id", F.lit(1).alias("kind"))
-    others = docs.select("doc_id").where("doc_id is not null").where(~held_out(F.col("doc_id"))).orderBy(digest, "doc_id").limit(sample).select("doc_id", F.lit(0).alias("kind"))
-    chosen = trusted.union(others)  # 2 * sample rows at most
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("kind", "text").transform(kit.through, _featured, "kind int, x array<double>").toArrow()
-    x = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
-    kind = rows["kind"].to_numpy()
-    order = np.lexsort((*x.T, kind))
-    x, kind = x[order], kind[order]
-    return learn(x[kind == 1], x[kind == 0], prior)
+    trusted = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")  # bounded by sample
+    rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = rows.select("doc_id", "text").transform(kit.through, _featured, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>").orderBy("doc_id").toArrow()
+    positive = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
+    others = docs.where(~held_out(F.col("doc_id"))).select("text").transform(kit.through, _summed, "cell long, n long, x array<double>")
+    # at most CELLS rows of a task meet here, and CELLS rows come to the driver; sums to fixed decimals have no order
+    total = [F.sum(F.get("x", F.lit(i)).cast("decimal(28,9)")).cast("double").alias(f"x{i}") for i in range(FEATURES)]
+    summary = others.groupBy("cell").agg(F.sum("n").alias("n"), *total).orderBy("cell").toArrow()
+    n = summary["n"].to_numpy().astype(np.float64)
+    unlabelled = np.stack([summary[f"x{i}"].to_numpy() for i in range(FEATURES)], axis=1) / np.maximum(n, 1)[:, None] if len(n) else np.zeros((0, FEATURES))
+    return learn(positive, unlabelled, prior, n)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -461,6 +461,50 @@ def test_scores_tell_good_from_bad(spark, none):
     assert {r["score"] for r in pu_quality.score(docs, model).collect()} == {0.5}
 
 
+def test_risk_and_its_slope_by_differences():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    p, u, w = rng.normal(size=(7, 4)), rng.normal(size=(9, 4)), rng.normal(size=4)
+    p, counts = p + 4 * w, rng.integers(1, 5, 9).astype(float)
+    loss = lambda z: math.log(1 + math.exp(-z))
+
+    def plain(w, prior):
+        as_positive = sum(loss(x @ w) for x in p) / len(p)
+        bracket = sum(c * loss(-(x @ w)) for x, c in zip(u, counts)) / counts.sum() - prior * sum(loss(-(x @ w)) for x in p) / len(p)
+        return prior * as_positive, bracket
+
+    for prior in (0.2, 0.97):
+        found, way = pu_quality.risk(w, p, u, counts / counts.sum(), prior)
+        first, bracket = plain(w, prior)
+        assert math.isclose(found, first + max(0, bracket), rel_tol=1e-12)
+        step = [[(y - x) / 2e-6 for x, y in zip(plain(w - d, prior), plain(w + d, prior))] for d in np.eye(4) * 1e-6]
+        wanted = [a + b if bracket >= 0 else -b for a, b in step]
+        assert np.allclose(way, wanted, atol=1e-6)
+    assert {prior for prior in (0.2, 0.97) if plain(w, prior)[1] < 0} == {0.97}  # both sides of the bend
+
+
+def test_the_summary_counts_every_text(spark, docs):
+    import numpy as np
+
+    rows = docs.select("text").transform(pu_quality.kit.through, pu_quality._summed, "cell long, n long, x array<double>").collect()
+    assert sum(r["n"] for r in rows) == len(ROWS)
+    data = [(t or "").encode() for _, t, *_ in ROWS]
+    whole = pu_quality.features(np.frombuffer(b"".join(data), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    assert np.allclose(np.sum([r["x"] for r in rows], axis=0), whole.sum(axis=0))
+
+
+def test_repeated_labels_and_ids_change_nothing(spark):
+    rows = [(i, ("plain words, written well. " if i % 3 else "BUY!! $$$ | ") * 9) for i in range(120)] + [(None, "no id"), (None, None)]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 120, 2)]
+    make = lambda r, l: pu_quality.fit(spark.createDataFrame(r, "doc_id long, text string"), spark.createDataFrame(l, "doc_id long, quality int"))
+    once, twice = make(rows, labels), make(rows, labels + labels + [(None, 1)])
+    assert once.prior == twice.prior and (once.weights == twice.weights).all()
+    assert abs(make(rows + rows, labels).bias) < 100
+
+
 # ---------------------------------------------------------------- 10
 
 @pytest.mark.parametrize("vocabulary", [1_000, 20])
