@@ -298,8 +298,7 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def keys(text_col: str) -> list:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return [F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2")]
+    return kit.digests(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
