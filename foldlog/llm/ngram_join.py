@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +52,10 @@ SHARD_BYTES = 16 << 20
 FAN = 2_000
 #: Shingles of the sets on either side of a cell.
 CELL_SHINGLES = 4_000_000
+#: Bytes of the least bitmap, and what all are folded to for a first look.
+FOLDED = 64
+#: Cells of so many rows at most have all their pairs looked at together with those of other cells.
+SMALL = 32
 #: Each round may name so many times as many partners of a node as the last.
 MORE = 8
 
@@ -79,7 +84,7 @@ def sets_of(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 def parity(own: np.ndarray) -> bytes:
     """A bitmap of two bits a shingle or more (a power of two): which places an odd number of shingles falls in."""
-    size = 1 << max(6, int(2 * len(own) - 1).bit_length())
+    size = max(8 * FOLDED, 1 << int(2 * len(own) - 1).bit_length())
     odd = np.bincount((own & kit.U64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -157,22 +162,22 @@ def _signed(shards: int, shared):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in kit.text_steps(batch, 1):
                 rows = list(_prefixes(data, offsets, ids[lo:hi], shards, shared.value))
-                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(3)), kit.binaries([r[4] for r in rows])], names=["doc", "n", "g", "bits"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], type=pa.int64()) for i in range(3)), kit.binaries([r[4] for r in rows]), kit.binaries([r[3].tobytes() for r in rows])], names=["doc", "n", "g", "bits", "first"])
 
     return run
 
 
-def _listed(shards: int, shared):
+def _listed(shards: int):
+    """Rows (g, prefix) to blocks (shard, tokens, groups); a group's prefix once a batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in kit.text_steps(batch, 1):
-                seen = {g: first for _, n, g, first, _ in _prefixes(data, offsets, ids[lo:hi], shards, shared.value) if n}
-                if seen:
-                    tokens = np.concatenate(list(seen.values()))
-                    groups = np.repeat(np.fromiter(seen, dtype=np.int64, count=len(seen)), [len(x) for x in seen.values()])
-                    rows = list(_blocks(_shard(tokens, shards), [tokens.astype(np.uint32), groups]))
-                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], type=pa.int32()), kit.binaries([b[0] for _, b in rows]), kit.binaries([b[1] for _, b in rows])], names=["shard", "tokens", "groups"])
+            seen = {g: np.frombuffer(first, dtype=kit.U64) for g, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)}
+            if seen:
+                tokens = np.concatenate(list(seen.values()))
+                groups = np.repeat(np.fromiter(seen, dtype=np.int64, count=len(seen)), [len(x) for x in seen.values()])
+                rows = list(_blocks(_shard(tokens, shards), [tokens.astype(np.uint32), groups]))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], type=pa.int32()), kit.binaries([b[0] for _, b in rows]), kit.binaries([b[1] for _, b in rows])], names=["shard", "tokens", "groups"])
 
     return run
 
@@ -275,27 +280,85 @@ class Cell:
         return out
 
 
+def folded(column: pa.Array) -> np.ndarray:
+    """Bitmaps of any size as rows of FOLDED bytes: places that fall together cancel as parity does."""
+    sizes = np.array(pc.binary_length(column))
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    data = np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8)
+    out = np.empty((len(sizes), FOLDED), dtype=np.uint8)
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        out[at] = np.bitwise_xor.reduce(data[begins[at][:, None] + np.arange(size)].reshape(len(at), -1, FOLDED), axis=1)
+    return out
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.view(kit.U64) ^ b.view(kit.U64)).sum(axis=1, dtype=np.int64)
+
+
+def _worth_a_look(cell: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(begin, end) of the cells in which a pair may link: all pairs of small cells are looked at together."""
+    begins = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    sizes = np.diff(np.append(begins, len(cell)))
+    look = sizes > SMALL
+    for size in range(2, SMALL + 1):
+        own = np.flatnonzero(sizes == size)
+        left, right = np.triu_indices(size, 1)
+        for lo in range(0, len(own), max(1, 200_000 // len(left))):
+            some = own[lo : lo + max(1, 200_000 // len(left))]
+            i, j = ((begins[some][:, None] + x).ravel() for x in (left, right))
+            of = np.repeat(some, len(left))
+            fits = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j]))
+            i, j, of = i[fits], j[fits], of[fits]
+            look[of[7 * _apart(bits[i], bits[j]) <= n[i] + n[j]]] = True
+    for k in np.flatnonzero(look).tolist():
+        yield int(begins[k]), int(begins[k] + sizes[k])
+
+
 def _celled(quota: int):
-    """Rows (cell, role, g, doc, n, component, bits, refuted), sorted by cell, to the pairs that a round verifies."""
+    """Rows (cell, role, g, doc, n, component, bits, refuted, list), sorted by cell, to (list, a, b) to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(rows: list[tuple]) -> pa.RecordBatch:
-            found = Cell(rows).pairs(quota)
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], type=pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        held: list[tuple] = []
+        def judged(rows: pa.Table) -> pa.RecordBatch:
+            rows = rows.combine_chunks()
+            columns = [c.chunk(0) for c in rows.columns]
+            cell, n, comp = (columns[i].to_numpy(zero_copy_only=False) for i in (0, 4, 5))
+            out = []
+            for lo, hi in _worth_a_look(cell, n, comp, folded(columns[6])):
+                part = rows.slice(lo, hi - lo)
+                name = part.column(8)[0].as_py()
+                out += [(name, *p) for p in Cell(list(zip(*(c.to_pylist() for c in part.columns), strict=True))).pairs(quota)]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], type=pa.int64()) for i in range(3)], names=["list", "a", "b"])
+
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[-1][0] != row[0]:
-                    yield judged(held)
-                    held = []
-                held.append(row)
+            if not batch.num_rows:
+                continue
+            cell = batch.column(0).to_numpy(zero_copy_only=False)
+            cut = int(np.searchsorted(cell, cell[-1]))
+            if cut:
+                yield judged(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                held = []
+            elif held and held[-1].column(0)[0].as_py() != cell[0]:
+                yield judged(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
         if held:
-            yield judged(held)
+            yield judged(pa.Table.from_batches(held))
 
     return run
 
 
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Those of the pairs (a, b, na, nb, bits of a, bits of b) whose bitmaps leave room for a link."""
+    for batch in batches:
+        na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+        ok = 4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)
+        if batch.num_rows:
+            ok &= 7 * _apart(folded(batch.column(4)), folded(batch.column(5))) <= na + nb
+        yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in batch.columns[:2]], names=["a", "b"])
+
+
 def _messages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, doc, keys) to a row (key, salt, role, doc, packed text) for each key."""
     pack = zstandard.ZstdCompressor(level=3).compress
@@ -369,12 +432,17 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return sets.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role").transform(kit.through, _verified, "a long, b long")
 
 
-def _cells(lists: DataFrame, placed: DataFrame, refuted: DataFrame | None) -> DataFrame:
-    """The rows of all cells of lists that hold several components. lists: list, g; placed: g, doc, n, bits, component."""
+def _cells(lists: DataFrame, placed: DataFrame, refuted: DataFrame | None, again: DataFrame | None) -> DataFrame:
+    """The rows of all cells of lists that hold several components. lists: list, g; placed: g, doc, n, bits, component.
+
+    again: the lists that a round has to look at; all if None.
+    """
     spans = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("nodes"))
     own = spans.where("nodes > 1 and x < y").select(F.col("g").alias("list"), "g")
     torn = lists.join(spans, "g").groupBy("list").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("list")
     wanted = lists.join(torn, "list").select("list", "g").union(own)
+    if again is not None:
+        wanted = wanted.join(again, "list", "left_semi")
     mass = wanted.join(placed.groupBy("g", "component").agg(F.sum("n").alias("m")), "g").groupBy("list", "component").agg(F.sum("m").alias("m"))
     # the component that most of a list is in asks nothing
     whole = mass.groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
@@ -389,7 +457,7 @@ def _cells(lists: DataFrame, placed: DataFrame, refuted: DataFrame | None) -> Da
     asks = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda k: at(block, k, 1))
     both = F.when(F.col("component") == F.col("main"), held).when((F.col("b") == 1) & (F.col("k") == 1), F.array(at(F.lit(0), F.lit(0), 2))).otherwise(F.concat(held, asks))
     rows = rows.select("list", "g", "doc", "n", "component", "bits", "refuted", F.explode(both).alias("at"))
-    return rows.select(F.xxhash64("list", "at.b", "at.k").alias("cell"), F.col("at.role").alias("role"), "g", "doc", "n", "component", "bits", "refuted")
+    return rows.select(F.xxhash64("list", "at.b", "at.k").alias("cell"), F.col("at.role").alias("role"), "g", "doc", "n", "component", "bits", "refuted", "list")
 
 
 def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -407,10 +475,12 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     scratch.drop("counted")
     shared = spark.sparkContext.broadcast(hot)
 
-    nodes = scratch.cut(texts.transform(kit.through, _signed(shards, shared), "doc long, n long, g long, bits binary"), "nodes")
-    lists = texts.transform(kit.through, _listed(shards, shared), "shard int, tokens binary, groups binary").repartition(shards, "shard")
+    signed = scratch.cut(texts.transform(kit.through, _signed(shards, shared), "doc long, n long, g long, bits binary, first binary"), "signed")
+    nodes = scratch.cut(signed.drop("first"), "nodes")
+    lists = signed.where("n > 0").select("g", "first").transform(kit.through, _listed(shards), "shard int, tokens binary, groups binary").repartition(shards, "shard")
     live = lists.transform(kit.through, _live, "list long, g long, df long, times long").groupBy("list", "g").agg(F.max("df").alias("df"), F.sum("times").alias("times"))
     live = scratch.cut(live, "live")
+    scratch.drop("signed")
 
     # first pass: one leader for each group, the group's first member for each member
     members = nodes.where("n > 0")
@@ -421,23 +491,28 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     led = led.groupBy("g").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     outer = led.join(firsts, "g").select("lead", F.col("first").alias("b")).join(firsts.withColumnRenamed("g", "lead"), "lead").select(F.col("first").alias("a"), "b")
     inner = members.join(firsts, "g").where("doc <> first").select(F.col("first").alias("a"), F.col("doc").alias("b"))
-    edges = verify(scratch.cut(outer.union(inner), "pairs"), texts)
+    sized = nodes.select("doc", "n", "bits")
+    both = outer.union(inner).join(sized.toDF("a", "na", "bits_a"), "a").join(sized.toDF("b", "nb", "bits_b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b")
+    edges = verify(scratch.cut(both.transform(kit.through, _near, "a long, b long"), "pairs"), texts)
     found = scratch.cut(kit.components(edges, scratch, "cc0"), "found0")
     scratch.drop("pairs")
 
-    k, seen, refuted = 0, None, None
+    k, seen, refuted, again = 0, None, None, None
     while True:
         placed = members.join(found, members.doc == found.id, "left").select("g", "doc", "n", "bits", F.coalesce("component", "doc").alias("component"))
         placed = scratch.cut(placed, f"placed{k}")
-        cells = _cells(live.select("list", "g"), placed, refuted)
-        named = cells.repartition(kit.parts_for(df, 4 * SHARD_BYTES), "cell").sortWithinPartitions("cell").transform(kit.through, _celled(MORE**k), "a long, b long")
-        pairs = scratch.cut(named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"pairs{k}")
-        if pairs.isEmpty():
+        cells = _cells(live.select("list", "g"), placed, refuted, again)
+        named = cells.repartition(kit.parts_for(df, 4 * SHARD_BYTES), "cell").sortWithinPartitions("cell").transform(kit.through, _celled(MORE**k), "list long, a long, b long")
+        named = scratch.cut(named.select("list", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), f"pairs{k}")
+        pairs = named.select("a", "b").distinct()
+        if named.isEmpty():
             break
         late = scratch.cut(verify(pairs, texts), f"late{k}")
         failed = pairs.join(late, ["a", "b"], "left_anti")
         failed = failed.union(failed.select("b", "a"))
         seen = scratch.cut(failed if seen is None else seen.union(failed), f"refuted{k}")
+        # where every pair that was named links, the pairs that were not named are linked by those
+        again = scratch.cut(named.join(seen.toDF("a", "b"), ["a", "b"], "left_semi").select("list").distinct(), f"again{k}")
         refuted = seen.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("refuted"))
         # links between components join their names
         name = placed.select("doc", "component")
