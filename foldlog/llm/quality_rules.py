@@ -1,11 +1,13 @@
 """Line-first cleaning: rules judge each line, failed lines go, and a text that loses too much is rejected.
 
 A line with a word (``[^\\x20\\x09-\\x0D]+``) fails as
-- navigation, if of its words one in five at least is a bar (``|``);
+- navigation, if of its words one in five at least is a separator (one of SEPARATORS);
+- links, if more than half of its words are web addresses;
+- numbers, if each of its words is a number, date or time;
 - symbols, if it has as many of ``#*$%&|<>`` as half its words, at least two;
 - shouting, if it has a doubled ``!!`` or ``??`` for every third word at least;
 - punctuation, if it has 12 words or more and none of ``. ! ? … 。 :`` anywhere;
-- boilerplate, if one of the phrases of BOILERPLATE stands in it, whatever the case.
+- boilerplate, if one of the phrases of BOILERPLATE (English, German, French, Spanish) stands in it, whatever the case.
 A text is kept if it has 20 words at least, repeated 8-word windows cover at most 30 % of its words, and the lines
 removed hold at most half of its words' characters.
 
@@ -29,20 +31,35 @@ from foldlog.llm import kit
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 ENDS = ".!?…。:"
+#: Words that part the entries of a menu or a path.
+SEPARATORS = ("|", "»", "›", "·", "•", "/", ">")
 #: Phrases that mark boilerplate lines.
 BOILERPLATE = (
     "all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "click here", "sign up for", "subscribe to our",
     "enable javascript", "accept cookies", "powered by", "back to top", "share this page", "lorem ipsum",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "hier klicken", "newsletter abonnieren", "nach oben", "cookies akzeptieren",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "cliquez ici", "haut de page", "accepter les cookies",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aviso legal", "haga clic aquí", "volver arriba", "aceptar cookies",
 )
 MIN_WORDS, MAX_REPEAT_PERCENT, MAX_LOST_PERCENT = 20, 30, 50
-_PHRASE = re.compile("|".join(map(re.escape, BOILERPLATE)), re.IGNORECASE | re.ASCII)
+#: Letters beyond ASCII stand with their capitals, so that either engine's folding finds the same.
+_PHRASES = "|".join("".join(c if c < "\x80" else f"[{c}{c.upper()}]" for c in p) for p in BOILERPLATE)
+_PHRASE = re.compile(_PHRASES, re.IGNORECASE | re.ASCII)
+_BARS = tuple(s.encode() for s in SEPARATORS)
+_LINK = (b"http://", b"https://", b"www.")
+_NUMBER = re.compile(rb"[0-9][0-9.,:/-]*")
 
 OUT = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_failed_lines", "lost_chars")] + [T.StructField("cleaned", T.StringType())])
 
 
 def line_fails(line: str, words: list[bytes]) -> bool:
     n = len(words)
-    if 5 * words.count(b"|") >= n and b"|" in words:
+    bars = sum(map(words.count, _BARS))
+    if bars and 5 * bars >= n:
+        return True
+    if 2 * sum(w.startswith(_LINK) for w in words) > n:
+        return True
+    if _NUMBER.fullmatch(words[0]) and all(map(_NUMBER.fullmatch, words)):
         return True
     symbols = sum(map(line.count, SYMBOLS))
     if symbols >= 2 and 2 * symbols >= n:
@@ -145,7 +162,8 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 _LINE = "regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')"
-_PHRASES = "|".join(BOILERPLATE)
+_BARS_SQL = ", ".join(f"'{s}'" for s in SEPARATORS)
+_PHRASES_SQL = _PHRASES.replace("'", "''")
 _ANY = "[#*$%&|<>]"
 
 
@@ -162,12 +180,14 @@ def lines_sql(docs: str) -> str:
     worded AS (SELECT doc_id, n, line, {_LINE} AS w, row_number() OVER (PARTITION BY doc_id, line ORDER BY n) AS k FROM lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
     marked AS (
       SELECT doc_id, n, line, k, length(array_to_string(w, '')) AS chars, (
-          (list_contains(w, '|') AND 5 * len(list_filter(w, lambda x: x = '|')) >= len(w))
+          (len(list_filter(w, lambda x: x IN ({_BARS_SQL}))) > 0 AND 5 * len(list_filter(w, lambda x: x IN ({_BARS_SQL}))) >= len(w))
+          OR 2 * len(list_filter(w, lambda x: regexp_matches(x, '^(https?://|www\\.)'))) > len(w)
+          OR len(list_filter(w, lambda x: NOT regexp_full_match(x, '[0-9][0-9.,:/-]*'))) = 0
           OR (len(regexp_extract_all(line, '{_ANY}')) >= 2 AND 2 * len(regexp_extract_all(line, '{_ANY}')) >= len(w))
           OR (len(regexp_extract_all(line, '!!')) + len(regexp_extract_all(line, '\\?\\?')) > 0
               AND 3 * (len(regexp_extract_all(line, '!!')) + len(regexp_extract_all(line, '\\?\\?'))) >= len(w))
           OR (len(w) >= 12 AND NOT regexp_matches(line, '[.!?…。:]'))
-          OR regexp_matches(line, '(?i){_PHRASES}')) AS fails
+          OR regexp_matches(line, '(?i){_PHRASES_SQL}')) AS fails
       FROM worded),
     by_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (fails) AS n_failed_lines, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(chars) FILTER (fails), 0)::BIGINT AS lost_chars FROM marked GROUP BY doc_id),
     measured AS (
