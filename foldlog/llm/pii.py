@@ -7,7 +7,9 @@ matches in time linear in the text and with a flat stack, however long a run is.
 
 Kinds: the base kinds ``email ip card phone`` are kept whenever their own test holds (parts at most 255, Luhn over
 16 to 19 digits, 8 to 15 digits); a match that fails is dropped without a retry inside it. ``iban`` needs mod-97 and
-15 to 34 characters. ``ssn`` (3-2-4 digits) has no checksum: its score reaches the threshold only with a context word.
+15 to 34 characters. Four kinds have no checksum, and their scores reach the threshold only with a context word in
+English, German, French or Spanish nearby: ``ssn`` (3-2-4 digits), ``birth`` (a calendar date), ``passport`` (letters
+and digits) and ``secret`` (24 characters or more without a gap, with letters and digits among them).
 Score: what the kind's confirmation is worth, plus ``CONTEXT_GAIN`` if a context word stands within
 ``CONTEXT_CHARS`` characters, no further than the next match of that kind.
 
@@ -23,18 +25,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn")
+KINDS = (*BASE, "iban", "ssn", "birth", "passport", "secret")
+_DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
 CONTEXT_CHARS, CONTEXT_GAIN, THRESHOLD = 40, 0.3, 0.5
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]))"
 #: kind: what a text must hold to be searched, pattern, context words, score without context
 RULES: dict[str, tuple[str, str, str, float]] = {
-    "email": ("@", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "mail|contact|write|reply", 0.7),
-    "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "address|host|server|login|client", 0.6),
-    "card": (r"[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++", "card|visa|master|credit|payment|amex", 0.65),
-    "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "phone|call|tel|mobile|fax|whatsapp", 0.6),
-    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++", "iban|account|bank|transfer", 0.65),
-    "ssn": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social|security|tax", 0.3),
+    "email": ("@", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "mail|contact|write|reply|kontakt|schreib|courriel|correo|escrib", 0.7),
+    "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "address|host|server|login|client|adress|servidor|serveur|cliente", 0.6),
+    "card": (r"[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++", "card|visa|master|credit|payment|amex|karte|zahlung|carte|paiement|tarjeta|pago", 0.65),
+    "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "phone|call|tel|mobile|fax|whatsapp|handy|anruf|appel|portable|llam|móvil", 0.6),
+    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++", "iban|account|bank|transfer|konto|compte|virement|cuenta|banco", 0.65),
+    "ssn": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social|security|tax|steuer|sozial|sécurité|fiscal|seguridad", 0.3),
+    "birth": (
+        r"[0-9][./-][0-9]", rf"(?<![0-9./-])(?:{_DAY}[./]{_MONTH}[./]{_YEAR}|{_YEAR}-{_MONTH}-{_DAY})(?![0-9./-]*[0-9])",
+        "born|birth|dob|geboren|geburt|née|né le|naissance|nacid|nacimiento", 0.3,
+    ),
+    "passport": (r"[A-Z][0-9]{6}", r"(?<![A-Za-z0-9])[A-Z]{1,2}[0-9]{6,8}(?![A-Za-z0-9])", "passport|reisepass|ausweis|passeport|pasaporte", 0.3),
+    "secret": (r"[A-Za-z0-9_-]{24}", r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+", "token|secret|api.?key|password|passwort|kennwort|mot de passe|contraseña|clave", 0.3),
 }
 
 
@@ -72,6 +81,8 @@ def confirmed(kind: str, found: Column) -> Column:
         return F.length(digits).between(8, 15)
     if kind == "iban":
         return let(F.regexp_replace(found, " ", ""), lambda s: F.when(F.length(s).between(15, 34), mod97(s)).otherwise(False))
+    if kind == "secret":
+        return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
     return F.lit(True)
 
 
@@ -101,7 +112,7 @@ _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 def _spans_of(kind: str, text: Column) -> Column:
     needs, pattern, context, worth = RULES[kind]
-    near = rf"(?i)(?:{context})"
+    near = rf"(?iu)(?:{context})"
 
     def with_pieces(both: Column) -> Column:
         pieces, found = both["pieces"], both["found"]
