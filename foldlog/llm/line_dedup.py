@@ -221,7 +221,7 @@ OUT = T.StructType([T.StructField("deduped", T.StringType())] + [T.StructField(n
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text, spans, partners) to row and OUT."""
+    """(row, text, spans, partners) to row, text and OUT."""
     for batch in batches:
         for lo, hi, _, _ in kit.text_steps(batch, 1):
             part = batch.slice(lo, hi - lo)
@@ -234,7 +234,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     rows.append((*shorten(text, [(s["a"], s["b"]) for s in spans]), partners))
             made = [pa.array([r[i] for r in rows], type=pa.int64() if i else pa.string()) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *made], names=["row", *OUT.fieldNames()])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names=["row", "text", *OUT.fieldNames()])
 
 
 # ---------------------------------------------------------------- all documents
@@ -296,9 +296,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     scratch.drop("profiles", "seeds", "links", "left0", f"todo{k}")
 
     kept = [c for c in df.columns if c not in OUT.fieldNames()]
-    given = df.select(kit.packed(df, kept), doc.alias("doc"), mark.alias("mark"), text.alias("text")).join(state, ["doc", "mark"], "left").select("row", "text", "spans", "partners")
-    found = given.transform(kit.through, _apply, T.StructType([given.schema["row"], *OUT.fields]))
-    return found.select(*kit.unpacked(kept), *OUT.fieldNames())
+    rest = [c for c in kept if c != text_col]  # the text travels once
+    given = df.select(kit.packed(df, rest), doc.alias("doc"), mark.alias("mark"), text.alias("text"))
+    # the merge keeps small inputs on the plan that large ones take
+    given = given.join(state.hint("merge"), ["doc", "mark"], "left").select("row", "text", "spans", "partners")
+    found = given.transform(kit.through, _apply, T.StructType([given.schema["row"], given.schema["text"], *OUT.fields]))
+    return found.select(*(F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in kept), *OUT.fieldNames())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -308,5 +311,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that earlier ones have; those of which no word is left go. n_chars follows, if there."""
-    found = dedup(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text")).where((F.col("n_removed_lines") == 0) | F.col("deduped").rlike(r"[^\x20\x09-\x0D]"))
+    found = dedup(docs.select(kit.packed(docs, [c for c in docs.columns if c != "text"]).alias("whole"), "doc_id", "text")).where((F.col("n_removed_lines") == 0) | F.col("deduped").rlike(r"[^\x20\x09-\x0D]"))
     return kit.with_text(found, docs, F.col("deduped"))

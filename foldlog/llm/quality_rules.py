@@ -157,7 +157,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are kept, with their failed lines gone. n_chars follows, if there."""
-    found = clean(docs.select(F.struct(*docs.columns).alias("whole"), "text")).where("kept")
+    found = clean(docs.select(kit.packed(docs, [c for c in docs.columns if c != "text"]).alias("whole"), "text")).where("kept")
     return kit.with_text(found, docs, F.col("cleaned"))
 
 
