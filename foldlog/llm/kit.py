@@ -82,7 +82,7 @@ def unpacked(columns: list[str]) -> list[Column]:
 
 
 def with_text(found: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
-    """The columns of docs out of a struct ``whole``, with another text; n_chars follows it where there is one."""
+    """The columns of docs out of a struct ``whole`` (which need not hold these), with another text; n_chars follows it."""
     given = {"text": text}
     if "n_chars" in docs.columns:
         given["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
@@ -249,14 +249,40 @@ def binaries(parts: list[bytes | None]) -> pa.Array:
 
 # ---------------------------------------------------------------- components
 
+#: So many edges at most are one task's: about 10 MB.
+FEW_EDGES = 200_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges (u, v) to (id, component), by union and find."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[x] != top:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            a, b = find(u), find(v)
+            root[max(a, b)] = min(a, b)
+    ids = sorted(root)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array([find(x) for x in ids], type=pa.int64())], names=["id", "component"])
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(id, component): for every end of an edge, the smallest id that is reachable from it.
 
-    edges: columns ``a`` and ``b`` (long, not null). Alternates the large-star and small-star steps of
+    edges: columns ``a`` and ``b`` (long, not null). FEW_EDGES at most are united in one task; for more, it alternates the large-star and small-star steps of
     Kiveris et al. (2014) until nothing changes. A node of high degree is met only in grouped minimums and
     in joins whose other side has one row per node, so no neighbourhood is gathered in one place.
     """
     now = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}-0")
+    if now.count() <= FEW_EDGES:
+        return now.coalesce(1).transform(through, _united, "id long, component long")
     k = 0
     while True:
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -14,9 +14,9 @@ list gives the same links, so its bound costs time at worst.)
 4. Rounds, for whatever is apart: a list whose groups lie in several components (and a group whose members do) is
    dealt out to cells. In a cell, pairs of groups are filtered by size; those that fit are expanded to their members,
    and members of different components by a bound on the overlap (the parity bitmaps of both sets differ in no more
-   places than the sets). Of what passes, only pairs that would join two components are verified, so a cell names
-   fewer pairs than it has components; a pair that fails is remembered and the next round names more of its rest. The
-   rounds end when no pair is left that could link: every pair with a shared prefix shingle is then linked, in one
+   places than the sets). Of what passes, pairs that would join two components are verified, and a few more for each
+   node, so a cell names about as many pairs as it has nodes; where a pair fails and others were not named, the next
+   round names more of the rest. The rounds end when no pair is left that could link: every pair with a shared prefix shingle is then linked, in one
    component by other links, or refuted. No list, bucket or partner count is capped.
 
 Posting lists travel as binary blocks, one per step and shard, with 32-bit shingle keys within a shard; a clash adds
@@ -50,6 +50,8 @@ HOT_LEAST, HOT_MAX = 12, 1_000_000
 SHARD_BYTES = 16 << 20
 #: Messages that one verification task gets for a pivot.
 FAN = 2_000
+#: So many pairs at most are sent to all tasks that hold texts: about 5 MB.
+FEW = 100_000
 #: Shingles of the sets on either side of a cell.
 CELL_SHINGLES = 4_000_000
 #: Bytes of the least bitmap, and what all are folded to for a first look.
@@ -265,19 +267,26 @@ class Cell:
         ok = np.array([j not in known for j in found.tolist()], dtype=bool)
         return found[ok], far[ok]
 
-    def pairs(self, quota: int) -> list[tuple[int, int]]:
-        """Pairs to verify: for each asking node its nearest partners in other components, joined as if they linked."""
+    def pairs(self, quota: int) -> tuple[list[tuple[int, int]], bool]:
+        """Pairs to verify, and whether there are others, which matter if one of these does not link.
+
+        For each asking node the nearest partner in every component that no pair named so far would join it to; and
+        quota - 1 of its other nearest partners, so that not much is left to ask if a pair fails.
+        """
         names, self.comp = np.unique(self.comp, return_inverse=True)
-        root = np.arange(len(names))
-        out = []
+        apart, root = np.arange(len(names)), np.arange(len(names))
+        out, more = [], False
         for i in np.flatnonzero(self.role != 0).tolist():
-            found, far = self.partners(i, root)
-            for j in found[np.lexsort((self.doc[found], far))][:quota].tolist():
-                a, b = root[self.comp[i]], root[self.comp[j]]
-                if a != b or quota > 1:
-                    out.append((int(self.doc[i]), int(self.doc[j])))
-                root[root == b] = a
-        return out
+            found, far = self.partners(i, apart)
+            own = found[np.lexsort((self.doc[found], far))]
+            named: list[int] = []
+            while len(other := own[root[self.comp[own]] != root[self.comp[i]]]):
+                named.append(int(other[0]))
+                root[root == root[self.comp[other[0]]]] = root[self.comp[i]]
+            named += own[~np.isin(own, named)][: quota - 1].tolist()
+            out += [(int(self.doc[i]), int(self.doc[j])) for j in named]
+            more |= len(named) < len(own)
+        return out, more
 
 
 def folded(column: pa.Array) -> np.ndarray:
@@ -316,7 +325,7 @@ def _worth_a_look(cell: np.ndarray, n: np.ndarray, comp: np.ndarray, bits: np.nd
 
 
 def _celled(quota: int):
-    """Rows (cell, role, g, doc, n, component, bits, refuted, list), sorted by cell, to (list, a, b) to be verified."""
+    """Rows (cell, role, g, doc, n, component, bits, refuted, list), sorted by cell, to (list, a, b, more) to be verified."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(rows: pa.Table) -> pa.RecordBatch:
@@ -327,8 +336,9 @@ def _celled(quota: int):
             for lo, hi in _worth_a_look(cell, n, comp, folded(columns[6])):
                 part = rows.slice(lo, hi - lo)
                 name = part.column(8)[0].as_py()
-                out += [(name, *p) for p in Cell(list(zip(*(c.to_pylist() for c in part.columns), strict=True))).pairs(quota)]
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], type=pa.int64()) for i in range(3)], names=["list", "a", "b"])
+                found, more = Cell(list(zip(*(c.to_pylist() for c in part.columns), strict=True))).pairs(quota)
+                out += [(name, *p, more) for p in found]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], type=pa.int64() if i < 3 else pa.bool_()) for i in range(4)], names=["list", "a", "b", "more"])
 
         held: list[pa.RecordBatch] = []
         for batch in batches:
@@ -427,6 +437,8 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     first = fans.select(F.col("a").alias("doc"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("role"))
     rest = pairs.join(fans, "a").select(F.col("b").alias("doc"), F.col("a").alias("key"), F.pmod(F.hash("b"), F.col("fan")).alias("salt"), F.lit(1).alias("role"))
     asked = first.union(rest).groupBy("doc").agg(F.collect_list(F.struct("key", "salt", "role")).alias("keys"))
+    if pairs.count() <= FEW:  # then the texts need not be shuffled to be found
+        asked = F.broadcast(asked)
     sets = texts.join(asked, "doc").select("text", "doc", "keys").transform(kit.through, _messages, "key long, salt int, role int, doc long, blob binary")
     n = kit.parts_for(texts, 32 << 20)
     return sets.repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "role").transform(kit.through, _verified, "a long, b long")
@@ -439,10 +451,10 @@ def _cells(lists: DataFrame, placed: DataFrame, refuted: DataFrame | None, again
     """
     spans = placed.groupBy("g").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("nodes"))
     own = spans.where("nodes > 1 and x < y").select(F.col("g").alias("list"), "g")
+    if again is not None:
+        lists, own = (x.join(again, "list", "left_semi") for x in (lists, own))
     torn = lists.join(spans, "g").groupBy("list").agg(F.min("x").alias("x"), F.max("y").alias("y")).where("x < y").select("list")
     wanted = lists.join(torn, "list").select("list", "g").union(own)
-    if again is not None:
-        wanted = wanted.join(again, "list", "left_semi")
     mass = wanted.join(placed.groupBy("g", "component").agg(F.sum("n").alias("m")), "g").groupBy("list", "component").agg(F.sum("m").alias("m"))
     # the component that most of a list is in asks nothing
     whole = mass.groupBy("list").agg(F.max(F.struct("m", "component")).alias("top"), F.sum("m").alias("all"))
@@ -467,7 +479,8 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     rows = df.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = rows.select("doc", *kit.digests(F.col("text")))
     copies = scratch.cut(keyed.where("doc is not null").groupBy("h1", "h2").agg(F.min("doc").alias("node")), "copies")
-    texts = scratch.cut(rows.join(copies.select("node").distinct(), F.col("doc") == F.col("node"), "left_semi"), "texts")
+    # the merge keeps small inputs on the plan that large ones take
+    texts = scratch.cut(rows.join(copies.select("node").distinct().hint("merge"), F.col("doc") == F.col("node"), "left_semi"), "texts")
 
     shards = kit.parts_for(df, SHARD_BYTES)
     counted = texts.transform(kit.through, _counted(shards), "shard int, tokens binary").repartition(shards, "shard").transform(kit.through, _frequent, "token long, n long")
@@ -502,17 +515,18 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         placed = members.join(found, members.doc == found.id, "left").select("g", "doc", "n", "bits", F.coalesce("component", "doc").alias("component"))
         placed = scratch.cut(placed, f"placed{k}")
         cells = _cells(live.select("list", "g"), placed, refuted, again)
-        named = cells.repartition(kit.parts_for(df, 4 * SHARD_BYTES), "cell").sortWithinPartitions("cell").transform(kit.through, _celled(MORE**k), "list long, a long, b long")
-        named = scratch.cut(named.select("list", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), f"pairs{k}")
+        named = cells.repartition(kit.parts_for(df, 4 * SHARD_BYTES), "cell").sortWithinPartitions("cell").transform(kit.through, _celled(MORE ** (k + 1)), "list long, a long, b long, more boolean")
+        named = scratch.cut(named.select("list", "more", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), f"pairs{k}")
         pairs = named.select("a", "b").distinct()
         if named.isEmpty():
+            scratch.drop(f"placed{k}", f"pairs{k}")
             break
         late = scratch.cut(verify(pairs, texts), f"late{k}")
         failed = pairs.join(late, ["a", "b"], "left_anti")
         failed = failed.union(failed.select("b", "a"))
         seen = scratch.cut(failed if seen is None else seen.union(failed), f"refuted{k}")
         # where every pair that was named links, the pairs that were not named are linked by those
-        again = scratch.cut(named.join(seen.toDF("a", "b"), ["a", "b"], "left_semi").select("list").distinct(), f"again{k}")
+        again = scratch.cut(named.where("more").join(seen.toDF("a", "b"), ["a", "b"], "left_semi").select("list").distinct(), f"again{k}")
         refuted = seen.groupBy(F.col("a").alias("doc")).agg(F.collect_set("b").alias("refuted"))
         # links between components join their names
         name = placed.select("doc", "component")
@@ -521,7 +535,9 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         found = scratch.cut(name.join(joined, "component", "left").select(F.col("doc").alias("id"), F.coalesce("to", "component").alias("component")), f"found{k + 1}")
         scratch.drop(f"placed{k}", f"pairs{k}", f"late{k}")
         k += 1
-    scratch.drop("texts", "live", f"placed{k}", f"pairs{k}")
+        if again.isEmpty():
+            break
+    scratch.drop("texts", "live")
 
     whole = nodes.groupBy("doc").agg(F.max("n").alias("n")).join(found, F.col("doc") == F.col("id"), "left").select(F.col("doc").alias("node"), "n", F.coalesce("component", "doc").alias("component"))
     named = keyed.join(copies, ["h1", "h2"], "left").join(whole, "node", "left")

@@ -115,6 +115,23 @@ def test_near_copies_of_short_texts(spark, monkeypatch, cell):
     assert found == links(rows)
 
 
+@pytest.mark.parametrize("more", [1, 2, 8])
+def test_refuted_pairs_leave_no_link_out(spark, monkeypatch, more):
+    """Families at the threshold: many pairs pass the bitmaps and fail the sets."""
+    monkeypatch.setattr(ngram_join, "MORE", more)
+    rng = random.Random(5)
+    rows = []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(16):
+            own = list(base)
+            for _ in range(rng.choice([1, 2, 2, 3, 4])):
+                own[rng.randrange(len(own))] = f"z{rng.randrange(9)}"
+            rows.append((len(rows), " ".join(own)))
+    found = {r["doc"]: (r["n"], r["component"]) for r in ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == links(rows)
+
+
 def test_one_row_of_each_component_stays(spark, none):
     base = "a b c d e f g h i j k l m n o p"
     rows = [(None, base), (None, base), (7, base + " q"), (7, base + " q"), (3, "other words stand here alone today"), (None, "words that nobody else has at all"), (4, None), (5, "")]
