@@ -138,29 +138,29 @@ class Trie:
 
     def __init__(self, folder: str):
         self.contexts, self.pointers, self.words = (EliasFano.load(folder, x) for x in self.LEVELS)
-        self.codes, self.centres, self.totals = (np.load(os.path.join(folder, f"{x}.npy"), mmap_mode="r") for x in ("codes", "centres", "totals"))
+        self.codes, self.centres = (np.load(os.path.join(folder, f"{x}.npy"), mmap_mode="r") for x in ("codes", "centres"))
 
     @staticmethod
-    def write(folder: str, context: np.ndarray, word: np.ndarray, value: np.ndarray, total_of: np.ndarray) -> None:
-        """context, word: sorted distinct pairs; value: of each pair; total_of: of each distinct context."""
+    def write(folder: str, context: np.ndarray, word: np.ndarray, value: np.ndarray) -> None:
+        """context, word: sorted distinct pairs; value: of each pair."""
         distinct, first = np.unique(context, return_index=True)
         rank = np.repeat(np.arange(len(distinct), dtype=np.int64), np.diff(np.append(first, len(context))))
         EliasFano.of(distinct, 1 << 64).save(folder, "contexts")
         EliasFano.of(np.append(first, len(context)).astype(U64), len(context) + 1).save(folder, "pointers")
         EliasFano.of(rank.astype(U64) << U64(32) | word.astype(U64), max(1, len(distinct)) << 32).save(folder, "words")
         book = Codebook(value)
-        for name, data in (("codes", book.code(value)), ("centres", book.centres), ("totals", total_of)):
+        for name, data in (("codes", book.code(value)), ("centres", book.centres)):
             np.save(os.path.join(folder, f"{name}.npy"), data)
 
-    def find(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Whether each pair is there, its value (0 if not), and its context's total (0 if unknown).
+    def find(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each pair is there, and its value (0 if not).
 
         context: distinct contexts; sizes: how many of the words belong to each, one after another.
         """
         n = len(word)
-        hit, value, total = np.zeros(n, dtype=bool), np.zeros(n), np.zeros(n)
+        hit, value = np.zeros(n, dtype=bool), np.zeros(n)
         if not self.contexts.n or not n:
-            return hit, value, total
+            return hit, value
         at, known = self.contexts.successor(context)
         at = np.where(known, at, 0)
         begin, end = (self.pointers.get(x).astype(np.int64) for x in (at, at + 1))
@@ -171,5 +171,4 @@ class Trie:
         j, equal = self.words.successor(key, (begin[of], end[of]))
         hit[asked] = equal
         value[asked[equal]] = self.centres[self.codes[j[equal]]]
-        total[asked] = self.totals[at[of]]
-        return hit, value, total
+        return hit, value

@@ -1,21 +1,26 @@
 """Language-model scores from a sharded Elias-Fano n-gram trie.
 
 A word's probability after its predecessor is ``(c(a, b) + MU u(b)) / (c(a) + MU)`` (Dirichlet smoothing), which sums
-to one over b. The unigram u gives each of the VOCABULARY most frequent words its relative frequency and shares the
-other words' mass, and one count more, evenly among them and one unseen word. Texts begin with a mark and end with
-one that is a token; A-Z are lower-cased; order 2.
-
-1. Words are counted over all training texts, in shards by their hashes. The most frequent ones, a bounded list, go to
-   all tasks.
-2. Every text's word pairs travel once, to a shard by the predecessor's hash; a frequent predecessor's, whose count is
-   known everywhere, to one by the pair's, so that no word fills a shard. A pair goes in blocks of many texts.
-3. A shard counts its training pairs, writes them as a trie (see elias_fano: context and pointer levels, words sought
-   relative to their context, probabilities quantised to a byte) to files of its own, maps them, looks up all its
-   pairs, and returns sums by text. What the base score needs of rare words is counted there too.
-Shards follow the input's size; nothing but the frequent words is sent everywhere, and no pair is pruned.
+to one over b. The unigram u gives every word of the training texts its own relative frequency, however rare, and one
+unseen word the mass of one count. Texts begin with a mark and end with one that is a token; A-Z are lower-cased;
+order 2.
+
+1. Words are counted over all training texts, in shards by their hashes. The VOCABULARY most frequent ones go to all
+   tasks with their counts. That list decides only where a count is found, no probability.
+2. A block of texts sends each distinct pair once, with its count in training texts, and keeps which pair each of its
+   tokens is. A pair whose second word is not on the list goes to the shard of that word, any other to one by the pair's
+   own hash. So no word and no pair fills a shard, and a shard knows all occurrences of the other words that it gets.
+3. A shard sums its pairs' counts and writes them as a trie (see elias_fano: context and pointer levels, words sought
+   relative to their context, smoothed counts quantised to a byte) to files of its own, which a retried task writes
+   anew. It maps them, looks up all its pairs and returns to each block its pairs' numerators, and the counts of the
+   words that are not on the list. Those also give what these words divide by as predecessors, and their base scores.
+4. A block's answers meet its tokens and are summed by text.
+Shards follow the input's size; nothing but the frequent words is sent everywhere, and no word or pair is pruned.
+Words are 63-bit hashes.
 
 Defined cases: a null or empty text has one token, its end; a null id is not held out; repeated rows count repeatedly
-and score alike; with no training text every count is 0 and all words share the unigram mass. Other columns are ignored.
+and score alike; with no training text every count is 0 and all words have the unseen one's mass. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -86,17 +91,15 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Unigrams:
-    """Counts of the frequent words, and what is known of the others together."""
+    """Counts of the frequent words, and the sums over all."""
 
     def __init__(self, word: np.ndarray, count: np.ndarray, tokens: int, types: int, texts: int):
         order = np.argsort(word)
         self.word, self.count = word[order], count[order]
         self.tokens, self.types, self.texts = tokens, types, texts
-        #: by code: the count as predecessor and the probability; codes are BEGIN, END, then the words from FIRST
+        #: by code: the count as predecessor and the count as a token; codes are BEGIN, END, then the words from FIRST
         self.as_context = np.concatenate([[texts, 0], self.count]).astype(np.float64)
-        rare = tokens - texts - int(self.count.sum())
-        own = np.concatenate([[0], [texts], self.count]) / (tokens + 1)
-        self.chance = np.append(own, (rare + 1) / (tokens + 1) / (types - len(word) - (texts > 0) + 1))
+        self.as_token = np.concatenate([[0, texts], self.count]).astype(np.float64)
 
     def codes(self, hashes: np.ndarray) -> np.ndarray:
         """The code of a frequent word, the hash (with the top bit) of any other."""
@@ -127,14 +130,30 @@ def unigrams(texts: DataFrame, shards: int, n_texts: int, vocabulary: int = VOCA
 
 _BLOCK = "block long, shard int, kind int, ids array<long>, a binary, b binary, c binary, d binary"
 _KINDS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.int32()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
+PAIRS, TEXTS, ANSWERS = 0, 1, 2  # kinds of rows
+_LOW = kit.U64(0xFFFFFFFF)
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(_KINDS)], schema=_KINDS)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """All first bytes, then all second ones, and so on: small numbers compress well this way."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unplanes(data: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    flat = np.frombuffer(data, dtype=np.uint8).reshape(size, len(data) // size)
+    return np.ascontiguousarray(flat.T).view(dtype).ravel()
+
+
 def _pair_blocks(shards: int, shared):
-    """Of each block of texts: kind 0 to every shard its pairs, kind 1 what the block knows itself."""
+    """Of each block of texts: its distinct pairs to their shards, and a row of what it knows itself.
+
+    A shard's pairs are those of two frequent words, as one number each, then the others, as two numbers each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -149,134 +168,130 @@ def _pair_blocks(shards: int, shared):
                 rows, n = hi - lo, np.diff(words.bounds)
                 code = known.codes(words.hash)
                 # tokens: the mark that begins each text, its words, the mark that ends it
-                place = np.arange(len(code)) + 2 * words.row + 1
-                tokens = np.zeros(len(code) + 2 * rows, dtype=kit.U64)
-                tokens[place] = code
+                tokens = np.full(len(code) + 2 * rows, BEGIN, dtype=kit.U64)
+                tokens[np.arange(len(code)) + 2 * words.row + 1] = code
                 ends = words.bounds[1:] + 2 * np.arange(rows) + 1
                 tokens[ends] = END
-                at = np.ones(len(tokens), dtype=bool)
-                at[ends] = False
-                at = np.flatnonzero(at)
-                doc = np.repeat(np.arange(rows), n + 1)
-                a, b = tokens[at], tokens[at + 1]
-                b = np.where(b & _RARE > 0, b & kit.U64(0x7FFFFFFF) | kit.U64(1 << 31), b).astype(np.uint32)
-                train = (~out[lo:hi])[doc]
-                frequent = a & _RARE == 0
-                to = _shard(np.where(frequent, a * kit.U64(0x9E3779B97F4A7C15) + b, a), shards)
-                _, rank = np.unique(a, return_inverse=True)
-                order = np.argsort(rank.astype(kit.U64) << kit.U64(32) | b)
-                order = order[np.argsort(to[order].astype(np.uint16 if shards < 1 << 16 else np.uint32), kind="stable")]
-                a, b, doc, train, to = a[order], b[order], doc[order], train[order], to[order]
-                cuts = np.searchsorted(to, np.arange(shards + 1)).tolist()
+                first = np.ones(len(tokens), dtype=bool)
+                first[ends] = False
+                at = np.flatnonzero(first)
+                own, rank = np.unique(tokens, return_inverse=True)
+                pair, of = np.unique(rank[at].astype(kit.U64) << kit.U64(32) | rank[at + 1].astype(kit.U64), return_inverse=True)
+                a, b = own[(pair >> kit.U64(32)).astype(np.int64)], own[(pair & _LOW).astype(np.int64)]
+                count = np.bincount(of, weights=np.repeat(~out[lo:hi], n + 1), minlength=len(pair)).astype(np.uint32)
+                wide = (a | b) & _RARE > 0
+                to = 2 * _shard(np.where(b & _RARE > 0, b, a * kit.U64(0x9E3779B97F4A7C15) + b), shards) + wide
+                order = np.argsort(to, kind="stable")
+                a, b, count = a[order], b[order], count[order]
+                place = np.empty(len(order), dtype=np.uint32)
+                place[order] = np.arange(len(order), dtype=np.uint32)
+                cuts = np.searchsorted(to[order], np.arange(2 * shards + 1)).tolist()
                 sent = []
-                for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    if y > x:
-                        first = np.flatnonzero(np.concatenate([[True], a[x + 1 : y] != a[x : y - 1]]))
-                        head = np.stack([a[x:y][first], np.diff(np.append(first, y - x)).astype(kit.U64)])
-                        sent.append((block, k, 0, None, head.tobytes(), b[x:y].tobytes(), (doc[x:y] << 1 | train[x:y]).astype(np.uint32).tobytes(), None))
-                counts = known.as_context[np.where(code & _RARE > 0, kit.U64(0), code).astype(np.int64)]
+                for k, (x, y, z) in enumerate(zip(cuts[:-2:2], cuts[1::2], cuts[2::2], strict=True)):
+                    if z > x:
+                        sent.append((block, k, PAIRS, None, _planes(a[x:y] << kit.U64(32) | b[x:y]), _planes(a[y:z]), _planes(b[y:z]), _planes(count[x:z])))
                 seen = code & _RARE == 0
-                base = np.bincount(words.row[seen], weights=np.log10(counts[seen] + 1), minlength=rows) + np.log10(known.texts + 1)
-                n_known = np.bincount(words.row[seen], minlength=rows) + (known.texts > 0)
-                # ids as nullable longs; held_out as bytes beside n_tokens
-                sent.append((block, block % shards, 1, ids[lo:hi], (n + 1).astype(np.int64).tobytes(), base.tobytes(), n_known.astype(np.int64).tobytes(), out[lo:hi].astype(np.uint8).tobytes()))
+                row, c = words.row[seen], known.as_context[code[seen].astype(np.int64)]
+                base = np.bincount(row, weights=np.log10(c + 1), minlength=rows) + np.log10(known.texts + 1)
+                below = np.bincount(row, weights=np.log10(c + MU), minlength=rows) + np.log10(known.texts + MU)
+                n_known = np.bincount(row, minlength=rows) + (known.texts > 0)
+                own_sums = np.stack([n + 1.0, base, n_known, below])
+                sent.append((block, int(_shard(np.array([block], dtype=kit.U64), shards)[0]), TEXTS, ids[lo:hi], own_sums.tobytes(), _planes(place[of]), out[lo:hi].astype(np.uint8).tobytes(), None))
                 yield _rows(sent)
 
     return run
 
 
 def _score_shard(shared):
-    """Of a shard's blocks: the sums of each text, as kind 2; kind 1 passes."""
+    """Of a shard's blocks: an answer to each pair, in the order of the question; rows of texts pass.
+
+    a: log10 of the pair's smoothed count; b: of the pairs that are two numbers, how often the second word stands in
+    training texts, -1 where that is known everywhere.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Unigrams = shared.value
-        blocks, contexts, runs, words, docs, sizes = [], [], [], [], [], []
+        blocks, a, b, counts = [], [], [], []
         for batch in batches:
             passed = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[2] == 1:
+                if row[2] == TEXTS:
                     passed.append(row)
                     continue
-                head = np.frombuffer(row[4], dtype=kit.U64).reshape(2, -1)
-                contexts.append(head[0])
-                runs.append(head[1].astype(np.int64))
-                words.append(np.frombuffer(row[5], dtype=np.uint32))
-                docs.append(np.frombuffer(row[6], dtype=np.uint32))
-                blocks.append(row[0])
-                sizes.append(len(words[-1]))
+                narrow, wide = _unplanes(row[4], kit.U64), _unplanes(row[5], kit.U64)
+                a += [narrow >> kit.U64(32), wide]
+                b += [narrow & _LOW, _unplanes(row[6], kit.U64)]
+                counts.append(_unplanes(row[7], np.uint32))
+                blocks.append((row[0], row[1], len(narrow), len(wide)))
             if passed:
                 yield _rows(passed)
         if not blocks:
             return
-        distinct, rank = np.unique(np.concatenate(contexts), return_inverse=True)
-        key = np.repeat(rank.astype(kit.U64) << kit.U64(32), np.concatenate(runs))
-        key |= np.concatenate(words)
-        doc = np.concatenate(docs)
-        del contexts, runs, words, docs, rank
-        order = np.argsort(key).astype(np.uint32)
-        key = key[order]
-        new = np.ones(len(key), dtype=bool)
-        np.not_equal(key[1:], key[:-1], out=new[1:])
-        pair = np.empty(len(key), dtype=np.uint32)
-        pair[order] = np.cumsum(new, dtype=np.uint32) - np.uint32(1)
-        key = key[new]
-        del order, new
-        which = (key >> kit.U64(32)).astype(np.int64)
-        ctx, wrd = distinct[which], (key & kit.U64(0xFFFFFFFF)).astype(np.uint32)
-        del key
-        count = np.bincount(pair, weights=doc & 1, minlength=len(ctx))
-        # predecessors: a frequent one's count is known, a rare one's pairs are all here
-        total = np.bincount(which, weights=count, minlength=len(distinct))
-        frequent = distinct & _RARE == 0
-        total[frequent] = known.as_context[distinct[frequent].astype(np.int64)]
-        chance = known.chance[np.where(wrd >> 31 > 0, len(known.chance) - 1, wrd).astype(np.int64)]
+        contexts, rank = np.unique(np.concatenate(a), return_inverse=True)
+        lexicon, word = np.unique(np.concatenate(b), return_inverse=True)
+        del a, b
+        key, pair = np.unique(rank.astype(kit.U64) << kit.U64(32) | word.astype(kit.U64), return_inverse=True)
+        del rank, word
+        count = np.bincount(pair, weights=np.concatenate(counts), minlength=len(key))
+        which, word = (key >> kit.U64(32)).astype(np.int64), (key & _LOW).astype(np.int64)
+        del key, counts
+        rare = lexicon & _RARE > 0
+        # all pairs of a rare second word are here
+        times = np.bincount(word, weights=count, minlength=len(lexicon))
+        times[~rare] = known.as_token[lexicon[~rare].astype(np.int64)]
+        smooth = MU * np.maximum(times, 1) / (known.tokens + 1)
+        value = np.log10(smooth)[word]
         trained = count > 0
-        exact = np.log10((count[trained] + MU * chance[trained]) / (total[which[trained]] + MU))
         folder = tempfile.mkdtemp(prefix="trie-")
         try:
-            kept = np.unique(which[trained])
-            Trie.write(folder, ctx[trained], wrd[trained], exact, total[kept])
+            Trie.write(folder, contexts[which[trained]], word[trained], np.log10(count[trained] + smooth[word[trained]]))
             trie = Trie(folder)
-            value = np.empty(len(ctx))
-            per = np.bincount(which, minlength=len(distinct))
+            per = np.bincount(which, minlength=len(contexts))
             ends = np.cumsum(per)
             lo = 0
-            while lo < len(distinct):  # some contexts at a time, about 50,000 pairs
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 50_000, side="right")))
-                part = slice(int(ends[lo - 1]) if lo else 0, int(ends[hi - 1]))
-                hit, found, seen = trie.find(distinct[lo:hi], per[lo:hi], wrd[part])
-                # a predecessor that is frequent elsewhere has its count although no pair of it may be here
-                of = np.where(seen > 0, seen, total[which[part]])
-                value[part] = np.where(hit, found, np.log10(MU * chance[part] / (of + MU)))
+            while lo < len(contexts):  # some contexts at a time, about 50,000 pairs
+                begin = int(ends[lo - 1]) if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, begin + 50_000, side="right")))
+                hit, found = trie.find(contexts[lo:hi], per[lo:hi], word[begin : int(ends[hi - 1])])
+                value[begin : begin + len(hit)][hit] = found[hit]
                 lo = hi
             del trie
         finally:
             shutil.rmtree(folder, ignore_errors=True)
-        rare = np.where(frequent, 0, np.log10(total + 1))[which]
-        known_rare = np.where(frequent, 0, total > 0)[which]
-        at = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        for k, block in enumerate(blocks):
-            own = pair[at[k] : at[k + 1]]
-            d = (doc[at[k] : at[k + 1]] >> 1).astype(np.int64)
-            score, base, n = (np.bincount(d, weights=x[own]) for x in (value, rare, known_rare))
-            yield _rows([(block, 0, 2, None, score.tobytes(), base.tobytes(), n.astype(np.uint32).tobytes(), None)])
+        value, times = value.astype(np.float32), np.where(rare, times, -1).astype(np.int64)
+        at = 0
+        for block, shard, narrow, wide in blocks:
+            asked = pair[at : at + narrow + wide]
+            at += narrow + wide
+            yield _rows([(block, shard, ANSWERS, None, _planes(value[asked]), _planes(times[word[asked[narrow:]]]), None, None)])
 
     return run
 
 
 def _gathered(shared_base: float):
-    """Rows sorted by block to (doc_id, held_out, n_tokens, n_known, base_score, score)."""
+    """Rows sorted by block and shard to (doc_id, held_out, n_tokens, n_known, base_score, score)."""
 
     def finish(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        _, _, _, ids, n, base, known, out = next(r for r in rows if r[2] == 1)
-        n, base, known = np.frombuffer(n, dtype=np.int64), np.frombuffer(base).copy(), np.frombuffer(known, dtype=np.int64).copy()
-        score = np.zeros(len(n))
+        _, _, _, ids, own_sums, of, out, _ = next(r for r in rows if r[2] == TEXTS)
+        n, base, known, below = np.frombuffer(own_sums).reshape(4, -1).copy()
+        of = _unplanes(of, np.uint32)
+        starts = (np.cumsum(n) - n).astype(np.int64)
+        values, times = [], []
         for r in rows:
-            if r[2] == 2:
-                for total, part in ((score, np.frombuffer(r[4])), (base, np.frombuffer(r[5])), (known, np.frombuffer(r[6], dtype=np.uint32))):
-                    total[: len(part)] += part
+            if r[2] == ANSWERS:
+                values.append(_unplanes(r[4], np.float32))
+                wide = _unplanes(r[5], np.int64)
+                times += [np.full(len(values[-1]) - len(wide), -1), wide]
+        score = np.add.reduceat(np.concatenate(values).astype(np.float64)[of], starts)
+        c = np.concatenate(times)[of]
+        rare = c >= 0
+        if rare.any():
+            c = np.maximum(c, 0)
+            base += np.add.reduceat(np.where(rare, np.log10(c + 1), 0), starts)
+            known += np.add.reduceat(rare & (c > 0), starts, dtype=np.int64)
+            below += np.add.reduceat(np.where(rare, np.log10(c + MU), 0), starts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, type=pa.int64()), pa.array(np.frombuffer(out, dtype=np.uint8).astype(bool)), pa.array(n), pa.array(known), pa.array(base - n * shared_base), pa.array(score)],
+            [pa.array(ids, type=pa.int64()), pa.array(np.frombuffer(out, dtype=np.uint8).astype(bool)), pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base - n * shared_base), pa.array(score - below)],
             names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
         )
 
@@ -304,7 +319,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     shared = spark.sparkContext.broadcast(known)
     pairs = rows.transform(kit.through, _pair_blocks(shards, shared), _BLOCK).repartition(shards, "shard").transform(kit.through, _score_shard(shared), _BLOCK)
     share = float(np.log10(known.tokens + known.types + 1))
-    gathered = pairs.repartition(shards, "block").sortWithinPartitions("block").transform(kit.through, _gathered(share), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    gathered = pairs.repartition(shards, "block").sortWithinPartitions("block", "shard").transform(kit.through, _gathered(share), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return gathered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -559,13 +559,22 @@ def test_language_model(docs, none, vocabulary):
         x = tokens[r["doc_id"]]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (out[r["doc_id"]], len(x), sum(w in single for w in x), n)
         assert math.isclose(r["base_score"], sum(math.log10((single[w] + 1) / (n + v + 1)) for w in x), rel_tol=1e-9)
-        if vocabulary == 1_000:
-            chance = lambda w: max(single[w], 1) / (n + 1)
-            exact = sum(math.log10((pairs[a, b] + ngram_trie.MU * chance(b)) / (context[a] + ngram_trie.MU)) for a, b in zip([0, *x[:-1]], x))
-            assert abs(exact - r["score"]) < 0.03 * len(x)
+        chance = lambda w: max(single[w], 1) / (n + 1)
+        exact = sum(math.log10((pairs[a, b] + ngram_trie.MU * chance(b)) / (context[a] + ngram_trie.MU)) for a, b in zip([0, *x[:-1]], x))
+        assert abs(exact - r["score"]) < 0.03 * len(x)
     assert ngram_trie.score_texts(none).count() == 0
 
 
+def test_language_model_rows_without_ids_and_repeated_ones(spark):
+    rows = [(None, "a b a b"), (None, None), (1, "a b c " * 900), (1, "a b c " * 900), (2, "z" * 50_000), (2, "")]
+    for vocabulary in (0, 100):
+        given = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("kept out"))
+        found = ngram_trie.score_texts(given, vocabulary=vocabulary).collect()
+        assert sorted(r["n_tokens"] for r in found) == [1, 1, 2, 5, 2701, 2701] and not any(r["held_out"] for r in found if r["doc_id"] is None)
+        one, two = (r["score"] for r in found if r["n_tokens"] == 2701)
+        assert one == two and all(-60_000 < r["score"] < 0 for r in found)
+
+
 def test_elias_fano(tmp_path):
     import numpy as np
 
