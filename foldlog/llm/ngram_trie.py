@@ -112,7 +112,7 @@ class Unigrams:
 
 def unigrams(texts: DataFrame, shards: int, n_texts: int, vocabulary: int = VOCABULARY) -> Unigrams:
     scratch = kit.Scratch(texts.sparkSession, "unigrams")
-    counted = texts.transform(kit.through, _word_blocks(shards), "shard int, words binary, counts binary").repartition(shards, "shard").transform(kit.through, _word_counts, "word long, c long")
+    counted = texts.transform(kit.through, _word_blocks(shards), "shard int, words binary, counts binary").repartitionById(shards, "shard").transform(kit.through, _word_counts, "word long, c long")
     counted = scratch.cut(counted, "counts")
     sizes = counted.groupBy(F.floor(F.log2("c") * 8).alias("size")).agg(F.count("*").alias("n"), F.sum("c").alias("tokens"), F.min("c").alias("least")).orderBy(F.desc("size")).collect()
     least, room = 1 << 62, vocabulary
@@ -317,7 +317,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", v
     n_texts = rows.where("not held_out").count()
     known = unigrams(rows.where("not held_out").select("text"), shards, n_texts, vocabulary)
     shared = spark.sparkContext.broadcast(known)
-    pairs = rows.transform(kit.through, _pair_blocks(shards, shared), _BLOCK).repartition(shards, "shard").transform(kit.through, _score_shard(shared), _BLOCK)
+    pairs = rows.transform(kit.through, _pair_blocks(shards, shared), _BLOCK).repartitionById(shards, "shard").transform(kit.through, _score_shard(shared), _BLOCK)
     share = float(np.log10(known.tokens + known.types + 1))
     gathered = pairs.repartition(shards, "block").sortWithinPartitions("block", "shard").transform(kit.through, _gathered(share), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return gathered.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(known.tokens).cast("long").alias("train_tokens"), "base_score", "score")
