@@ -1,12 +1,14 @@
-"""Elias-Fano sequences and a two-level n-gram trie on them, written to files and read by memory mapping."""
+"""Elias-Fano sequences and a two-level n-gram trie on them, laid out in one memory map that lookups read in place."""
 
 from __future__ import annotations
 
-import os
+import mmap
+from collections.abc import Iterator
 
 import numpy as np
 
 U64 = np.uint64
+_KINDS = ("|u1", "<u4", "<i8", "<f8")  # of arrays in a map
 _BLOCK = 16  # bytes of the upper bits that a directory entry covers
 _ONES = np.array([bin(b).count("1") for b in range(256)], dtype=np.int16)
 #: [byte, k]: where the k-th zero (one) of the byte stands, lowest bit first
@@ -39,6 +41,27 @@ def _unpack(packed: np.ndarray, bits: int, at: np.ndarray) -> np.ndarray:
     return value & U64((1 << bits) - 1) if bits < 64 else value
 
 
+def mapped(arrays: list[np.ndarray]) -> mmap.mmap:
+    """A memory map without a file that holds the arrays one after another, each behind its kind and length."""
+    heads = [np.array([_KINDS.index(a.dtype.str), len(a)], dtype="<i8").tobytes() for a in arrays]
+    out = mmap.mmap(-1, sum(len(h) + -(-a.nbytes // 8) * 8 for h, a in zip(heads, arrays, strict=True)))
+    for head, a in zip(heads, arrays, strict=True):
+        out.write(head)
+        out.write(np.ascontiguousarray(a).data)
+        out.seek(-a.nbytes % 8, 1)
+    return out
+
+
+def arrays_in(buffer) -> Iterator[np.ndarray]:
+    """The arrays of ``mapped``, as views of the same memory."""
+    at = 0
+    while at < len(buffer):
+        kind, n = np.frombuffer(buffer, dtype="<i8", count=2, offset=at).tolist()
+        found = np.frombuffer(buffer, dtype=_KINDS[kind], count=n, offset=at + 16)
+        yield found
+        at += 16 + -(-found.nbytes // 8) * 8
+
+
 class EliasFano:
     """A monotone sequence of unsigned integers: low bits packed, high bits in unary, a directory over the latter."""
 
@@ -59,15 +82,14 @@ class EliasFano:
         low = _pack(values & U64((1 << bits) - 1) if bits else values, bits)
         return cls(n, bits, low, high, ones)
 
-    def save(self, folder: str, name: str) -> None:
-        np.save(os.path.join(folder, f"{name}.size.npy"), np.array([self.n, self.bits]))
-        for part in ("low", "high", "ones"):
-            np.save(os.path.join(folder, f"{name}.{part}.npy"), getattr(self, part))
+    def arrays(self) -> list[np.ndarray]:
+        return [np.array([self.n, self.bits]), self.low, self.high, self.ones]
 
     @classmethod
-    def load(cls, folder: str, name: str) -> EliasFano:
-        n, bits = np.load(os.path.join(folder, f"{name}.size.npy")).tolist()
-        return cls(n, bits, *(np.load(os.path.join(folder, f"{name}.{p}.npy"), mmap_mode="r") for p in ("low", "high", "ones")))
+    def read(cls, arrays: Iterator[np.ndarray]) -> EliasFano:
+        """From the next four arrays."""
+        n, bits = next(arrays).tolist()
+        return cls(n, bits, next(arrays), next(arrays), next(arrays))
 
     def _select(self, k: np.ndarray, bit: int) -> np.ndarray:
         """Where the k-th set (bit 1) or clear (bit 0) upper bit stands, k from 0."""
@@ -134,23 +156,24 @@ class Trie:
     all contexts and a word is sought relative to its context.
     """
 
-    LEVELS = ("contexts", "pointers", "words")
-
-    def __init__(self, folder: str):
-        self.contexts, self.pointers, self.words = (EliasFano.load(folder, x) for x in self.LEVELS)
-        self.codes, self.centres = (np.load(os.path.join(folder, f"{x}.npy"), mmap_mode="r") for x in ("codes", "centres"))
+    def __init__(self, buffer):
+        """buffer: what ``build`` returned, or the same bytes from elsewhere."""
+        arrays = arrays_in(buffer)
+        self.contexts, self.pointers, self.words = (EliasFano.read(arrays) for _ in range(3))
+        self.codes, self.centres = arrays
 
     @staticmethod
-    def write(folder: str, context: np.ndarray, word: np.ndarray, value: np.ndarray) -> None:
+    def build(context: np.ndarray, word: np.ndarray, value: np.ndarray) -> mmap.mmap:
         """context, word: sorted distinct pairs; value: of each pair."""
         distinct, first = np.unique(context, return_index=True)
         rank = np.repeat(np.arange(len(distinct), dtype=np.int64), np.diff(np.append(first, len(context))))
-        EliasFano.of(distinct, 1 << 64).save(folder, "contexts")
-        EliasFano.of(np.append(first, len(context)).astype(U64), len(context) + 1).save(folder, "pointers")
-        EliasFano.of(rank.astype(U64) << U64(32) | word.astype(U64), max(1, len(distinct)) << 32).save(folder, "words")
         book = Codebook(value)
-        for name, data in (("codes", book.code(value)), ("centres", book.centres)):
-            np.save(os.path.join(folder, f"{name}.npy"), data)
+        levels = (
+            EliasFano.of(distinct, 1 << 64),
+            EliasFano.of(np.append(first, len(context)).astype(U64), len(context) + 1),
+            EliasFano.of(rank.astype(U64) << U64(32) | word.astype(U64), max(1, len(distinct)) << 32),
+        )
+        return mapped([a for level in levels for a in level.arrays()] + [book.code(value), book.centres])
 
     def find(self, context: np.ndarray, sizes: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each pair is there, and its value (0 if not).

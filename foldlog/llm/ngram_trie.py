@@ -11,8 +11,8 @@ order 2.
    tokens is. A pair whose second word is not on the list goes to the shard of that word, any other to one by the pair's
    own hash. So no word and no pair fills a shard, and a shard knows all occurrences of the other words that it gets.
 3. A shard sums its pairs' counts and writes them as a trie (see elias_fano: context and pointer levels, words sought
-   relative to their context, smoothed counts quantised to a byte) to files of its own, which a retried task writes
-   anew. It maps them, looks up all its pairs and returns to each block its pairs' numerators, and the counts of the
+   relative to their context, smoothed counts quantised to a byte) to a memory map of its own, which a retried task
+   makes anew: no file, no folder. It looks up all its pairs there and returns to each block its pairs' numerators, and the counts of the
    words that are not on the list. Those also give what these words divide by as predecessors, and their base scores.
 4. A block's answers meet its tokens and are summed by text.
 Shards follow the input's size; nothing but the frequent words is sent everywhere, and no word or pair is pruned.
@@ -25,8 +25,6 @@ ignored.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -242,22 +240,17 @@ def _score_shard(shared):
         smooth = MU * np.maximum(times, 1) / (known.tokens + 1)
         value = np.log10(smooth)[word]
         trained = count > 0
-        folder = tempfile.mkdtemp(prefix="trie-")
-        try:
-            Trie.write(folder, contexts[which[trained]], word[trained], np.log10(count[trained] + smooth[word[trained]]))
-            trie = Trie(folder)
-            per = np.bincount(which, minlength=len(contexts))
-            ends = np.cumsum(per)
-            lo = 0
-            while lo < len(contexts):  # some contexts at a time, about 50,000 pairs
-                begin = int(ends[lo - 1]) if lo else 0
-                hi = max(lo + 1, int(np.searchsorted(ends, begin + 50_000, side="right")))
-                hit, found = trie.find(contexts[lo:hi], per[lo:hi], word[begin : int(ends[hi - 1])])
-                value[begin : begin + len(hit)][hit] = found[hit]
-                lo = hi
-            del trie
-        finally:
-            shutil.rmtree(folder, ignore_errors=True)
+        trie = Trie(Trie.build(contexts[which[trained]], word[trained], np.log10(count[trained] + smooth[word[trained]])))
+        per = np.bincount(which, minlength=len(contexts))
+        ends = np.cumsum(per)
+        lo = 0
+        while lo < len(contexts):  # some contexts at a time, about 50,000 pairs
+            begin = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, begin + 50_000, side="right")))
+            hit, found = trie.find(contexts[lo:hi], per[lo:hi], word[begin : int(ends[hi - 1])])
+            value[begin : begin + len(hit)][hit] = found[hit]
+            lo = hi
+        del trie
         value, times = value.astype(np.float32), np.where(rare, times, -1).astype(np.int64)
         at = 0
         for block, shard, narrow, wide in blocks:

@@ -575,21 +575,29 @@ def test_language_model_rows_without_ids_and_repeated_ones(spark):
         assert one == two and all(-60_000 < r["score"] < 0 for r in found)
 
 
-def test_elias_fano(tmp_path):
+def test_elias_fano():
     import numpy as np
 
-    from foldlog.llm.elias_fano import EliasFano
+    from foldlog.llm.elias_fano import EliasFano, Trie, arrays_in, mapped
 
     rng = np.random.default_rng(4)
     for universe in (1, 50, 10**6, 1 << 40, 1 << 64):
         values = np.sort(rng.integers(0, universe, 700, dtype=np.uint64))
-        EliasFano.of(values, universe).save(str(tmp_path), "x")
-        found = EliasFano.load(str(tmp_path), "x")
+        found = EliasFano.read(arrays_in(mapped(EliasFano.of(values, universe).arrays())))
         assert (found.get(np.arange(700)) == values).all()
         asked = rng.integers(0, universe, 500, dtype=np.uint64)
         at, equal = found.successor(np.concatenate([asked, values[::7]]))
         both = np.concatenate([asked, values[::7]])
         assert (at == np.searchsorted(values, both)).all() and (equal == np.isin(both, values)).all()
+    pairs = {(int(a), int(b)): float(a % 7) for a, b in rng.integers(0, 90, (2_000, 2))}
+    keys = np.array(sorted(pairs), dtype=np.uint64)
+    for some in (len(keys), 0):
+        built = Trie.build(keys[:some, 0], keys[:some, 1].astype(np.int64), np.array([pairs[tuple(k)] for k in keys[:some].tolist()]))
+        for trie in (Trie(built), Trie(bytes(built))):
+            hit, value = trie.find(np.arange(95, dtype=np.uint64), np.full(95, 95), np.tile(np.arange(95), 95))
+            grid = [(a, b) for a in range(95) for b in range(95)]
+            assert hit.tolist() == [bool(some) and g in pairs for g in grid]
+            assert all(abs(v - pairs[g]) <= 6 / 255 for v, g in zip(value.tolist(), grid, strict=True) if some and g in pairs)
 
 
 # ---------------------------------------------------------------- columns of any name
