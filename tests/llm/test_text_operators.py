@@ -263,6 +263,28 @@ def test_ids_are_those_of_a_public_library(docs, none):
 
 # ---------------------------------------------------------------- 5
 
+def placed_by_hand(rows, n_shards, seed=17):
+    """id to (shard, slot): all rows sorted by their fractional rank in their stratum, then cut."""
+    from fractions import Fraction
+
+    size, crc = (lambda t: len((t or "").encode()) + 16), (lambda t: zlib.crc32((t or "").encode()))
+    strata = {}
+    for i, t, s in rows:
+        digest = hashlib.md5(f"{seed}:{'null' if i is None else i}:{size(t)}:{crc(t)}".encode()).hexdigest()
+        strata.setdefault("n" if s is None else f"s{s}", []).append((digest, i))
+    places = sorted((Fraction(2 * r - 1, 2 * len(own)), key, r, i) for key, own in strata.items() for r, (_, i) in enumerate(sorted(own), 1))
+    shards = [k * n_shards // len(rows) for k in range(len(rows))]
+    return {p[3]: (s, k - shards.index(s)) for k, (p, s) in enumerate(zip(places, shards, strict=True))}
+
+
+def test_rows_of_one_id_spread_and_equal_rows_are_all_placed(spark):
+    rows = [(None, f"text {k % 60}", None if k % 3 else "hot") for k in range(90)] + [(None, None, "hot")] * 9 + [(1, "", "hot"), (1, "", "hot")]
+    found = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("shard", F.lit("clash")), 4, bucket_rows=5).collect()
+    slots = sorted((r["shard"], r["slot"]) for r in found)
+    assert [sum(s == k for s, _ in slots) for k in range(4)] in ([26, 25, 25, 25], [25, 25, 25, 26]) and len(set(slots)) == len(rows)
+    assert all(abs(sum(r["stratum"] == "hot" for r in found if r["shard"] == k) - 41 / 4) < 2 for k in range(4))
+
+
 def test_shards_are_even_and_mixed(spark, docs, none, tmp_path):
     found = sharding.interleave(docs, 5, bucket_rows=7).collect()
     by = {k: [r for r in found if r["shard"] == k] for k in range(5)}
@@ -275,6 +297,7 @@ def test_shards_are_even_and_mixed(spark, docs, none, tmp_path):
     assert {r["id"]: (r["size"], r["text_crc32"]) for r in found} == {i: (len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in ROWS}
     again = {r["id"]: (r["shard"], r["slot"]) for r in sharding.interleave(docs.repartition(7), 5, bucket_rows=1000).collect()}
     assert again == {r["id"]: (r["shard"], r["slot"]) for r in found}
+    assert again == placed_by_hand([(i, t, s) for i, t, _, s, *_ in ROWS], 5)
     assert sharding.interleave(none, 5).count() == 0
     sharding.write_shards(docs.withColumn("shard", F.lit("clash")), f"file://{tmp_path}/shards", 3)
     assert spark.read.parquet(f"file://{tmp_path}/shards").count() == len(ROWS)
