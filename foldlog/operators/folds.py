@@ -119,6 +119,25 @@ def fold(steps: DataFrame, current: DataFrame, table: model.Table, loose: Sequen
     return joined.select("id", F.aggregate(in_order(F.col("steps")), start, apply).alias("state")).select("id", "state.*")
 
 
+def inserts(steps: DataFrame, current: DataFrame, table: model.Table) -> DataFrame:
+    """What ``fold`` returns, for a table that the steps only insert into.
+
+    The first step of a key that has all required values makes the row, unless the table has one. So rows meet in a
+    minimum that map sides take part in; what a key gathers are places, not rows.
+    """
+    required = tuple(dict.fromkeys((*table.key, *table.required)))
+    lacks = reduce(lambda a, b: a | b, [F.try_element_at("set", F.lit(c)).isNull() for c in required])
+    ident = F.array(*(F.try_element_at("set", F.lit(k)) for k in table.key))
+    rows = steps.where(F.col("table") == table.name).select(ident.alias("id"), F.struct("position", "k").alias("place"), "set", lacks.alias("lacks"))
+    first = F.when(~F.col("lacks"), F.col("place"))
+    grouped = rows.groupBy("id").agg(F.min(first).alias("first"), F.min_by("set", first).alias("new"), F.collect_list(F.struct("place", "lacks")).alias("steps"))
+    have = current.select(F.array(*(F.col(k).cast("string") for k in table.key)).alias("id"), F.create_map(*(x for f in table.schema for x in (F.lit(f.name), F.col(f.name).cast("string")))).alias("old"))
+    fault = lambda s: F.when(F.col("old").isNotNull() | (s["place"] > F.col("first")), "23505").when(s["lacks"], "23502")
+    faults = F.filter(F.transform(F.array_sort("steps"), lambda s: F.struct(s["place"]["position"].alias("position"), fault(s).alias("state"))), lambda b: b["state"].isNotNull())
+    none = F.expr("cast(map() as map<string,string>)")
+    return grouped.join(have, "id", "left").select("id", (F.col("old").isNotNull() | F.col("first").isNotNull()).alias("there"), F.coalesce("old", "new", none).alias("row"), faults.alias("broken"))
+
+
 def typed(folded: DataFrame, table: model.Table, *extra: str) -> DataFrame:
     """Rows of the table, with ``__deleted`` for those that are gone, and what else is asked for."""
     key_at = {k: i for i, k in enumerate(table.key)}

@@ -228,15 +228,15 @@ def account_balances(spark, sf_dir):
     return folds.sums(bought, "stream_id", cents()).select("stream_id", F.col("total").alias("balance_cents"), "last_position")
 
 
-def _folded(spark: SparkSession, sf_dir: str, types: tuple[str, ...], rules: handlers.Rules) -> DataFrame:
+def _folded(spark: SparkSession, sf_dir: str, types: tuple[str, ...], rules: handlers.Rules, how=folds.fold) -> DataFrame:
     found = rules.apply(log(spark, sf_dir).where(F.col("type").isin(*types)))
-    return folds.fold(folds.steps_of(found), spark.createDataFrame([], ACCOUNTS.schema), ACCOUNTS)
+    return how(folds.steps_of(found), spark.createDataFrame([], ACCOUNTS.schema), ACCOUNTS)
 
 
 @query("rm_insert", "SELECT stream_id AS user, min(position) AS created_at, count(*) - 1 AS refused FROM log WHERE type = 'signup' GROUP BY stream_id")
 def rm_insert(spark, sf_dir):
     rules = handlers.Rules().insert("signup", "accounts", {"user": F.col("stream_id"), "balance": F.lit(0), "last_seen": F.col("position")})
-    found = _folded(spark, sf_dir, ("signup",), rules)
+    found = _folded(spark, sf_dir, ("signup",), rules, folds.inserts)
     return folds.typed(found.withColumn("n", F.size("broken")), ACCOUNTS).select("user", F.col("last_seen").alias("created_at")).join(found.select(F.get("id", F.lit(0)).alias("user"), F.size("broken").cast("bigint").alias("refused")), "user")
 
 
@@ -266,7 +266,7 @@ def integrity_isolation(spark, sf_dir):
     """One row per stream and type: repeated inserts are isolated one by one, the rest commits."""
     table = model.Table("kinds", "user string, kind string", ("user", "kind"))
     found = handlers.Rules().otherwise(handlers.result("insert", handlers.step("insert", "kinds", set={"user": F.col("stream_id"), "kind": F.col("type")}))).apply(log(spark, sf_dir))
-    broken = folds.fold(folds.steps_of(found), spark.createDataFrame([], table.schema), table).select(F.explode("broken").alias("b")).select("b.position", "b.state")
+    broken = folds.inserts(folds.steps_of(found), spark.createDataFrame([], table.schema), table).select(F.explode("broken").alias("b")).select("b.position", "b.state")
     label = F.when(F.col("state") == "23505", "commit:23505 (unique_violation)").when(F.col("state").isNotNull(), F.concat(F.lit("commit:"), "state"))
     return found.join(broken, "position", "left").select("position", label.alias("error_kind"))
 

@@ -53,11 +53,13 @@ def batch_stats(outcomes: DataFrame) -> dict[str, Any]:
     row = own.agg(
         *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES), F.max("position").alias("top"), F.max_by("occurred_at", "position").alias("at"),
         F.max(F.when(F.col("outcome") == "applied", F.col("n"))).alias("most"), F.max(F.when((F.col("outcome") == "applied") & F.col("multi"), F.col("n"))).alias("most_multi"),
-        F.collect_set(F.transform("steps", lambda s: s["table"])).alias("tables"), F.collect_set(F.flatten(F.transform("steps", named))).alias("columns"),
+        F.collect_set(F.transform("steps", lambda s: s["table"])).alias("tables"), F.collect_set(F.transform(F.filter("steps", lambda s: s["action"] != "insert"), lambda s: s["table"])).alias("changed"), F.collect_set(F.flatten(F.transform("steps", named))).alias("columns"),
         F.collect_set(F.transform(F.filter("steps", lambda s: s["action"].isin("update", "delete")), lambda s: F.struct(s["table"].alias("t"), F.array_sort(F.map_keys(s["key"])).alias("cs"), F.array_sort(F.array_union(F.map_keys(s["set"]), F.map_keys(s["inc"]))).alias("ws")))).alias("filters"),
     ).first()
     found = row.asDict(recursive=True)
     found["tables"] = {t for ts in found["tables"] for t in ts}
+    #: tables that are not only inserted into
+    found["changed"] = {t for ts in found["changed"] for t in ts}
     #: table, columns by which rows are updated or deleted, columns that are written
     found["filters"] = {(x["t"], tuple(x["cs"]), tuple(x["ws"])) for xs in found["filters"] for x in xs or ()}
     found["columns"] = {(c["t"], c["c"]) for cs in found["columns"] for c in cs}

@@ -95,17 +95,17 @@ class EpochTarget(Target):
         number, (name, version) = found["number"] + 1, batch.identity
         outcomes, stats = batch.outcomes, batch.stats()
         self._known(stats)
-        broken, staged = self._settled(spark, found, outcomes, stats, number)
-        report = Report(stats["applied"], stats["applied"] - len(broken), sorted(broken.items()))
-        guard(report)
         columns = lambda t: [x.split()[0] for x in model.SCHEMAS[t].split(", ")]
         moved = ops.advances(outcomes).select(F.lit(name).alias("projection_name"), F.lit(version).alias("projection_version"), "stream_id", "position", batch.recorded_at.alias("updated_at"))
-        frames = {"positions": moved.select(*columns("positions"))}
+        with ThreadPoolExecutor(1) as pool:  # cursors are staged while rows are folded; neither is there before the manifest
+            positions = pool.submit(self._write, moved.select(*columns("positions")), "positions", number)
+            broken, staged = self._settled(spark, found, outcomes, stats, number)
+        staged["positions"] = positions.result()
+        report = Report(stats["applied"], stats["applied"] - len(broken), sorted(broken.items()))
+        guard(report)
         n_letters = stats["failed"] + stats["invalid"] + stats["collision"] + len(broken)
         if n_letters:
-            frames["dead_letters"] = self._letters(spark, batch, broken, found["letters"] + 1).select(*columns("dead_letters"))
-        with ThreadPoolExecutor(len(frames)) as pool:
-            staged |= dict(zip(frames, pool.map(lambda x: self._write(x[1], x[0], number), frames.items()), strict=True))
+            staged["dead_letters"] = self._write(self._letters(spark, batch, broken, found["letters"] + 1).select(*columns("dead_letters")), "dead_letters", number)
         live = {k: list(v) for k, v in found["live"].items()}
         for t, path in staged.items():
             live.setdefault(t, []).append(path)
@@ -151,7 +151,8 @@ class EpochTarget(Target):
             left = steps if not broken else steps.join(spark.createDataFrame([(p,) for p in broken], "position bigint"), "position", "left_anti")
             staged, fresh = {}, {}
             for t in sorted(stats["tables"]):
-                folded = folds.fold(left, self.table(spark, t, found), self.tables[t], loose.get(t, ()))
+                current = self.table(spark, t, found)
+                folded = folds.fold(left, current, self.tables[t], loose.get(t, ())) if t in stats["changed"] else folds.inserts(left, current, self.tables[t])
                 staged[t] = self._write(folds.typed(folded, self.tables[t], "broken"), t, number)
                 rows = spark.read.parquet(f"{self.root}/{staged[t]}").where(F.size("broken") > 0).select(F.explode("broken").alias("b")).select("b.position", "b.state")
                 fresh |= {r[0]: r[1] for r in rows.collect()}  # a batch's events at most

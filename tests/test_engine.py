@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldlog import config, model, testing
 from foldlog.functions import failure, scalars
 from foldlog.operators import events as ops
-from foldlog.operators import handlers, inspection
+from foldlog.operators import folds, handlers, inspection
 from foldlog.sources.logs import MemoryLog, ParquetLog
 from foldlog.streaming.coordinator import Budget, Circuit, Coordinator, InvalidState
 from foldlog.streaming.lease import Lease
@@ -303,6 +303,26 @@ def test_order_cursors_and_conservation_hold_for_random_logs(spark, seed):
     assert (target.log, target.positions[p.identity]) == before
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_inserts_alone_fold_like_any_steps(spark, seed):
+    rng = random.Random(seed)
+    table = model.Table("t", "a string, b bigint, v string", ("a", "b"), ("v",))
+    maps = "map<string,string>"
+    rows = []
+    for position in rng.sample(range(500), 60):
+        for k in range(rng.randrange(1, 4)):
+            given = {"a": rng.choice("xyz"), "b": rng.choice("123"), "v": rng.choice(["one", "two", None])}
+            if rng.random() < 0.2:
+                del given[rng.choice("abv")]
+            rows.append((position, "s", k, "insert", rng.choice(["t", "t", "other"]), None, {}, given, {}))
+    steps = spark.createDataFrame(rows, f"position bigint, stream_id string, k int, action string, table string, name string, key {maps}, set {maps}, inc map<string,bigint>").repartition(4)
+    current = spark.createDataFrame([("x", 1, "old"), ("z", 3, "old")], table.schema)
+    as_rows = lambda df: sorted((tuple(map(str, r["id"])), r["there"], tuple(sorted(r["row"].items())), [tuple(b) for b in r["broken"]]) for r in df.collect())
+    found = as_rows(folds.inserts(steps, current, table))
+    assert found == as_rows(folds.fold(steps, current, table)) and any(r[3] for r in found)
+    assert folds.inserts(steps.where("false"), current, table).count() == 0
+
+
 # ---------------------------------------------------------------- streaming
 
 LOG = "id string, stream_id string, type string, data string, metadata map<string,string>, position bigint, occurred_at timestamp"
