@@ -5,7 +5,8 @@ equals), a choice that depends on the window's bytes only: equal windows have eq
 Neighbouring windows of one anchor make a context, the bytes that they cover together; the contexts of an anchor hold
 all windows that can be equal. Contexts found twice or more are settled by their digests. Anchors with different
 contexts are indexed: per block of such anchors a Burrows-Wheeler transform of the contexts is built and kept as
-runs, with the suffix positions of run ends sampled. A suffix whose letter before it continues a run matches its
+runs, with the suffix positions of run ends sampled. Left out are contexts that cannot match: an equal window reaches
+equally far left of the anchor in both, so both hold all bytes that any window of such reach (in REACHES classes) holds. A suffix whose letter before it continues a run matches its
 neighbour one byte less far than the suffix before it, so match lengths are computed at run ends only and streamed on
 from there (the permuted LCP of an r-index, to both neighbours). Windows that match over WINDOW bytes are marked.
 
@@ -31,6 +32,8 @@ WINDOW, SEED = 400, 24
 VARIANTS = 1_000
 #: Bytes of contexts that one index is built over.
 INDEX_BYTES = 1_000_000
+#: Classes of how far a window reaches left of its anchor; more leave fewer contexts without a match to the index.
+REACHES = 8
 _PLACE = 28
 
 
@@ -160,6 +163,34 @@ class RunLengthIndex:
         return best
 
 
+def promising(rows: list[tuple]) -> list[tuple]:
+    """Of all contexts (anchor, id, first, c, bytes) of some anchors, those that can share a window with one found once.
+
+    Windows of one class of reaches have the bytes between the class's least reach to the left and to the right in
+    common, and equal windows have these equal. So a context whose bytes there are its own, class by class, has no match.
+    """
+    anchor = np.array([r[0] for r in rows], dtype=np.int64).view(kit.U64)
+    once = np.array([r[3] for r in rows]) == 1
+    sizes = np.array([len(r[4]) for r in rows], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    prefix = kit.prefix_hash(np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint8))
+    # the anchor lies in the first window and in the last one; it is the leftmost of its hash
+    more, room = sizes - WINDOW, WINDOW - SEED
+    tried = room + 1 - more
+    owner = np.repeat(np.arange(len(rows)), tried)
+    at = np.arange(len(owner)) + np.repeat(begins + more - (np.cumsum(tried) - tried), tried)
+    at = at[kit.span_hash(prefix, at, at + SEED) == anchor[owner]]
+    place = at[np.searchsorted(at, begins)]
+    reach = place - begins
+    keep = np.zeros(len(rows), dtype=bool)
+    for k in range(REACHES):
+        least, most = k * (room + 1) // REACHES, (k + 1) * (room + 1) // REACHES - 1
+        own = np.flatnonzero((reach >= least) & (reach - more <= most))
+        _, group, counts = np.unique(kit.span_hash(prefix, place[own] - least, place[own] + WINDOW - most), return_inverse=True, return_counts=True)
+        keep[own] |= (counts > 1)[group] & (np.bincount(group, once[own], len(counts)) > 0)[group]
+    return [r for r, k in zip(rows, keep.tolist(), strict=True) if k]
+
+
 def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
@@ -168,25 +199,28 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by anchor to (id, start, end): covered bytes of those that were found once."""
 
-    def search(rows: list[tuple]) -> pa.RecordBatch:
+    def search(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = promising(rows)
+        if not rows:
+            return
         index = RunLengthIndex([r[4] for r in rows])
         long = index.matches() >= WINDOW
         out = []
         for (_, ident, first, c, blob), begin in zip(rows, index.begins.tolist(), strict=True):
             if c == 1:
                 out += [(ident, first + a, first + b - 1 + WINDOW) for a, b in _ranges(long[begin : begin + len(blob)])]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in range(3)], names=["id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in range(3)], names=["id", "start", "end"])
 
     rows, size = [], 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size >= INDEX_BYTES and row[0] != rows[-1][0]:
-                yield search(rows)
+                yield from search(rows)
                 rows, size = [], 0
             rows.append(row)
             size += len(row[4])
     if rows:
-        yield search(rows)
+        yield from search(rows)
 
 
 # ---------------------------------------------------------------- contexts on the way

@@ -8,6 +8,8 @@ import re
 import sys
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -505,6 +507,47 @@ def test_matches_of_the_index():
     assert index.matches().tolist() == [max(common(a, b) for j, b in enumerate(suffixes) if j != i) for i, a in enumerate(suffixes)]
 
 
+@pytest.mark.parametrize("reaches", [2, 8, 377])
+def test_only_contexts_that_can_match_are_indexed(monkeypatch, reaches):
+    monkeypatch.setattr(run_length_index, "REACHES", reaches, raising=False)
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base, phrase, rows = prose(3000), prose(150), []
+    for _ in range(12):  # near copies
+        copy = list(base[rng.randrange(300) :])
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(len(copy))] = "X"
+        rows.append("".join(copy))
+    lone = [prose(400) + phrase + prose(400) for _ in range(60)]  # a phrase in common, no window
+    rows = [(i, t) for i, t in enumerate(rows + lone)]
+    data = np.frombuffer("".join(t for _, t in rows).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0, *(len(t) for _, t in rows)])
+    kinds = {}
+    for i, anchor, digest, first, last in zip(*(x.tolist() for x in run_length_index.contexts_of(data, offsets)), strict=True):
+        kinds.setdefault(anchor, {}).setdefault(digest, []).append((i, first, last + 400))
+    gone = {i: bytearray(len(t)) for i, t in rows}
+    contexts = []
+    for anchor, of in sorted(kinds.items()):
+        for places in of.values():
+            i, first, end = places[0]
+            contexts.append((anchor - (anchor >> 63 << 64), i, first, len(places), rows[i][1][first:end].encode()))
+            for i, first, end in places if len(places) > 1 else ():
+                gone[i][first:end] = b"\1" * (end - first)
+    given = []
+    plain = run_length_index.RunLengthIndex
+    monkeypatch.setattr(run_length_index, "RunLengthIndex", lambda strings: given.extend(strings) or plain(strings))
+    monkeypatch.setattr(run_length_index, "INDEX_BYTES", 40_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*contexts, strict=True)], names=["anchor", "id", "first", "c", "context"])
+    for out in run_length_index._marked(iter([batch])):
+        for i, start, end in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            gone[i][start:end] = b"\1" * (end - start)
+    wanted = repeats(rows)
+    assert {i: (sum(g), len(re.findall(b"\1+", bytes(g)))) for i, g in gone.items()} == {i: w[1:3] for i, w in wanted.items()}
+    assert sum(w[1] for i, w in wanted.items() if i < 12) > 20_000 and not any(w[1] for i, w in wanted.items() if i >= 12)
+    meeting = [c for c in contexts if c[1] >= 12 and len(kinds[c[0] % (1 << 64)]) > 1]
+    assert len(meeting) > 20 and not {c[4] for c in meeting} & set(given)
+
+
 # ---------------------------------------------------------------- 9
 
 def test_scores_tell_good_from_bad(spark, none):
