@@ -243,6 +243,27 @@ def windows(words: Words, size: int, seed: int = 11) -> tuple[np.ndarray, np.nda
     return mix(total[at]), at
 
 
+def sequence_sums(values: np.ndarray) -> np.ndarray:
+    """Sums that sequence_hash takes, over 64-bit values."""
+    up, _ = _powers(len(values) + 1)
+    out = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(mix(values) * up[: len(values)], dtype=U64, out=out[1:])
+    return out
+
+
+def sequence_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end], equal for equal values wherever they stand."""
+    _, down = _powers(len(sums))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(values), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def binaries(parts: list[bytes | None]) -> pa.Array:
     return pa.array(parts, type=pa.binary())
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, ngram_trie, pii, pu_quality, quality_rules, run_length_index, sharding
+from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, ngram_trie, pii, pu_quality, quality_rules, run_length_index, sharding, super_kmer
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +27,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_run_length_index": run_length_index.query,
         "op9_pu_quality": pu_quality.query,
         "op10_ngram_trie": ngram_trie.query,
+        "op11_super_kmer": super_kmer.query,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op11_super_kmer": super_kmer.ORACLE}
