@@ -13,7 +13,7 @@ whose words also start in a document of a smaller id.
    frequent phrase parts by what stands around it, down to the window itself. Nothing is left out at any level.
 
 Strings are combined in each batch before they travel, so copies of one passage cost a row a batch. The sample (SAMPLE_BYTES) decides how words are
-written, no result. Sent to all tasks: the vocabulary (65,000 words of at most 64 bytes), names of large buckets (at most one for each
+written, no result. Sent to all tasks: the vocabulary (65,000 hashes), names of large buckets (at most one for each
 GROUP_BYTES of strings). Spans come back by id and text digest; joins may be split by the engine where a key is frequent.
 
 Defined cases: a null or empty text has no words; a text of fewer words than a window keeps all. A row without an id is
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from foldlog.llm import kit
 
 SIZE, CORE = 50, 5
-VOCABULARY, WORD_BYTES, SAMPLE_BYTES = 65_000, 64, 64 << 20
+VOCABULARY, SAMPLE_BYTES = 65_000, 64 << 20
 OTHER = 0xFFFF
 #: Windows of a piece at each level: all that share a minimiser, then fewer, at last one.
 REACH = (SIZE - CORE + 1, 12, 4, 1)
@@ -50,19 +50,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, offsets in kit.text_steps(batch):
             words = kit.Words(data, offsets, lower=False)
             _, first, count = np.unique(words.hash, return_index=True, return_counts=True)
-            short = (words.ends - words.starts)[first] <= WORD_BYTES
-            found = [data[a:b].tobytes() for a, b in zip(words.starts[first[short]].tolist(), words.ends[first[short]].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, type=pa.binary()), pa.array(count[short], type=pa.int64())], names=["word", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(words.hash[first].view(np.int64)), pa.array(count, type=pa.int64())], names=["word", "c"])
 
 
 def vocabulary(texts: DataFrame) -> np.ndarray:
     """Hashes of the frequent words of a sample of the texts, sorted; a word's place is its code."""
     share = min(1.0, SAMPLE_BYTES / max(kit.input_bytes(texts), 1))
     sample = texts if share == 1 else texts.sample(share, 5)
-    counts = sample.transform(kit.through, _counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    words = [bytes(r.word) for r in counts.orderBy(F.desc("c"), "word").limit(VOCABULARY).select("word").collect()]
-    data = np.frombuffer(b" ".join(words), dtype=np.uint8)
-    return np.unique(kit.Words(data, np.array([0, len(data)]), lower=False).hash) if words else np.zeros(0, dtype=kit.U64)
+    counts = sample.transform(kit.through, _counted, "word long, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    words = counts.orderBy(F.desc("c"), "word").limit(VOCABULARY).select("word").toPandas()["word"]
+    return np.sort(words.to_numpy().astype(np.int64).view(kit.U64))
 
 
 def _least(values: np.ndarray, size: int) -> np.ndarray:
