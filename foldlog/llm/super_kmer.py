@@ -272,14 +272,17 @@ def _buckets(size: int):
             columns = [c.to_numpy() for c in batch.columns[:5]]
             strings = batch.column(5).to_pylist()
             key = columns[0]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]]).tolist()
+            total = np.concatenate([[0], np.cumsum([len(x) for x in strings])])
+            starts = np.concatenate([[] if key[0] == last else [0], np.flatnonzero(np.diff(key)) + 1]).astype(np.int64)  # of buckets
             begin = 0
-            for a in cuts[:-1]:  # a bucket starts here
-                if (a == 0 and key[0] == last) or group.bytes + sum(map(len, strings[begin:a])) < RANKED_BYTES:
-                    continue
-                group.add([c[begin:a] for c in columns], strings[begin:a])
+            while True:
+                k = int(np.searchsorted(total[starts], total[begin] + RANKED_BYTES - group.bytes))
+                if k == len(starts):
+                    break
+                at = int(starts[k])
+                group.add([c[begin:at] for c in columns], strings[begin:at])
                 yield group.answers()
-                group, begin = Group(size), a
+                group, begin, starts = Group(size), at, starts[k + 1 :]
             group.add([c[begin:] for c in columns], strings[begin:])
             last = key[-1]
             if group.bytes > 2 * RANKED_BYTES:
