@@ -101,6 +101,10 @@ def input_bytes(df: DataFrame) -> int:
     return sum(n for n in sizes if n < 1 << 60)  # beyond: what is not in files has no size
 
 
+#: So many partitions at most, whatever the input: what a driver can keep track of.
+MOST_PARTS = 50_000
+
+
 def parts_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     """A partition count that follows the input, and the session's as a floor."""
     spark = df.sparkSession
@@ -188,14 +192,19 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
+def lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[data]
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of some rows: where each starts and ends, its row, its hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True):
-        """data: UTF-8 bytes of all rows; offsets: where each row starts, and the end."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True, hashed: bool = True, gaps: np.ndarray = _SPACE):
+        """data: UTF-8 bytes of all rows; offsets: where each row starts, and the end; gaps: which bytes part words."""
         self.data, self.offsets = data, offsets
         n = len(data)
-        solid = ~_SPACE[data]
+        solid = ~gaps[data]
         edge = np.zeros(n + 1, dtype=bool)
         edge[offsets] = True
         before = np.empty(n, dtype=bool)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldlog.llm import byte_bpe, decontaminate, line_dedup, ngram_join, ngram_trie, pii, pu_quality, quality_rules, run_length_index, sharding, super_kmer
+from foldlog.llm import byte_bpe, decontaminate, filter_audit, importance_resampling, line_dedup, ngram_join, ngram_trie, pii, pu_quality, quality_rules, run_length_index, sharding, super_kmer
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pu_quality": pu_quality.query,
         "op10_ngram_trie": ngram_trie.query,
         "op11_super_kmer": super_kmer.query,
+        "op12_filter_audit": filter_audit.query,
+        "op13_importance_resampling": importance_resampling.query,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_rules.ORACLE, "op11_super_kmer": super_kmer.ORACLE}
+    return {"op2_quality_rules": quality_rules.ORACLE, "op11_super_kmer": super_kmer.ORACLE, "op12_filter_audit": filter_audit.ORACLE}
