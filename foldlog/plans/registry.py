@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foldlog import model
 from foldlog.functions import scalars
 from foldlog.operators import events as ops
-from foldlog.operators import folds, handlers, inspection
+from foldlog.operators import folds, handlers, inspection, transformers
 from foldlog.sources.logs import event_table, mapped
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +228,7 @@ def account_balances(spark, sf_dir):
     return folds.sums(bought, "stream_id", cents()).select("stream_id", F.col("total").alias("balance_cents"), "last_position")
 
 
-def _folded(spark: SparkSession, sf_dir: str, types: tuple[str, ...], rules: handlers.Rules, how=folds.fold) -> DataFrame:
+def _folded(spark: SparkSession, sf_dir: str, types: tuple[str, ...], rules: handlers.Rules, how=lambda *given: transformers.settle(*given).rows) -> DataFrame:
     found = rules.apply(log(spark, sf_dir).where(F.col("type").isin(*types)))
     return how(folds.steps_of(found), spark.createDataFrame([], ACCOUNTS.schema), ACCOUNTS)
 
@@ -257,7 +257,7 @@ def rm_delete(spark, sf_dir):
 
 @query("rm_inc_fold", "SELECT stream_id AS user, CAST(sum(cents) AS BIGINT) AS balance FROM log WHERE type = 'purchase' GROUP BY stream_id")
 def rm_inc_fold(spark, sf_dir):
-    """Additions through the ordered fold, which agrees with the fast path of account_balances."""
+    """Additions as composed steps, which agree with the fast path of account_balances."""
     return folds.typed(_folded(spark, sf_dir, ("purchase",), account_rules()), ACCOUNTS).select("user", "balance")
 
 
@@ -266,7 +266,7 @@ def integrity_isolation(spark, sf_dir):
     """One row per stream and type: repeated inserts are isolated one by one, the rest commits."""
     table = model.Table("kinds", "user string, kind string", ("user", "kind"))
     found = handlers.Rules().otherwise(handlers.result("insert", handlers.step("insert", "kinds", set={"user": F.col("stream_id"), "kind": F.col("type")}))).apply(log(spark, sf_dir))
-    broken = folds.inserts(folds.steps_of(found), spark.createDataFrame([], table.schema), table).select(F.explode("broken").alias("b")).select("b.position", "b.state")
+    broken = transformers.settle(folds.steps_of(found), spark.createDataFrame([], table.schema), table).broken()
     label = F.when(F.col("state") == "23505", "commit:23505 (unique_violation)").when(F.col("state").isNotNull(), F.concat(F.lit("commit:"), "state"))
     return found.join(broken, "position", "left").select("position", label.alias("error_kind"))
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from foldlog import model
 from foldlog.functions.failure import CommitFailure, label_of_state
 from foldlog.operators import events as ops
-from foldlog.operators import folds, handlers, inspection
+from foldlog.operators import folds, handlers, inspection, transformers
 from foldlog.streaming import files
 from foldlog.targets.base import Batch, Report, Target
 from foldlog.telemetry import bus
@@ -151,11 +151,15 @@ class EpochTarget(Target):
             left = steps if not broken else steps.join(spark.createDataFrame([(p,) for p in broken], "position bigint"), "position", "left_anti")
             staged, fresh = {}, {}
             for t in sorted(stats["tables"]):
-                current = self.table(spark, t, found)
-                folded = folds.fold(left, current, self.tables[t], loose.get(t, ())) if t in stats["changed"] else folds.inserts(left, current, self.tables[t])
-                staged[t] = self._write(folds.typed(folded, self.tables[t], "broken"), t, number)
-                rows = spark.read.parquet(f"{self.root}/{staged[t]}").where(F.size("broken") > 0).select(F.explode("broken").alias("b")).select("b.position", "b.state")
-                fresh |= {r[0]: r[1] for r in rows.collect()}  # a batch's events at most
+                current, table = self.table(spark, t, found), self.tables[t]
+                asked = [(columns, written) for name, columns, written in stats["filters"] if name == t]
+                if transformers.composes(table, asked):
+                    done = transformers.settle(left, current, table, many=stats["applied"] * (stats["most"] or 0) > transformers.HOT_STEPS)
+                else:
+                    done = transformers.Settled(folds.fold(left, current, table, loose.get(t, ())))
+                staged[t] = self._write(folds.typed(done.rows, table, "broken"), t, number)
+                written = transformers.Settled(spark.read.parquet(f"{self.root}/{staged[t]}"), done.faults)
+                fresh |= {r[0]: r[1] for r in written.broken().collect()}
             new = set(fresh) - set(broken)
             broken |= fresh
             if not new or ((stats["most"] or 0) <= 1 and not loose):
