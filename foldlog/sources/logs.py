@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from foldlog import model
 from foldlog.operators import events
+from foldlog.sources import positions
+
+_BEFORE_ALL = -(1 << 62)
 
 
 class Source(ABC):
@@ -30,22 +33,33 @@ class ParquetLog(Source):
     """A log in Parquet files, mapped to envelopes by columns.
 
     start_from holds for the first start only: the engine notes beside the checkpoint what it came to, and neither a
-    resume nor a changed option moves it. The filter on position is pushed into the scan. max_files bounds what one
-    micro-batch takes up; buffer_size how many of its events are in flight, that is, handled and committed at once.
+    resume nor a changed option moves it. The filter on position is pushed into the scan.
+
+    buffer_size: events in flight, that is, taken up, handled and committed at once. With it, micro-batches are the next so many
+    rows by position (see positions.py); order names the log's own column of positions, shift is what the envelope's are ahead of it.
+    Without it, Spark's file source takes up what is new; max_files bounds how much at once.
     """
 
-    def __init__(self, path: str, schema: str | None = None, *, start_from: int | str = "origin", max_files: int | None = None, buffer_size: int | None = None, **columns: Column):
+    def __init__(self, path: str, schema: str | None = None, *, start_from: int | str = "origin", max_files: int | None = None, buffer_size: int | None = None, order: str | None = None, shift: int = 0, **columns: Column):
         if buffer_size is not None and (not isinstance(buffer_size, int) or isinstance(buffer_size, bool) or buffer_size < 1):
             raise ValueError("buffer_size has to be a positive integer")
+        if buffer_size and columns and not order:
+            raise ValueError("buffer_size needs order, the log's column of positions")
         self.path, self.schema, self.start, self.max_files, self.buffer_size, self.columns = path, schema, start_from, max_files, buffer_size, columns
+        self.order, self.shift = order or "position", shift
 
     def batch(self, spark, after=None):
         rows = spark.read.parquet(self.path) if self.schema is None else spark.read.schema(self.schema).parquet(self.path)
         return events.start_from(self._mapped(rows), self.start if after is None else after)
 
-    def stream(self, spark, after=None):
+    def stream(self, spark, after=None, **options):
+        """options: for a log with buffer_size, where its checkpoint is and which file holds it."""
         after = self.first(spark) if after is None else after
-        reader = spark.readStream.schema(self.schema or spark.read.parquet(self.path).schema)
+        schema = self.schema or spark.read.parquet(self.path).schema
+        if self.buffer_size:
+            begin = _BEFORE_ALL if after == "origin" else int(after) - self.shift
+            return self._mapped(positions.follow(spark, schema, self.path, self.order, begin, self.buffer_size, **options))
+        reader = spark.readStream.schema(schema)
         if self.max_files:
             reader = reader.option("maxFilesPerTrigger", self.max_files)
         return events.start_from(self._mapped(reader.parquet(self.path)), after)

@@ -7,6 +7,7 @@ import threading
 import time
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -19,7 +20,7 @@ from foldlog.functions import failure
 from foldlog.operators import events as ops
 from foldlog.operators import handlers, inspection
 from foldlog.streaming import files
-from foldlog.streaming.coordinator import HALTED, INITIALIZING, STOPPED, Budget, Circuit, Coordinator
+from foldlog.streaming.coordinator import DRAINING, HALTED, INITIALIZING, PAUSED, STOPPED, Budget, Circuit, Coordinator
 from foldlog.streaming.lease import Lease
 from foldlog.targets.base import OUTCOMES, Batch, Report, Target, Wipeout, batch_stats
 from foldlog.telemetry import bus
@@ -46,9 +47,9 @@ def handler_of(projection: config.Projection):
 class Processor:
     """What happens to one batch of envelopes; the body of a foreachBatch.
 
-    What arrives at once is handled and committed in passes of at most the source's ``buffer_size`` positions (all
-    of it if that is not set). Inside a pass, runs of ``batch_size`` positions are the batches in which keys collide
-    and that the wipeout guard judges; so small batches cost no jobs of their own. batch_size None: a pass is a batch.
+    What arrives at once is handled and committed in one pass; how much that is the source decides. Inside a pass, runs of ``batch_size``
+    positions are the batches in which keys collide and that the wipeout guard judges; so small batches cost no jobs of their own.
+    batch_size None: a pass is a batch.
     """
 
     def __init__(self, spark: SparkSession, projection: config.Projection, circuit: Circuit | None = None, scratch: str | None = None, *, batch_size: int | None = None, run: str | None = None, held=None):
@@ -67,21 +68,7 @@ class Processor:
         """batch_id None: the batch belongs to no numbered run; cursors alone keep it from being applied twice."""
         if batch_id is not None and self.projection.target.already(self.projection.identity, batch_id, self.spark, self.run):
             return None
-        size = getattr(self.projection.source, "buffer_size", None)
-        if size is None:
-            return self._pass(events, batch_id)
-        low, high = events.agg(F.min("position"), F.max("position")).first()
-        whole = Report()
-        starts = list(range(low, high + 1, size)) if low is not None else [0]
-        for first in starts:
-            part = events.where(F.col("position").between(first, first + size - 1))
-            # the number is noted with the last pass; what was committed before a crash is known by its cursors
-            report = self._pass(part, batch_id if first == starts[-1] else None)
-            whole.attempted += report.attempted
-            whole.applied += report.applied
-            whole.broken += report.broken
-            whole.letters += report.letters
-        return whole
+        return self._pass(events, batch_id)
 
     def _pass(self, events: DataFrame, batch_id: int | None) -> Report:
         target: Target = self.projection.target
@@ -174,10 +161,37 @@ def run_bounded(spark: SparkSession, projection: config.Projection, events: Data
     low, high = frame.agg(F.min("position"), F.max("position")).first()
     if low is None:
         return []
-    starts = range((low - 1) // size * size + 1, high + 1, size)  # where batches begin, too
-    if len(starts) == 1:
-        return [process(frame, None)]
-    return [process(frame.where(F.col("position").between(s, s + size - 1)), None) for s in starts]
+    found = list(ranges(frame, (low - 1) // size * size + 1, high, size))  # where batches begin, too
+    return [process(frame if len(found) == 1 else frame.where(F.col("position").between(a, b)), None) for a, b in found]
+
+
+#: Blocks of positions that are counted at once.
+BLOCKS = 10_000
+
+
+def ranges(frame: DataFrame, low: int, high: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of positions that hold ``size`` rows at most, or span that many positions; empty ones are left out.
+
+    Counts of BLOCKS blocks tell which ranges have rows; only crowded blocks are looked into, so gaps cost nothing.
+    """
+    width = max(1, -(-(high - low + 1) // (size * BLOCKS))) * size
+    if high - low < size:
+        yield low, high
+        return
+    block = F.floor((F.col("position") - low) / width).cast("bigint")
+    counts = frame.where(F.col("position").between(low, high)).groupBy(block.alias("block")).count().orderBy("block").collect()
+    begin, held, end = low, 0, low
+    for b, n in counts:
+        first, last = low + b * width, min(high, low + (b + 1) * width - 1)
+        if held and held + n > size:
+            yield begin, end
+            held = 0
+        if n > size:
+            yield from ranges(frame, first, last, size)
+            continue
+        begin, held, end = begin if held else first, held + n, last
+    if held:
+        yield begin, end
 
 
 @dataclass(frozen=True)
@@ -208,6 +222,13 @@ class Running:
     timer: threading.Thread | None = None
     ended: threading.Event = field(default_factory=threading.Event)
     budget: Budget = field(default_factory=Budget)
+    #: held while a batch is on its way
+    gate: threading.RLock = field(default_factory=threading.RLock)
+
+    @property
+    def hold(self) -> str | None:
+        """The file that keeps the source from offering more, for sources that admit rows."""
+        return f"{self.checkpoint}/hold" if getattr(self.projection.source, "buffer_size", None) else None
 
 
 class Engine:
@@ -239,6 +260,8 @@ class Engine:
         started = self._started(projection, checkpoint)
         own = Running(projection, Processor(self.spark, projection, batch_size=projection.batch_size, run=started["run"], held=lease.held), Coordinator(), checkpoint, started["after"], lease=lease)
         self.running[projection.identity] = own
+        if own.hold:
+            files.remove(self.spark, own.hold)  # a pause ends with its engine
         if bus.listens("cursors.loaded"):
             n = projection.target.cursors(self.spark, projection.identity).count()
             bus.emit("cursors.loaded", {"count": n}, projection=projection.identity, source="target" if n else "empty")
@@ -257,16 +280,31 @@ class Engine:
         return json.loads(found)
 
     def _launch(self, own: Running) -> None:
-        stream = own.projection.source.stream(self.spark, own.after)
+        options = {"checkpoint": own.checkpoint, "hold": own.hold} if own.hold else {}
+        stream = own.projection.source.stream(self.spark, own.after, **options)
         trigger = self.trigger or {"processingTime": f"{own.projection.batch_timeout_ms} milliseconds"}
-        writer = stream.writeStream.foreachBatch(lambda df, n: self._batch(own, df, n)).option("checkpointLocation", own.checkpoint).trigger(**trigger)
-        own.query = writer.start()
+        drained = bool(own.hold and trigger.get("availableNow"))  # one batch is not all that is there
+        writer = stream.writeStream.foreachBatch(lambda df, n: self._batch(own, df, n)).option("checkpointLocation", own.checkpoint)
+        own.query = writer.trigger(**({"processingTime": "0 seconds"} if drained else trigger)).start()
+        if drained:
+            threading.Thread(target=self._drain, args=(own.query,), daemon=True).start()
         if own.coordinator.ready():
             bus.emit("started", projection=own.projection.identity)
 
+    @staticmethod
+    def _drain(query) -> None:
+        try:
+            query.processAllAvailable()
+            query.stop()
+        except Exception:  # it failed, which the watcher sees, or was stopped
+            pass
+
     def _batch(self, own: Running, df: DataFrame, batch_id: int) -> None:
         try:
-            own.processor(df, batch_id)
+            with own.gate:
+                if own.coordinator.state in (PAUSED, DRAINING, STOPPED) and not own.hold:
+                    raise RuntimeError("nothing begins while paused")  # the batch is replayed later
+                own.processor(df, batch_id)
         except Replay as e:
             time.sleep(e.delay_ms / 1000)
             raise
@@ -320,15 +358,23 @@ class Engine:
         return self.running[key]
 
     def pause(self, projection, version: int = 1) -> None:
+        """Begin nothing new; what is in flight commits. A source that admits rows is held while its query lives, any other's query ends after its batch."""
         own = self._own(projection, version)
         own.coordinator.pause()
-        own.query.stop()
+        if own.hold:
+            files.create(self.spark, own.hold, "")
+        else:
+            with own.gate:
+                own.query.stop()
         bus.emit("paused", projection=own.projection.identity)
 
     def resume(self, projection, version: int = 1) -> None:
         own = self._own(projection, version)
         own.coordinator.resume()
-        self._launch(own)
+        if own.hold:
+            files.remove(self.spark, own.hold)
+        if not (own.hold and own.query.isActive):
+            self._launch(own)
         bus.emit("resumed", projection=own.projection.identity)
 
     def stop(self, projection, version: int = 1) -> None:
