@@ -1,26 +1,27 @@
 """Quality scores by positive-unlabelled learning with the non-negative risk of Kiryo et al. (2017).
 
-Trusted positives are texts labelled good, the unlabelled ones a sample of all. With class prior p and logistic loss l,
+Trusted positives are texts labelled good, the unlabelled ones all texts that are not held out. With class prior p and logistic loss l,
     risk = p E+[l(f)] + max(0, Eu[l(-f)] - p E+[l(-f)])
 is minimised over a linear score of text features (rates of letter classes, repetition, word and line lengths, and
-their squares). Where the bracket falls below zero, its gradient is reversed, as the paper does. The prior is
-estimated over all labelled rows that are not held out; negatives are not used otherwise.
+their squares). The prior is estimated over all labelled rows that are not held out; negatives are not used otherwise.
 
-The labelled sample that is fitted on is bounded: the SAMPLE positives of the least digests of their ids. The
-unlabelled side is all texts that are not held out, in a summary whose size is fixed: for each of CELLS cells of the
-feature space, how many texts fall into it, and their features' sums. A text's cell is a hash of its features rounded
-to steps, so equal texts share a cell, and a cell's mean stands for its texts, weighted by their number. The summary
-is merged on the executors, so the driver's part does not grow with the corpus. All rows are scored, in one scan.
+Each text is read once, into a written table of its features. A pass over that table sums the unlabelled texts' losses, slopes and
+curvatures (some 740 numbers, merged on the executors) at the weights of the moment, for all of them, whatever their number and how alike they are.
+Since l(f) - l(-f) = -f, p E+[l(f)] + k [bracket] is convex for k from 0 to 1, and Newton's steps find its minimum in a few passes. The
+risk is its greatest value over k. If the bracket is not negative at the minimum for k = 1, that is the answer; else, where unlabelled texts
+would be fitted as if all were negative, k is halved in between until the minimum has a bracket of zero (PASSES at most, in all).
+
+The labelled sample that is fitted on is bounded: the SAMPLE positives of the least digests of their ids.
 
 Defined cases: a null or empty text has features of zero and a score like any other; without positives or unlabelled
 texts every score is the prior (a half without labels); labels that are null are left out, repeated ones of a doc_id
-count once, as the greatest; rows that repeat a positive's doc_id count as one of them, by the least text digest; a
+count once, as the greatest; rows that repeat a positive's doc_id count as one of them, by the least of their features; a
 null id is not held out and teaches nothing as a label, its text is unlabelled. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,8 +33,7 @@ from foldlog.llm import kit
 from foldlog.llm.quality_rules import repeat_words
 
 SAMPLE = 6_000
-#: Cells of the summary of the unlabelled texts, and the rounding of features that share one.
-CELLS, STEP = 20_000, 0.25
+PASSES, DECAY, STRIDE = 60, 1e-2, 3.0
 FOLDS, THRESHOLD = 5, 0.3
 #: Letter classes of bytes: 0 lower case, 1 upper case, 2 digits, 3 symbols, 4 bars, 5 exclamation marks, 6 question marks, 7 full stops, 8 commas, 9 line ends, 10 other ASCII, 11 white space, 12 beyond ASCII.
 _CLASS = np.full(256, 10, dtype=np.int64)
@@ -81,40 +81,83 @@ class Model:
     bias: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self._wide(x) @ self.weights + self.bias, -30, 30)))
+        return _sigmoid(_wide(x, self.mean, self.scale) @ np.append(self.weights, self.bias))
+
 
-    def _wide(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -8, 8)
-        return np.concatenate([z, z * z / 4], axis=1)
+@dataclass(frozen=True)
+class Sums:
+    """Means over unlabelled texts at some weights: of l(-f), its slope and its curvature."""
 
+    loss: float
+    slope: np.ndarray
+    curve: np.ndarray
 
-def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, share: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
-    """The non-negative risk at weights w and the direction that a step takes; share: the weights of u, which sum to 1."""
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    fp, fu = p @ w, u @ w
-    bracket = share @ np.logaddexp(0, fu) - prior * np.logaddexp(0, fp).mean()
-    as_positive = -prior * (p * (1 - sigmoid(fp))[:, None]).mean(axis=0)
-    slope = share @ (u * sigmoid(fu)[:, None]) - prior * (p * sigmoid(fp)[:, None]).mean(axis=0)
-    return prior * np.logaddexp(0, -fp).mean() + max(0.0, bracket), as_positive + slope if bracket >= 0 else -slope
 
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-def learn(positive: np.ndarray, unlabelled: np.ndarray, prior: float, counts: np.ndarray | None = None, steps: int = 600, rate: float = 0.03, decay: float = 1e-4) -> Model:
-    """Minimise the non-negative risk over full batches with Adam's steps. counts: how many texts a row of unlabelled is."""
-    if not len(positive) or not len(unlabelled):
-        return Model(prior, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES), float(np.log(prior / (1 - prior))))
-    share = np.ones(len(unlabelled)) if counts is None else counts.astype(np.float64)
-    mean = (positive.sum(axis=0) + share @ unlabelled) / (len(positive) + share.sum())
-    spread = np.sqrt((((positive - mean) ** 2).sum(axis=0) + share @ (unlabelled - mean) ** 2) / (len(positive) + share.sum()))
-    share = share / share.sum()
-    start = Model(prior, mean, np.maximum(spread, 1e-3), np.zeros(2 * FEATURES), 0.0)
-    p, u = (np.concatenate([start._wide(x), np.ones((len(x), 1))], axis=1) for x in (positive, unlabelled))
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+
+def unlabelled_sums(u: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, slope and curvature of rows u (with a last column of ones), summed."""
+    f = u @ w
+    s = _sigmoid(f)
+    return float(np.logaddexp(0, f).sum()), u.T @ s, (u * (s * (1 - s))[:, None]).T @ u
+
+
+def risk(w: np.ndarray, p: np.ndarray, sums: Sums, prior: float, k: float = 1.0) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """p E+[l(f)] + k [bracket] at weights w, the bracket, and slope and curvature of the former."""
+    fp = p @ w
+    s = _sigmoid(fp)
+    bracket = sums.loss - prior * np.logaddexp(0, fp).mean()
+    slope = k * sums.slope - prior * (p * (1 - (1 - k) * s)[:, None]).mean(axis=0)
+    curve = k * sums.curve + (1 - k) * prior * (p * (s * (1 - s))[:, None]).T @ p / len(p)
+    return prior * np.logaddexp(0, -fp).mean() + k * bracket, bracket, slope, curve
+
+
+def learn(p: np.ndarray, evaluate: Callable[[np.ndarray], Sums], prior: float, passes: int = PASSES, decay: float = DECAY) -> np.ndarray:
+    """Weights (the last one is the bias) of least non-negative risk and decay. evaluate: a pass over the unlabelled texts."""
+    w = np.zeros(p.shape[1])
     w[-1] = np.log(prior / (1 - prior))
-    for t in range(1, steps + 1):
-        g = risk(w, p, u, share, prior)[1] + decay * np.append(w[:-1], 0)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(prior, start.mean, start.scale, w[:-1], float(w[-1]))
+    damp = np.append(np.full(len(w) - 1, decay), 0)
+    left = passes
+
+    def told(w: np.ndarray) -> Sums:
+        nonlocal left
+        left -= 1
+        return evaluate(w)
+
+    def lowest(w: np.ndarray, now: Sums, k: float) -> tuple[np.ndarray, Sums]:
+        value = lambda w, sums: risk(w, p, sums, prior, k)[0] + 0.5 * damp @ (w * w)
+        while left > 0:
+            _, _, slope, curve = risk(w, p, now, prior, k)
+            step = -np.linalg.solve(curve + np.diag(damp + 1e-8), slope + damp * w)
+            size, before = min(1.0, STRIDE / max(np.abs(step).max(), 1e-12)), value(w, now)  # where all is flat, steps have no length of their own
+            while left > 0 and size > 1e-6:
+                tried = w + size * step
+                sums = told(tried)
+                if value(tried, sums) < before:
+                    w, now = tried, sums
+                    break
+                size /= 4
+            if before - value(w, now) < 1e-6:
+                break
+        return w, now
+
+    below, above = 0.0, 1.0
+    w, now = lowest(w, told(w), 1.0)
+    best = w
+    if risk(w, p, now, prior)[1] < 0:
+        while left > 0 and above - below > 1e-3:
+            k = (below + above) / 2
+            w, now = lowest(w, now, k)
+            bracket = risk(w, p, now, prior)[1]
+            if bracket < 0:
+                above = k
+            else:
+                below, best = k, w
+                if bracket < 1e-4:
+                    break
+    return best
 
 
 def held_out(doc_id: Column) -> Column:
@@ -124,59 +167,90 @@ def held_out(doc_id: Column) -> Column:
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in kit.text_steps(batch, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(list(features(data, offsets)), type=pa.list_(pa.float64()))], names=["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(list(features(data, offsets).astype(np.float32)), type=pa.list_(pa.float32()))], names=["doc_id", "x"])
 
 
-def cells_of(x: np.ndarray) -> np.ndarray:
-    """The summary's cell of each row of features."""
-    steps = np.rint(x / STEP).astype(np.int64).astype(kit.U64)
-    return (kit.mix((kit.mix(steps) * kit.odd_constants(41, FEATURES)).sum(axis=1, dtype=kit.U64)) % kit.U64(CELLS)).astype(np.int64)
+def _wide(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    z = np.clip((x - mean) / scale, -8, 8)
+    return np.concatenate([z, z * z / 4, np.ones((len(z), 1))], axis=1)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to (cell, texts, sums of their features): a task's own summary."""
-    counts, sums = np.zeros(CELLS), np.zeros((CELLS, FEATURES))
-    for batch in batches:
-        for _, _, data, offsets in kit.text_steps(batch, 0):
-            x = features(data, offsets)
-            cell = cells_of(x)
-            np.add.at(counts, cell, 1)
-            np.add.at(sums, cell, x)
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some].astype(np.int64)), pa.array(list(sums[some]), type=pa.list_(pa.float64()))], names=["cell", "n", "x"])
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES).astype(np.float64)
+
+
+def _totals(of: Callable[[np.ndarray], np.ndarray]):
+    """Feature rows to (place, value): a task's sums of what ``of`` makes of a block of rows, and how many rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = _vectors(batch.column(0))
+                own = np.append(of(x), len(x))
+                total = own if total is None else total + own
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["place", "value"])
+
+    return run
+
 
+def _summed(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sums over all rows of features; fixed decimals, so that no order of tasks shows."""
+    found = rows.transform(kit.through, _totals(of), "place int, value double").groupBy("place").agg(F.sum(F.col("value").cast("decimal(34,10)")).cast("double").alias("value"))
+    return found.orderBy("place").toPandas()["value"].to_numpy(dtype=np.float64)
+
+
+def featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, x): every text's features, in a written table."""
+    given = docs.select("doc_id", "text")
+    rows = given.transform(kit.through, _featured, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, x array<float>")
+    return kit.Scratch(docs.sparkSession, "pu-quality").cut(rows, "features")
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text; labels: doc_id, quality. Both as given; rows that are held out are left out here."""
+
+def fit(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """rows: what ``featured`` returns; labels: doc_id, quality. Both of all documents; rows that are held out are left out here."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
     prior = 0.5 if share is None else float(np.clip(share, 0.02, 0.98))
     trusted = known.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")  # bounded by sample
-    rows = docs.select("doc_id", "text").join(F.broadcast(trusted), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    rows = rows.select("doc_id", "text").transform(kit.through, _featured, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, x array<double>").orderBy("doc_id").toArrow()
-    positive = np.array(rows["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
-    others = docs.where(~held_out(F.col("doc_id"))).select("text").transform(kit.through, _summed, "cell long, n long, x array<double>")
-    # at most CELLS rows of a task meet here, and CELLS rows come to the driver; sums to fixed decimals have no order
-    total = [F.sum(F.get("x", F.lit(i)).cast("decimal(28,9)")).cast("double").alias(f"x{i}") for i in range(FEATURES)]
-    summary = others.groupBy("cell").agg(F.sum("n").alias("n"), *total).orderBy("cell").toArrow()
-    n = summary["n"].to_numpy().astype(np.float64)
-    unlabelled = np.stack([summary[f"x{i}"].to_numpy() for i in range(FEATURES)], axis=1) / np.maximum(n, 1)[:, None] if len(n) else np.zeros((0, FEATURES))
-    return learn(positive, unlabelled, prior, n)
+    met = rows.join(F.broadcast(trusted), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").toArrow()
+    positive = np.array(met["x"].to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
+    others = rows.where(~held_out(F.col("doc_id"))).select("x")
+    moments = _summed(others, lambda x: np.concatenate([x.sum(axis=0), (x * x).sum(axis=0)]))
+    if not len(positive) or not len(moments):
+        return Model(prior, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(2 * FEATURES), float(np.log(prior / (1 - prior))))
+    n = moments[-1]
+    mean = moments[:FEATURES] / n
+    scale = np.maximum(np.sqrt(np.maximum(moments[FEATURES : 2 * FEATURES] / n - mean * mean, 0)), 1e-3)
+    upper = np.triu_indices(2 * FEATURES + 1)
+
+    def evaluate(w: np.ndarray) -> Sums:
+        def of(x: np.ndarray) -> np.ndarray:
+            loss, slope, curve = unlabelled_sums(_wide(x, mean, scale), w)
+            return np.concatenate([[loss], slope, curve[upper]])
 
+        total = _summed(others, of) / n
+        half = np.zeros((len(w), len(w)))
+        half[upper] = total[1 + len(w) : -1]
+        return Sums(total[0], total[1 : 1 + len(w)], half + np.triu(half, 1).T)
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for each row."""
+    w = learn(_wide(positive, mean, scale), evaluate, prior)
+    return Model(prior, mean, scale, w[:-1], float(w[-1]))
+
+
+def score(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) for each row of features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in kit.text_steps(batch, 1):
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(model.score(features(data, offsets)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_vectors(batch.column(1))))], names=["doc_id", "score"])
 
-    given = docs.select("doc_id", "text")
-    return given.transform(kit.through, run, f"doc_id {given.schema['doc_id'].dataType.simpleString()}, score double")
+    return rows.transform(kit.through, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = score(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    rows = featured(docs)
+    found = score(rows, fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

@@ -557,11 +557,12 @@ def test_scores_tell_good_from_bad(spark, none):
     rows = [(i, bad() if i % 5 == 0 else good()) for i in range(400)] + [(1000, None), (1001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(0, 400, 2)] + [(1, None)], "doc_id long, quality int")
-    found = {r["doc_id"]: r["score"] for r in pu_quality.score(docs, pu_quality.fit(docs, labels)).collect()}
+    rows = pu_quality.featured(docs)
+    found = {r["doc_id"]: r["score"] for r in pu_quality.score(rows, pu_quality.fit(rows, labels)).collect()}
     out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert sum((found[i] >= 0.3) == (i % 5 != 0) for i in out) / len(out) > 0.9 and all(0 <= s <= 1 for s in found.values())
-    model = pu_quality.fit(none, labels.limit(0))
-    assert {r["score"] for r in pu_quality.score(docs, model).collect()} == {0.5}
+    model = pu_quality.fit(pu_quality.featured(none), labels.limit(0))
+    assert {r["score"] for r in pu_quality.score(rows, model).collect()} == {0.5}
 
 
 def test_risk_and_its_slope_by_differences():
@@ -579,30 +580,71 @@ def test_risk_and_its_slope_by_differences():
         bracket = sum(c * loss(-(x @ w)) for x, c in zip(u, counts)) / counts.sum() - prior * sum(loss(-(x @ w)) for x in p) / len(p)
         return prior * as_positive, bracket
 
-    for prior in (0.02, 0.97):
-        found, way = pu_quality.risk(w, p, u, counts / counts.sum(), prior)
+    many = np.repeat(u, counts.astype(int), axis=0)
+    mean = lambda at: pu_quality.Sums(*(x / len(many) for x in pu_quality.unlabelled_sums(many, at)))
+    for prior, k in ((0.02, 1.0), (0.97, 1.0), (0.97, 0.3)):
+        found, inner, way, curve = pu_quality.risk(w, p, mean(w), prior, k)
         first, bracket = plain(w, prior)
-        assert math.isclose(found, first + max(0, bracket), rel_tol=1e-9, abs_tol=1e-12)
+        assert math.isclose(found, first + k * bracket, rel_tol=1e-9, abs_tol=1e-12) and math.isclose(inner, bracket, abs_tol=1e-12)
         step = [[(y - x) / 2e-6 for x, y in zip(plain(w - d, prior), plain(w + d, prior))] for d in np.eye(4) * 1e-6]
-        wanted = [a + b if bracket >= 0 else -b for a, b in step]
-        assert np.allclose(way, wanted, atol=1e-6)
+        assert np.allclose(way, [a + k * b for a, b in step], atol=1e-6)
+        bent = np.stack([(pu_quality.risk(w + d, p, mean(w + d), prior, k)[2] - pu_quality.risk(w - d, p, mean(w - d), prior, k)[2]) / 2e-5 for d in np.eye(4) * 1e-5])
+        assert np.allclose(curve, bent, atol=1e-6)
     assert {prior for prior in (0.02, 0.97) if plain(w, prior)[1] < 0} == {0.97}  # both sides of the bend
 
 
-def test_the_summary_counts_every_text(spark, docs):
-    import numpy as np
-
-    rows = docs.select("text").transform(pu_quality.kit.through, pu_quality._summed, "cell long, n long, x array<double>").collect()
-    assert sum(r["n"] for r in rows) == len(ROWS)
+def test_every_unlabelled_text_counts(spark, docs):
     data = [(t or "").encode() for _, t, *_ in ROWS]
     whole = pu_quality.features(np.frombuffer(b"".join(data), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
-    assert np.allclose(np.sum([r["x"] for r in rows], axis=0), whole.sum(axis=0))
+    found = pu_quality._summed(pu_quality.featured(docs).select("x"), lambda x: np.append(x.sum(axis=0), (x * x).sum()))
+    assert found[-1] == len(ROWS) and np.allclose(found[:-2], whole.sum(axis=0), rtol=1e-5) and np.isclose(found[-2], (whole**2).sum(), rtol=1e-5)
+
+
+def test_the_fit_is_the_minimum_and_holds_for_a_million_distinct_rows():
+    rng = np.random.default_rng(6)
+    n, prior = 1_000_000, 0.8
+    good = rng.random(n) < prior
+    x = rng.normal(size=(n, pu_quality.FEATURES))
+    x[:, 3] += np.where(good, 1.5, -1.5)
+    x[:, 7] += np.where(good, -1.0, 1.0)
+    wide = lambda x: pu_quality._wide(x, np.zeros(pu_quality.FEATURES), np.ones(pu_quality.FEATURES))
+    p, parts, calls = wide(x[good][:6_000]), np.array_split(x, 40), []
+
+    def evaluate(w):
+        calls.append(w)
+        sums = [pu_quality.unlabelled_sums(wide(part), w) for part in parts]
+        return pu_quality.Sums(*(sum(s[k] for s in sums) / n for k in range(3)))
+
+    w = pu_quality.learn(p, evaluate, prior)
+    score, rank = wide(x) @ w, np.empty(n)
+    rank[np.argsort(score)] = np.arange(n)
+    auc = (rank[good].mean() - (good.sum() - 1) / 2) / (n - good.sum())
+    assert auc > 0.98 and len(calls) <= pu_quality.PASSES and ((score > 0) == good).mean() > 0.93
+    assert pu_quality.risk(w, p, evaluate(w), prior)[1] >= 0
+
+
+def test_scores_are_those_of_a_plain_fit(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(["plain", "word.", "line,", "Text"] if i % 4 else ["BUY!!", "$$$", "|", "more"]) for _ in range(rng.randrange(1, 50)))) for i in range(300)] + [(300, None), (301, "w " * 20_000)]
+    labels = {i: int(i % 4 > 0) for i in range(0, 300, 3)}
+    made = pu_quality.featured(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    found = {r["doc_id"]: r["score"] for r in pu_quality.score(made, pu_quality.fit(made, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"))).collect()}
+    inside = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 5]
+    x = {i: pu_quality.features(np.frombuffer((t or "").encode(), dtype=np.uint8), np.array([0, len((t or "").encode())]))[0].astype(np.float32).astype(float) for i, t in rows}
+    u = np.array([x[i] for i in inside])
+    mean, scale = u.mean(axis=0), np.maximum(u.std(axis=0), 1e-3)
+    prior = np.mean([labels[i] for i in inside if i in labels])
+    p = pu_quality._wide(np.array([x[i] for i in inside if labels.get(i) == 1]), mean, scale)
+    all_ = pu_quality._wide(u, mean, scale)
+    w = pu_quality.learn(p, lambda w: pu_quality.Sums(*(v / len(all_) for v in pu_quality.unlabelled_sums(all_, w))), prior)
+    for i, row in x.items():
+        assert abs(found[i] - 1 / (1 + np.exp(-np.clip(pu_quality._wide(row[None], mean, scale)[0] @ w, -30, 30)))) < 1e-4
 
 
 def test_repeated_labels_and_ids_change_nothing(spark):
     rows = [(i, ("plain words, written well. " if i % 3 else "BUY!! $$$ | ") * 9) for i in range(120)] + [(None, "no id"), (None, None)]
     labels = [(i, int(i % 3 > 0)) for i in range(0, 120, 2)]
-    make = lambda r, l: pu_quality.fit(spark.createDataFrame(r, "doc_id long, text string"), spark.createDataFrame(l, "doc_id long, quality int"))
+    make = lambda r, l: pu_quality.fit(pu_quality.featured(spark.createDataFrame(r, "doc_id long, text string")), spark.createDataFrame(l, "doc_id long, quality int"))
     once, twice = make(rows, labels), make(rows, labels + labels + [(None, 1)])
     assert once.prior == twice.prior and (once.weights == twice.weights).all()
     assert abs(make(rows + rows, labels).bias) < 100
