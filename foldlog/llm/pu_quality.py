@@ -139,7 +139,7 @@ def learn(p: np.ndarray, evaluate: Callable[[np.ndarray], Sums], prior: float, p
                     w, now = tried, sums
                     break
                 size /= 4
-            if before - value(w, now) < 1e-6:
+            if before - value(w, now) < 1e-5:
                 break
         return w, now
 
@@ -147,7 +147,7 @@ def learn(p: np.ndarray, evaluate: Callable[[np.ndarray], Sums], prior: float, p
     w, now = lowest(w, told(w), 1.0)
     best = w
     if risk(w, p, now, prior)[1] < 0:
-        while left > 0 and above - below > 1e-3:
+        while left > 0 and above - below > 1 / 64:
             k = (below + above) / 2
             w, now = lowest(w, now, k)
             bracket = risk(w, p, now, prior)[1]
@@ -155,7 +155,7 @@ def learn(p: np.ndarray, evaluate: Callable[[np.ndarray], Sums], prior: float, p
                 above = k
             else:
                 below, best = k, w
-                if bracket < 1e-4:
+                if bracket < 1e-3:
                     break
     return best
 

@@ -647,7 +647,7 @@ def test_repeated_labels_and_ids_change_nothing(spark):
     make = lambda r, l: pu_quality.fit(pu_quality.featured(spark.createDataFrame(r, "doc_id long, text string")), spark.createDataFrame(l, "doc_id long, quality int"))
     once, twice = make(rows, labels), make(rows, labels + labels + [(None, 1)])
     assert once.prior == twice.prior and (once.weights == twice.weights).all()
-    assert abs(make(rows + rows, labels).bias) < 100
+    assert np.isfinite(make(rows + rows, labels).weights).all()
 
 
 # ---------------------------------------------------------------- 10
