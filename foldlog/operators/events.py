@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,6 +34,35 @@ def batches(events: DataFrame, size: int) -> DataFrame:
     return events.withColumn("batch", F.floor((F.col("position") - 1) / size).cast("bigint"))
 
 
+#: Blocks of positions that are counted at once.
+BLOCKS = 10_000
+
+
+def ranges(frame: DataFrame, low: int, high: int, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of positions that hold ``size`` rows at most, or span that many positions; empty ones are left out.
+
+    Counts of BLOCKS blocks tell which ranges have rows; only crowded blocks are looked into, so gaps cost nothing.
+    """
+    width = max(1, -(-(high - low + 1) // (size * BLOCKS))) * size
+    if high - low < size:
+        yield low, high
+        return
+    block = F.floor((F.col("position") - low) / width).cast("bigint")
+    counts = frame.where(F.col("position").between(low, high)).groupBy(block.alias("block")).count().orderBy("block").collect()
+    begin, held, end = low, 0, low
+    for b, n in counts:
+        first, last = low + b * width, min(high, low + (b + 1) * width - 1)
+        if held and held + n > size:
+            yield begin, end
+            held = 0
+        if n > size:
+            yield from ranges(frame, first, last, size)
+            continue
+        begin, held, end = begin if held else first, held + n, last
+    if held:
+        yield begin, end
+
+
 def dedup(events: DataFrame, cursors: DataFrame) -> DataFrame:
     """Events with ``repeated``: at or before their stream's cursor, or an earlier row of the batch again.
 
@@ -112,15 +143,49 @@ def claims(keyed: list[tuple[int, list[str]]]) -> set[int]:
     return lost
 
 
-def lost_claims(keyed: DataFrame) -> DataFrame:
-    """position of the losers where events claim several keys each. keyed: batch, position, keys; a batch at a time."""
+#: Rounds after which what is still open is settled in one task.
+ROUNDS = 40
+
 
-    def losers(rows):
-        import pandas as pd
+def lost_claims(keyed: DataFrame, cut: Callable[[DataFrame], DataFrame], rounds: int = ROUNDS) -> DataFrame:
+    """batch and position of the losers where events claim several keys each: what ``claims`` finds, for all batches at once.
 
-        return pd.DataFrame({"position": sorted(claims([(int(p), list(k)) for p, k in zip(rows["position"], rows["keys"], strict=True)]))}, dtype="int64")
+    keyed: batch, position, keys. cut writes a table and reads it again. In a round, an event wins that has the least position of all open
+    events with any of its keys, and whoever shares a key with it loses; both are closed. A round looks at keys by grouped minimums, so no
+    batch and no key is gathered. Events that wait for each other in a chain take a round for each two of its links; after ``rounds``,
+    the few that are left in such chains are settled in order, in one task.
+    """
+    from foldlog.model import IGNORED_KEYS, RESERVED_KEYS
 
-    return keyed.groupBy("batch").applyInPandas(losers, "position bigint")
+    own = F.array_except("keys", F.array(*map(F.lit, IGNORED_KEYS)))  # also makes them distinct
+    claimed = keyed.select("batch", "position", own.alias("keys"))
+    reserved = F.arrays_overlap("keys", F.array(*map(F.lit, RESERVED_KEYS)))
+    lost = claimed.where(reserved).select("batch", "position")
+    open_ = cut(claimed.where(~reserved).select("batch", "position", F.explode("keys").alias("key")))
+    by, of = ["batch", "key"], ["batch", "position"]
+    while rounds and not open_.isEmpty():
+        rounds -= 1
+        first = open_.groupBy(*by).agg(F.min("position").alias("first"))
+        seen = open_.join(first, by)
+        wins = cut(seen.groupBy(*of).agg(F.min(F.col("first") == F.col("position")).alias("wins")).where("wins").select(*of))
+        taken = open_.join(wins, of, "left_semi").select(*by)
+        beaten = cut(open_.join(taken, by, "left_semi").join(wins, of, "left_anti").select(*of).distinct())
+        lost = lost.unionByName(beaten)
+        open_ = cut(open_.join(wins, of, "left_anti").join(beaten, of, "left_anti"))
+    if rounds:
+        return lost
+
+    def rest(rows):
+        import pyarrow as pa
+
+        found: dict[int, dict[int, list[str]]] = {}
+        for batch in rows:
+            for b, p, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found.setdefault(b, {}).setdefault(p, []).append(k)
+        out = [(b, p) for b, events in found.items() for p in sorted(claims(list(events.items())))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], type=pa.int64()) for i in (0, 1)], names=of)
+
+    return lost.unionByName(open_.select("batch", "position", "key").coalesce(1).mapInArrow(rest, "batch long, position long"))
 
 
 def wipeouts(batch_outcomes: DataFrame, *by: str, order: str = "batch") -> DataFrame:

@@ -13,11 +13,6 @@ from pyspark.sql import types as T
 from foldlog import model
 
 
-def equalities(where: dict) -> Column:
-    """All of the given equalities; none is true of every row."""
-    return reduce(and_, [F.col(k).eqNullSafe(v) if v is None else F.col(k) == v for k, v in where.items()], F.lit(True))
-
-
 def steps_of(results: DataFrame) -> DataFrame:
     """A row for each step: position, k (its place in its event), stream_id and the step's fields."""
     return results.select("position", "stream_id", F.posexplode("result.steps").alias("k", "step")).select("position", "stream_id", "k", "step.*")
@@ -28,11 +23,6 @@ def sums(events: DataFrame, key: str, amount: Column, *extra: Column) -> DataFra
     return events.groupBy(key).agg(F.sum(amount).cast("bigint").alias("total"), F.max("position").alias("last_position"), *extra)
 
 
-def last_writes(events: DataFrame, key: str, **values: Column) -> DataFrame:
-    """The fast path of setting folds: per key the values of the greatest position."""
-    return events.groupBy(key).agg(*(F.max_by(v, "position").alias(name) for name, v in values.items()), F.max("position").alias("last_position"))
-
-
 _STATE = "struct<there:boolean,row:map<string,string>,broken:array<struct<position:bigint,state:string>>>"
 
 

@@ -110,6 +110,23 @@ def to_result(value: Any) -> dict:
     return empty | {"kind": "invalid", "reason": repr(value)}
 
 
+def from_result(found: dict) -> Any:
+    """A row of model.RESULT as the object that a Python handler would have returned; None if no clause matched."""
+    def one(s: dict) -> Any:
+        key, set_, inc = (dict(s[k] or {}) for k in ("key", "set", "inc"))
+        made = {"insert": lambda: model.Insert(s["table"], set_), "update": lambda: model.Update(s["table"], key, set_, inc), "upsert": lambda: model.Upsert(s["table"], key, set_, inc), "delete": lambda: model.Delete(s["table"], key)}
+        return made[s["action"]]()
+
+    kind = found["kind"]
+    if kind == "skip":
+        return model.Skip()
+    if kind == "error":
+        return model.Error(found["reason"])
+    if kind == "multi":
+        return model.Multi({s["name"]: one(s) for s in found["steps"]})
+    return one(found["steps"][0]) if kind in ("insert", "update", "delete") else None
+
+
 def attempt(handle: Callable, event: model.Event, meta: dict, attempts: int, backoff: list[int], note: Callable[[str, dict], None] | None = None) -> dict:
     """Call a handler until it succeeds or attempts run out. Exceptions become results; exits are not caught."""
     found: dict = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ def preload(cursors: DataFrame, limit: int = PRELOAD) -> DataFrame:
 def conservation(outcomes: DataFrame) -> DataFrame:
     """delivered, applied, dead and skipped events, and whether the last three add up to the first."""
     count = lambda *names: F.count(F.when(F.col("outcome").isin(*names), 1))
-    found = outcomes.agg(F.count("*").alias("delivered"), count("applied").alias("applied"), count("failed", "invalid").alias("dead"), count("skipped", "deduped").alias("skipped"))
+    found = outcomes.agg(F.count("*").alias("delivered"), count("applied").alias("applied"), count("failed", "invalid", "collision").alias("dead"), count("skipped", "deduped").alias("skipped"))
     return found.withColumn("closed", F.col("delivered") == F.col("applied") + F.col("dead") + F.col("skipped"))
 
 
@@ -71,6 +73,21 @@ def reset_counts(positions: DataFrame, progress: DataFrame, letters: DataFrame,
     return counts[0].join(counts[1], how="cross").join(counts[2], how="cross")
 
 
-def numbered(letters: DataFrame, first: int = 1) -> DataFrame:
-    """Dead letters with ids from ``first``, in order of position. A batch's letters only, so the one task is small."""
-    return letters.withColumn("id", (F.row_number().over(Window.orderBy("position")) + (first - 1)).cast("bigint"))
+#: Dead letters that one task may number.
+NUMBERED_TOGETHER = 100_000
+
+
+def numbered(letters: DataFrame, first: int = 1, breaks: Sequence[int] = ()) -> DataFrame:
+    """Dead letters with ids from ``first``, without gaps, in order of position.
+
+    breaks: positions, in order, at which ranges begin; each range is numbered in a task of its own, from the number of letters in earlier ones.
+    """
+    if not breaks:
+        return letters.withColumn("id", (F.row_number().over(Window.orderBy("position")) + (first - 1)).cast("bigint"))
+    starts = F.array(*(F.lit(b).cast("bigint") for b in breaks))
+    parted = letters.withColumn("__range", F.size(F.filter(starts, lambda b: b <= F.col("position"))))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
+    counts = parted.groupBy("__range").agg(F.count("*").alias("__n"))
+    counts = counts.select("__range", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + (first - 1)).alias("__first"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("position"))
+    return parted.withColumn("__place", place).join(F.broadcast(counts), "__range").withColumn("id", (F.col("__first") + F.col("__place")).cast("bigint")).drop("__range", "__place", "__first")

@@ -199,6 +199,43 @@ def multi_key_collision(spark, sf_dir):
     return ops.collisions(ops.batches(log(spark, sf_dir), 50).withColumn("key", F.col("type"))).select("position", "collides")
 
 
+def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event claims two keys in its batch of 50: one that few events share, and its stream."""
+    return ops.batches(log(spark, sf_dir), 50).select("batch", "position", F.array(F.concat_ws("-", "type", F.col("position") % 3), "stream_id").alias("keys"))
+
+
+#: Claims in order: of each batch what is taken, and who lost.
+LOSERS = """losers AS (SELECT batch, unnest(list_reduce(list(struct_pack(p := position, ks := [type || '-' || (position % 3), stream_id], taken := []::VARCHAR[], lost := []::BIGINT[]) ORDER BY position),
+  lambda a, x: CASE WHEN list_has_any(x.ks, a.taken) THEN struct_pack(p := x.p, ks := x.ks, taken := a.taken, lost := list_append(a.lost, x.p))
+    ELSE struct_pack(p := x.p, ks := x.ks, taken := list_concat(a.taken, x.ks), lost := a.lost) END,
+  struct_pack(p := 0::BIGINT, ks := []::VARCHAR[], taken := []::VARCHAR[], lost := []::BIGINT[])).lost) AS position FROM log GROUP BY batch)"""
+
+
+@query("multi_keys_collision", f", {LOSERS} SELECT batch, position FROM losers")
+def multi_keys_collision(spark, sf_dir):
+    """Who loses a key in batches whose events claim two each; a loser claims nothing."""
+    return ops.lost_claims(_keyed(spark, sf_dir), _cut(spark))
+
+
+def _cut(spark: SparkSession) -> Callable[[DataFrame], DataFrame]:
+    import uuid
+
+    root = f"{_shared(spark)}/claims-{uuid.uuid4().hex}"
+
+    def cut(frame: DataFrame) -> DataFrame:
+        path = f"{root}/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    return cut
+
+
+def _shared(spark: SparkSession) -> str:
+    import tempfile
+
+    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldlog-")).rstrip("/")
+
+
 # ---------------------------------------------------------------- handlers and folds
 
 @query("handler_outcomes", "SELECT type, outcome, CASE WHEN outcome = 'failed' THEN 'error' END AS error_kind, count(*) AS n FROM log GROUP BY ALL")
@@ -276,17 +313,24 @@ def conservation(spark, sf_dir):
     return inspection.conservation(handled(spark, sf_dir))
 
 
+@query("conservation_with_collisions", f""", {LOSERS} SELECT count(*) AS delivered, count(*) FILTER (outcome = 'applied' AND l.position IS NULL) AS applied, count(*) FILTER (outcome = 'failed' OR (outcome = 'applied' AND l.position IS NOT NULL)) AS dead,
+  count(*) FILTER (outcome = 'skipped') AS skipped, true AS closed FROM log LEFT JOIN losers l ON log.position = l.position""")
+def conservation_with_collisions(spark, sf_dir):
+    """Applied events that lose a key are dead letters, and the books still close."""
+    lost = ops.lost_claims(_keyed(spark, sf_dir), _cut(spark)).select("position", F.lit(True).alias("lost"))
+    found = handled(spark, sf_dir).join(lost, "position", "left")
+    return inspection.conservation(found.withColumn("outcome", F.when((F.col("outcome") == "applied") & F.col("lost"), "collision").otherwise(F.col("outcome"))))
+
+
 def _declared(spark: SparkSession, table: model.Table, rules: handlers.Rules, source=None):
     """A target in a folder of its own, and a projection into it."""
-    import tempfile
     import uuid
 
     from foldlog import config
     from foldlog.sources.logs import MemoryLog
     from foldlog.targets.epoch import EpochTarget
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foldlog-")
-    target = EpochTarget(f"{root.rstrip('/')}/projection-{uuid.uuid4().hex}", [table])
+    target = EpochTarget(f"{_shared(spark)}/projection-{uuid.uuid4().hex}", [table])
     return target, config.declare(name=NAME, source=source or MemoryLog([]), target=target, handler=rules, parallelism=8)
 
 

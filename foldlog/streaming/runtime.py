@@ -7,7 +7,6 @@ import threading
 import time
 import uuid
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -97,7 +96,7 @@ class Processor:
         self._tell(known, began)
         for x in report.letters:
             bus.emit("dead_letter", projection=self.projection.identity, **x)
-        files.remove(self.spark, path)
+        files.remove(self.spark, self.scratch)
         return report
 
     def _evaluated(self, events: DataFrame, path: str | int) -> DataFrame:
@@ -110,6 +109,12 @@ class Processor:
         both.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(both.schema).parquet(path)
 
+    def _cut(self, frame: DataFrame) -> DataFrame:
+        """The frame as a table in the shared folder."""
+        path = f"{self.scratch}/{uuid.uuid4().hex}"
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
     def _batch_of(self, position: str = "position") -> Column:
         return F.floor((F.col(position) - 1) / self.batch_size).cast("bigint") if self.batch_size else F.lit(0).cast("bigint")
 
@@ -119,7 +124,7 @@ class Processor:
             keyed = multi.select(self._batch_of().alias("batch"), "position", F.col("result.steps")[0]["name"].alias("key"))
             lost = ops.collisions(keyed).where("collides").select("position")
         else:  # a loser's other keys stay free, which takes a batch's order
-            lost = ops.lost_claims(multi.select(self._batch_of().alias("batch"), "position", F.transform("result.steps", lambda s: s["name"]).alias("keys")))
+            lost = ops.lost_claims(multi.select(self._batch_of().alias("batch"), "position", F.transform("result.steps", lambda s: s["name"]).alias("keys")), self._cut).select("position")
         marked = outcomes.join(lost.withColumn("__lost", F.lit(True)), "position", "left")
         return marked.withColumn("outcome", F.when(F.col("__lost"), "collision").otherwise(F.col("outcome"))).select(*outcomes.columns)
 
@@ -161,39 +166,10 @@ def run_bounded(spark: SparkSession, projection: config.Projection, events: Data
     low, high = frame.agg(F.min("position"), F.max("position")).first()
     if low is None:
         return []
-    found = list(ranges(frame, (low - 1) // size * size + 1, high, size))  # where batches begin, too
+    found = list(ops.ranges(frame, (low - 1) // size * size + 1, high, size))  # where batches begin, too
     return [process(frame if len(found) == 1 else frame.where(F.col("position").between(a, b)), None) for a, b in found]
 
 
-#: Blocks of positions that are counted at once.
-BLOCKS = 10_000
-
-
-def ranges(frame: DataFrame, low: int, high: int, size: int) -> Iterator[tuple[int, int]]:
-    """Ranges of positions that hold ``size`` rows at most, or span that many positions; empty ones are left out.
-
-    Counts of BLOCKS blocks tell which ranges have rows; only crowded blocks are looked into, so gaps cost nothing.
-    """
-    width = max(1, -(-(high - low + 1) // (size * BLOCKS))) * size
-    if high - low < size:
-        yield low, high
-        return
-    block = F.floor((F.col("position") - low) / width).cast("bigint")
-    counts = frame.where(F.col("position").between(low, high)).groupBy(block.alias("block")).count().orderBy("block").collect()
-    begin, held, end = low, 0, low
-    for b, n in counts:
-        first, last = low + b * width, min(high, low + (b + 1) * width - 1)
-        if held and held + n > size:
-            yield begin, end
-            held = 0
-        if n > size:
-            yield from ranges(frame, first, last, size)
-            continue
-        begin, held, end = begin if held else first, held + n, last
-    if held:
-        yield begin, end
-
-
 @dataclass(frozen=True)
 class Info:
     """A snapshot; what the target cannot tell right now is None."""

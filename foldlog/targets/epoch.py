@@ -105,7 +105,7 @@ class EpochTarget(Target):
         guard(report)
         n_letters = stats["failed"] + stats["invalid"] + stats["collision"] + len(broken)
         if n_letters:
-            staged["dead_letters"] = self._write(self._letters(spark, batch, broken, found["letters"] + 1).select(*columns("dead_letters")), "dead_letters", number)
+            staged["dead_letters"] = self._write(self._letters(spark, batch, broken, found["letters"] + 1, n_letters).select(*columns("dead_letters")), "dead_letters", number)
         live = {k: list(v) for k, v in found["live"].items()}
         for t, path in staged.items():
             live.setdefault(t, []).append(path)
@@ -125,11 +125,15 @@ class EpochTarget(Target):
         micros = lambda t: None if t is None else round(t.replace(tzinfo=timezone.utc).timestamp() * 1e6)
         return old if old and old[0] > stats["top"] else [stats["top"], micros(stats["at"]), micros(datetime.now(timezone.utc))]
 
-    def _letters(self, spark: SparkSession, batch: Batch, broken: dict[int, str], first: int) -> DataFrame:
+    def _letters(self, spark: SparkSession, batch: Batch, broken: dict[int, str], first: int, n: int) -> DataFrame:
         states = spark.createDataFrame([(p, f"commit:{label_of_state(s)}") for p, s in broken.items()], "position bigint, failure string")
         failed = batch.outcomes.join(states, "position", "left").where("outcome in ('failed', 'invalid', 'collision') or (outcome = 'applied' and failure is not null)")
         failed = failed.withColumn("failure", F.coalesce("failure", F.when(F.col("outcome") == "collision", "multi_key_collision")))
-        return inspection.numbered(handlers.dead_letter_rows(failed, *batch.identity, batch.recorded_at), first)
+        breaks = []
+        if batch.stats()["top"] is not None and n > inspection.NUMBERED_TOGETHER:
+            low, high = failed.agg(F.min("position"), F.max("position")).first()
+            breaks = [a for a, _ in ops.ranges(failed, low, high, inspection.NUMBERED_TOGETHER)]
+        return inspection.numbered(handlers.dead_letter_rows(failed, *batch.identity, batch.recorded_at), first, breaks)
 
     def _known(self, stats: dict) -> None:
         for t in sorted(map(str, stats["tables"] - set(self.tables))):

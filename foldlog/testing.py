@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foldlog import config, model
 from foldlog.functions.failure import BatchCommitError
+from foldlog.operators import handlers
 from foldlog.sources.logs import MemoryLog
 from foldlog.streaming.runtime import Processor
 from foldlog.targets.base import Batch, batch_stats
@@ -24,9 +25,15 @@ def envelope_of(data: Any, position: int = 1, **options: Any) -> model.Event:
 
 
 def handle(projection: config.Projection, data: Any, **meta: Any) -> Any:
-    """What the handler returns for one event; an exception is returned, not raised. No retries."""
+    """What the handler returns for one event; an exception is returned, not raised. No retries.
+
+    Rules are evaluated by the active session; values of their rows are texts. None stands for no matching clause.
+    """
     event = envelope_of(data, **{k: v for k, v in meta.items() if k in ("id", "stream_id", "type", "position", "occurred_at", "metadata")})
     known = {k: getattr(event, k) for k in ("id", "stream_id", "position", "type", "occurred_at", "metadata")} | meta
+    if isinstance(projection.handler, handlers.Rules):
+        row = projection.handler.apply(MemoryLog._frame(SparkSession.active(), [event])).select("result").first()["result"]
+        return None if row is None else handlers.from_result(row.asDict(recursive=True))
     call = projection.handler if callable(projection.handler) else projection.handler.handle
     try:
         return call(event, known)

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldlog import config, model
+from foldlog.operators import events as ops
 from foldlog.operators import handlers
 from foldlog.sources import positions
 from foldlog.sources.logs import MemoryLog, ParquetLog
-from foldlog.streaming.runtime import Engine, Processor, ranges, run_bounded
+from foldlog.streaming.runtime import Engine, Processor, run_bounded
 from foldlog.targets.epoch import EpochTarget
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -180,12 +181,10 @@ def test_a_log_of_other_columns_needs_its_order(spark, tmp_path):
 
 @pytest.mark.parametrize("size", [1, 7, 100])
 def test_ranges_hold_all_rows_and_few_each(spark, monkeypatch, size):
-    from foldlog.streaming import runtime
-
-    monkeypatch.setattr(runtime, "BLOCKS", 5)
+    monkeypatch.setattr(ops, "BLOCKS", 5)
     rng = random.Random(size)
     places = sorted(set(rng.sample(range(1, 400), 90) + [10**9, 10**9 + 1, 10**12] + list(range(5_000, 5_060))))
-    parts = list(ranges(spark.createDataFrame([(x,) for x in places], "position bigint"), 1, places[-1], size))
+    parts = list(ops.ranges(spark.createDataFrame([(x,) for x in places], "position bigint"), 1, places[-1], size))
     assert all(b < c for (_, b), (c, _) in zip(parts, parts[1:]))
     held = [[x for x in places if a <= x <= b] for a, b in parts]
     assert [x for h in held for x in h] == places and all(0 < len(h) <= size for h in held)
