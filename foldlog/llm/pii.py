@@ -24,19 +24,32 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foldlog.llm import kit
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "birth", "passport", "secret")
 _DAY, _MONTH, _YEAR = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:19|20)[0-9]{2}"
 CONTEXT_CHARS, CONTEXT_GAIN, THRESHOLD = 40, 0.3, 0.5
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "(?:0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5]))"
+#: How long an IBAN is, by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20,
+    "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24,
+    "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20,
+}
+_IBANS = "|".join(
+    rf"(?:{'|'.join(c for c in IBAN_LENGTHS if IBAN_LENGTHS[c] == n)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n in sorted(set(IBAN_LENGTHS.values()))
+)
 #: kind: what a text must hold to be searched, pattern, context words, score without context
 RULES: dict[str, tuple[str, str, str, float]] = {
     "email": ("@", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "mail|contact|write|reply|kontakt|schreib|courriel|correo|escrib", 0.7),
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "address|host|server|login|client|adress|servidor|serveur|cliente", 0.6),
     "card": (r"[0-9][\x20-]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++", "card|visa|master|credit|payment|amex|karte|zahlung|carte|paiement|tarjeta|pago", 0.65),
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", "phone|call|tel|mobile|fax|whatsapp|handy|anruf|appel|portable|llam|móvil", 0.6),
-    "iban": (r"[A-Z]{2}[0-9]{2}", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9])++", "iban|account|bank|transfer|konto|compte|virement|cuenta|banco", 0.65),
+    "iban": (r"[A-Z]{2}[0-9]{2}", rf"(?<![A-Za-z0-9])(?:{_IBANS})(?![A-Za-z0-9])", "iban|account|bank|transfer|konto|compte|virement|cuenta|banco", 0.65),
     "ssn": (r"[0-9]-[0-9]{2}-[0-9]", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "ssn|social|security|tax|steuer|sozial|sécurité|fiscal|seguridad", 0.3),
     "birth": (
         r"[0-9][./-][0-9]", rf"(?<![0-9./-])(?:{_DAY}[./]{_MONTH}[./]{_YEAR}|{_YEAR}-{_MONTH}-{_DAY})(?![0-9./-]*[0-9])",
@@ -80,7 +93,7 @@ def confirmed(kind: str, found: Column) -> Column:
     if kind == "phone":
         return F.length(digits).between(8, 15)
     if kind == "iban":
-        return let(F.regexp_replace(found, " ", ""), lambda s: F.when(F.length(s).between(15, 34), mod97(s)).otherwise(False))
+        return let(F.regexp_replace(found, " ", ""), mod97)
     if kind == "secret":
         return found.rlike("[0-9]") & found.rlike("[A-Za-z]")
     return F.lit(True)
@@ -134,7 +147,7 @@ def _spans_of(kind: str, text: Column) -> Column:
 def find(df: DataFrame, text_col: str = "text", out: str = "pii", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """df with an array ``out`` of (kind, start, end, score): by kind as listed, then by start; end is exclusive."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    names = [f"__{out}_{k}" for k in kinds]
+    names = [kit.unused(f"__{out}_{k}", df) for k in kinds]
     parts = df.withColumns({n: F.coalesce(_spans_of(k, text), F.array().cast(_SPAN)) for n, k in zip(names, kinds, strict=True)})
     return parts.withColumn(out, F.concat(*names)).drop(*names)
 
