@@ -540,8 +540,21 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     scratch.drop("texts", "live")
 
     whole = nodes.groupBy("doc").agg(F.max("n").alias("n")).join(found, F.col("doc") == F.col("id"), "left").select(F.col("doc").alias("node"), "n", F.coalesce("component", "doc").alias("component"))
-    named = keyed.join(copies, ["h1", "h2"], "left").join(whole, "node", "left")
-    return named.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc"))).alias("component"))
+    named = keyed.where("doc is not null").join(copies, ["h1", "h2"], "left").join(whole, "node", "left")
+    named = named.select("doc", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")).alias("component"))
+    lone = rows.where("doc is null").select("text").transform(kit.through, _set_sizes, "n long")
+    return named.unionByName(lone.select(F.lit(None).cast("long").alias("doc"), "n", F.lit(None).cast("long").alias("component")))
+
+
+def _set_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of distinct shingles of each text."""
+    for batch in batches:
+        for _, _, data, offsets in kit.text_steps(batch):
+            words = kit.Words(data, offsets)
+            found, at = kit.windows(words, WORDS)
+            cuts = np.searchsorted(at, words.bounds)
+            sizes = [len(np.unique(found[a:b])) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(np.array(sizes, dtype=np.int64) > 0, sizes, np.diff(words.bounds) > 0).astype(np.int64))], names=["n"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

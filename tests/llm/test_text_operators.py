@@ -143,6 +143,12 @@ def test_one_row_of_each_component_stays(spark, none):
     assert ngram_join.stage(spark, given, "").columns == given.columns and ngram_join.stage(spark, none, "").count() == 0
 
 
+def test_rows_without_an_id_have_their_set_sizes(spark):
+    rows = [(None, "a b c d e f g h"), (None, "a b"), (None, ""), (None, None), (1, "a b c d e f g h"), (None, "a b c d e a b c d e"), (None, "x " * 20_000)]
+    found = ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc"] is None, r["n"], r["component"] is None) for r in found) == sorted([(True, 4, True), (True, 1, True), (True, 0, True), (True, 0, True), (False, 4, False), (True, 5, True), (True, 1, True)])
+
+
 def test_jaccard_of_nothing_and_of_null_ids(spark, none):
     assert ngram_join.link(none).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
@@ -340,6 +346,14 @@ def test_confirmed_and_scored_kinds(spark):
     assert found == [[("iban", 0.95)], [], [("ssn", 0.6)], [], [("card", 0.95)], [("card", 0.65)]]
 
 
+def test_an_iban_is_as_long_as_its_country_says(spark):
+    texts = ["IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF", "DE89370400440532013000.", "DE89370400440532013000X", "konto NO93 8601 1117 947 SEPA OK", "GB82 WEST 1234 5698 7654 32 AND MORE", "ZZ89370400440532013000"]
+    rows = spark.createDataFrame([(i, t, "user's own") for i, t in enumerate(texts)], "doc_id long, text string, __pii_iban string")
+    found = pii.find(rows).orderBy("doc_id").collect()
+    assert [[t[s["start"] : s["end"]] for s in r["pii"]] for r, t in zip(found, texts)] == [["DE89 3704 0044 0532 0130 00"], ["DE89370400440532013000"], [], ["NO93 8601 1117 947"], ["GB82 WEST 1234 5698 7654 32"], []]
+    assert {r["__pii_iban"] for r in found} == {"user's own"}
+
+
 def test_kinds_that_context_decides(spark):
     token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
     cases = [
