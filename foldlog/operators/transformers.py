@@ -18,6 +18,7 @@ from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldlog import model
 
@@ -45,6 +46,17 @@ def composes(table: model.Table, filters) -> bool:
     return all(set(asked) == set(table.key) and not set(table.key) & set(written) for asked, written in filters)
 
 
+def keys(steps: DataFrame, table: model.Table) -> DataFrame:
+    """The keys of the steps' rows, a column of texts each."""
+    of = lambda c: F.when(F.col("action") == "insert", F.try_element_at("set", F.lit(c))).otherwise(F.try_element_at("key", F.lit(c)))
+    return steps.where(F.col("table") == table.name).select(*(plain(of(f.name), f).alias(f.name) for f in table.schema if f.name in table.key))
+
+
+def plain(text: Column, f: T.StructField) -> Column:
+    """A text as its column's type would write it."""
+    return text if isinstance(f.dataType, T.StringType) else text.try_cast(f.dataType).cast("string")
+
+
 def _given(c: str) -> tuple[Column, Column, Column]:
     """For a column: whether a step sets it, to what, and what it adds."""
     name = F.lit(c)

@@ -19,6 +19,12 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(where)) if fs.exists(where) else []
 
 
+def times(spark: SparkSession, folder: str) -> list[tuple[str, float]]:
+    """Names in a folder and when each was written."""
+    _, where, fs = at(spark, folder)
+    return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def read(spark: SparkSession, path: str) -> str | None:
     """The file's text; None if there is no such file."""
     jvm, where, fs = at(spark, path)

@@ -102,7 +102,7 @@ class Processor:
     def _evaluated(self, events: DataFrame, path: str | int) -> DataFrame:
         """Handle each event once: the outcomes are written before anything reads them twice."""
         path = path if isinstance(path, str) else f"{self.scratch}/{path}"
-        marked = ops.dedup(events, self.projection.target.cursors(self.spark, self.projection.identity))
+        marked = ops.dedup(events, self.projection.target.cursors_of(self.spark, self.projection.identity, events))
         fresh = self.handler.apply(marked.where("not repeated"), self.retry)
         old = marked.where("repeated").withColumn("result", F.lit(None).cast(fresh.schema["result"].dataType))
         both = fresh.unionByName(old).withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))

@@ -75,6 +75,10 @@ class Target(ABC):
     def cursors(self, spark: SparkSession, identity: tuple[str, int]) -> DataFrame:
         """stream_id and position of one projection."""
 
+    def cursors_of(self, spark: SparkSession, identity: tuple[str, int], events: DataFrame) -> DataFrame:
+        """The cursors of the events' streams at least, for targets that need not read all for that."""
+        return self.cursors(spark, identity)
+
     @abstractmethod
     def commit(self, spark: SparkSession, batch: Batch, guard) -> Report:
         """Commit a batch. guard(report) raises Wipeout before anything is published. Raises on failure."""

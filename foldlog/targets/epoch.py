@@ -1,20 +1,25 @@
 """Tables in Parquet with atomic epochs: data first, then one manifest by an atomic rename.
 
 A manifest names the live folders of all tables at once, so a reader sees an epoch's rows, cursors and dead letters
-together or none of them. Each epoch adds changed rows only; readers take the newest of each key, and compaction
-rewrites a table when it has many folders. A batch id that the manifest lists for its run is not applied again. Two
-writers race for the same manifest number; the loser cannot create it and raises.
+together or none of them. Each epoch adds a folder of changed rows; readers take the newest of each key. A batch id that the manifest lists
+for its run is not applied again. Two writers race for the same manifest number; the loser cannot create it and raises.
+
+When a level has more than ``compact_at`` folders, these are merged into one of the next level, so a row is rewritten once a level. Merged folders are
+partitioned by a hash of the key (``buckets`` of them): a pass reads of these the buckets that its own keys fall into, and of the others the
+small folders of late epochs. Folders that no manifest names any more, and old manifests, are deleted ``retain_seconds`` later;
+a reader that takes longer than that with one manifest has to begin again.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldlog import model
@@ -25,56 +30,99 @@ from foldlog.streaming import files
 from foldlog.targets.base import Batch, Report, Target
 from foldlog.telemetry import bus
 
-COMPACT_AT = 24
+COMPACT_AT, BUCKETS, RETAIN_SECONDS = 24, 64, 3600.0
+#: What makes a cursor one row.
+_CURSOR = ("projection_name", "projection_version", "stream_id")
+
+
+def _level(path: str) -> int:
+    """0 for an epoch's own rows; the name of a merged folder tells its level."""
+    return int(path.rpartition("-L")[2]) if "-L" in path.rpartition("/")[2] else 0
 
 
 class EpochTarget(Target):
-    def __init__(self, root: str, tables: Iterable[model.Table], compact_at: int = COMPACT_AT):
+    def __init__(self, root: str, tables: Iterable[model.Table], compact_at: int = COMPACT_AT, buckets: int = BUCKETS, retain_seconds: float = RETAIN_SECONDS):
         self.root, self.tables, self.compact_at = root.rstrip("/"), {t.name: t for t in tables}, compact_at
+        self.buckets, self.retain_seconds = buckets, retain_seconds
 
     def manifest(self, spark: SparkSession) -> dict:
-        done = [n for n in files.names(spark, f"{self.root}/manifests") if n.endswith(".json")]
+        done = self._manifests(spark)
         if not done:
-            return {"number": 0, "live": {}, "applied": {}, "letters": 0, "progress": {}}
-        return json.loads(files.read(spark, f"{self.root}/manifests/{done[-1]}"))
+            return {"number": 0, "live": {}, "applied": {}, "letters": 0, "progress": {}, "dead": []}
+        text = files.read(spark, f"{self.root}/manifests/{done[-1]:012d}.json")
+        return self.manifest(spark) if text is None else {"dead": []} | json.loads(text)  # None: cleared meanwhile, so a newer one is there
+
+    def _manifests(self, spark: SparkSession) -> list[int]:
+        return [int(n[:-5]) for n in files.names(spark, f"{self.root}/manifests") if n.endswith(".json") and not n.startswith(".")]
 
     def publish(self, spark: SparkSession, found: dict) -> None:
         """Make a manifest the newest; fails if another writer has taken its number."""
         found = found | {"number": found["number"] + 1}
         if not files.create(spark, f"{self.root}/manifests/{found['number']:012d}.json", json.dumps(found)):
             raise CommitFailure("40001", "another writer published this epoch")
+        done = self._manifests(spark)
+        if done[-1] != found["number"]:  # the number was free only because it is so old that it was cleared
+            raise CommitFailure("40001", "another writer published later epochs")
 
     # reading
 
-    def _raw(self, spark: SparkSession, name: str, found: dict) -> DataFrame:
-        if name in model.SCHEMAS:
-            schema = model.SCHEMAS[name]
-        else:
-            schema = self.tables[name].ddl + ", __deleted boolean"
-        paths = [f"{self.root}/{p}" for p in found["live"].get(name, [])]
+    def _key(self, name: str) -> tuple[str, ...]:
+        return {"positions": _CURSOR, "dead_letters": ()}.get(name) or (self.tables[name].key if name in self.tables else ())
+
+    def bucket(self, *key: Column) -> Column:
+        """The bucket of a key, whose values are given as texts."""
+        return F.pmod(F.xxhash64(*key), F.lit(self.buckets)).cast("int")
+
+    def _raw(self, spark: SparkSession, name: str, found: dict, buckets: Collection[int] | None = None) -> DataFrame:
+        """All rows of the live folders; of merged ones, those of the buckets only, if such are given."""
+        schema = model.SCHEMAS[name] if name in model.SCHEMAS else self.tables[name].ddl + ", __deleted boolean"
         full = f"{schema}, __epoch bigint"
-        return spark.read.schema(full).parquet(*paths) if paths else spark.createDataFrame([], full)
+        paths = found["live"].get(name, [])
+        late, merged = ([f"{self.root}/{p}" for p in paths if (_level(p) > 0) == deep] for deep in (False, True))
+        rows = spark.read.schema(full).parquet(*late) if late else None
+        for path in merged:
+            deep = spark.read.schema(f"{full}, __bucket int").parquet(path)
+            deep = (deep if buckets is None else deep.where(F.col("__bucket").isin(*buckets))).drop("__bucket")
+            rows = deep if rows is None else rows.unionByName(deep)
+        return spark.createDataFrame([], full) if rows is None else rows
+
+    def touched(self, keys: DataFrame, name: str, found: dict) -> list[int] | None:
+        """The buckets that keys (columns of texts) fall into; None if nothing is merged yet, so that nothing is to be left out."""
+        if not any(_level(p) for p in found["live"].get(name, [])):
+            return None
+        return [r[0] for r in keys.select(self.bucket(*map(F.col, keys.columns))).distinct().collect()]  # at most as many as there are buckets
+
+    @staticmethod
+    def _newest(rows: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
+        rest = [c for c in rows.columns if c not in key]
+        return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*key, "r.*")
+
+    def _rows(self, name: str, rows: DataFrame) -> DataFrame:
+        """The newest row of each key, with its epoch; dead letters as they are."""
+        if name == "positions":
+            return self._newest(rows, _CURSOR, F.struct("position", "__epoch"))
+        return self._newest(rows, self._key(name), F.col("__epoch")) if self._key(name) else rows
 
-    def table(self, spark, name, found=None):
+    def table(self, spark, name, found=None, buckets=None):
         found = found or self.manifest(spark)
         if name == "progress":
             rows = [(k.rpartition("/")[0], int(k.rpartition("/")[2]), *v) for k, v in found["progress"].items()]
             read = spark.createDataFrame(rows, "projection_name string, projection_version int, position bigint, at bigint, written bigint")
             return read.select("projection_name", "projection_version", "position", F.timestamp_micros("at").alias("occurred_at"), F.timestamp_micros("written").alias("updated_at"))
-        rows = self._raw(spark, name, found)
-        if name == "dead_letters":
-            return rows.drop("__epoch")
-        if name == "positions":
-            keys = ["projection_name", "projection_version", "stream_id"]
-            rest = [c for c in rows.columns if c not in (*keys, "__epoch")]
-            return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("position", "__epoch")).alias("r")).select(*keys, "r.*")
-        table = self.tables[name]
-        newest = rows.groupBy(*table.key).agg(F.max_by(F.struct(*rows.columns), "__epoch").alias("r")).select("r.*")
-        return newest.where("not __deleted").select(*[f.name for f in table.schema])
+        rows = self._rows(name, self._raw(spark, name, found, buckets)).drop("__epoch")
+        if name in model.SCHEMAS:
+            return rows
+        return rows.where("not __deleted").select(*[f.name for f in self.tables[name].schema])
 
     def cursors(self, spark, identity):
         return inspection.of(self.table(spark, "positions"), *identity).select("stream_id", "position")
 
+    def cursors_of(self, spark, identity, events):
+        """The cursors of the events' streams, and what else is in their buckets."""
+        found = self.manifest(spark)
+        keys = events.select(F.lit(identity[0]).alias("n"), F.lit(str(identity[1])).alias("v"), F.col("stream_id"))
+        return inspection.of(self.table(spark, "positions", found, self.touched(keys, "positions", found)), *identity).select("stream_id", "position")
+
     @staticmethod
     def _run(identity: tuple[str, int], run: str | None) -> str:
         return f"{identity[0]}/{identity[1]}" + (f"/{run}" if run else "")
@@ -115,7 +163,7 @@ class EpochTarget(Target):
         if n_letters and bus.listens("dead_letter"):
             rows = spark.read.parquet(f"{self.root}/{staged['dead_letters']}").select("position", "stream_id", "event_type", "error_kind").orderBy("position").collect()  # a batch's letters
             report.letters = [r.asDict() for r in rows]
-        if any(len(v) > self.compact_at for v in live.values()):
+        if any(sum(_level(p) == 0 for p in v) > self.compact_at for v in live.values()):
             self.compact(spark)
         return report
 
@@ -155,9 +203,12 @@ class EpochTarget(Target):
             left = steps if not broken else steps.join(spark.createDataFrame([(p,) for p in broken], "position bigint"), "position", "left_anti")
             staged, fresh = {}, {}
             for t in sorted(stats["tables"]):
-                current, table = self.table(spark, t, found), self.tables[t]
+                table = self.tables[t]
                 asked = [(columns, written) for name, columns, written in stats["filters"] if name == t]
-                if transformers.composes(table, asked):
+                composes = transformers.composes(table, asked)
+                buckets = self.touched(transformers.keys(left, table), t, found) if composes else None
+                current = self.table(spark, t, found, buckets)
+                if composes:
                     done = transformers.settle(left, current, table, many=stats["applied"] * (stats["most"] or 0) > transformers.HOT_STEPS)
                 else:
                     done = transformers.Settled(folds.fold(left, current, table, loose.get(t, ())))
@@ -170,24 +221,48 @@ class EpochTarget(Target):
                 return broken, staged
 
     def compact(self, spark: SparkSession) -> None:
+        """Merge the folders of each crowded level into one of the next, and clear what has been dead long enough."""
         found = self.manifest(spark)
-        live = dict(found["live"])
-        for name, paths in found["live"].items():
-            if len(paths) > self.compact_at:
-                rows = self.table(spark, name, found)
-                live[name] = [self._write(rows if name in model.SCHEMAS else rows.withColumn("__deleted", F.lit(False)), name, found["number"])]
-        if live != found["live"]:
-            self.publish(spark, found | {"live": live})
+        live, gone = {k: list(v) for k, v in found["live"].items()}, []
+        for name in live:
+            level = 0
+            while sum(_level(p) == level for p in live[name]) > self.compact_at:
+                own = [p for p in live[name] if _level(p) == level]
+                deeper = any(_level(p) > level for p in live[name])
+                live[name] = [p for p in live[name] if p not in own] + [self._merged(spark, name, own, level + 1, found["number"], deeper)]
+                gone += own
+                level += 1
+        now = time.time()
+        due = [p for p, since in found["dead"] if now - since >= self.retain_seconds]
+        if gone or due:
+            kept = [[p, since] for p, since in found["dead"] if p not in due]
+            self.publish(spark, found | {"live": live, "dead": kept + [[p, now] for p in gone]})
+        for path in due:
+            files.remove(spark, f"{self.root}/{path}")
+        for name, written in files.times(spark, f"{self.root}/manifests"):
+            if name.endswith(".json") and int(name[:-5]) < found["number"] and now - written >= self.retain_seconds:
+                files.remove(spark, f"{self.root}/manifests/{name}")
+
+    def _merged(self, spark: SparkSession, name: str, paths: list[str], level: int, number: int, deeper: bool) -> str:
+        """One folder in place of several, by buckets; what is deleted is kept only as long as a deeper level may have it."""
+        rows = self._rows(name, self._raw(spark, name, {"live": {name: paths}}))
+        if "__deleted" in rows.columns and not deeper:
+            rows = rows.where("not __deleted")
+        key = [F.col(c).cast("string") for c in self._key(name)] or [F.col("id").cast("string")]
+        path = f"data/{name}/{number:012d}-{uuid.uuid4().hex}-L{level}"
+        rows.withColumn("__bucket", self.bucket(*key)).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{path}")
+        return path
 
     def reset(self, spark, identity, dead_letters=False):
         found = self.manifest(spark)
         key = f"{identity[0]}/{identity[1]}"
-        live, counts = dict(found["live"]), {"progress": int(key in found["progress"])}
+        live, dead, counts = dict(found["live"]), list(found["dead"]), {"progress": int(key in found["progress"])}
         for name in ["positions", *(["dead_letters"] if dead_letters else [])]:
             rows = self.table(spark, name, found)
             counts[name] = inspection.of(rows, *identity).count()
             kept = rows.where(~((F.col("projection_name") == identity[0]) & (F.col("projection_version") == identity[1])))
+            dead += [[p, time.time()] for p in live.get(name, [])]
             live[name] = [self._write(kept, name, found["number"] + 1)]
         without = lambda d: {k: v for k, v in d.items() if k != key and not k.startswith(f"{key}/")}
-        self.publish(spark, found | {"live": live, "applied": without(found["applied"]), "progress": without(found["progress"])})
+        self.publish(spark, found | {"live": live, "dead": dead, "applied": without(found["applied"]), "progress": without(found["progress"])})
         return counts
