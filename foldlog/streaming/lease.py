@@ -70,10 +70,12 @@ class Lease:
             self._next(number, "-")
         self.renewed = 0.0
 
-    def wait(self, name: str, most: int | None = None, sleep=time.sleep) -> int:
-        """Stand by until the lease is ours; the number of attempts."""
+    def wait(self, name: str, most: int | None = None, sleep=time.sleep, given_up=lambda: False) -> int:
+        """Stand by until the lease is ours; the number of attempts, 0 if given up before."""
         attempt = 1
         while not self.take():
+            if given_up():
+                return 0
             if most and attempt >= most:
                 raise TimeoutError(f"{name} is held by another writer")
             delay = subscribe_delay_ms(attempt)

@@ -189,7 +189,7 @@ class Info:
 @dataclass
 class Running:
     projection: config.Projection
-    processor: Processor
+    processor: Processor | None
     coordinator: Coordinator
     checkpoint: str
     after: int | str = "origin"
@@ -212,7 +212,8 @@ class Engine:
 
     Each (name, version) has a checkpoint of its own below ``root``; the checkpoint's offsets, not start_from, decide
     where a projection goes on; what start_from came to is noted there at the first start. A lease keeps a second
-    writer off; a projection that loses it halts. trigger: when a micro-batch begins, every ``batch_timeout_ms`` of
+    writer off; a projection that loses it halts. ``start`` returns at once: while another writer has the lease, the projection is
+    listed as initializing, can be stopped, and takes over when the lease is free. trigger: when a micro-batch begins, every ``batch_timeout_ms`` of
     the projection if not given.
     """
 
@@ -232,10 +233,34 @@ class Engine:
             raise ValueError(f"{projection.name} version {projection.version} is started already")
         checkpoint = f"{self.root}/{projection.name}/{projection.version}"
         lease = Lease(self.spark, checkpoint, self.lease_seconds)
-        lease.wait(checkpoint)
-        started = self._started(projection, checkpoint)
-        own = Running(projection, Processor(self.spark, projection, batch_size=projection.batch_size, run=started["run"], held=lease.held), Coordinator(), checkpoint, started["after"], lease=lease)
+        own = Running(projection, None, Coordinator(), checkpoint, lease=lease)
         self.running[projection.identity] = own
+        if lease.take():
+            bus.emit("source.subscribed", {"attempts": 1}, subscription=checkpoint)
+            self._begin(own)
+        else:  # another writer has it: stand by, listed as initializing
+            own.timer = threading.Thread(target=self._stand_by, args=(own,), daemon=True)
+            own.timer.start()
+        return own
+
+    def _stand_by(self, own: Running) -> None:
+        attempts = own.lease.wait(own.checkpoint, sleep=own.ended.wait, given_up=own.ended.is_set)
+        with own.gate:
+            if not attempts or own.ended.is_set():
+                own.lease.release()
+                return
+            try:
+                self._begin(own)
+            except Exception as e:
+                own.coordinator.halt(str(e))
+                own.lease.release()
+
+    def _begin(self, own: Running) -> None:
+        """The lease is ours: go on from the checkpoint."""
+        projection = own.projection
+        started = self._started(projection, own.checkpoint)
+        own.after = started["after"]
+        own.processor = Processor(self.spark, projection, batch_size=projection.batch_size, run=started["run"], held=own.lease.held)
         if own.hold:
             files.remove(self.spark, own.hold)  # a pause ends with its engine
         if bus.listens("cursors.loaded"):
@@ -244,7 +269,6 @@ class Engine:
         self._launch(own)
         own.timer = threading.Thread(target=self._watch, args=(own,), daemon=True)
         own.timer.start()
-        return own
 
     def _started(self, projection: config.Projection, checkpoint: str) -> dict:
         """The checkpoint's own name and its first position, noted once: its offsets and batch ids belong to it."""
@@ -355,6 +379,12 @@ class Engine:
 
     def stop(self, projection, version: int = 1) -> None:
         own = self._own(projection, version)
+        if own.processor is None:  # it stands by
+            own.ended.set()
+            with own.gate:  # or is just taking over
+                if own.processor is None:
+                    own.coordinator.stopped()
+                    return
         own.coordinator.drain()
         own.ended.set()
         if own.query is not None:
@@ -370,10 +400,12 @@ class Engine:
                 return
             query = own.query
             try:
-                if query.isActive:
+                if query is None:
+                    pass  # it stands by
+                elif query.isActive:
                     query.processAllAvailable()
                     return
-                if query.exception() is None:
+                elif query.exception() is None:
                     return
             except Exception:  # the batch failed; the watcher restarts or halts
                 pass
