@@ -343,12 +343,27 @@ def _run(spark: SparkSession, sf_dir: str, table: model.Table = ACCOUNTS, rules:
     return target
 
 
-@query("projection_run", """SELECT b.stream_id AS user, CAST(coalesce(sum(cents) FILTER (type = 'purchase'), 0) AS BIGINT) AS balance, max(position) FILTER (type = 'click' AND position > born) AS last_seen
-  FROM log l JOIN (SELECT stream_id, min(position) AS born FROM log WHERE type IN ('signup', 'purchase') GROUP BY stream_id) b ON l.stream_id = b.stream_id GROUP BY b.stream_id""")
+_BALANCES = """SELECT b.stream_id AS user, CAST(coalesce(sum(cents) FILTER (type = 'purchase'), 0) AS BIGINT) AS balance, max(position) FILTER (type = 'click' AND position > born) AS last_seen
+  FROM log l JOIN (SELECT stream_id, min(position) AS born FROM log WHERE type IN ('signup', 'purchase') GROUP BY stream_id) b ON l.stream_id = b.stream_id GROUP BY b.stream_id"""
+
+
+@query("projection_run", _BALANCES)
 def projection_run(spark, sf_dir):
     return _run(spark, sf_dir).table(spark, "accounts")
 
 
+@query("projection_levels", _BALANCES)
+def projection_levels(spark, sf_dir):
+    """The same in four passes, whose epochs are merged into buckets on the way."""
+    from foldlog.streaming.runtime import run_bounded
+
+    target, projection = _declared(spark, ACCOUNTS, account_rules())
+    target.compact_at = 1
+    all_ = log(spark, sf_dir)
+    run_bounded(spark, projection, all_, in_flight=-(-all_.agg(F.max("position")).first()[0] // 4))
+    return target.table(spark, "accounts")
+
+
 @query("projection_dead_letters", """SELECT CASE WHEN type = 'error' THEN 'error' ELSE 'commit:23505 (unique_violation)' END AS error_kind, count(*) AS n, max(position) AS last_position
   FROM log LEFT JOIN (SELECT stream_id, min(position) AS born FROM log WHERE type IN ('signup', 'purchase') GROUP BY stream_id) b USING (stream_id) WHERE type = 'error' OR (type = 'signup' AND position > born) GROUP BY 1""")
 def projection_dead_letters(spark, sf_dir):

@@ -302,8 +302,8 @@ class Engine:
     def _batch(self, own: Running, df: DataFrame, batch_id: int) -> None:
         try:
             with own.gate:
-                if own.coordinator.state in (PAUSED, DRAINING, STOPPED) and not own.hold:
-                    raise RuntimeError("nothing begins while paused")  # the batch is replayed later
+                if own.coordinator.state in (DRAINING, STOPPED) or (own.coordinator.state == PAUSED and not own.hold):
+                    raise RuntimeError("nothing begins any more")  # the batch is replayed later
                 own.processor(df, batch_id)
         except Replay as e:
             time.sleep(e.delay_ms / 1000)
@@ -387,8 +387,9 @@ class Engine:
                     return
         own.coordinator.drain()
         own.ended.set()
-        if own.query is not None:
-            own.query.stop()
+        with own.gate:  # what is in flight commits
+            if own.query is not None:
+                own.query.stop()
         own.lease.release()
         own.coordinator.stopped()
 
