@@ -362,7 +362,7 @@ def dedup(df: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col:
         large.append(np.sort(keys.to_numpy().astype(np.int64).view(kit.U64)))
         again = scratch.cut(docs.transform(kit.through, _marks(size, known, list(large), True), MARKS), f"marks{len(large)}")
         marks, at_level = marks.unionByName(again), again
-    parts = kit.parts_for(docs, 8 << 20)
+    parts = min(kit.MOST_PARTS, kit.parts_for(docs, 8 << 20))  # buckets stream, so a partition may be large
     strings = docs.transform(kit.through, _strings(size, known, large), STRINGS).repartition(parts, "key").sortWithinPartitions("key", "digest")
     answers = scratch.cut(strings.transform(kit.through, _buckets(size), "key long, digest long, least binary"), "answers")
     asked = marks.join(answers, ["key", "digest"]).select("doc", "text_digest", "first", "windows", "least")
