@@ -40,6 +40,9 @@ def result(kind: str, *steps: Column, reason: Column | str | None = None) -> Col
 class Rules:
     """Clauses by event type, the first match wins; an event without a clause fails. Compiled to one CASE."""
 
+    #: a result is made of its event's columns only, so events need not be parted to be handled
+    columns_only = True
+
     def __init__(self):
         self.clauses: list[tuple[Column, Column]] = []
 

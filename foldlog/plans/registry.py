@@ -11,7 +11,7 @@ from foldlog import model
 from foldlog.functions import scalars
 from foldlog.operators import events as ops
 from foldlog.operators import folds, handlers, inspection, transformers
-from foldlog.sources.logs import event_table, mapped
+from foldlog.sources.logs import event_range, event_table, mapped
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -339,7 +339,7 @@ def _run(spark: SparkSession, sf_dir: str, table: model.Table = ACCOUNTS, rules:
     from foldlog.streaming.runtime import run_bounded
 
     target, projection = _declared(spark, table, rules or account_rules())
-    run_bounded(spark, projection, log(spark, sf_dir))
+    run_bounded(spark, projection, log(spark, sf_dir), part=lambda a, b: event_range(spark, sf_dir, a, b))
     return target
 
 
@@ -360,7 +360,7 @@ def projection_levels(spark, sf_dir):
     target, projection = _declared(spark, ACCOUNTS, account_rules())
     target.compact_at = 1
     all_ = log(spark, sf_dir)
-    run_bounded(spark, projection, all_, in_flight=-(-all_.agg(F.max("position")).first()[0] // 4))
+    run_bounded(spark, projection, all_, in_flight=-(-all_.agg(F.max("position")).first()[0] // 4), part=lambda a, b: event_range(spark, sf_dir, a, b))
     return target.table(spark, "accounts")
 
 

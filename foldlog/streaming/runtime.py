@@ -7,6 +7,7 @@ import threading
 import time
 import uuid
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -21,7 +22,7 @@ from foldlog.operators import handlers, inspection
 from foldlog.streaming import files
 from foldlog.streaming.coordinator import DRAINING, HALTED, INITIALIZING, PAUSED, STOPPED, Budget, Circuit, Coordinator
 from foldlog.streaming.lease import Lease
-from foldlog.targets.base import OUTCOMES, Batch, Report, Target, Wipeout, batch_stats
+from foldlog.targets.base import OUTCOMES, Batch, Refused, Report, Target, Wipeout, batch_stats
 from foldlog.telemetry import bus
 
 
@@ -75,9 +76,9 @@ class Processor:
         path = f"{self.scratch}/{uuid.uuid4().hex}"
         outcomes = self._evaluated(events, path)
         known = batch_stats(outcomes)
-        if known["most_multi"]:
-            outcomes = self._collided(outcomes, known["most_multi"])
-            known = batch_stats(outcomes)
+        collided = self._collided(outcomes, known["most_multi"]) if known["most_multi"] else None
+        if collided is not None:
+            outcomes, known = collided, batch_stats(collided)
         now = F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
         try:
             report = target.commit(self.spark, Batch(self.projection.identity, batch_id, outcomes, now, known, self.run), lambda r: self._guard(r, outcomes))
@@ -103,9 +104,12 @@ class Processor:
         """Handle each event once: the outcomes are written before anything reads them twice."""
         path = path if isinstance(path, str) else f"{self.scratch}/{path}"
         marked = ops.dedup(events, self.projection.target.cursors_of(self.spark, self.projection.identity, events))
-        fresh = self.handler.apply(marked.where("not repeated"), self.retry)
-        old = marked.where("repeated").withColumn("result", F.lit(None).cast(fresh.schema["result"].dataType))
-        both = fresh.unionByName(old).withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))
+        if getattr(self.handler, "columns_only", False):
+            both = self.handler.apply(marked, self.retry).withColumn("result", F.when(~F.col("repeated"), F.col("result")))
+        else:
+            fresh = self.handler.apply(marked.where("not repeated"), self.retry)
+            both = fresh.unionByName(marked.where("repeated").withColumn("result", F.lit(None).cast(fresh.schema["result"].dataType)))
+        both = both.withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))
         both.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(both.schema).parquet(path)
 
@@ -118,13 +122,17 @@ class Processor:
     def _batch_of(self, position: str = "position") -> Column:
         return F.floor((F.col(position) - 1) / self.batch_size).cast("bigint") if self.batch_size else F.lit(0).cast("bigint")
 
-    def _collided(self, outcomes: DataFrame, most: int) -> DataFrame:
+    def _collided(self, outcomes: DataFrame, most: int) -> DataFrame | None:
+        """The outcomes with the events that lose a key; None if none does."""
         multi = outcomes.where("outcome = 'applied' and result.kind = 'multi'")
         if most == 1:
             keyed = multi.select(self._batch_of().alias("batch"), "position", F.col("result.steps")[0]["name"].alias("key"))
             lost = ops.collisions(keyed).where("collides").select("position")
         else:  # a loser's other keys stay free, which takes a batch's order
             lost = ops.lost_claims(multi.select(self._batch_of().alias("batch"), "position", F.transform("result.steps", lambda s: s["name"]).alias("keys")), self._cut).select("position")
+        lost = self._cut(lost)
+        if lost.isEmpty():
+            return None
         marked = outcomes.join(lost.withColumn("__lost", F.lit(True)), "position", "left")
         return marked.withColumn("outcome", F.when(F.col("__lost"), "collision").otherwise(F.col("outcome"))).select(*outcomes.columns)
 
@@ -135,7 +143,12 @@ class Processor:
         if not report.broken:
             return
         tried = [(0, report.attempted)] if self.batch_size is None else [tuple(r) for r in outcomes.where("outcome = 'applied'").groupBy(self._batch_of().alias("batch")).count().orderBy("batch").collect()]
-        of = Counter((p - 1) // self.batch_size if self.batch_size else 0 for p, _ in report.broken)
+        if self.batch_size is None:
+            of = Counter({0: len(report.broken)})
+        elif isinstance(report.broken, Refused):
+            of = Counter(dict(map(tuple, report.broken.frame.groupBy(self._batch_of().alias("batch")).count().collect())))
+        else:
+            of = Counter((p - 1) // self.batch_size for p, _ in report.broken)
         for batch, attempted in tried:
             if of[batch] < attempted:
                 self.circuit.applied()
@@ -155,10 +168,11 @@ class Processor:
 IN_FLIGHT = 1_000_000
 
 
-def run_bounded(spark: SparkSession, projection: config.Projection, events: DataFrame | None = None, events_per_batch: int | None = None, in_flight: int = IN_FLIGHT) -> list[Report]:
+def run_bounded(spark: SparkSession, projection: config.Projection, events: DataFrame | None = None, events_per_batch: int | None = None, in_flight: int = IN_FLIGHT, part: Callable[[int, int], DataFrame] | None = None) -> list[Report]:
     """Catch up with what the log holds now, in passes of about ``in_flight`` positions; a report for each.
 
     events_per_batch: positions to a batch, for colliding keys and the wipeout guard; a pass is one batch without it.
+    part: the events from one position to another, for logs that find these without reading all of themselves.
     """
     frame = projection.source.batch(spark) if events is None else events
     process = Processor(spark, projection, batch_size=events_per_batch)
@@ -167,7 +181,8 @@ def run_bounded(spark: SparkSession, projection: config.Projection, events: Data
     if low is None:
         return []
     found = list(ops.ranges(frame, (low - 1) // size * size + 1, high, size))  # where batches begin, too
-    return [process(frame if len(found) == 1 else frame.where(F.col("position").between(a, b)), None) for a, b in found]
+    part = part or (lambda a, b: frame if len(found) == 1 else frame.where(F.col("position").between(a, b)))
+    return [process(part(a, b), None) for a, b in found]
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,13 +11,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+class Refused(Sequence):
+    """(position, SQLSTATE) by position out of a written table, which comes to the driver only where someone goes through it."""
+
+    def __init__(self, frame: DataFrame, n: int):
+        self.frame, self.n = frame, n
+        self._rows: list[tuple[int, str]] | None = None
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at):
+        if self._rows is None and at == 0 and self.n:
+            return tuple(self.frame.orderBy("position").first())
+        if self._rows is None:
+            self._rows = [tuple(r) for r in self.frame.orderBy("position").collect()]
+        return self._rows[at]
+
+    def __iter__(self):
+        return iter(self[:])
+
+    def __eq__(self, other) -> bool:
+        return list(self) == list(other)
+
+
 @dataclass
 class Report:
     """What a commit did. broken: (position, SQLSTATE) of events whose rows a constraint refused."""
 
     attempted: int = 0
     applied: int = 0
-    broken: list[tuple[int, str]] = field(default_factory=list)
+    broken: Sequence[tuple[int, str]] = field(default_factory=list)
     #: position, stream_id, event_type and error_kind of the batch's dead letters; filled where someone listens
     letters: list[dict[str, Any]] = field(default_factory=list)
 
@@ -44,25 +69,22 @@ OUTCOMES = ("applied", "skipped", "deduped", "failed", "invalid", "collision")
 
 
 def batch_stats(outcomes: DataFrame) -> dict[str, Any]:
-    named = lambda s: F.transform(F.array_union(F.array_union(F.map_keys(s["key"]), F.map_keys(s["set"])), F.map_keys(s["inc"])), lambda c: F.struct(s["table"].alias("t"), c.alias("c")))
-    own = outcomes.select(
-        "outcome", "position", "occurred_at", F.coalesce(F.size("result.steps"), F.lit(0)).alias("n"), (F.col("result.kind") == "multi").alias("multi"),
-        F.when(F.col("outcome").isin("applied", "collision"), F.col("result.steps")).alias("steps"),
-    )
-    # which tables and columns: a handful of names, merged on the executors
-    row = own.agg(
-        *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES), F.max("position").alias("top"), F.max_by("occurred_at", "position").alias("at"),
+    steps = F.col("result.steps")
+    row = outcomes.select("outcome", "position", "occurred_at", F.coalesce(F.size(steps), F.lit(0)).alias("n"), (F.col("result.kind") == "multi").alias("multi")).agg(
+        *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES), F.min("position").alias("bottom"), F.max("position").alias("top"), F.max_by("occurred_at", "position").alias("at"),
         F.max(F.when(F.col("outcome") == "applied", F.col("n"))).alias("most"), F.max(F.when((F.col("outcome") == "applied") & F.col("multi"), F.col("n"))).alias("most_multi"),
-        F.collect_set(F.transform("steps", lambda s: s["table"])).alias("tables"), F.collect_set(F.transform(F.filter("steps", lambda s: s["action"] != "insert"), lambda s: s["table"])).alias("changed"), F.collect_set(F.flatten(F.transform("steps", named))).alias("columns"),
-        F.collect_set(F.transform(F.filter("steps", lambda s: s["action"].isin("update", "delete")), lambda s: F.struct(s["table"].alias("t"), F.array_sort(F.map_keys(s["key"])).alias("cs"), F.array_sort(F.array_union(F.map_keys(s["set"]), F.map_keys(s["inc"]))).alias("ws")))).alias("filters"),
     ).first()
     found = row.asDict(recursive=True)
-    found["tables"] = {t for ts in found["tables"] for t in ts}
+    # which tables and columns: steps that name the same are alike, so a handful of rows comes back
+    step = outcomes.where(F.col("outcome").isin("applied", "collision")).select(F.explode(steps).alias("step"))
+    kinds = step.select("step.action", "step.table", *(F.map_keys(f"step.{m}").alias(m) for m in ("key", "set", "inc"))).distinct().collect()
+    named = [(s["action"], s["table"], s["key"] or [], s["set"] or [], s["inc"] or []) for s in kinds]
+    found["tables"] = {t for _, t, *_ in named}
     #: tables that are not only inserted into
-    found["changed"] = {t for ts in found["changed"] for t in ts}
+    found["changed"] = {t for action, t, *_ in named if action != "insert"}
     #: table, columns by which rows are updated or deleted, columns that are written
-    found["filters"] = {(x["t"], tuple(x["cs"]), tuple(x["ws"])) for xs in found["filters"] for x in xs or ()}
-    found["columns"] = {(c["t"], c["c"]) for cs in found["columns"] for c in cs}
+    found["filters"] = {(t, tuple(sorted(key)), tuple(sorted({*sets, *incs}))) for action, t, key, sets, incs in named if action in ("update", "delete")}
+    found["columns"] = {(t, c) for _, t, *maps in named for m in maps for c in m}
     return found
 
 

@@ -18,6 +18,7 @@ import uuid
 from collections.abc import Collection, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from foldlog.functions.failure import CommitFailure, label_of_state
 from foldlog.operators import events as ops
 from foldlog.operators import folds, handlers, inspection, transformers
 from foldlog.streaming import files
-from foldlog.targets.base import Batch, Report, Target
+from foldlog.targets.base import Batch, Refused, Report, Target
 from foldlog.telemetry import bus
 
 COMPACT_AT, BUCKETS, RETAIN_SECONDS = 24, 64, 3600.0
@@ -147,9 +148,9 @@ class EpochTarget(Target):
         moved = ops.advances(outcomes).select(F.lit(name).alias("projection_name"), F.lit(version).alias("projection_version"), "stream_id", "position", batch.recorded_at.alias("updated_at"))
         with ThreadPoolExecutor(1) as pool:  # cursors are staged while rows are folded; neither is there before the manifest
             positions = pool.submit(self._write, moved.select(*columns("positions")), "positions", number)
-            broken, staged = self._settled(spark, found, outcomes, stats, number)
+            broken, staged, passing = self._settled(spark, found, outcomes, stats, number)
         staged["positions"] = positions.result()
-        report = Report(stats["applied"], stats["applied"] - len(broken), sorted(broken.items()))
+        report = Report(stats["applied"], stats["applied"] - len(broken), broken)
         guard(report)
         n_letters = stats["failed"] + stats["invalid"] + stats["collision"] + len(broken)
         if n_letters:
@@ -159,7 +160,8 @@ class EpochTarget(Target):
             live.setdefault(t, []).append(path)
         key = f"{name}/{version}"
         reached = found["progress"] | ({key: self._reached(found["progress"].get(key), stats)} if stats["top"] is not None else {})
-        self.publish(spark, found | {"live": live, "letters": found["letters"] + n_letters, "progress": reached, "applied": found["applied"] | ({} if batch.batch_id is None else {self._run(batch.identity, batch.run): batch.batch_id})})
+        dead = found["dead"] + [[path, time.time()] for path in passing]
+        self.publish(spark, found | {"live": live, "dead": dead, "letters": found["letters"] + n_letters, "progress": reached, "applied": found["applied"] | ({} if batch.batch_id is None else {self._run(batch.identity, batch.run): batch.batch_id})})
         if n_letters and bus.listens("dead_letter"):
             rows = spark.read.parquet(f"{self.root}/{staged['dead_letters']}").select("position", "stream_id", "event_type", "error_kind").orderBy("position").collect()  # a batch's letters
             report.letters = [r.asDict() for r in rows]
@@ -173,14 +175,16 @@ class EpochTarget(Target):
         micros = lambda t: None if t is None else round(t.replace(tzinfo=timezone.utc).timestamp() * 1e6)
         return old if old and old[0] > stats["top"] else [stats["top"], micros(stats["at"]), micros(datetime.now(timezone.utc))]
 
-    def _letters(self, spark: SparkSession, batch: Batch, broken: dict[int, str], first: int, n: int) -> DataFrame:
-        states = spark.createDataFrame([(p, f"commit:{label_of_state(s)}") for p, s in broken.items()], "position bigint, failure string")
-        failed = batch.outcomes.join(states, "position", "left").where("outcome in ('failed', 'invalid', 'collision') or (outcome = 'applied' and failure is not null)")
-        failed = failed.withColumn("failure", F.coalesce("failure", F.when(F.col("outcome") == "collision", "multi_key_collision")))
+    def _letters(self, spark: SparkSession, batch: Batch, broken: Sequence[tuple[int, str]], first: int, n: int) -> DataFrame:
+        failed = batch.outcomes.withColumn("failure", F.when(F.col("outcome") == "collision", "multi_key_collision"))
+        if len(broken):
+            labels = F.create_map(*(F.lit(x) for r in broken.frame.select("state").distinct().collect() for x in (r[0], f"commit:{label_of_state(r[0])}")))  # a handful of states
+            states = broken.frame.select("position", labels[F.col("state")].alias("__state"))
+            failed = failed.join(states, "position", "left").withColumn("failure", F.coalesce("failure", F.when(F.col("outcome") == "applied", F.col("__state"))))
+        failed = failed.where("outcome in ('failed', 'invalid', 'collision') or failure is not null").select(*batch.outcomes.columns, "failure")
         breaks = []
         if batch.stats()["top"] is not None and n > inspection.NUMBERED_TOGETHER:
-            low, high = failed.agg(F.min("position"), F.max("position")).first()
-            breaks = [a for a, _ in ops.ranges(failed, low, high, inspection.NUMBERED_TOGETHER)]
+            breaks = [a for a, _ in ops.ranges(failed, batch.stats()["bottom"], batch.stats()["top"], inspection.NUMBERED_TOGETHER)]
         return inspection.numbered(handlers.dead_letter_rows(failed, *batch.identity, batch.recorded_at), first, breaks)
 
     def _known(self, stats: dict) -> None:
@@ -190,18 +194,21 @@ class EpochTarget(Target):
             if c not in self.tables[t].schema.fieldNames():
                 raise CommitFailure("42703", f"no column {c} in {t}")
 
-    def _settled(self, spark: SparkSession, found: dict, outcomes: DataFrame, stats: dict, number: int) -> tuple[dict[int, str], dict[str, str]]:
-        """Fold the applied events of a batch into staged rows, without those that break a constraint; an event goes whole."""
+    def _settled(self, spark: SparkSession, found: dict, outcomes: DataFrame, stats: dict, number: int) -> tuple[Sequence[tuple[int, str]], dict[str, str], list[str]]:
+        """Fold the applied events of a batch into staged rows, without those that break a constraint; an event goes whole.
+
+        Returns what is broken, the staged folders, and the folders that only this pass needs: positions of broken events stay on the executors.
+        """
         steps = folds.steps_of(outcomes.where("outcome = 'applied'"))
-        broken: dict[int, str] = {}
+        broken, passing = Refused(spark.createDataFrame([], "position bigint, state string"), 0), []
         # filters that do not name a whole key reach any row
         loose: dict[str, list[tuple[tuple[str, ...], tuple[str, ...]]]] = {}
         for t, columns, written in sorted(stats["filters"]):
             if not set(self.tables[t].key) <= set(columns):
                 loose.setdefault(t, []).append((columns, written))
         while True:
-            left = steps if not broken else steps.join(spark.createDataFrame([(p,) for p in broken], "position bigint"), "position", "left_anti")
-            staged, fresh = {}, {}
+            left = steps if not broken else steps.join(broken.frame, "position", "left_anti")
+            staged, fresh = {}, []
             for t in sorted(stats["tables"]):
                 table = self.tables[t]
                 asked = [(columns, written) for name, columns, written in stats["filters"] if name == t]
@@ -214,11 +221,31 @@ class EpochTarget(Target):
                     done = transformers.Settled(folds.fold(left, current, table, loose.get(t, ())))
                 staged[t] = self._write(folds.typed(done.rows, table, "broken"), t, number)
                 written = transformers.Settled(spark.read.parquet(f"{self.root}/{staged[t]}"), done.faults)
-                fresh |= {r[0]: r[1] for r in written.broken().collect()}
-            new = set(fresh) - set(broken)
-            broken |= fresh
-            if not new or ((stats["most"] or 0) <= 1 and not loose):
-                return broken, staged
+                fresh.append(written.broken())
+            new = self._refused(spark, fresh, broken, number)
+            if new is None:
+                return broken, staged, passing
+            passing.append(new[0])
+            broken = new[1]
+            if (stats["most"] or 0) <= 1 and not loose:
+                return broken, staged, passing
+
+    def _refused(self, spark: SparkSession, fresh: list[DataFrame], known: Refused, number: int) -> tuple[str, Refused] | None:
+        """What was broken and what is now, a row for each event, and its folder; None if there is nothing new."""
+        if not fresh:
+            return None
+        both = reduce(DataFrame.unionByName, (f.withColumn("__t", F.lit(i)) for i, f in enumerate(fresh)))
+        one = both.groupBy("position").agg(F.max_by("state", F.struct("__t", "state")).alias("state"))
+        if known:
+            one = one.join(known.frame, "position", "left_anti").unionByName(known.frame)
+        path = f"data/refused/{number:012d}-{uuid.uuid4().hex}"
+        one.write.parquet(f"{self.root}/{path}")
+        frame = spark.read.schema("position bigint, state string").parquet(f"{self.root}/{path}")
+        n = frame.count()
+        if n == len(known):
+            files.remove(spark, f"{self.root}/{path}")
+            return None
+        return path, Refused(frame, n)
 
     def compact(self, spark: SparkSession) -> None:
         """Merge the folders of each crowded level into one of the next, and clear what has been dead long enough."""
