@@ -28,7 +28,7 @@ def test_rules_read_a_pass_once(spark, tmp_path):
     events = registry.log(spark, SF)
     seen = spark.sparkContext.accumulator(0)
     count = F.udf(lambda x: seen.add(1) or x)
-    process._evaluated(events.withColumn("type", count(F.col("type"))), "once")
+    process._evaluated(events.withColumn("type", count(F.col("type"))), f"file://{tmp_path}/once")
     assert seen.value == events.count()
 
 
