@@ -43,9 +43,14 @@ def ranges(frame: DataFrame, low: int, high: int, size: int) -> Iterator[tuple[i
 
     Counts of BLOCKS blocks tell which ranges have rows; only crowded blocks are looked into, so gaps cost nothing.
     """
+    return ((begin, end) for begin, end, _ in counted_ranges(frame, low, high, size))
+
+
+def counted_ranges(frame: DataFrame, low: int, high: int, size: int, n: int | None = None) -> Iterator[tuple[int, int, int | None]]:
+    """``ranges`` and how many rows each holds. n: how many there are in all; None, if nobody knows, comes back for a range that is all of them."""
     width = max(1, -(-(high - low + 1) // (size * BLOCKS))) * size
     if high - low < size:
-        yield low, high
+        yield low, high, n
         return
     block = F.floor((F.col("position") - low) / width).cast("bigint")
     counts = frame.where(F.col("position").between(low, high)).groupBy(block.alias("block")).count().orderBy("block").collect()
@@ -53,14 +58,14 @@ def ranges(frame: DataFrame, low: int, high: int, size: int) -> Iterator[tuple[i
     for b, n in counts:
         first, last = low + b * width, min(high, low + (b + 1) * width - 1)
         if held and held + n > size:
-            yield begin, end
+            yield begin, end, held
             held = 0
         if n > size:
-            yield from ranges(frame, first, last, size)
+            yield from counted_ranges(frame, first, last, size, n)
             continue
         begin, held, end = begin if held else first, held + n, last
     if held:
-        yield begin, end
+        yield begin, end, held
 
 
 def dedup(events: DataFrame, cursors: DataFrame) -> DataFrame:

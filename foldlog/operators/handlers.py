@@ -45,33 +45,37 @@ class Rules:
 
     def __init__(self):
         self.clauses: list[tuple[Column, Column]] = []
+        #: by event type, the outcome of clauses for which that is known beforehand; None if there are others
+        self.known: list[tuple[str, str]] | None = []
 
-    def on(self, type: str, then: Column, when: Column | None = None) -> Rules:
+    def on(self, type: str, then: Column, when: Column | None = None, outcome: str | None = None) -> Rules:
         test = F.col("type") == type
         self.clauses.append((test if when is None else test & when, then))
+        self.known = None if outcome is None or when is not None or self.known is None else [*self.known, (type, outcome)]
         return self
 
     def otherwise(self, then: Column) -> Rules:
         self.clauses.append((F.lit(True), then))
+        self.known = None
         return self
 
     def insert(self, type: str, table: str, row: dict) -> Rules:
-        return self.on(type, result("insert", step("insert", table, set=row)))
+        return self.on(type, result("insert", step("insert", table, set=row)), outcome="applied" if row else "invalid")
 
     def update(self, type: str, table: str, where: dict, set: dict) -> Rules:
-        return self.on(type, result("update", step("update", table, key=where, set=set)))
+        return self.on(type, result("update", step("update", table, key=where, set=set)), outcome="applied" if set else "invalid")
 
     def delete(self, type: str, table: str, where: dict) -> Rules:
-        return self.on(type, result("delete", step("delete", table, key=where)))
+        return self.on(type, result("delete", step("delete", table, key=where)), outcome="applied")
 
     def inc(self, type: str, table: str, where: dict, inc: dict, set: dict | None = None, name: str | Column = "inc") -> Rules:
-        return self.on(type, result("multi", step("upsert", table, key=where, set=set, inc=inc, name=name)))
+        return self.on(type, result("multi", step("upsert", table, key=where, set=set, inc=inc, name=name)), outcome="applied")
 
     def skip(self, type: str) -> Rules:
-        return self.on(type, result("skip"))
+        return self.on(type, result("skip"), outcome="skipped")
 
     def error(self, type: str, reason: Column | str) -> Rules:
-        return self.on(type, result("error", reason=reason))
+        return self.on(type, result("error", reason=reason), outcome="failed")
 
     def apply(self, events: DataFrame, retry: tuple[int, list[int]] = (1, [])) -> DataFrame:
         case = None
@@ -79,6 +83,12 @@ class Rules:
             case = F.when(test, then) if case is None else case.when(test, then)
         return events.withColumn("result", case if case is not None else F.lit(None).cast(model.RESULT))
 
+    def outcome(self) -> Column | None:
+        """What ``outcome`` says of the results, told by the events' types; None if a clause's own columns have to be looked at."""
+        if self.known is None:
+            return None
+        return F.coalesce(*(F.when(F.col("type") == type, verdict) for type, verdict in self.known), F.lit("failed"))
+
 
 def plain(value: Any) -> str | None:
     return None if value is None else value if isinstance(value, str) else json.dumps(value) if isinstance(value, (bool, dict, list)) else str(value)

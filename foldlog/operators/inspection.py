@@ -77,17 +77,21 @@ def reset_counts(positions: DataFrame, progress: DataFrame, letters: DataFrame,
 NUMBERED_TOGETHER = 100_000
 
 
-def numbered(letters: DataFrame, first: int = 1, breaks: Sequence[int] = ()) -> DataFrame:
+def numbered(letters: DataFrame, first: int = 1, breaks: Sequence[int] = (), held: Sequence[int] | None = None) -> DataFrame:
     """Dead letters with ids from ``first``, without gaps, in order of position.
 
     breaks: positions, in order, at which ranges begin; each range is numbered in a task of its own, from the number of letters in earlier ones.
+    held: how many letters each range has, for callers that know; else they are counted.
     """
     if not breaks:
         return letters.withColumn("id", (F.row_number().over(Window.orderBy("position")) + (first - 1)).cast("bigint"))
     starts = F.array(*(F.lit(b).cast("bigint") for b in breaks))
     parted = letters.withColumn("__range", F.size(F.filter(starts, lambda b: b <= F.col("position"))))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy("position"))
+    if held is not None:
+        firsts = F.array(*(F.lit(first - 1 + sum(held[:i])).cast("bigint") for i in range(len(breaks))))
+        return parted.withColumn("id", F.get(firsts, F.col("__range") - 1) + place).drop("__range")
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over as many rows as there are ranges
     counts = parted.groupBy("__range").agg(F.count("*").alias("__n"))
     counts = counts.select("__range", (F.coalesce(F.sum("__n").over(before), F.lit(0)) + (first - 1)).alias("__first"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy("position"))
     return parted.withColumn("__place", place).join(F.broadcast(counts), "__range").withColumn("id", (F.col("__first") + F.col("__place")).cast("bigint")).drop("__range", "__place", "__first")

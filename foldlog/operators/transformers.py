@@ -24,6 +24,8 @@ from foldlog import model
 
 #: Steps of a key that one task may have.
 HOT_STEPS = 100_000
+#: Shares of the keys whose steps are counted first; keys are counted one by one only in those with more than HOT_STEPS.
+SHARES = 4096
 #: Positions of a segment of a key that has more.
 SEGMENT = 20_000
 
@@ -75,12 +77,12 @@ def _marked(steps: DataFrame, table: model.Table) -> DataFrame:
         nulls.append(sets & value.isNull() & inc.isNull())
     makes = (insert | upsert) & reduce(and_, fresh)
     effect = F.when(makes, True).when(F.col("action") == "delete", False)
-    columns = F.array(*(
-        F.struct(sets.alias("sets"), F.coalesce(F.when(sets, value), F.when(upsert, F.try_element_at("key", F.lit(f.name)))).alias("value"), F.when(~insert, inc).alias("inc"))
-        for f in table.schema for sets, value, inc in [_given(f.name)]
-    ))
+    columns = [
+        x for i, f in enumerate(table.schema) for sets, value, inc in [_given(f.name)]
+        for x in (sets.alias(f"sets_{i}"), F.coalesce(F.when(sets, value), F.when(upsert, F.try_element_at("key", F.lit(f.name)))).alias(f"given_{i}"), F.when(~insert, inc).alias(f"inc_{i}"))
+    ]
     of = F.when(insert, ident(F.col("set"))).otherwise(ident(F.col("key")))
-    return steps.where(F.col("table") == table.name).select(of.alias("id"), "position", "k", "action", effect.alias("effect"), reduce(or_, nulls).alias("lacks"), columns.alias("columns"))
+    return steps.where(F.col("table") == table.name).select(of.alias("id"), "position", "k", "action", effect.alias("effect"), reduce(or_, nulls).alias("lacks"), *columns)
 
 
 def _judged(rows: DataFrame, by: tuple[str, ...], there: Column) -> DataFrame:
@@ -95,18 +97,18 @@ def _judged(rows: DataFrame, by: tuple[str, ...], there: Column) -> DataFrame:
 def _columns(judged: DataFrame, by: tuple[str, ...], table: model.Table) -> DataFrame:
     """For each group: the last effect, faults, and each column's last setting (whether, to what) and what was added after it."""
     whole = Window.partitionBy(*by)
-    held, settings = judged, []
+    last, settings = [], []
     for i, f in enumerate(table.schema):
-        c = F.col("columns")[i]
-        sets = F.col("makes") | (F.col("changes") & c["sets"])
-        base = F.when(c["inc"].isNotNull(), (F.coalesce(c["value"].try_cast("bigint"), F.lit(0)) + c["inc"]).cast("string")).otherwise(c["value"])
-        held = held.withColumn(f"at_{i}", F.max(F.when(sets, F.col("n"))).over(whole))
+        value, inc = F.col(f"given_{i}"), F.col(f"inc_{i}")
+        sets = F.col("makes") | (F.col("changes") & F.col(f"sets_{i}"))
+        base = F.when(inc.isNotNull(), (F.coalesce(value.try_cast("bigint"), F.lit(0)) + inc).cast("string")).otherwise(value)
+        last.append(F.max(F.when(sets, F.col("n"))).over(whole).alias(f"at_{i}"))
         settings += [
             F.max(f"at_{i}").alias(f"at_{i}"), F.max(F.when(sets & (F.col("n") == F.col(f"at_{i}")), base)).alias(f"value_{i}"),
-            F.sum(F.when(F.col("changes") & (F.col("n") > F.coalesce(f"at_{i}", F.lit(0))), c["inc"])).alias(f"added_{i}"),
+            F.sum(F.when(F.col("changes") & (F.col("n") > F.coalesce(f"at_{i}", F.lit(0))), inc)).alias(f"added_{i}"),
         ]
     fault = F.when(F.col("state").isNotNull(), F.struct("position", "state"))
-    return held.groupBy(*by).agg(F.max_by("effect", F.when(F.col("effect").isNotNull(), F.col("n"))).alias("effect"), F.collect_list(fault).alias("broken"), *settings)
+    return judged.select("*", *last).groupBy(*by).agg(F.max_by("effect", F.when(F.col("effect").isNotNull(), F.col("n"))).alias("effect"), F.collect_list(fault).alias("broken"), *settings)
 
 
 def _rows(done: DataFrame, table: model.Table) -> DataFrame:
@@ -172,7 +174,11 @@ def settle(steps: DataFrame, current: DataFrame, table: model.Table, *, many: bo
     rows, have = _marked(steps, table), _old(current, table)
     if not many:
         return Settled(_together(rows, have, table))
-    hot = rows.groupBy("id").count().where(F.col("count") > hot_steps).select("id")
+    share = F.pmod(F.xxhash64("id"), F.lit(SHARES))
+    crowded = [r[0] for r in rows.groupBy(share.alias("share")).count().where(F.col("count") > hot_steps).select("share").collect()]  # a key of many steps stands in one
+    if not crowded:
+        return Settled(_together(rows, have, table))
+    hot = rows.where(share.isin(*crowded)).groupBy("id").count().where(F.col("count") > hot_steps).select("id")
     ids = hot.collect()  # one for each hot_steps steps at most
     if not ids:
         return Settled(_together(rows, have, table))

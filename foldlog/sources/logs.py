@@ -107,14 +107,16 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_range(spark: SparkSession, sf_dir: str, low: int, high: int) -> DataFrame:
     """The envelopes from one position to another: the scan skips row groups by the table's own ids.
 
-    Neighbours stand in one place of a file, so rows are dealt out before their payload is written as JSON.
+    Neighbours stand in one place of a file, so rows are dealt out before their payload is written as JSON, and as the search
+    for repeats in a pass asks for them, so that this needs no exchange of its own.
     """
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return mapped(rows.where(F.col("event_id").between(low - 1, high - 1)).repartition("event_id"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_id").between(low - 1, high - 1))
+    return mapped(rows.select("*", F.col("user_id").cast("string").alias("stream_id"), (F.col("event_id") + 1).alias("position")).repartition("stream_id", "position"))
 
 
 def mapped(rows: DataFrame) -> DataFrame:
+    dealt = "position" in rows.columns
     return events.envelope(
-        rows, id=F.col("event_id"), stream_id=F.col("user_id"), type=F.col("event_type"), position=F.col("event_id") + 1, occurred_at=F.col("ts"),
+        rows, id=F.col("event_id"), stream_id=F.col("stream_id" if dealt else "user_id"), type=F.col("event_type"), position=F.col("position") if dealt else F.col("event_id") + 1, occurred_at=F.col("ts"),
         data=F.to_json(F.struct("value", "props")), metadata=F.from_json("props", "map<string,string>"),
     )

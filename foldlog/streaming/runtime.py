@@ -8,6 +8,7 @@ import time
 import uuid
 from collections import Counter
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -22,7 +23,7 @@ from foldlog.operators import handlers, inspection
 from foldlog.streaming import files
 from foldlog.streaming.coordinator import DRAINING, HALTED, INITIALIZING, PAUSED, STOPPED, Budget, Circuit, Coordinator
 from foldlog.streaming.lease import Lease
-from foldlog.targets.base import OUTCOMES, Batch, Refused, Report, Target, Wipeout, batch_stats
+from foldlog.targets.base import OUTCOMES, Batch, Refused, Report, Target, Wipeout, batch_stats, written
 from foldlog.telemetry import bus
 
 
@@ -74,9 +75,11 @@ class Processor:
         target: Target = self.projection.target
         began = time.time()
         path = f"{self.scratch}/{uuid.uuid4().hex}"
-        outcomes = self._evaluated(events, path)
-        known = batch_stats(outcomes)
-        collided = self._collided(outcomes, known["most_multi"]) if known["most_multi"] else None
+        outcomes, counts = self._handled(events, path)
+        with ThreadPoolExecutor(1) as pool:  # the steps' columns are looked for beside the keys that collide
+            told = pool.submit(batch_stats, outcomes, counts)
+            collided = self._collided(outcomes, counts["most_multi"]) if counts.get("most_multi") else None  # an empty pass may have no counts
+            known = told.result()
         if collided is not None:
             outcomes, known = collided, batch_stats(collided)
         now = F.lit(datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")).cast("timestamp")
@@ -102,16 +105,21 @@ class Processor:
 
     def _evaluated(self, events: DataFrame, path: str | int) -> DataFrame:
         """Handle each event once: the outcomes are written before anything reads them twice."""
+        return self._handled(events, path)[0]
+
+    def _handled(self, events: DataFrame, path: str | int) -> tuple[DataFrame, dict]:
         path = path if isinstance(path, str) else f"{self.scratch}/{path}"
         marked = ops.dedup(events, self.projection.target.cursors_of(self.spark, self.projection.identity, events))
         if getattr(self.handler, "columns_only", False):
             both = self.handler.apply(marked, self.retry).withColumn("result", F.when(~F.col("repeated"), F.col("result")))
+            told = self.handler.outcome() if hasattr(self.handler, "outcome") else None
         else:
-            fresh = self.handler.apply(marked.where("not repeated"), self.retry)
+            told, fresh = None, self.handler.apply(marked.where("not repeated"), self.retry)
             both = fresh.unionByName(marked.where("repeated").withColumn("result", F.lit(None).cast(fresh.schema["result"].dataType)))
-        both = both.withColumn("outcome", handlers.outcome(F.col("result"), F.col("repeated")))
-        both.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(both.schema).parquet(path)
+        outcome = handlers.outcome(F.col("result"), F.col("repeated")) if told is None else F.when(F.col("repeated"), "deduped").otherwise(told)
+        both = both.withColumn("outcome", outcome).drop("metadata")
+        counts = written(both, path)
+        return self.spark.read.schema(both.schema).parquet(path), counts
 
     def _cut(self, frame: DataFrame) -> DataFrame:
         """The frame as a table in the shared folder."""

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class Refused(Sequence):
@@ -48,7 +49,7 @@ class Report:
 
 @dataclass
 class Batch:
-    """A batch on the way to its target. outcomes: envelopes with result and outcome, evaluated once."""
+    """A batch on the way to its target. outcomes: envelopes without metadata, which only handlers read, with result and outcome, evaluated once."""
 
     identity: tuple[str, int]
     batch_id: int | None
@@ -68,15 +69,27 @@ class Batch:
 OUTCOMES = ("applied", "skipped", "deduped", "failed", "invalid", "collision")
 
 
-def batch_stats(outcomes: DataFrame) -> dict[str, Any]:
-    steps = F.col("result.steps")
-    row = outcomes.select("outcome", "position", "occurred_at", F.coalesce(F.size(steps), F.lit(0)).alias("n"), (F.col("result.kind") == "multi").alias("multi")).agg(
-        *(F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in OUTCOMES), F.min("position").alias("bottom"), F.max("position").alias("top"), F.max_by("occurred_at", "position").alias("at"),
-        F.max(F.when(F.col("outcome") == "applied", F.col("n"))).alias("most"), F.max(F.when((F.col("outcome") == "applied") & F.col("multi"), F.col("n"))).alias("most_multi"),
-    ).first()
-    found = row.asDict(recursive=True)
+def _counts() -> list[Column]:
+    outcome, n = F.col("outcome"), F.coalesce(F.size("result.steps"), F.lit(0))
+    return [
+        *(F.count(F.when(outcome == o, 1)).alias(o) for o in OUTCOMES), F.min("position").alias("bottom"), F.max("position").alias("top"), F.max_by(F.unix_micros("occurred_at"), "position").alias("at"),
+        F.max(F.when(outcome == "applied", n)).alias("most"), F.max(F.when((outcome == "applied") & (F.col("result.kind") == "multi"), n)).alias("most_multi"),
+    ]
+
+
+def written(outcomes: DataFrame, path: str) -> dict[str, Any]:
+    """Write a batch's outcomes; the counts of ``batch_stats``, taken on the way."""
+    seen = Observation()
+    outcomes.observe(seen, *_counts()).write.mode("overwrite").parquet(path)
+    return seen.get
+
+
+def batch_stats(outcomes: DataFrame, counts: dict[str, Any] | None = None) -> dict[str, Any]:
+    """What a batch's outcomes hold; counts: what ``written`` has counted of them already."""
+    found = dict(counts or outcomes.agg(*_counts()).first().asDict())
+    found["at"] = T.TimestampType().fromInternal(found["at"])
     # which tables and columns: steps that name the same are alike, so a handful of rows comes back
-    step = outcomes.where(F.col("outcome").isin("applied", "collision")).select(F.explode(steps).alias("step"))
+    step = outcomes.where(F.col("outcome").isin("applied", "collision")).select(F.explode("result.steps").alias("step"))
     kinds = step.select("step.action", "step.table", *(F.map_keys(f"step.{m}").alias(m) for m in ("key", "set", "inc"))).distinct().collect()
     named = [(s["action"], s["table"], s["key"] or [], s["set"] or [], s["inc"] or []) for s in kinds]
     found["tables"] = {t for _, t, *_ in named}

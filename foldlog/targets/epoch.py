@@ -22,6 +22,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldlog import model
 from foldlog.functions.failure import CommitFailure, label_of_state
@@ -41,6 +42,11 @@ def _level(path: str) -> int:
     return int(path.rpartition("-L")[2]) if "-L" in path.rpartition("/")[2] else 0
 
 
+def _none(spark: SparkSession, ddl: str) -> DataFrame:
+    """No rows, which the optimizer knows, so that joins with them are left out of plans."""
+    return spark.range(1).where(F.lit(False)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(ddl)))
+
+
 class EpochTarget(Target):
     def __init__(self, root: str, tables: Iterable[model.Table], compact_at: int = COMPACT_AT, buckets: int = BUCKETS, retain_seconds: float = RETAIN_SECONDS):
         self.root, self.tables, self.compact_at = root.rstrip("/"), {t.name: t for t in tables}, compact_at
@@ -85,7 +91,7 @@ class EpochTarget(Target):
             deep = spark.read.schema(f"{full}, __bucket int").parquet(path)
             deep = (deep if buckets is None else deep.where(F.col("__bucket").isin(*buckets))).drop("__bucket")
             rows = deep if rows is None else rows.unionByName(deep)
-        return spark.createDataFrame([], full) if rows is None else rows
+        return _none(spark, full) if rows is None else rows
 
     def touched(self, keys: DataFrame, name: str, found: dict) -> list[int] | None:
         """The buckets that keys (columns of texts) fall into; None if nothing is merged yet, so that nothing is to be left out."""
@@ -182,10 +188,13 @@ class EpochTarget(Target):
             states = broken.frame.select("position", labels[F.col("state")].alias("__state"))
             failed = failed.join(states, "position", "left").withColumn("failure", F.coalesce("failure", F.when(F.col("outcome") == "applied", F.col("__state"))))
         failed = failed.where("outcome in ('failed', 'invalid', 'collision') or failure is not null").select(*batch.outcomes.columns, "failure")
-        breaks = []
+        breaks, held = [], None
         if batch.stats()["top"] is not None and n > inspection.NUMBERED_TOGETHER:
-            breaks = [a for a, _ in ops.ranges(failed, batch.stats()["bottom"], batch.stats()["top"], inspection.NUMBERED_TOGETHER)]
-        return inspection.numbered(handlers.dead_letter_rows(failed, *batch.identity, batch.recorded_at), first, breaks)
+            at = batch.outcomes.where("outcome in ('failed', 'invalid', 'collision')").select("position")  # and of applied ones those that are broken: no join tells how many stand where
+            at = at.unionByName(broken.frame.select("position")) if len(broken) else at
+            found = list(ops.counted_ranges(at, batch.stats()["bottom"], batch.stats()["top"], inspection.NUMBERED_TOGETHER, n))
+            breaks, held = [a for a, _, _ in found], [k for *_, k in found]
+        return inspection.numbered(handlers.dead_letter_rows(failed, *batch.identity, batch.recorded_at), first, breaks, held)
 
     def _known(self, stats: dict) -> None:
         for t in sorted(map(str, stats["tables"] - set(self.tables))):
@@ -222,7 +231,7 @@ class EpochTarget(Target):
                 staged[t] = self._write(folds.typed(done.rows, table, "broken"), t, number)
                 written = transformers.Settled(spark.read.parquet(f"{self.root}/{staged[t]}"), done.faults)
                 fresh.append(written.broken())
-            new = self._refused(spark, fresh, broken, number)
+            new = self._refused(spark, fresh, broken, number, (stats["most"] or 0) > 1)
             if new is None:
                 return broken, staged, passing
             passing.append(new[0])
@@ -230,12 +239,12 @@ class EpochTarget(Target):
             if (stats["most"] or 0) <= 1 and not loose:
                 return broken, staged, passing
 
-    def _refused(self, spark: SparkSession, fresh: list[DataFrame], known: Refused, number: int) -> tuple[str, Refused] | None:
-        """What was broken and what is now, a row for each event, and its folder; None if there is nothing new."""
+    def _refused(self, spark: SparkSession, fresh: list[DataFrame], known: Refused, number: int, several: bool = True) -> tuple[str, Refused] | None:
+        """What was broken and what is now, a row for each event, and its folder; None if there is nothing new. several: whether an event may have several steps."""
         if not fresh:
             return None
         both = reduce(DataFrame.unionByName, (f.withColumn("__t", F.lit(i)) for i, f in enumerate(fresh)))
-        one = both.groupBy("position").agg(F.max_by("state", F.struct("__t", "state")).alias("state"))
+        one = both.groupBy("position").agg(F.max_by("state", F.struct("__t", "state")).alias("state")) if several else both.drop("__t")
         if known:
             one = one.join(known.frame, "position", "left_anti").unionByName(known.frame)
         path = f"data/refused/{number:012d}-{uuid.uuid4().hex}"
@@ -251,14 +260,18 @@ class EpochTarget(Target):
         """Merge the folders of each crowded level into one of the next, and clear what has been dead long enough."""
         found = self.manifest(spark)
         live, gone = {k: list(v) for k, v in found["live"].items()}, []
-        for name in live:
+
+        def merge(name: str) -> None:
             level = 0
             while sum(_level(p) == level for p in live[name]) > self.compact_at:
                 own = [p for p in live[name] if _level(p) == level]
                 deeper = any(_level(p) > level for p in live[name])
                 live[name] = [p for p in live[name] if p not in own] + [self._merged(spark, name, own, level + 1, found["number"], deeper)]
-                gone += own
+                gone.extend(own)
                 level += 1
+
+        with ThreadPoolExecutor(max(1, len(live))) as pool:  # tables are merged beside each other
+            list(pool.map(merge, live))
         now = time.time()
         due = [p for p, since in found["dead"] if now - since >= self.retain_seconds]
         if gone or due:
@@ -275,8 +288,11 @@ class EpochTarget(Target):
         rows = self._rows(name, self._raw(spark, name, {"live": {name: paths}}))
         if "__deleted" in rows.columns and not deeper:
             rows = rows.where("not __deleted")
-        key = [F.col(c).cast("string") for c in self._key(name)] or [F.col("id").cast("string")]
+        key = [F.col(c).cast("string") for c in self._key(name)]
         path = f"data/{name}/{number:012d}-{uuid.uuid4().hex}-L{level}"
+        if not key:  # dead letters are never looked up by bucket: they are put together as they stand
+            rows.hint("rebalance").write.parquet(f"{self.root}/{path}")
+            return path
         rows.withColumn("__bucket", self.bucket(*key)).hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.root}/{path}")
         return path
 

@@ -43,3 +43,49 @@ def test_refused_events_stay_on_the_executors(spark):
     # the folders of these positions are dead from the start, so that they are cleared
     dead = [p for p, _ in target.manifest(spark)["dead"]]
     assert len([p for p in dead if p.startswith("data/refused/")]) == sum(len(b) > 0 for b in broken)
+
+
+def exchanges(frame) -> int:
+    return plan(frame).count("Exchange hashpartitioning")
+
+
+def test_a_pass_is_dealt_out_once(spark):
+    from foldlog.operators import events as ops
+
+    target, projection = registry._declared(spark, registry.ACCOUNTS, registry.account_rules())
+    events = event_range(spark, SF, 1, 100)
+    marked = ops.dedup(events, target.cursors_of(spark, projection.identity, events))
+    assert exchanges(marked) == 1  # the search for repeats goes on from it, and no cursors means no join
+    assert "from_json" in plan(marked) and "from_json" not in plan(marked.drop("metadata"))
+
+
+def test_outcomes_told_by_type_are_those_of_the_results(spark, tmp_path):
+    from foldlog.operators import handlers
+
+    rules = handlers.Rules().insert("a", "t", {"x": F.lit(1)}).insert("b", "t", {}).update("c", "t", {"x": F.lit(1)}, {}).delete("d", "t", {}).inc("e", "t", {"x": F.lit(1)}, {}).skip("f").error("g", "no").update("h", "t", {}, {"x": F.lit(1)}).skip("a")
+    frame = spark.createDataFrame([(t,) for t in [*"abcdefghi", None]], "type string")
+    both = rules.apply(frame).select("type", handlers.outcome(F.col("result")).alias("slow"), rules.outcome().alias("fast")).collect()
+    assert [r.fast for r in both] == [r.slow for r in both] and {r.fast for r in both} == {"applied", "invalid", "skipped", "failed"}
+    assert rules.on("j", handlers.result("skip")).outcome() is None and handlers.Rules().otherwise(handlers.result("skip")).outcome() is None
+
+
+def test_counts_taken_while_writing_are_those_of_the_table(spark, tmp_path):
+    from foldlog.targets.base import batch_stats
+
+    target, projection = registry._declared(spark, registry.ACCOUNTS, registry.account_rules())
+    process = Processor(spark, projection, scratch=f"file://{tmp_path}")
+    for events in (registry.log(spark, SF), registry.log(spark, SF).where("position < 0")):
+        outcomes, counts = process._handled(events, f"file://{tmp_path}/counted")
+        assert "metadata" not in outcomes.columns and batch_stats(outcomes, counts) == batch_stats(outcomes)
+
+
+def test_letters_are_numbered_by_counts_that_are_known(spark):
+    from foldlog.operators import events as ops
+    from foldlog.operators import inspection
+
+    letters = spark.range(1, 200).where("id % 7 < 3").select(F.col("id").alias("position"))
+    found = list(ops.counted_ranges(letters, 1, 199, 20))
+    breaks, held = [a for a, _, _ in found], [n for *_, n in found]
+    assert sum(held) == letters.count() and len(breaks) > 3
+    known = inspection.numbered(letters, 5, breaks, held)
+    assert sorted(known.collect()) == sorted(inspection.numbered(letters, 5).collect()) == sorted(inspection.numbered(letters, 5, breaks).collect())
