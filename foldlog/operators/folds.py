@@ -56,10 +56,14 @@ def _reached(wide: DataFrame, own: DataFrame, have: DataFrame, table: model.Tabl
             out.append(ids.join(asking.select(F.lit(1).alias("one"), "position", "k", "step"), "one").select("id", "position", "k", "step"))
             continue
         given = F.coalesce(F.try_element_at("step.set", F.lit(by)), F.try_element_at("step.key", F.lit(by)))
-        values = have.select("id", plain(F.try_element_at("old", F.lit(by)), by).alias("v")).union(own.select("id", plain(given, by).alias("v"))).distinct()
+        # a value that only a row's own step gives holds from that step on: earlier ones that ask for it do not meet the row
+        values = have.select("id", plain(F.try_element_at("old", F.lit(by)), by).alias("v"), F.lit(None).cast("bigint").alias("since"), F.lit(True).alias("old"))
+        values = values.union(own.select("id", plain(given, by).alias("v"), "step.position", F.lit(False)))
+        values = values.groupBy("id", "v").agg(F.when(~F.max("old"), F.min("since")).alias("since"))
         asked = asking.select(plain(F.try_element_at("key", F.lit(by)), by).alias("w"), "position", "k", "step")
-        out.append(values.join(asked, F.col("v").eqNullSafe(F.col("w"))).select("id", "position", "k", "step"))
-    return reduce(DataFrame.union, out).dropDuplicates(["id", "position", "k"]).select("id", "step")
+        out.append(values.join(asked, F.col("v").eqNullSafe(F.col("w")) & (F.col("since").isNull() | (F.col("position") >= F.col("since")))).select("id", "position", "k", "step"))
+    # a step asks by one set of columns and for one value, and a row has that value once: no pair comes twice
+    return reduce(DataFrame.union, out).select("id", "step")
 
 
 def fold(steps: DataFrame, current: DataFrame, table: model.Table, loose: Sequence[tuple[tuple[str, ...], tuple[str, ...]]] = ()) -> DataFrame:

@@ -89,3 +89,19 @@ def test_letters_are_numbered_by_counts_that_are_known(spark):
     assert sum(held) == letters.count() and len(breaks) > 3
     known = inspection.numbered(letters, 5, breaks, held)
     assert sorted(known.collect()) == sorted(inspection.numbered(letters, 5).collect()) == sorted(inspection.numbered(letters, 5, breaks).collect())
+
+
+def test_filters_meet_a_rows_own_value_from_its_step_on_and_each_pair_once(spark):
+    from foldlog.operators import folds
+
+    step = lambda position, action, key, set: (position, "s", 0, "e", action, "tickets", key, set, {})
+    rows = [step(1, "update", {"user": "u"}, {"state": "early"}), step(2, "insert", {}, {"id": "a", "user": "u"}), step(3, "update", {"user": "u"}, {"state": "late"}), step(3, "update", {"user": "w"}, {"state": "other"})]
+    steps = spark.createDataFrame(rows, "position bigint, stream_id string, k int, name string, action string, table string, key map<string,string>, set map<string,string>, inc map<string,bigint>")
+    current = spark.createDataFrame([("old", "u", "open", None)], registry.TICKETS.schema)
+    own = steps.where("action = 'insert'").select(F.array(F.col("set")["id"]).alias("id"), F.struct("position", "k", "action", "key", "set", "inc").alias("step"))
+    have = current.select(F.array("id").alias("id"), F.create_map(F.lit("user"), F.col("user")).alias("old"))
+    loose = [(("user",), ("state",))]
+    pairs = folds._reached(steps.where("action = 'update'"), own, have, registry.TICKETS, loose).select(F.col("id")[0], "step.position").collect()
+    assert sorted(map(tuple, pairs)) == [("a", 3), ("old", 1), ("old", 3)]
+    done = {r["id"][0]: r["row"]["state"] for r in folds.fold(steps, current, registry.TICKETS, loose).collect()}
+    assert done == {"a": "late", "old": "late"}
