@@ -14,7 +14,11 @@ Anchors with more than VARIANTS contexts (a passage in very many places) are not
 by their own digests and counted, which is exact as well. Equal texts are one text with a count; if it has WINDOW
 bytes, all of it occurs elsewhere. Nothing is capped.
 
-Defined cases: a null text counts as empty; texts under WINDOW bytes lose nothing; repeated rows are repeated texts.
+A passage that is shorter than WINDOW shows in a column of its own, which removes nothing: of a text's marks (strings of
+MARK bytes that content chooses in the same way, one at least in any 2 * MARK - 1 bytes), how many another row holds too.
+
+Defined cases: a null text counts as empty; texts under WINDOW bytes lose nothing; repeated rows are repeated texts; texts
+under 2 * MARK - 1 bytes have no marks.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from foldlog.llm import kit
 
 WINDOW, SEED = 400, 24
+#: Bytes of a mark: passages of 2 * MARK - 1 bytes that two rows share always have one, those under MARK bytes never.
+MARK = 128
 VARIANTS = 1_000
 #: Bytes of contexts that one index is built over.
 INDEX_BYTES = 1_000_000
@@ -39,26 +45,43 @@ _PLACE = 28
 
 # ---------------------------------------------------------------- anchors
 
-def contexts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, anchor hash, digest, first window, last window (both from the row's start), of all contexts."""
-    n = len(data)
+def _least(prefix: np.ndarray, offsets: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows; where the least-hashed seed-gram of each starts, the leftmost of equals; hashes of all seed-grams."""
+    n = len(prefix) - 1
     empty = np.zeros(0, dtype=np.int64)
-    if n < WINDOW:
-        return empty, empty.view(kit.U64), empty.view(kit.U64), empty, empty
-    prefix = kit.prefix_hash(data)
-    at = np.arange(n - SEED + 1)
-    grams = kit.span_hash(prefix, at, at + SEED)
+    starts = np.concatenate([np.arange(a, b - window + 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if b - a >= window] or [empty])
+    if not len(starts):
+        return starts, empty, empty.view(kit.U64)
+    at = np.arange(n - seed + 1)
+    grams = kit.span_hash(prefix, at, at + seed)
     packed = grams >> kit.U64(_PLACE) << kit.U64(_PLACE) | at.astype(kit.U64)
-    w = WINDOW - SEED + 1
+    w = window - seed + 1
     pad = -len(packed) % w
     grid = np.concatenate([packed, np.full(pad, np.iinfo(np.uint64).max, dtype=kit.U64)]).reshape(-1, w)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.concatenate([np.arange(a, b - WINDOW + 1) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True) if b - a >= WINDOW] or [empty])
-    if not len(starts):
-        return empty, empty.view(kit.U64), empty.view(kit.U64), empty, empty
     least = np.minimum(behind[starts], ahead[starts + w - 1])
-    anchor = (least & kit.U64((1 << _PLACE) - 1)).astype(np.int64)
+    return starts, (least & kit.U64((1 << _PLACE) - 1)).astype(np.int64), grams
+
+
+def marks_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """row and hash of all marks, those of a row once each. The hashes are mixed: the least ones begin alike and would go to one shard."""
+    _, place, grams = _least(kit.prefix_hash(data), offsets, 2 * MARK - 1, MARK)
+    place = np.unique(place)
+    row, mark = np.searchsorted(offsets, place, side="right") - 1, kit.mix(grams[place])
+    order = np.lexsort((mark, row))
+    row, mark = row[order], mark[order]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
+    return row[new], mark[new]
+
+
+def contexts_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """row, anchor hash, digest, first window, last window (both from the row's start), of all contexts."""
+    prefix = kit.prefix_hash(data)
+    starts, anchor, grams = _least(prefix, offsets, WINDOW, SEED)
+    if not len(starts):
+        return starts, grams, grams, starts, starts
     first = np.ones(len(starts), dtype=bool)
     first[1:] = (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)
     lo = starts[first]
@@ -253,15 +276,58 @@ def _cut_windows(shards: int):
                         starts.append(own if w["c"] == 1 else np.full(len(own), -1))
                 if digests:
                     digest, owner, start = map(np.concatenate, (digests, owners, starts))
-                    to = ((digest >> kit.U64(32)) * kit.U64(shards) >> kit.U64(32)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    cuts = np.searchsorted(to[order], np.arange(shards + 1))
-                    rows = [(k, *(a[order[x:y]].tobytes() for a in (digest, owner, start))) for k, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)) if y > x]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], type=pa.int32()), *(kit.binaries([x[i] for x in rows]) for i in (1, 2, 3))], names=["shard", "digests", "ids", "starts"])
+                    yield _dealt(shards, digests=digest, ids=owner, starts=start)
 
     return run
 
 
+def _dealt(shards: int, **columns: np.ndarray) -> pa.RecordBatch:
+    """A row a shard: its number and the bytes of its part of each column; the first column, of hashes, decides."""
+    digest = next(iter(columns.values()))
+    to = ((digest >> kit.U64(32)) * kit.U64(shards) >> kit.U64(32)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    own, firsts = np.unique(to[order], return_index=True)
+    parts = [(x, y) for x, y in zip(firsts.tolist(), [*firsts[1:].tolist(), len(order)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(own, type=pa.int32()), *(kit.binaries([a[order[x:y]].tobytes() for x, y in parts]) for a in columns.values())], names=["shard", *columns])
+
+
+def _cut_marks(shards: int):
+    """Blocks (shard, marks, owners) of (id, text, m). A mark that several rows of a step hold goes out once, owned by -1; its owners go without it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, m = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            for lo, hi, data, offsets in kit.text_steps(batch, 1):
+                row, mark = marks_of(data, offsets)
+                if not len(row):
+                    continue
+                own, back, counts = np.unique(mark, return_inverse=True, return_counts=True)
+                known = (counts + np.bincount(back, m[lo:hi][row] > 1, len(own))) > 1
+                again, owner = known[back], ids[lo:hi][row]
+                yield _dealt(shards, marks=np.concatenate([own[known], mark[~again]]), owners=np.concatenate([np.full(known.sum(), -1), owner[~again]]))
+                if again.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[lo] % shards], type=pa.int32()), kit.binaries([b""]), kit.binaries([owner[again].tobytes()])], names=["shard", "marks", "owners"])
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All blocks of some marks to (id, n_shared): how many of them another row holds too."""
+    marks, owners, settled = [np.zeros(0, dtype=kit.U64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for batch in batches:
+        for mark, owner in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            (owners if mark else settled).append(np.frombuffer(owner, dtype=np.int64))
+            marks.append(np.frombuffer(mark, dtype=kit.U64))
+    mark, owner = np.concatenate(marks), np.concatenate(owners)
+    order = np.argsort(mark)
+    mark, owner = mark[order], owner[order]
+    firsts = np.flatnonzero(np.diff(mark, prepend=~mark[:1]))
+    counts = np.diff(np.append(firsts, len(mark)))
+    shared = np.repeat((counts > 1) | (owner[firsts] < 0), counts) & (owner >= 0)
+    ids, n = np.unique(np.concatenate([*settled, owner[shared]]), return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n_shared"])
+
+
 def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [[np.frombuffer(b, dtype=t) for b in row] for batch in batches for row, t in ((batch.column(i).to_pylist(), t) for i, t in ((1, kit.U64), (2, np.int64), (3, np.int64)))]
     if not parts:
@@ -278,9 +344,9 @@ def _recounted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(h1, h2, m, text, spans, blocks of starts) to (h1, h2, n_bytes, n_removed, n_spans, kept)."""
+    """(h1, h2, m, text, spans, blocks of starts, n_shared) to (h1, h2, n_bytes, n_removed, n_spans, n_shared, kept)."""
     for batch in batches:
-        h1, h2, m, spans, blocks = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))
+        h1, h2, m, spans, blocks, shared = (batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5, 6))
         for lo, hi, data, offsets in kit.text_steps(batch, 3):
             rows = []
             for r, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True), lo):
@@ -297,16 +363,17 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         np.add.at(delta, starts, 1)
                         np.add.at(delta, starts + WINDOW, -1)
                     gone = np.cumsum(delta)[:-1] > 0
-                rows.append((h1[r], h2[r], len(own), int(gone.sum()), len(_ranges(gone)), own[~gone].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=pa.binary() if i == 5 else pa.int64()) for i in range(6)], names=["h1", "h2", "n_bytes", "n_removed", "n_spans", "kept"])
+                rows.append((h1[r], h2[r], len(own), int(gone.sum()), len(_ranges(gone)), shared[r], own[~gone].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=pa.binary() if i == 6 else pa.int64()) for i in range(7)], names=["h1", "h2", "n_bytes", "n_removed", "n_spans", "n_shared", "kept"])
 
 
 def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """A row for each distinct text: h1 and h2 (its two digests, see ``keys``), n_bytes, n_removed, n_spans, kept (binary)."""
+    """A row for each distinct text: h1 and h2 (its two digests, see ``keys``), n_bytes, n_removed, n_spans, n_shared, kept (binary)."""
     scratch = kit.Scratch(df.sparkSession, "run-length-index")
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     once = rows.select(*keys("text"), "text").groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("m"))
-    texts = scratch.cut(once.withColumn("id", F.monotonically_increasing_id()), "texts")
+    # the id is never null; said here, the joins below need no filters of their own, and all use one exchange of the texts
+    texts = scratch.cut(once.withColumn("id", F.monotonically_increasing_id()), "texts").select("id", "text", "h1", "h2", "m").where("id is not null")
     found = scratch.cut(texts.where(F.octet_length("text") >= WINDOW).select("id", "text").transform(kit.through, _anchors, "anchor long, digest long, id long, first long, last long"), "anchors")
 
     kinds = found.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min("id").alias("id"))
@@ -320,15 +387,17 @@ def remove_repeats(df: DataFrame, text_col: str = "text") -> DataFrame:
     n = kit.parts_for(df, 16 << 20)
 
     def wanted(condition: str) -> DataFrame:
-        return texts.select("id", "text").join(variants.where(condition).groupBy("id").agg(F.collect_list("w").alias("wanted")), "id").select("id", "text", "wanted")
+        return texts.join(variants.where(condition).groupBy("id").agg(F.collect_list("w").alias("wanted")), "id").select("id", "text", "wanted", "h1", "h2", "m")
 
     contexts = wanted(f"v <= {VARIANTS}").transform(kit.through, _cut_contexts, "anchor long, id long, first long, c long, context binary")
     marked = contexts.repartition(n, "anchor").sortWithinPartitions("anchor").transform(kit.through, _marked, "id long, start long, end long")
     spans = settled.union(marked).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     windows = wanted(f"v > {VARIANTS}").transform(kit.through, _cut_windows(n), "shard int, digests binary, ids binary, starts binary")
     recounted = windows.repartition(n, "shard").transform(kit.through, _recounted, "id long, starts binary").groupBy("id").agg(F.collect_list("starts").alias("blocks"))
-    whole = texts.join(spans, "id", "left").join(recounted, "id", "left").select("h1", "h2", "m", "text", "spans", "blocks")
-    return whole.transform(kit.through, _removed, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary")
+    marks = texts.where(F.octet_length("text") >= 2 * MARK - 1).select("id", "text", "m").transform(kit.through, _cut_marks(n), "shard int, marks binary, owners binary")
+    met = marks.repartition(n, "shard").transform(kit.through, _met, "id long, n_shared long").groupBy("id").agg(F.sum("n_shared").alias("n_shared"))
+    whole = texts.join(spans, "id", "left").join(recounted, "id", "left").join(met, "id", "left").select("h1", "h2", "m", "text", "spans", "blocks", F.coalesce("n_shared", F.lit(0)).alias("n_shared"))
+    return whole.transform(kit.through, _removed, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, n_shared long, kept binary")
 
 
 def keys(text_col: str) -> list:
@@ -337,5 +406,5 @@ def keys(text_col: str) -> list:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = remove_repeats(docs).select("h1", "h2", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return docs.select("doc_id", *keys("text")).join(found, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = remove_repeats(docs).select("h1", "h2", "n_bytes", "n_removed", "n_spans", "n_shared", F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", *keys("text")).join(found, ["h1", "h2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared")
